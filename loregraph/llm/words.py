@@ -20,6 +20,9 @@ _IS_WORD = np.ones(256, bool)
 _IS_WORD[[9, 10, 11, 12, 13, 32]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Letters, digits and all bytes of non-ASCII characters: tokens without punctuation.
+ALNUM = np.zeros(256, bool)
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -99,7 +102,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def segments(column: pa.Array, size: int = SEGMENT_BYTES) -> Iterator[Segment]:
+def segments(column: pa.Array, size: int = SEGMENT_BYTES, inside_word: np.ndarray = _IS_WORD) -> Iterator[Segment]:
     data, offsets = text_buffers(column)
     n, lo = len(offsets) - 1, 0
     while lo < n:
@@ -107,7 +110,7 @@ def segments(column: pa.Array, size: int = SEGMENT_BYTES) -> Iterator[Segment]:
         hi = min(n, max(hi, lo + 1))
         rel = offsets[lo : hi + 1] - offsets[lo]
         part = data[offsets[lo] : offsets[hi]]
-        inside = _IS_WORD[part]
+        inside = inside_word[part]
         before = np.empty(len(part) + 1, bool)
         before[0] = False
         before[1:] = inside

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from loregraph.llm.ann import op2_neighbours
 from loregraph.llm.chat import op6_chat
 from loregraph.llm.decontaminate import op3_decontamination
+from loregraph.llm.licenses import op4_licenses
 from loregraph.llm.mixing import op5_mixing
 from loregraph.llm.quality import op9_quality
 from loregraph.llm.sharding import op8_sharding
 from loregraph.llm.substring import op10_substring
 
 QUERIES = {
+    "op2_neighbours": op2_neighbours,
     "op3_decontamination": op3_decontamination,
+    "op4_licenses": op4_licenses,
     "op5_mixing": op5_mixing,
     "op6_chat": op6_chat,
     "op8_sharding": op8_sharding,

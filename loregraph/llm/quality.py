@@ -243,5 +243,20 @@ def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
     return score(rows, model).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """The rows of ``docs`` that score THRESHOLD or more, with all columns; fitted on the labelled rows among them that are not held out."""
+    known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where("label in (0, 1)").distinct()
+    known = known.where(F.crc32(F.col("doc_id").cast("string")) % 4 != HELD_OUT)
+    model = fit(materialize(text_statistics(docs, doc_id, text)).join(known, "doc_id"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [shared.value.score(statistics(s)) for s in segments(batch[text])]
+            yield batch.filter(pa.array(np.concatenate(scores) >= THRESHOLD)) if scores else batch
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_quality(spark, sf_dir: str) -> DataFrame:
     return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

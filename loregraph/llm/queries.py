@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from loregraph.llm.ann import op2_neighbours
 from loregraph.llm.chat import op6_chat
 from loregraph.llm.decontaminate import op3_decontamination
 from loregraph.llm.licenses import op4_licenses
 from loregraph.llm.mixing import op5_mixing
+from loregraph.llm.ngram_join import op1_ngram_join
 from loregraph.llm.quality import op9_quality
 from loregraph.llm.sharding import op8_sharding
+from loregraph.llm.suffix_dedup import op7_suffix_dedup
 from loregraph.llm.substring import op10_substring
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_neighbours": op2_neighbours,
     "op3_decontamination": op3_decontamination,
     "op4_licenses": op4_licenses,
     "op5_mixing": op5_mixing,
     "op6_chat": op6_chat,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_sharding": op8_sharding,
     "op9_quality": op9_quality,
     "op10_substring": op10_substring,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -167,12 +167,16 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["k1"], batch["k2"], pa.array(n, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "k1", "k2", "n_words", "all_sha256"])
 
 
-def repeated_anchors(k: DataFrame, span: int, gram: int, reps: DataFrame) -> DataFrame:
-    """The texts (packed) of classes that hold an anchor which occurs elsewhere, with the list of those anchors."""
-    places = k.select("k1", "text").mapInArrow(_anchors(span, gram, True), "anchor long, place long")
-    twice = places.groupBy("anchor").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo <> hi").select("anchor")
-    own = k.select("k1", "text").mapInArrow(_anchors(span, gram, False), "anchor long, k1 long")
-    held = own.join(materialize(twice), "anchor").groupBy("k1").agg(F.collect_set("anchor").alias("anchors"))
+def repeated_anchors(k: DataFrame, reps: DataFrame, places, own) -> DataFrame:
+    """The texts (packed) of classes that hold an anchor which occurs elsewhere, with the list of those anchors.
+
+    ``places`` and ``own`` are mapInArrow functions over (k1, text): every occurrence (anchor, place) of an anchor, and
+    the anchors of a text (anchor, k1).
+    """
+    seen = k.select("k1", "text").mapInArrow(places, "anchor long, place long")
+    twice = seen.groupBy("anchor").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo <> hi").select("anchor")
+    held = k.select("k1", "text").mapInArrow(own, "anchor long, k1 long")
+    held = held.join(materialize(twice), "anchor").groupBy("k1").agg(F.collect_set("anchor").alias("anchors"))
     wanted = materialize(held.join(reps, "k1").select("k1", "k2", "rep", "anchors"))
     return materialize(texts_of(k, wanted))
 
@@ -183,7 +187,7 @@ def repeated_substrings(docs: DataFrame, span: int = SPAN, gram: int = GRAM, doc
     kind = k.schema["doc_id"].dataType.simpleString()
     rows = materialize(k.mapInArrow(_whole, f"doc_id {kind}, k1 long, k2 long, n_words long, all_sha256 string"))
     reps = materialize(classes(rows))
-    touched = repeated_anchors(k, span, gram, reps)
+    touched = repeated_anchors(k, reps, _anchors(span, gram, True), _anchors(span, gram, False))
 
     members = materialize(touched.mapInArrow(_members(span, gram), "run long, anchor long, k1 long, k2 long, start int, size int, again boolean"))
     place = F.xxhash64("k1", "start")

@@ -28,6 +28,7 @@ from loregraph.llm.store import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 CYCLE = (1, 2, 3)
 CHUNK = 4096
+TASK_SLOTS = 200_000
 BUCKET_ROWS = 2000
 
 
@@ -100,7 +101,8 @@ def plan_slots(sources: DataFrame, block_words: int, cap: float, seed: int) -> D
 def slot_table(sources: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     """One row per slot: shard, slot in it, sid, block, and ``cut`` where only the block's first words are taken."""
     chunks = sources.where("slots > 0").withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK).cast("long"))))
-    chunks = chunks.repartition(F.col("sid"), F.col("_chunk"))
+    total = sources.agg(F.coalesce(F.max("slots_total"), F.lit(0))).first()[0]
+    chunks = chunks.repartition(1 + total // TASK_SLOTS, F.col("sid"), F.col("_chunk"))  # few rows now, many after explode
     first = F.col("_chunk") * CHUNK
     s = chunks.withColumn("k", F.explode(F.sequence(first, F.least(first + CHUNK, F.col("slots")) - 1)))
     s = s.withColumn("cut", F.when(F.col("k") == F.col("slots") - 1, F.col("cut")))
@@ -136,7 +138,7 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     base = F.col("block") * L
     lo, hi = F.greatest(F.col("start") - base, F.lit(0)), F.least(F.col("end") - base, L)
     part = F.greatest(F.least(hi, F.coalesce("_cut", F.lit(0))) - lo, F.lit(0))
-    cells = cells.join(takes, ["sid", "block"], "left").withColumn("_taken", F.coalesce(F.col("_times"), F.lit(0)) * (hi - lo) + part)
+    cells = cells.join(takes.hint("merge"), ["sid", "block"], "left").withColumn("_taken", F.coalesce(F.col("_times"), F.lit(0)) * (hi - lo) + part)
     documents = cells.groupBy("doc_id", "source", "size", "source_size", "target", "start").agg(F.sum("_taken").alias("taken"), F.count(F.lit(1)).alias("_cells"))
     # Empty rows share a start with others; each of them is a cell of its own there.
     documents = documents.withColumn("_copy", F.explode(F.when(F.col("size") == 0, F.sequence(F.lit(1).cast("long"), F.col("_cells"))).otherwise(F.array(F.lit(1).cast("long")))))

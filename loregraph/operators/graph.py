@@ -32,15 +32,12 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
 def upsert_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Merge (node_id, node_type, label, attrs) by id: attributes of later rows (seq) win, a missing label becomes the id."""
     rows = old.unionByName(new)
-    fold = F.aggregate(F.array_sort(F.collect_list(F.struct("seq", "attrs"))), F.create_map().cast("map<string,string>"), lambda m, x: _merge(m, x["attrs"]))
-    out = rows.groupBy("node_id").agg(F.max_by("node_type", "seq").alias("node_type"), F.max_by("label", "seq").alias("label"), fold.alias("attrs"))
+    each = rows.select("node_id", "seq", F.explode("attrs").alias("key", "value")).groupBy("node_id", "key").agg(F.max_by("value", "seq").alias("value"))
+    attrs = each.groupBy("node_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("attrs"))
+    out = rows.groupBy("node_id").agg(F.max_by("node_type", "seq").alias("node_type"), F.max_by("label", "seq").alias("label")).join(attrs, "node_id", "left")
     return out.withColumn("label", F.coalesce(F.nullif("label", F.lit("")), F.col("node_id")))
 
 
-def _merge(old: Column, new: Column) -> Column:
-    return F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new)
-
-
 def upsert_edges(old: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges by (source, relation, target), later ones (seq) winning; both ends must exist."""
     ids = nodes.select("node_id").distinct()

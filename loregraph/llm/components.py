@@ -12,13 +12,13 @@ def _hash(edges: DataFrame):
     return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
     """Link the larger (large) or the smaller neighbours of each node, and itself, to the smallest of all of them."""
     e = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = materialize(e.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+    low = materialize(e.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), rows)
     e = e.join(low, "u")
     linked = e.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if large else e.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-    return materialize(linked.where("u <> v").distinct())
+    return materialize(linked.where("u <> v").distinct(), rows)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -28,7 +28,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not seen[0]:
             break
-        edges = _star(_star(edges, large=True), large=False)
+        edges = _star(_star(edges, True, seen[0]), False, seen[0])
         now = _hash(edges)
         if now == seen:
             break

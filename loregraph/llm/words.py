@@ -129,7 +129,7 @@ def windows(hashes: np.ndarray, bounds: np.ndarray, k: int, seed: int) -> tuple[
     """(hash of each run of k words at its first word, whether the run stays within its row)."""
     n = len(hashes)
     out = np.zeros(n, U64)
-    for j, c in enumerate(odd_constants(k, seed)):
+    for j, c in enumerate(odd_constants(k, seed)[:n]):
         out[: n - j] += hashes[j:] * c
     ok = np.zeros(n, bool)
     left = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(n)

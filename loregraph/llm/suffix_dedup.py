@@ -105,12 +105,12 @@ def _suffixes(gram: int, width: int, span: int):
 
 
 def compare(rows: pa.Table, span: int, gram: int, neighbours: int) -> pa.Table:
-    """Matches of ``span`` words or more between sorted suffixes at most ``neighbours`` apart: k1, k2, start, size."""
+    """What matches of ``span`` words or more with suffixes at most ``neighbours`` apart cover: k1, k2, start, size by suffix."""
     n, back = rows.num_rows, span - gram
     anchor, k1, k2, pos, before, after = (rows[c].to_numpy() for c in ("anchor", "k1", "k2", "pos", "before", "after"))
     block = lambda c, w: np.frombuffer(b"".join(rows[c].to_pylist()), ">u4").reshape(n, w)
     right, left = block("right", span), block("left", back)
-    out = []
+    far_left, far_right = np.full(n, -1), np.zeros(n, np.int64)
     for d in range(1, min(neighbours, n - 1) + 1):
         a = np.flatnonzero(anchor[d:] == anchor[:-d])
         b = a + d
@@ -120,9 +120,12 @@ def compare(rows: pa.Table, span: int, gram: int, neighbours: int) -> pa.Table:
         same = (k1[a] == k1[b]) & (k2[a] == k2[b]) & (pos[a] == pos[b])
         good = (r >= gram) & (l + r >= span) & ~same
         for x in (a[good], b[good]):
-            out.append((k1[x], k2[x], pos[x] - l[good], (l + r)[good]))
-    cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 4
-    return pa.table([pa.array(cols[0]), pa.array(cols[1]), *(pa.array(c.astype(np.int32)) for c in cols[2:])], ["k1", "k2", "start", "size"])
+            # All matches of a suffix hold its position, so together they cover one stretch.
+            far_left[x] = np.maximum(far_left[x], l[good])
+            far_right[x] = np.maximum(far_right[x], r[good])
+    x = np.flatnonzero(far_left >= 0)
+    start, size = pos[x] - far_left[x], far_left[x] + far_right[x]
+    return pa.table([pa.array(k1[x]), pa.array(k2[x]), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], ["k1", "k2", "start", "size"])
 
 
 MATCH = ["k1", "k2", "start", "size"]

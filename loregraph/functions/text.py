@@ -100,7 +100,7 @@ def frontmatter(c: Column) -> Column:
 
     def pair(p: Column) -> Column:
         key, value = strip(F.substring_index(p, ":", 1)), strip(p.substr(F.instr(p, ":") + 1, F.length(p)))
-        return F.struct(key.alias("key"), F.regexp_replace(value, r"^[\"'](.*)[\"']$", "$1").alias("value"))
+        return F.named_struct(F.lit("key"), key, F.lit("value"), F.regexp_replace(value, r"^[\"'](.*)[\"']$", "$1"))
 
     pairs = F.transform(lines, pair)
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q["key"] == p["key"]))

@@ -8,10 +8,9 @@ from loregraph.operators import graph as G
 from loregraph.operators import losses as L
 from loregraph.operators.chunking import tag_entities
 from loregraph.plans import views as V
-from loregraph.plans.views import sql
+from loregraph.plans.views import n_rows, sql
 
 QUERIES, SQL = {}, {}
-N = F.count(F.lit(1)).alias("n")
 
 
 def query(name: str, oracle: str | None = None):
@@ -33,14 +32,14 @@ def a1(spark, d):
 
 @query("a3_edge_stats", sql("edges", "SELECT relation, count(*) AS n FROM edges GROUP BY 1"))
 def a3(spark, d):
-    return V.edges(spark, d).groupBy("relation").agg(N)
+    return V.edges(spark, d).groupBy("relation").agg(n_rows())
 
 
 @query("a4_node_counts", sql("nodes", "SELECT node_type, count(*) AS n, count(*) FILTER (node_id NOT IN (SELECT source FROM edges) AND node_id NOT IN (SELECT target FROM edges)) AS isolated FROM nodes GROUP BY 1"))
 def a4(spark, d):
     e = V.edges(spark, d)
     ends = e.select(F.col("source").alias("node_id")).union(e.select("target")).distinct().withColumn("_in", F.lit(True))
-    return V.nodes(spark, d).join(ends, "node_id", "left").groupBy("node_type").agg(N, F.count_if(F.col("_in").isNull()).alias("isolated"))
+    return V.nodes(spark, d).join(ends, "node_id", "left").groupBy("node_type").agg(n_rows(), F.count_if(F.col("_in").isNull()).alias("isolated"))
 
 
 @query("gr5_rule_edges", sql("rule_edges", "SELECT source, relation, target FROM rule_edges"))
@@ -55,7 +54,7 @@ def gr6(spark, d):
 
 @query("gr7_factory_equipment", "SELECT factory, count(*) AS n, string_agg(equipment, ',' ORDER BY equipment) AS equipment FROM (" + V.CTES["equipment"] + ") GROUP BY 1")
 def gr7(spark, d):
-    return V.factory_equipment(spark, d).groupBy("factory").agg(N, F.array_join(F.array_sort(F.collect_list("equipment")), ",").alias("equipment"))
+    return V.factory_equipment(spark, d).groupBy("factory").agg(n_rows(), F.array_join(F.array_sort(F.collect_list("equipment")), ",").alias("equipment"))
 
 
 @query("f6_equipment_allowed", sql("equipment", "SELECT s_suppkey, e AS node_id FROM supplier JOIN nation ON s_nationkey=n_nationkey, (SELECT unnest(['equip_a','equip_b','mech_a']) AS e) WHERE NOT starts_with(e,'equip_') OR EXISTS (SELECT 1 FROM equipment q WHERE q.factory=n_name AND q.equipment=e)"))
@@ -70,7 +69,7 @@ def f6(spark, d):
 
 @query("f5_retrieval_nodes", sql("nodes", "SELECT node_type, count(*) AS n FROM nodes WHERE regexp_matches(node_id,'^(lossform_|mech_|process_|equip_|mineral_|reagent_)') GROUP BY 1"))
 def f5(spark, d):
-    return V.nodes(spark, d).where(G.has_prefix(F.col("node_id"))).groupBy("node_type").agg(N)
+    return V.nodes(spark, d).where(G.has_prefix(F.col("node_id"))).groupBy("node_type").agg(n_rows())
 
 
 def starts(spark, d):
@@ -281,7 +280,7 @@ def pw2(spark, d):
 
 @query("a7_entity_frequency", sql("tags", "SELECT node_id, count(*) AS n FROM tags GROUP BY 1"))
 def a7(spark, d):
-    return V.tags(spark, d).groupBy("node_id").agg(N)
+    return V.tags(spark, d).groupBy("node_id").agg(n_rows())
 
 
 TOPIC = dict(
@@ -317,7 +316,7 @@ def hypotheses(spark, d):
 @query("pw6_supports", sql("tags", "SELECT chunk_id, hypothesis_id, count(*) AS shared FROM rare JOIN hyp USING (node_id) GROUP BY 1,2 HAVING count(*)>=1", hyp=HYP, rare=TOPIC["rare"]))
 def pw6(spark, d):
     t = V.tags(spark, d)
-    rare = t.join(t.groupBy("node_id").agg(N).where("n <= 350"), "node_id", "left_semi")
+    rare = t.join(t.groupBy("node_id").agg(n_rows()).where("n <= 350"), "node_id", "left_semi")
     return G.supports(rare, hypotheses(spark, d))
 
 

@@ -9,10 +9,9 @@ from loregraph.functions import text as X
 from loregraph.operators import chunking as CH
 from loregraph.operators import retrieval as R
 from loregraph.plans import views as V
-from loregraph.plans.views import TOKENS_SQL, sql
+from loregraph.plans.views import TOKENS_SQL, n_rows, sql
 
 QUERIES, SQL = {}, {}
-N = F.count(F.lit(1)).alias("n")
 K = 60
 
 
@@ -71,7 +70,7 @@ def rt4(spark, d):
 
 @query("w5_channel_ranks", sql("query_tokens dfreq tf chunk_len stats", "SELECT query_id, max(rank) AS ranks, count(*) AS n FROM bm_top GROUP BY 1", **BM_PARTS))
 def w5(spark, d):
-    return bm25(spark, d).groupBy("query_id").agg(F.max("rank").alias("ranks"), N)
+    return bm25(spark, d).groupBy("query_id").agg(F.max("rank").alias("ranks"), n_rows())
 
 
 @query("rt1_tfidf", sql("query_tokens dfreq tf stats", "SELECT chunk_id, count(*) AS n, round(sum(w),4) AS total, round(max(w),4) AS most FROM cv GROUP BY 1", **TI_PARTS))
@@ -79,7 +78,7 @@ def rt1(spark, d):
     c = chunks(spark, d)
     voc = R.tfidf_vocabulary(R.term_frequencies(c), R.corpus_stats(c))
     v = R.tfidf_vectors(c, voc, "chunk_id")
-    return v.groupBy("chunk_id").agg(N, F.round(F.sum("weight"), 4).alias("total"), F.round(F.max("weight"), 4).alias("most"))
+    return v.groupBy("chunk_id").agg(n_rows(), F.round(F.sum("weight"), 4).alias("total"), F.round(F.max("weight"), 4).alias("most"))
 
 
 @query("rt2_hash_vectors", sql("chunk_tokens", "SELECT chunk_id, bucket, round(c/sqrt(sum(c*c) OVER (PARTITION BY chunk_id)),4) AS weight FROM (SELECT chunk_id, ('0x'||right(md5(term),2))::INT AS bucket, count(*)::DOUBLE AS c FROM chunk_tokens GROUP BY 1,2)"))
@@ -133,7 +132,7 @@ def a9(spark, d):
 
 @query("a10_channel_label", sql(HY_NEEDS, "SELECT channels, count(*) AS n FROM rrf GROUP BY 1", **HY))
 def a10(spark, d):
-    return R.weighted_rrf(rankings(spark, d)).groupBy("channels").agg(N)
+    return R.weighted_rrf(rankings(spark, d)).groupBy("channels").agg(n_rows())
 
 
 def candidates(spark, d, k=32):

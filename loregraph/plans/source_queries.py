@@ -9,12 +9,11 @@ from loregraph.functions import text as X
 from loregraph.operators import graph as G
 from loregraph.plans import views as V
 from loregraph.plans.text_queries import STRIP, marked
-from loregraph.plans.views import sql
+from loregraph.plans.views import n_rows, sql
 from loregraph.sources import documents as S
 from loregraph.streaming import ingest as I
 
 QUERIES, SQL = {}, {}
-N = F.count(F.lit(1)).alias("n")
 
 
 def query(name: str, oracle: str | None = None):
@@ -77,7 +76,7 @@ def x30(spark, d):
 @query("sk1_bulk_load", "SELECT event_type AS relation, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, event_id%7 AS k FROM events) GROUP BY 1")
 def sk1(spark, d):
     e = V.table(spark, d, "events").select(F.col("user_id").cast("string").alias("source"), F.col("event_type").alias("relation"), (F.col("event_id") % 7).cast("string").alias("target"))
-    return G.distinct_edges(e).groupBy("relation").agg(N)
+    return G.distinct_edges(e).groupBy("relation").agg(n_rows())
 
 
 @query("sk5_frontmatter_export", "SELECT doc_id, md5('---'||chr(10)||'lang: \"'||lang||'\"'||chr(10)||'source: \"'||source||'\"'||chr(10)||'---'||chr(10)||text) AS digest FROM documents")
@@ -119,7 +118,7 @@ for _name, _mode, _where in (("f1_factory_lenient", "lenient", "factory IS NULL
 
 @query("f4_external", sql("paragraphs", "SELECT chunk_type, count(*) AS n FROM typed WHERE external GROUP BY 1", typed=TYPED))
 def f4(spark, d):
-    return typed_chunks(spark, d).where("external").groupBy("chunk_type").agg(N)
+    return typed_chunks(spark, d).where("external").groupBy("chunk_type").agg(n_rows())
 
 
 CONSTRAINT = "(chunk_type='constraint_budget' AND budget_tier='medium') OR (chunk_type='constraint_example' AND budget_tier='medium') OR (chunk_type='constraint_regulation' AND (factory IS NULL OR factory='f2'))"
@@ -138,7 +137,7 @@ def rt11(spark, d):
 
 @query("a21_load_stats", sql("paragraphs", "SELECT chunk_type, count(*) AS n, count(factory) AS linked FROM typed GROUP BY 1", typed=TYPED))
 def a21(spark, d):
-    return typed_chunks(spark, d).groupBy("chunk_type").agg(N, F.count("factory").alias("linked"))
+    return typed_chunks(spark, d).groupBy("chunk_type").agg(n_rows(), F.count("factory").alias("linked"))
 
 
 @query("a20_batch_summary", "SELECT source, count(*) AS total, count(*) FILTER (length(text)>500) AS succeeded, count(*) FILTER (length(text)<=500) AS failed FROM documents GROUP BY 1")
@@ -184,12 +183,12 @@ MSG = "SELECT user_id AS key, ts, event_id AS seq, CASE WHEN event_id%9=0 THEN '
 
 @query("st1_envelopes", sql("", "SELECT type, count(*) AS n FROM msg GROUP BY 1", msg=MSG))
 def st1(spark, d):
-    return I.envelopes(messages(spark, d)).groupBy("type").agg(N)
+    return I.envelopes(messages(spark, d)).groupBy("type").agg(n_rows())
 
 
 @query("st2_dispatch", sql("", "SELECT CASE WHEN type='unknown' THEN 'dead_letter' ELSE type END AS route, count(*) AS n FROM msg GROUP BY 1", msg=MSG))
 def st2(spark, d):
-    return I.dispatch(I.envelopes(messages(spark, d))).groupBy("route").agg(N)
+    return I.dispatch(I.envelopes(messages(spark, d))).groupBy("route").agg(n_rows())
 
 
 @query("st3_chunk_upserts", sql("", "SELECT key, payload, seq FROM msg WHERE type='chunk.upsert' QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, seq DESC)=1", msg=MSG))

@@ -8,10 +8,9 @@ from pyspark.sql.window import Window
 from loregraph.functions import text as X
 from loregraph.operators import chunking as CH
 from loregraph.plans import views as V
-from loregraph.plans.views import TOKENS_SQL, sql
+from loregraph.plans.views import TOKENS_SQL, n_rows, sql
 
 QUERIES, SQL = {}, {}
-COUNT = F.count(F.lit(1)).alias("n")
 
 
 def query(name: str, oracle: str | None = None):
@@ -67,7 +66,7 @@ def x8(spark, d):
 @query("x9_blocks", "SELECT doc_id, count(*) AS n, sum(length(b)) AS chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) t(doc_id, l), LATERAL (SELECT " + STRIP.format("l") + " AS b) WHERE b<>'' GROUP BY 1")
 def x9(spark, d):
     b = V.table(spark, d, "documents").select("doc_id", F.explode(X.split_blocks(F.col("text"))).alias("b"))
-    return b.groupBy("doc_id").agg(COUNT, F.sum(F.length("b")).alias("chars"))
+    return b.groupBy("doc_id").agg(n_rows(), F.sum(F.length("b")).alias("chars"))
 
 
 @query("x10_spaced_letters")
@@ -78,12 +77,12 @@ def x10(spark, d):
 
 @query("f9_noise", sql("paragraphs", f"SELECT lang, count(*) FILTER (length({STRIP.format('text')})<8 OR starts_with({STRIP.format('text')},'![') OR NOT regexp_matches(text,'[\\p{{L}}_]')) AS noise, count(*) AS n FROM paragraphs GROUP BY 1"))
 def f9(spark, d):
-    return V.paragraphs(spark, d).groupBy("lang").agg(F.count_if(X.is_noise(F.col("text"))).alias("noise"), COUNT)
+    return V.paragraphs(spark, d).groupBy("lang").agg(F.count_if(X.is_noise(F.col("text"))).alias("noise"), n_rows())
 
 
 @query("f10_reextract")
 def f10(spark, d):
-    return V.paragraphs(spark, d).groupBy("lang").agg(F.count_if(X.needs_reextraction(F.col("text"))).alias("bad"), COUNT)
+    return V.paragraphs(spark, d).groupBy("lang").agg(F.count_if(X.needs_reextraction(F.col("text"))).alias("bad"), n_rows())
 
 
 @query("f13_valid_url", "SELECT page_id, regexp_matches(url,'^https?://[^/?#]+') AS valid FROM pages")
@@ -173,7 +172,7 @@ def x24(spark, d):
     s = V.table(spark, d, "supplier").join(V.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     whole = F.when(F.col("s_acctbal") == F.floor("s_acctbal"), F.col("s_acctbal").cast("long").cast("string")).otherwise("")
     s = s.select(F.col("n_name").alias("factory"), F.concat(F.lit("| "), "s_suppkey", F.lit(" | "), whole, F.lit(" |")).alias("l"))
-    return s.groupBy("factory").agg(COUNT, F.md5(F.array_join(F.array_sort(F.collect_list("l")), "\n")).alias("digest"))
+    return s.groupBy("factory").agg(n_rows(), F.md5(F.array_join(F.array_sort(F.collect_list("l")), "\n")).alias("digest"))
 
 
 @query("j3_lexicon_tags", sql("tags", "SELECT chunk_id, node_id FROM tags"))

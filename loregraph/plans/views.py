@@ -48,6 +48,10 @@ FROM {lineitem} JOIN {part} ON l_partkey=p_partkey JOIN {supplier} ON l_suppkey=
 GROUP BY 1,2,3,4"""
 
 
+def n_rows():
+    return F.count(F.lit(1)).alias("n")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

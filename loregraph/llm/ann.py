@@ -34,6 +34,7 @@ MIN_PROBES = 12
 BLOCK = 4096
 COLUMNS = 16
 EPSILON = 2.1
+DENSE = 0.05
 
 
 @dataclass
@@ -89,16 +90,21 @@ def scan(index: Index, queries: np.ndarray, cands: np.ndarray, k: int) -> tuple[
     if n > k:
         first = _distances(q, x[: max(4 * k, 64)])
         limit = np.partition(first, k - 1, axis=1)[:, k - 1] * (1 + 1e-9)
-    partial = _distances(q[:, :COLUMNS], x[:, :COLUMNS])
-    done = min(COLUMNS, d)
-    i, j = np.nonzero(partial * (d / done) <= limit[:, None] * (1 + EPSILON / np.sqrt(done)) ** 2)
+    bound = lambda done: 1 + 1e-9 if done >= d else (1 + EPSILON / np.sqrt(done)) ** 2 * done / d
+    partial, done, alive = np.zeros((nq, n)), 0, 1.0
+    while done < d and alive > DENSE:  # while many pairs live, a block is one matrix product
+        upto = min(done + COLUMNS, d)
+        partial += _distances(q[:, done:upto], x[:, done:upto])
+        done = upto
+        live = partial <= (limit * bound(done))[:, None]
+        alive = live.mean()
+    i, j = np.nonzero(live)
     sums = partial[i, j]
-    while done < d:
+    while done < d:  # then only the pairs that live are summed on
         upto = min(done + COLUMNS, d)
         sums = sums + ((x[j, done:upto] - q[i, done:upto]) ** 2).sum(axis=1)
         done = upto
-        relax = (1 + EPSILON / np.sqrt(done)) ** 2 if done < d else 1 + 1e-9
-        keep = sums * (d / done) <= limit[i] * relax
+        keep = sums <= limit[i] * bound(done)
         i, j, sums = i[keep], j[keep], sums[keep]
     order = np.lexsort((j, sums, i))
     i, j = i[order], j[order]

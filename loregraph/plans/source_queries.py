@@ -172,13 +172,13 @@ def j6(spark, d):
 
 def messages(spark, d):
     """Events as JSON messages; every ninth has the legacy shape."""
-    types = F.create_map(*[F.lit(x) for pair in (("purchase", "chunk.upsert"), ("signup", "graph.triplet"), ("view", "graphrag.query"), ("click", "chunk.get")) for x in pair])
+    types = F.create_map(*[F.lit(x) for pair in (("purchase", "chunk.upsert"), ("signup", "graph.triplet"), ("view", I.QUERY), ("click", "chunk.get")) for x in pair])
     kind = F.coalesce(types[F.col("event_type")], F.lit("unknown"))
     value = F.when(F.col("event_id") % 9 == 0, F.to_json(F.struct(F.col("props").alias("query"), F.lit(5).alias("top_k")))).otherwise(F.to_json(F.struct(kind.alias("type"), F.col("props").alias("payload"))))
     return V.table(spark, d, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("seq"), value.alias("value"))
 
 
-MSG = "SELECT user_id AS key, ts, event_id AS seq, CASE WHEN event_id%9=0 THEN 'graphrag.query' ELSE CASE event_type WHEN 'purchase' THEN 'chunk.upsert' WHEN 'signup' THEN 'graph.triplet' WHEN 'view' THEN 'graphrag.query' WHEN 'click' THEN 'chunk.get' ELSE 'unknown' END END AS type, props AS payload FROM events"
+MSG = f"SELECT user_id AS key, ts, event_id AS seq, CASE WHEN event_id%9=0 THEN '{I.QUERY}' ELSE CASE event_type WHEN 'purchase' THEN 'chunk.upsert' WHEN 'signup' THEN 'graph.triplet' WHEN 'view' THEN '{I.QUERY}' WHEN 'click' THEN 'chunk.get' ELSE 'unknown' END END AS type, props AS payload FROM events"
 
 
 @query("st1_envelopes", sql("", "SELECT type, count(*) AS n FROM msg GROUP BY 1", msg=MSG))

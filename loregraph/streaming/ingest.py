@@ -9,13 +9,14 @@ from pyspark.sql.window import Window
 
 # Message types that have a handler.
 TYPES = ("chunk.upsert", "graph.triplet", "graph_rag.query", "graphrag.query", "nl_cypher.ask", "external.ingest", "ingest.markdown", "ingest.bootstrap", "chunk.get")
+QUERY = TYPES[3]
 
 
 def envelopes(raw: DataFrame, value: str = "value") -> DataFrame:
-    """type and payload of JSON messages; the legacy shape {query, top_k} is a graphrag.query. Other columns stay."""
+    """type and payload of JSON messages; the legacy shape {query, top_k} is a query. Other columns stay."""
     m = raw.withColumn("_m", F.from_json(value, "type string, payload string, query string, top_k int"))
     legacy = F.to_json(F.struct(F.col("_m.query").alias("question"), F.col("_m.top_k").alias("top_k")))
-    out = m.withColumn("type", F.coalesce("_m.type", F.when(F.col("_m.query").isNotNull(), "graphrag.query")))
+    out = m.withColumn("type", F.coalesce("_m.type", F.when(F.col("_m.query").isNotNull(), QUERY)))
     return out.withColumn("payload", F.coalesce("_m.payload", F.when(F.col("_m.query").isNotNull(), legacy))).drop("_m")
 
 

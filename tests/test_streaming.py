@@ -26,4 +26,4 @@ def test_stream_equals_batch(spark):
 def test_bad_and_legacy_messages(spark):
     rows = [('{"type": "chunk.get", "payload": "p"}',), ('{"query": "q", "top_k": 3}',), ('{"type": "nope"}',), ("not json",)]
     out = I.dispatch(I.envelopes(spark.createDataFrame(rows, "value string"))).select(F.col("route")).collect()
-    assert [r["route"] for r in out] == ["chunk.get", "graphrag.query", "dead_letter", "dead_letter"]
+    assert [r["route"] for r in out] == ["chunk.get", I.QUERY, "dead_letter", "dead_letter"]

@@ -9,7 +9,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loregraph.llm.store import materialize
+from loregraph.llm.store import bounded_batches, materialize
 
 
 def text_key(text: Column) -> tuple[Column, Column]:
@@ -20,6 +20,7 @@ def text_key(text: Column) -> tuple[Column, Column]:
 
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text (null: empty) and the class key k1, k2."""
+    bounded_batches(docs.sparkSession)
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     k1, k2 = text_key(F.col("text"))
     return d.withColumns({"k1": k1, "k2": k2})

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loregraph.llm.store import bounded_batches
 from loregraph.llm.words import ALNUM, U64, Segment, mix, odd_constants, segments
 
 MASKS = ("110110101111", "111010011011", "101101110111", "111101101101")
@@ -139,6 +140,7 @@ def item_blocks(items: DataFrame, item_id: str, text: str) -> Iterator[pd.DataFr
 
 def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, doc_start, item_start, n_tokens and n_matches of each overlap, positions in tokens."""
+    bounded_batches(docs.sparkSession)
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind, item_kind = d.schema["doc_id"].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     names = ["doc_id", "item_id", "doc_start", "item_start", "n_tokens", "n_matches"]
@@ -161,6 +163,7 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` that overlap no item, with all their columns."""
+    bounded_batches(docs.sparkSession)
     for block in item_blocks(items, item_id, item_text):
         table = docs.sparkSession.sparkContext.broadcast(seed_table(block))
 

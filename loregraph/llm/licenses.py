@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loregraph.llm.words import ALNUM, U64, Segment, odd_constants, mix, segments
+from loregraph.llm.store import bounded_batches
+from loregraph.llm.words import ALNUM, U64, Segment, mix, odd_constants, segments
 
 UNKNOWN_DOCS, UNKNOWN_SAMPLE = 200, 4000
 MIN_PROBABILITY, MIN_SIMILARITY = 0.6, 0.6
@@ -204,6 +205,7 @@ def _scan(shared):
 
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, paragraph (line number from 0), family, probability and similarity of each licence notice found."""
+    bounded_batches(docs.sparkSession)
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     few = d.where("text is not null").orderBy(F.xxhash64("doc_id", F.lit(4)), "text").limit(UNKNOWN_DOCS)
     lines = few.select(F.explode(F.split("text", "\n")).alias("line")).where("trim(line) <> '' and not lower(line) rlike 'licen|copyright|spdx|permission|rights'")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loregraph.llm.store import materialize
+from loregraph.llm.store import bounded_batches, materialize
 from loregraph.llm.words import Segment, segments, windows
 
 FEATURES = ("words", "word_bytes", "word_spread", "distinct", "top_share", "repeats", "alphabetic", "digits", "symbols", "points", "capitals", "sentence_ends", "lines", "word_entropy", "long_words", "grams")
@@ -116,6 +116,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def text_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and the vector ``x`` of FEATURES of each row."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_statistics, f"doc_id {kind}, x array<double>")
 

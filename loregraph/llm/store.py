@@ -12,6 +12,12 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of texts to a few MB, so that a Python worker's memory follows these and not 10,000 texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
+
+
 ROWS_PER_TASK = 200_000
 
 

@@ -60,6 +60,7 @@ class SeedTable:
         """(row, item, start in the text, start in the item, tokens, matches) of a segment's texts."""
         h = s.hashes(lower=True)
         left = np.repeat(s.bounds[1:], s.counts()) - np.arange(len(h))
+        row_of = s.row_of_word()
         found = set()
         for k, (offsets, span) in enumerate(self.shapes):
             own = _seed_hashes(h, offsets, k)
@@ -69,22 +70,19 @@ class SeedTable:
             hi = np.searchsorted(self.hashes[k], own[at], side="right")
             for p, a, b in zip(at[hi > lo], lo[hi > lo], hi[hi > lo], strict=True):
                 for x in range(a, b):
-                    found.add((int(self.owners[k][x]), int(p) - int(self.starts[k][x])))
+                    found.add((int(self.owners[k][x]), int(p) - int(self.starts[k][x]), int(row_of[p])))
         best: dict = {}
-        for item, diagonal in found:
+        for item, diagonal, row in found:
             own = self.tokens[item]
-            for row in {int(np.searchsorted(s.bounds, np.clip(p, 0, len(h) - 1), side="right")) - 1 for p in (diagonal, diagonal + len(own) - 1, diagonal + len(own) // 2)}:
-                first, last = s.bounds[row], s.bounds[row + 1]
-                a, b = max(diagonal, first), min(diagonal + len(own), last)
-                if b <= a:
-                    continue
-                same = h[a:b] == own[a - diagonal : b - diagonal]
-                start, n, matches = best_stretch(same)
-                enough = min(MIN_TOKENS, (len(own) + 1) // 2) if len(own) >= 16 else min(MIN_TOKENS, len(own))
-                if matches >= enough and matches >= IDENTITY * n:
-                    new = (matches, -n, a - first + start, a - diagonal + start)
-                    if (row, item) not in best or new > best[row, item]:
-                        best[row, item] = new
+            first, last = s.bounds[row], s.bounds[row + 1]
+            a, b = max(diagonal, first), min(diagonal + len(own), last)
+            same = h[a:b] == own[a - diagonal : b - diagonal]
+            start, n, matches = best_stretch(same)
+            enough = min(MIN_TOKENS, (len(own) + 1) // 2) if len(own) >= 16 else min(MIN_TOKENS, len(own))
+            if matches >= enough and matches >= IDENTITY * n:
+                new = (matches, -n, a - first + start, a - diagonal + start)
+                if (row, item) not in best or new > best[row, item]:
+                    best[row, item] = new
         return [(row, self.items[item], int(p), int(q), -n, m) for (row, item), (m, n, p, q) in sorted(best.items())]
 
 

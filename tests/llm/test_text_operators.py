@@ -93,6 +93,16 @@ def test_decontamination_finds_substituted_passages(spark, docs):
     assert {9006, 9007} <= short
 
 
+def test_decontamination_finds_inner_parts_in_many_short_documents(spark):
+    item = [f"item{i}" for i in range(59)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    parts = [(100 * size + start, start, size) for size in (12, 16, 20) for start in range(59 - size + 1)]
+    docs = spark.createDataFrame([(i, " ".join(item[start : start + size])) for i, start, size in parts], "doc_id long, text string").coalesce(1)
+    got = {(r["doc_id"], r["doc_start"], r["item_start"], r["n_matches"]) for r in overlaps(docs, bench).collect()}
+    assert got == {(i, 0, start, size) for i, start, size in parts}
+    assert decontaminate(docs, bench).isEmpty()
+
+
 def test_decontamination_finds_verbatim_items(spark, docs, rows):
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     want = {(i, b["item_id"]) for i, t, _ in rows for b in bench.collect() if t and b["text"] in t}

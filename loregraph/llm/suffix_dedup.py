@@ -4,8 +4,10 @@ Suffixes are kept only at minimisers: the positions that hold the smallest hash
 positions. A passage of WIDTH + GRAM - 1 words has one, so each repeat of ``min_words`` has. Only suffixes whose first
 GRAM words occur elsewhere are carried on, with the next ``min_words`` words and those before, as 32-bit hashes. They
 are sorted as a suffix array is, over range partitions that split frequent passages too, and each is compared with
-the NEIGHBOURS suffixes before it in that order, also across the borders of partitions. A match is extended right and
-left; it counts if both ways together reach ``min_words``. Longer repeats come out as overlapping matches and are merged.
+the NEIGHBOURS suffixes before it in that order. A match is extended right and left; it counts if both ways together
+reach ``min_words``. Where an anchor has more suffixes than those, or they may lie in two partitions, the best partner
+can stand elsewhere: each window of ``min_words`` around such suffixes is hashed and counts if it has two places. So no
+repeat is lost. Longer repeats come out as overlapping matches and are merged.
 
 Defined results: a null or empty text has no words; a shorter text has no repeats but as part of an equal row: texts of
 at least ``min_words`` words that occur on several rows are repeats as a whole; repeated rows repeat each other; an empty table
@@ -15,20 +17,21 @@ gives no rows. Words are told apart by hashes and matched unchanged.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from loregraph.llm.corpus import classes, keyed, unpack, with_classes
 from loregraph.llm.mixing import word_count
 from loregraph.llm.store import materialize
 from loregraph.llm.substring import OCCURRENCE, repeated_anchors, sliding_min
-from loregraph.llm.words import U64, Segment, mix, segments, windows
+from loregraph.llm.words import U64, Segment, _power_tables, mix, segments, windows
 
 MIN_WORDS, GRAM, WIDTH = 50, 24, 24
 NEIGHBOURS = 8
+REACH = NEIGHBOURS + 1
 PARTITION_ROWS = 50_000
 SUFFIX = ["anchor", "right", "left", "k1", "k2", "pos", "before", "after"]
 SUFFIX_SCHEMA = "anchor long, right binary, left binary, k1 long, k2 long, pos int, before int, after int"
@@ -104,75 +107,92 @@ def _suffixes(gram: int, width: int, span: int):
     return run
 
 
-def compare(rows: pa.Table, span: int, gram: int, neighbours: int) -> pa.Table:
-    """What matches of ``span`` words or more with suffixes at most ``neighbours`` apart cover: k1, k2, start, size by suffix."""
+def compare(rows: pa.Table, span: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Of each suffix: how far its matches with the NEIGHBOURS before and after reach left (-1: none) and right, whether
+    its anchor goes on beyond those, and whether it differs from the suffix before; and the words (left from near to far)."""
     n, back = rows.num_rows, span - gram
     anchor, k1, k2, pos, before, after = (rows[c].to_numpy() for c in ("anchor", "k1", "k2", "pos", "before", "after"))
     block = lambda c, w: np.frombuffer(b"".join(rows[c].to_pylist()), ">u4").reshape(n, w)
     right, left = block("right", span), block("left", back)
     far_left, far_right = np.full(n, -1), np.zeros(n, np.int64)
-    for d in range(1, min(neighbours, n - 1) + 1):
+    new = np.ones(n, bool)
+    for d in range(1, min(NEIGHBOURS, n - 1) + 1):
         a = np.flatnonzero(anchor[d:] == anchor[:-d])
         b = a + d
         differ = lambda x: np.where((x[a] != x[b]).any(axis=1), (x[a] != x[b]).argmax(axis=1), x.shape[1])  # noqa: B023, E731
-        r = np.minimum(differ(right), np.minimum(after[a], after[b]))
-        l = np.minimum(differ(left), np.minimum(before[a], before[b]))  # noqa: E741
+        to_right, to_left = differ(right), differ(left)
+        r = np.minimum(to_right, np.minimum(after[a], after[b]))
+        l = np.minimum(to_left, np.minimum(before[a], before[b]))  # noqa: E741
+        if d == 1:
+            new[b] = (to_right < span) | (to_left < back) | (before[a] != before[b]) | (after[a] != after[b])
         same = (k1[a] == k1[b]) & (k2[a] == k2[b]) & (pos[a] == pos[b])
         good = (r >= gram) & (l + r >= span) & ~same
         for x in (a[good], b[good]):
             # All matches of a suffix hold its position, so together they cover one stretch.
             far_left[x] = np.maximum(far_left[x], l[good])
             far_right[x] = np.maximum(far_right[x], r[good])
-    x = np.flatnonzero(far_left >= 0)
-    start, size = pos[x] - far_left[x], far_left[x] + far_right[x]
-    return pa.table([pa.array(k1[x]), pa.array(k2[x]), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], ["k1", "k2", "start", "size"])
+    beyond = np.zeros(n, bool)
+    a = np.flatnonzero(anchor[REACH:] == anchor[:-REACH])
+    beyond[a] = beyond[a + REACH] = True
+    return far_left, far_right, beyond, new, right, left
 
 
 MATCH = ["k1", "k2", "start", "size"]
-MATCH_SCHEMA = "k1 long, k2 long, start int, size int"
-EDGE_SCHEMA = f"{SUFFIX_SCHEMA}, part int, number int, start int, size int"
+FOUND_SCHEMA = "k1 long, k2 long, start int, size int, window long"
 
 
-def _with_nulls(rows: pa.Table, like: pa.Schema) -> list[pa.RecordBatch]:
-    cols = [rows[f.name].cast(f.type) if f.name in rows.column_names else pa.nulls(rows.num_rows, f.type) for f in like]
-    return pa.Table.from_arrays(cols, schema=like).combine_chunks().to_batches()
+def _found(rows: pa.Table, lo: int, hi: int, border: np.ndarray, span: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """The stretches of rows lo..hi (window null), and the windows around those with partners out of reach (size 0: in the stretch)."""
+    back = span - gram
+    far_left, far_right, beyond, new, right, left = compare(rows, span, gram)
+    k1, k2, pos, before, after = (rows[c].to_numpy() for c in ("k1", "k2", "pos", "before", "after"))
+    inside = np.zeros(rows.num_rows, bool)
+    inside[lo:hi] = True
+    x = np.flatnonzero(inside & (far_left >= 0))
+    start, size = pos[x] - far_left[x], far_left[x] + far_right[x]
+    names = [*MATCH, "window"]
+    yield pa.RecordBatch.from_arrays([pa.array(k1[x]), pa.array(k2[x]), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.nulls(len(x), pa.int64())], names)
+    # Equal suffixes stand side by side and have matched as a whole: one of them stands for all.
+    x = np.flatnonzero(inside & (beyond | border) & new)
+    if not len(x):
+        return
+    words = mix(np.concatenate([left[x][:, ::-1], right[x]], axis=1).astype(U64) + U64(1))
+    up, down = _power_tables(words.shape[1])
+    sums = np.zeros((len(x), words.shape[1] + 1), U64)
+    np.cumsum(words * up[: words.shape[1]], axis=1, out=sums[:, 1:])
+    offset = np.arange(back + 1)
+    window = mix((sums[:, span:] - sums[:, : back + 1]) * down[: back + 1])
+    ahead = back - offset  # words of the window before the suffix
+    whole = (ahead <= before[x, None]) & (span - ahead <= after[x, None])
+    covered = (ahead <= far_left[x, None]) & (span - ahead <= far_right[x, None])
+    row, at = np.nonzero(whole)
+    start, size = pos[x[row]] - ahead[at], np.where(covered[row, at], 0, span)
+    cols = [k1[x[row]], k2[x[row]], start.astype(np.int32), size.astype(np.int32), window[row, at].view(np.int64)]
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
 
 def _neighbours(span: int, gram: int):
-    """Sorted rows of a partition -> matches (start and size set), and the first and last rows (part and number set)."""
+    """Sorted rows of a partition -> stretches and windows. Rows at its ends may have partners in others, so those give windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        part, number, like = TaskContext.get().partitionId(), 0, None
-        for batch in batches:
-            if not batch.num_rows:
+        held, done, number = None, 0, 0  # rows held, how many of them are through, number of the first in the partition
+        for batch in chain(batches, [None]):
+            if batch is not None and not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch])
-            if like is None:
-                ints = ("part", "number", "start", "size")
-                like = pa.schema([pa.field(f.name, f.type) for f in batch.schema] + [pa.field(c, pa.int32()) for c in ints])
-            if number < NEIGHBOURS:
-                yield from _with_nulls(_numbered(table.slice(0, NEIGHBOURS - number), part, number), like)
-                number += min(batch.num_rows, NEIGHBOURS - number)
-            both = table if held is None else pa.concat_tables([held, table])
-            yield from _with_nulls(compare(both, span, gram, NEIGHBOURS), like)
-            held = both.slice(max(0, both.num_rows - NEIGHBOURS))
-        if held is not None:
-            yield from _with_nulls(_numbered(held, part, 1 << 20), like)
-
-    return run
-
-
-def _numbered(rows: pa.Table, part: int, start: int) -> pa.Table:
-    return rows.append_column("part", pa.array(np.full(rows.num_rows, part, np.int32))).append_column("number", pa.array(np.arange(start, start + rows.num_rows, dtype=np.int32)))
-
-
-def _across(span: int, gram: int):
-    """Matches across the borders of partitions, from their first and last rows."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([(c, "ascending") for c in ("part", "number")])
-        return compare(rows, span, gram, 2 * NEIGHBOURS)
+            parts = [t for t in (held, batch and pa.Table.from_batches([batch])) if t is not None]
+            if not parts:
+                return
+            table = pa.concat_tables(parts)
+            n = table.num_rows
+            stop = n if batch is None else max(done, n - REACH)
+            if stop > done:
+                at = np.arange(n)
+                border = number + at < REACH
+                if batch is None:
+                    border |= at >= n - REACH
+                yield from _found(table, done, stop, border, span, gram)
+            first = max(0, stop - REACH)
+            held, done, number = table.slice(first), stop - first, number + first
 
     return run
 
@@ -207,9 +227,10 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str =
     order = ["anchor", "right", "left", "k1", "k2", "pos"]
     n = touched.agg(F.coalesce(F.sum(F.size("anchors")), F.lit(0))).first()[0]
     ordered = suffixes.repartitionByRange(int(2 + n // PARTITION_ROWS), *order).sortWithinPartitions(*order)
-    compared = materialize(ordered.mapInArrow(_neighbours(min_words, GRAM), EDGE_SCHEMA))
-    edges = compared.where("part is not null").select(*SUFFIX, "part", "number")
-    matches = compared.where("part is null").select(MATCH).union(edges.groupBy().applyInArrow(_across(min_words, GRAM), MATCH_SCHEMA))
+    compared = materialize(ordered.mapInArrow(_neighbours(min_words, GRAM), FOUND_SCHEMA))
+    listed, place = compared.where("window is not null"), F.xxhash64("k1", "start")
+    again = listed.groupBy("window").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("window")
+    matches = compared.where("window is null").select(MATCH).union(listed.where("size > 0").join(again, "window", "left_semi").select(MATCH))
     spans = matches.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "size")).alias("found"))
     spans = spans.mapInArrow(_merge, "k1 long, k2 long, spans array<struct<start: int, size: int>>, repeated long")
     out = with_classes(rows, reps.select("k1", "k2", "copies").join(spans, ["k1", "k2"], "left"))

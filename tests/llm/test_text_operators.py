@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from loregraph.llm import suffix_dedup
 from loregraph.llm.decontaminate import decontaminate, overlaps
 from loregraph.llm.licenses import scan_licenses
 from loregraph.llm.ngram_join import jaccard_components, keep_one
@@ -79,6 +80,23 @@ def test_suffix_dedup(docs, rows):
     assert all(r["n_repeated"] == sum(s["size"] for s in r["spans"]) for r in got.collect())
 
 
+def test_suffix_dedup_with_frequent_stock_text(spark):
+    own = lambda tag, n: " ".join(f"{tag}-{j}" for j in range(n))
+    rows = [(i, f"{own(f'a{i}', 20)} {own(f'footer{i % 8}', 30)} {own(f'b{i}', 30)}", None) for i in range(640)]
+    rows += [(1000 + i, f"{own(f'p{i // 2}', 20)} {own(f'footer{i // 2 % 8}', 30)} {own(f'q{i}', 30)}", None) for i in range(160)]
+    want = {i: sum(g) for i, _, g in covered(rows, 50)}
+    assert sum(want.values()) == 160 * 50
+    got = repeated_passages(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"))
+    assert {r["doc_id"]: r["n_repeated"] for r in got.collect()} == want
+
+
+def test_suffix_dedup_across_partitions(docs, rows, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PARTITION_ROWS", 150)
+    want = Counter((i, len(w), sum(g)) for i, w, g in covered(rows, 50))
+    got = repeated_passages(docs)
+    assert Counter(tuple(r) for r in got.select("doc_id", "n_words", "n_repeated").collect()) == want
+
+
 def test_decontamination_finds_substituted_passages(spark, docs):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "too short"), (5, "w1 w2 w3 w4 w5 w6 w7 w8 w9")], "item_id long, text string")

@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loregraph.llm.components import components
-from loregraph.llm.corpus import keyed, texts_of, unpack
+from loregraph.llm.corpus import keyed, text_key, texts_of, unpack
+from loregraph.llm.mixing import WORD
 from loregraph.llm.store import materialize
 from loregraph.llm.words import U64, mix, segments, shingle_sets
 
@@ -357,8 +358,8 @@ def _blocks(grouped: DataFrame, clusters: DataFrame) -> tuple[DataFrame, DataFra
     return materialize(grouped.join(materialize(where, n), "f1"), n), materialize(alone.union(pairs.select(block(F.col("x")), block(F.col("y")))), n)
 
 
-def jaccard_components(docs: DataFrame, n_words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and n_links (rows linked with) of each row."""
+def _components(docs: DataFrame, n_words: int, percent: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with class key, number of shingles n and set f1, f2; root, component_id and n_links of each set)."""
     k = keyed(docs, doc_id, text)
     kind = k.schema["doc_id"].dataType.simpleString()
     rows = materialize(k.mapInArrow(_fingerprints(n_words), f"doc_id {kind}, k1 long, k2 long, n long, f1 long, f2 long, low long"))
@@ -384,22 +385,36 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, percent: int = 80, doc
     known = sets.select("f1", "f2", "least", "copies").join(counts, "f1", "left").join(roots.withColumnRenamed("node", "f1"), "f1", "left")
     known = materialize(known.withColumn("root", F.coalesce("root", "f1")), n)
     smallest = materialize(known.groupBy("root").agg(F.min("least").alias("component_id")), n)
-    known = known.join(smallest, "root").select("f1", "f2", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    known = materialize(known, n)
+    known = known.join(smallest, "root").select("f1", "f2", "root", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return rows, materialize(known, n)
+
+
+def jaccard_components(docs: DataFrame, n_words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and n_links (rows linked with) of each row."""
+    rows, known = _components(docs, n_words, percent, doc_id, text)
     linked = rows.where("n > 0").join(known, ["f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
     return linked.union(rows.where("n = 0").select("doc_id", "n", "doc_id", F.lit(0)))
 
 
 def keep_one(docs: DataFrame, n_words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row of the smallest id of each component, with all columns; rows without words stay. Rows of one id count as one."""
-    found = jaccard_components(docs, n_words, percent, doc_id, text)
-    kept = found.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows"))
-    kept = materialize(kept)
-    out = docs.join(kept, docs[doc_id].eqNullSafe(kept["_id"]))
+    """The row of the smallest id (null: last, then the smallest text key) of each component, with all columns.
+
+    Rows without words stay. Rows of one id and one text count as one, but for rows without id and words.
+    """
+    rows, known = _components(docs, n_words, percent, doc_id, text)
+    same = rows.groupBy("doc_id", "k1", "k2", "n", "f1", "f2").agg(F.count(F.lit(1)).alias("rows"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2", "rows")).alias("first")
+    kept = same.where("n > 0").join(known, ["f1", "f2"]).groupBy("root").agg(first).select("first.*")
+    kept = kept.union(same.where("n = 0 and doc_id is not null").select(F.lit(False), "doc_id", "k1", "k2", "rows"))
+    kept = materialize(kept.select(F.col("doc_id").alias("_id"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("rows").alias("_rows")))
+    content = F.coalesce(docs[text], F.lit(""))
+    k1, k2 = text_key(content)
+    out = docs.join(kept, docs[doc_id].eqNullSafe(kept["_id"]) & (k1 == kept["_k1"]) & (k2 == kept["_k2"]))
+    bare = docs.where(docs[doc_id].isNull() & ~content.rlike(WORD)).select(docs.columns)
     if kept.where("_rows > 1").isEmpty():
-        return out.select(docs.columns)
+        return out.select(docs.columns).union(bare)
     once = out.where("_rows = 1").select(docs.columns)
-    return once.union(out.where("_rows > 1").select(docs.columns).dropDuplicates([doc_id]))
+    return once.union(out.where("_rows > 1").dropDuplicates(["_id", "_k1", "_k2"]).select(docs.columns)).union(bare)
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -57,6 +57,14 @@ def test_keep_one(docs, rows):
     assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(want)
 
 
+def test_keep_one_with_null_and_repeated_ids(spark):
+    text = lambda tag: " ".join(f"{tag}{i}" for i in range(30))
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (None, text("c")), (None, text("d")), (1, text("d")), (2, text("e")), (2, text("f")), (3, text("g")), (3, text("g")), (None, ""), (None, None), (4, " ")]
+    got = Counter(tuple(r) for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = [(None, text("a")), (None, text("b")), (None, text("c")), (1, text("d")), (2, text("e")), (2, text("f")), (3, text("g")), (None, ""), (None, None), (4, " ")]
+    assert got == Counter(want)
+
+
 def covered(rows, span):
     seen = Counter(tuple(w[s : s + span]) for w in (words(t) for _, t, _ in rows) for s in range(len(w) - span + 1))
     for doc_id, text, _ in rows:

@@ -30,6 +30,7 @@ CYCLE = (1, 2, 3)
 CHUNK = 4096
 TASK_SLOTS = 200_000
 BUCKET_ROWS = 2000
+SHARE = 1 << 24
 
 
 @dataclass
@@ -145,14 +146,41 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     return Mix(sources, slots, documents.drop("_cells", "_copy"))
 
 
-def mixed_documents(docs: DataFrame, mix: Mix, doc_id: str = "doc_id", seed: int = 20) -> DataFrame:
-    """The documents as often as the mix takes them: taken / size copies, the fraction rounded by a hash of the id."""
-    share = F.col("taken") / F.greatest("size", F.lit(1))
-    coin = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
-    times = mix.documents.select(F.col("doc_id").alias("_id"), F.floor(share + coin).cast("int").alias("_times")).where("_times > 0")
-    times = times.groupBy("_id").agg(F.max("_times").alias("_times"))
-    out = docs.join(times, docs[doc_id].eqNullSafe(times["_id"]))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+def _copies(documents: DataFrame) -> DataFrame:
+    """Add ``copies``: taken / size rounded so that each source's copies, in order of size, follow the running sum of shares.
+
+    Documents of similar size make up for one another, so a source misses its taken words by at most half its largest
+    document. Shares are whole numbers of 1 / SHARE, so all sums are exact.
+    """
+    d = documents.where("size > 0").withColumn("_share", F.round(F.col("taken") * SHARE / F.col("size")).cast("long"))
+    d = d.withColumn("_key", F.xxhash64("doc_id", "start"))
+    many = d.groupBy("source", "size").agg(F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).alias("_buckets"))
+    many = many.select(F.col("source").alias("_s"), F.col("size").alias("_n"), "_buckets")
+    d = d.join(many, d["source"].eqNullSafe(many["_s"]) & (d["size"] == many["_n"])).withColumn("_bucket", F.pmod("_key", "_buckets")).drop("_s", "_n", "_buckets")
+    sums = d.groupBy("source", "size", "_bucket").agg(F.sum("_share").alias("_sum"))
+    ahead = Window.partitionBy("source").orderBy("size", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))
+    d = d.join(sums, d["source"].eqNullSafe(sums["_s"]) & (d["size"] == sums["_n"]) & (d["_bucket"] == sums["_b"]))
+    within = Window.partitionBy("source", "size", "_bucket").orderBy("_key", "start").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.col("_ahead") + F.sum("_share").over(within)
+    whole = lambda x: F.floor((x + SHARE // 2) / SHARE)
+    return d.withColumn("_end", end).withColumn("copies", (whole(F.col("_end")) - whole(F.col("_end") - F.col("_share"))).cast("int"))
+
+
+def mixed_documents(docs: DataFrame, mix: Mix, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The documents as often as the mix takes them, in whole copies. Rows of one id, source and size share their copies."""
+    times = _copies(mix.documents).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_times"), F.count(F.lit(1)).alias("_rows"))
+    times = materialize(times.where("_times > 0").toDF("_id", "_source", "_size", "_times", "_rows"))
+    same = docs[doc_id].eqNullSafe(times["_id"]) & docs[source].eqNullSafe(times["_source"]) & (word_count(docs[text]) == times["_size"])
+    out = docs.join(times, same)
+    copy = lambda df, n: df.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), n.cast("long")))).select(docs.columns)
+    alone = copy(out.where("_rows = 1"), F.col("_times"))
+    if times.where("_rows > 1").isEmpty():
+        return alone
+    number = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64(docs[text])))
+    several = out.where("_rows > 1").withColumn("_number", number)
+    own = F.floor(F.col("_times") / F.col("_rows")) + (F.col("_number") <= F.col("_times") % F.col("_rows")).cast("long")
+    return alone.union(copy(several.withColumn("_own", own).where("_own > 0"), F.col("_own")))
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

@@ -53,6 +53,21 @@ def test_mixing(docs, rows):
     assert mixed_documents(docs, mix).columns == docs.columns
 
 
+def test_mixed_documents_follow_the_taken_words(spark):
+    rows = [(None if i % 3 == 0 else i, f"w{i} " * (1 + i * i % 90), f"src{i % 3}") for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mix_sources(docs)
+    taken, out, largest = Counter(), Counter(), Counter()
+    for r in mix.documents.collect():
+        taken[r["source"]] += r["taken"]
+    for _, text, source in rows:
+        largest[source] = max(largest[source], len(text.split()))
+    for r in mixed_documents(docs, mix).collect():
+        out[r["source"]] += len(r["text"].split())
+    assert all(abs(out[s] - taken[s]) <= largest[s] / 2 + 1 for s in taken)
+    assert mixed_documents(docs, mix).select("text").distinct().count() > 80
+
+
 def test_mixing_empty(empty):
     assert mix_sources(empty).documents.count() == 0
 

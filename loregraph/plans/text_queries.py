@@ -71,7 +71,7 @@ def x9(spark, d):
 
 @query("x10_spaced_letters")
 def x10(spark, d):
-    text = F.when(F.col("paragraph_index") % 2 == 0, F.array_join(F.slice(F.split("text", ""), 1, 40), " ")).otherwise(F.col("text"))
+    text = F.when(F.col("paragraph_index") % 2 == 0, F.array_join(F.split("text", ""), " ")).otherwise(F.col("text"))
     return V.paragraphs(spark, d).select("chunk_id", X.join_spaced_letters(text).alias("text"))
 
 

@@ -7,6 +7,7 @@ from loregraph.functions import text as X
 from loregraph.operators import graph as G
 from loregraph.operators import losses as L
 from loregraph.operators import retrieval as R
+from loregraph.plans import text_queries, views
 
 
 def one(spark, column):
@@ -84,3 +85,10 @@ def test_two_relations_on_one_pair(spark):
 def test_ladder_without_peers(spark, tonnes, want):
     b = spark.createDataFrame([("n", "f", "+71", "open_pnt_cp", "Ni", tonnes, True)], "node_id string, factory string, size_class string, mineral_form string, metal string, tonnes double, recoverable boolean")
     assert L.value_percentile(b).first()["percentile"] == want
+
+
+def test_spaced_letters_query_reads_whole_paragraphs(spark):
+    letters = lambda r: "".join(r["text"].split())
+    want = {r["chunk_id"]: letters(r) for r in views.paragraphs(spark, "/root/testdata/sf0.001").collect()}
+    got = {r["chunk_id"]: letters(r) for r in text_queries.QUERIES["x10_spaced_letters"](spark, "/root/testdata/sf0.001").collect()}
+    assert max(map(len, want.values())) > 40 and got == want

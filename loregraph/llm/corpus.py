@@ -8,6 +8,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loregraph.llm.store import bounded_batches, materialize
 
@@ -18,10 +19,11 @@ def text_key(text: Column) -> tuple[Column, Column]:
     return (F.conv(F.substring(digest, i, 15), 16, 10).cast("long") for i in (1, 17))
 
 
-def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text (null: empty) and the class key k1, k2."""
+def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", whole_rows: bool = False) -> DataFrame:
+    """doc_id, text (null: empty) and the class key k1, k2; with whole_rows, the other columns by place as c0, c1, ... of ``rest``."""
     bounded_batches(docs.sparkSession)
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rest = [F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text)).alias("rest")] if whole_rows else []
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *rest)
     k1, k2 = text_key(F.col("text"))
     return d.withColumns({"k1": k1, "k2": k2})
 
@@ -35,7 +37,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
         column = pa.array([press(t.encode()) for t in batch["text"].to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", "k1", "k2")), column], ["doc_id", "k1", "k2", "packed"])
+        others = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in others), column], [*others, "packed"])
 
 
 def unpack(column: pa.Array) -> pa.Array:
@@ -48,8 +51,9 @@ def texts_of(keyed_docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     The join is on key and id together, so the copies of a frequent text spread over all partitions.
     """
-    kind = keyed_docs.schema["doc_id"].dataType.simpleString()
-    packed = keyed_docs.select("doc_id", "k1", "k2", "text").mapInArrow(_pack, f"doc_id {kind}, k1 long, k2 long, packed binary")
+    others = [c for c in keyed_docs.columns if c != "text"]
+    schema = T.StructType([*(keyed_docs.schema[c] for c in others), T.StructField("packed", T.BinaryType())])
+    packed = keyed_docs.select(*others, "text").mapInArrow(_pack, schema)
     w = wanted.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "rep", *(c for c in wanted.columns if c not in ("k1", "k2", "rep")))
     same = (packed["k1"] == w["_k1"]) & (packed["k2"] == w["_k2"]) & packed["doc_id"].eqNullSafe(w["rep"])
     return packed.join(w, same).drop("doc_id", "_k1", "_k2", "rep")

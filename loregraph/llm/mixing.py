@@ -30,14 +30,15 @@ CYCLE = (1, 2, 3)
 CHUNK = 4096
 TASK_SLOTS = 200_000
 BUCKET_ROWS = 2000
-SHARE = 1 << 24
 
 
 @dataclass
 class Mix:
-    """sources: one row each with size, weight, target and slots. slots: shard, slot, source, block and words.
+    """rows: source, size and key (its place in the source's order) of each input row. sources: one row each with size,
+    weight, target, passes, rest (words beyond the whole passes) and slots. slots: shard, slot, source, block and words.
     documents: one row per input row with what the mix takes of it."""
 
+    rows: DataFrame
     sources: DataFrame
     slots: DataFrame
     documents: DataFrame
@@ -82,21 +83,21 @@ def plan_slots(sources: DataFrame, block_words: int, cap: float, seed: int) -> D
     s = sources.withColumn("blocks", F.ceil(F.col("source_size") / L).cast("long"))
     s = s.withColumn("_want", F.least(F.round("target").cast("long"), F.floor(F.lit(float(cap)) * F.col("source_size")).cast("long")))
     s = s.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("_want") / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long"))
-    s = s.withColumn("_rest", F.col("_want") - F.col("passes") * F.col("source_size"))
+    s = s.withColumn("rest", F.col("_want") - F.col("passes") * F.col("source_size"))
     s = s.withColumn("_short", F.greatest(F.col("blocks") - 1, F.lit(0)).cast("long"))
     s = s.withColumn("_short", permute(F.col("_short"), F.col("blocks"), [F.col("sid"), F.col("passes"), F.lit(seed)], inverse=True))
     gap = F.col("blocks") * L - F.col("source_size")
     ahead, tail = F.col("_short") * L, L - gap
-    past = F.col("_rest") > ahead + tail
-    inside = (F.col("_rest") > ahead) & ~past
-    s = s.withColumn("_last", F.when(past, F.ceil((F.col("_rest") + gap) / L)).when(inside, F.col("_short") + 1).otherwise(F.ceil(F.col("_rest") / L)).cast("long"))
+    past = F.col("rest") > ahead + tail
+    inside = (F.col("rest") > ahead) & ~past
+    s = s.withColumn("_last", F.when(past, F.ceil((F.col("rest") + gap) / L)).when(inside, F.col("_short") + 1).otherwise(F.ceil(F.col("rest") / L)).cast("long"))
     done = F.when(past, (F.col("_last") - 1) * L - gap).otherwise((F.col("_last") - 1) * L)
-    s = s.withColumn("cut", F.when(F.col("_rest") > 0, F.col("_rest") - done).cast("long"))
+    s = s.withColumn("cut", F.when(F.col("rest") > 0, F.col("rest") - done).cast("long"))
     s = s.withColumn("slots", F.col("passes") * F.col("blocks") + F.col("_last"))
     w = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumn("slots_before", F.coalesce(F.sum("slots").over(w), F.lit(0)).cast("long"))
     s = s.withColumn("slots_total", F.sum("slots").over(Window.partitionBy()))
-    return s.drop("_want", "_rest", "_short", "_last")
+    return s.drop("_want", "_short", "_last")
 
 
 def slot_table(sources: DataFrame, shard_slots: int, seed: int) -> DataFrame:
@@ -114,8 +115,13 @@ def slot_table(sources: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     return s.select(F.floor(F.col("_at") / shard_slots).cast("long").alias("shard"), (F.col("_at") % shard_slots).alias("slot"), "sid", "source", "pass", "block", "cut")
 
 
+def row_key(doc_id: Column, text: Column, seed: int) -> Column:
+    """63 bits that put a source's rows in a pseudorandom order; rows of one id and text have one."""
+    return F.shiftrightunsigned(F.xxhash64(doc_id, text, F.lit(seed)), 1)
+
+
 def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block_words: int = 32, shard_slots: int = 8192, cap: float = 3.0, seed: int = 20) -> Mix:
-    sized = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")))
+    sized = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), row_key(F.col(doc_id), F.col(text), seed).alias("_key")))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     sources = sources.withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
     sources = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, CYCLE)), (F.col("sid") - 1) % len(CYCLE) + 1))
@@ -125,7 +131,6 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     L = F.lit(block_words).cast("long")
     named = sources.select(F.col("source").alias("_source"), "sid", "source_size", "target", "rows")
     d = sized.join(named, sized["source"].eqNullSafe(named["_source"])).drop("_source")
-    d = d.withColumn("_key", F.xxhash64("doc_id", "size", F.lit(seed)))
     d = d.withColumn("_bucket", F.pmod("_key", F.ceil(F.col("rows") / BUCKET_ROWS)))
     sums = d.groupBy("sid", "_bucket").agg(F.sum("size").alias("_sum"))
     ahead = Window.partitionBy("sid").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -143,44 +148,42 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     documents = cells.groupBy("doc_id", "source", "size", "source_size", "target", "start").agg(F.sum("_taken").alias("taken"), F.count(F.lit(1)).alias("_cells"))
     # Empty rows share a start with others; each of them is a cell of its own there.
     documents = documents.withColumn("_copy", F.explode(F.when(F.col("size") == 0, F.sequence(F.lit(1).cast("long"), F.col("_cells"))).otherwise(F.array(F.lit(1).cast("long")))))
-    return Mix(sources, slots, documents.drop("_cells", "_copy"))
+    return Mix(sized.select("source", "size", F.col("_key").alias("key")), sources, slots, documents.drop("_cells", "_copy"))
 
 
-def _copies(documents: DataFrame) -> DataFrame:
-    """Add ``copies``: taken / size rounded so that each source's copies, in order of size, follow the running sum of shares.
+def last_taken(mix: Mix) -> DataFrame:
+    """source, passes and last_key: a source's rows up to last_key hold its ``rest`` as nearly as whole rows can.
 
-    Documents of similar size make up for one another, so a source misses its taken words by at most half its largest
-    document. Shares are whole numbers of 1 / SHARE, so all sums are exact.
+    Sums by (source, bucket of keys) tell in which bucket the rest ends; only that bucket's rows are put in order.
+    """
+    named = mix.sources.select(F.col("source").alias("_source"), "sid", "rest", F.ceil(F.col("rows") / BUCKET_ROWS).alias("_buckets"))
+    r = mix.rows.where("size > 0").join(named, mix.rows["source"].eqNullSafe(named["_source"]))
+    r = r.withColumn("_bucket", F.shiftright(F.shiftright("key", 32) * F.col("_buckets"), 31))
+    upto = Window.partitionBy("sid").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = r.groupBy("sid", "_bucket", "rest").agg(F.sum("size").alias("_sum")).withColumn("_end", F.sum("_sum").over(upto))
+    ends = materialize(sums.where("_end >= rest and _end - _sum < rest").select("sid", "_bucket", (F.col("_end") - F.col("_sum")).alias("_ahead")))
+    order = Window.partitionBy("sid").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = r.join(ends, ["sid", "_bucket"]).withColumn("_miss", F.abs(F.col("_ahead") + F.sum("size").over(order) - F.col("rest")))
+    best = inside.groupBy("sid").agg(F.min(F.struct("_miss", "key")).alias("_best"), F.min("key").alias("_first"), F.first(F.col("rest") - F.col("_ahead")).alias("_left"))
+    best = best.select("sid", F.when(F.col("_left") <= F.col("_best._miss"), F.col("_first") - 1).otherwise(F.col("_best.key")).alias("last_key"))
+    return materialize(mix.sources.select("sid", "source", "passes").join(best, "sid", "left").select("source", "passes", F.coalesce("last_key", F.lit(-1)).alias("last_key")))
+
+
+def mixed_documents(docs: DataFrame, mix: Mix, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 20) -> DataFrame:
+    """The documents as often as the mix takes them, in whole copies: each as often as its source has whole passes, and those
+    first in the source's pseudorandom order once more. A source misses its target by at most half its largest document
+    (or rows of one id and text, which share a place). Texts aren't shuffled: sources are few and sent to all tasks if
+    their table is small enough for Spark to do so, else joined by source, where Spark splits a hot one.
+
+    Defined results: rows without words come 0 times, as nothing can be taken from them; a null id or source is a value as
+    any other; rows of one id and text come equally often; an empty table gives no rows; columns keep their names,
+    whatever those are.
     """
-    d = documents.where("size > 0").withColumn("_share", F.round(F.col("taken") * SHARE / F.col("size")).cast("long"))
-    d = d.withColumn("_key", F.xxhash64("doc_id", "start"))
-    many = d.groupBy("source", "size").agg(F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).alias("_buckets"))
-    many = many.select(F.col("source").alias("_s"), F.col("size").alias("_n"), "_buckets")
-    d = d.join(many, d["source"].eqNullSafe(many["_s"]) & (d["size"] == many["_n"])).withColumn("_bucket", F.pmod("_key", "_buckets")).drop("_s", "_n", "_buckets")
-    sums = d.groupBy("source", "size", "_bucket").agg(F.sum("_share").alias("_sum"))
-    ahead = Window.partitionBy("source").orderBy("size", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))
-    d = d.join(sums, d["source"].eqNullSafe(sums["_s"]) & (d["size"] == sums["_n"]) & (d["_bucket"] == sums["_b"]))
-    within = Window.partitionBy("source", "size", "_bucket").orderBy("_key", "start").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.col("_ahead") + F.sum("_share").over(within)
-    whole = lambda x: F.floor((x + SHARE // 2) / SHARE)
-    return d.withColumn("_end", end).withColumn("copies", (whole(F.col("_end")) - whole(F.col("_end") - F.col("_share"))).cast("int"))
-
-
-def mixed_documents(docs: DataFrame, mix: Mix, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The documents as often as the mix takes them, in whole copies. Rows of one id, source and size share their copies."""
-    times = _copies(mix.documents).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_times"), F.count(F.lit(1)).alias("_rows"))
-    times = materialize(times.where("_times > 0").toDF("_id", "_source", "_size", "_times", "_rows"))
-    same = docs[doc_id].eqNullSafe(times["_id"]) & docs[source].eqNullSafe(times["_source"]) & (word_count(docs[text]) == times["_size"])
-    out = docs.join(times, same)
-    copy = lambda df, n: df.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), n.cast("long")))).select(docs.columns)
-    alone = copy(out.where("_rows = 1"), F.col("_times"))
-    if times.where("_rows > 1").isEmpty():
-        return alone
-    number = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64(docs[text])))
-    several = out.where("_rows > 1").withColumn("_number", number)
-    own = F.floor(F.col("_times") / F.col("_rows")) + (F.col("_number") <= F.col("_times") % F.col("_rows")).cast("long")
-    return alone.union(copy(several.withColumn("_own", own).where("_own > 0"), F.col("_own")))
+    last = last_taken(mix)
+    d = docs.select(F.struct("*").alias("row"), docs[source].alias("_s"), row_key(docs[doc_id], docs[text], seed).alias("_k"), docs[text].rlike(WORD).alias("_words"))
+    d = d.where("_words").join(last, d["_s"].eqNullSafe(last["source"]))
+    copies = F.col("passes") + (F.col("_k") <= F.col("last_key")).cast("long")
+    return d.select("row", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select("row.*")
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

@@ -28,11 +28,12 @@ from math import ceil, exp, factorial, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loregraph.llm.components import components
-from loregraph.llm.corpus import keyed, text_key, texts_of, unpack
+from loregraph.llm.corpus import keyed, texts_of, unpack
 from loregraph.llm.mixing import WORD
 from loregraph.llm.store import materialize
 from loregraph.llm.words import U64, mix, segments, shingle_sets
@@ -84,6 +85,11 @@ def coarse_tokens(values: np.ndarray, c: int, plan: tuple[int, int, int]) -> np.
     return tokens[thick] if m - int(thick.sum()) <= spare else tokens
 
 
+def _order(doc_id: str, *keys: str) -> Column:
+    """What the first of several rows is told by: the smallest id, none last, then the text key."""
+    return F.struct(F.col(doc_id).isNull().alias("last"), F.col(doc_id).alias("doc_id"), *keys)
+
+
 def _fingerprints(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -355,16 +361,16 @@ def _blocks(grouped: DataFrame, clusters: DataFrame) -> tuple[DataFrame, DataFra
     first = sizes.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     alone = first.select(block(F.col("x")).alias("a"), F.lit(None).cast("long").alias("b"))
     pairs = first.where("x < blocks - 1").withColumn("y", F.explode(F.sequence(F.col("x") + 1, F.col("blocks") - 1)))
-    return materialize(grouped.join(materialize(where, n), "f1"), n), materialize(alone.union(pairs.select(block(F.col("x")), block(F.col("y")))), n)
+    return materialize(grouped.select("f1", "copies", "gid", "packed").join(materialize(where, n), "f1")), materialize(alone.union(pairs.select(block(F.col("x")), block(F.col("y")))), n)
 
 
-def _components(docs: DataFrame, n_words: int, percent: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(rows with class key, number of shingles n and set f1, f2; root, component_id and n_links of each set)."""
-    k = keyed(docs, doc_id, text)
+def _components(docs: DataFrame, n_words: int, percent: int, doc_id: str, text: str, whole_rows: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with class key, number of shingles n and set f1, f2; root, component_id and n_links of each set; one row of each set, its text packed)."""
+    k = keyed(docs, doc_id, text, whole_rows)
     kind = k.schema["doc_id"].dataType.simpleString()
-    rows = materialize(k.mapInArrow(_fingerprints(n_words), f"doc_id {kind}, k1 long, k2 long, n long, f1 long, f2 long, low long"))
+    rows = materialize(k.select("doc_id", "text", "k1", "k2").mapInArrow(_fingerprints(n_words), f"doc_id {kind}, k1 long, k2 long, n long, f1 long, f2 long, low long"))
     lows = size_classes(percent, int(rows.agg(F.max("n")).first()[0] or 0) + 1)
-    sets = rows.where("n > 0").groupBy("f1", "f2", "n", "low").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "k1", "k2")).alias("_rep"))
+    sets = rows.where("n > 0").groupBy("f1", "f2", "n", "low").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep"), F.min(_order("doc_id", "k1", "k2")).alias("_rep"))
     group = F.xxhash64("low", F.floor(F.log("n")))
     sets = materialize(sets.select("f1", "f2", "copies", F.col("rep").alias("least"), F.col("_rep.doc_id").alias("rep"), "_rep.k1", "_rep.k2", group.alias("gid")), rows.count())
     n = sets.count()
@@ -382,39 +388,47 @@ def _components(docs: DataFrame, n_words: int, percent: int, doc_id: str, text:
 
     roots = components(found.where("u <> v").select("u", "v"))
     counts = found.where("u = v").groupBy(F.col("u").alias("f1")).agg(F.sum("links").alias("links"))
-    known = sets.select("f1", "f2", "least", "copies").join(counts, "f1", "left").join(roots.withColumnRenamed("node", "f1"), "f1", "left")
+    known = sets.select("f1", "f2", "least", "copies", "rep", "k1", "k2").join(counts, "f1", "left").join(roots.withColumnRenamed("node", "f1"), "f1", "left")
     known = materialize(known.withColumn("root", F.coalesce("root", "f1")), n)
     smallest = materialize(known.groupBy("root").agg(F.min("least").alias("component_id")), n)
-    known = known.join(smallest, "root").select("f1", "f2", "root", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return rows, materialize(known, n)
+    known = known.join(smallest, "root").select("f1", "f2", "root", "rep", "k1", "k2", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return rows, materialize(known, n), grouped
 
 
 def jaccard_components(docs: DataFrame, n_words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and n_links (rows linked with) of each row."""
-    rows, known = _components(docs, n_words, percent, doc_id, text)
+    rows, known, _ = _components(docs, n_words, percent, doc_id, text)
     linked = rows.where("n > 0").join(known, ["f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
     return linked.union(rows.where("n = 0").select("doc_id", "n", "doc_id", F.lit(0)))
 
 
+def _unpacked(schema: T.StructType, text: str):
+    """Rows (rest, packed) -> the columns of ``schema`` by place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = batch["rest"].flatten()
+            at = iter(rest)
+            cols = [unpack(batch["packed"]).cast(pa.string()) if f.name == text else next(at) for f in schema]
+            yield pa.RecordBatch.from_arrays(cols, [f"c{i}" for i in range(len(cols))])
+
+    return run
+
+
 def keep_one(docs: DataFrame, n_words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row of the smallest id (null: last, then the smallest text key) of each component, with all columns.
+    """One row of each component with all its columns: that of the smallest id (null: last), then of the smallest text key.
 
-    Rows without words stay. Rows of one id and one text count as one, but for rows without id and words.
+    The row travels as the one its set was read from, with its text compressed; the other texts of a component aren't
+    moved for this. Defined results: rows without words or text stay, each of them; of rows of one id and one text one
+    stays, whatever their other columns hold; a component without any id keeps a row too; an empty table gives no rows;
+    columns keep their names and places, whatever those are.
     """
-    rows, known = _components(docs, n_words, percent, doc_id, text)
-    same = rows.groupBy("doc_id", "k1", "k2", "n", "f1", "f2").agg(F.count(F.lit(1)).alias("rows"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2", "rows")).alias("first")
-    kept = same.where("n > 0").join(known, ["f1", "f2"]).groupBy("root").agg(first).select("first.*")
-    kept = kept.union(same.where("n = 0 and doc_id is not null").select(F.lit(False), "doc_id", "k1", "k2", "rows"))
-    kept = materialize(kept.select(F.col("doc_id").alias("_id"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("rows").alias("_rows")))
-    content = F.coalesce(docs[text], F.lit(""))
-    k1, k2 = text_key(content)
-    out = docs.join(kept, docs[doc_id].eqNullSafe(kept["_id"]) & (k1 == kept["_k1"]) & (k2 == kept["_k2"]))
-    bare = docs.where(docs[doc_id].isNull() & ~content.rlike(WORD)).select(docs.columns)
-    if kept.where("_rows > 1").isEmpty():
-        return out.select(docs.columns).union(bare)
-    once = out.where("_rows = 1").select(docs.columns)
-    return once.union(out.where("_rows > 1").dropDuplicates(["_id", "_k1", "_k2"]).select(docs.columns)).union(bare)
+    _, known, grouped = _components(docs, n_words, percent, doc_id, text, whole_rows=True)
+    first = known.groupBy("root").agg(F.min_by("f1", _order("rep", "k1", "k2")).alias("f1")).select("f1")
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)])
+    kept = grouped.select("f1", "rest", "packed").join(materialize(first), "f1", "left_semi").select("rest", "packed")
+    bare = docs.where(~F.coalesce(docs[text], F.lit("")).rlike(WORD))
+    return kept.mapInArrow(_unpacked(docs.schema, text), schema).toDF(*docs.columns).union(bare)
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:

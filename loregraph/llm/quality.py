@@ -1,8 +1,8 @@
 """Quality classifier: regularised quadratic discriminant analysis over transformed statistics of the text.
 
 Each text gives a vector of statistics (lengths, repetition, character classes, entropies), brought to roughly normal
-shape by logarithms. Per class, mean and covariance come from sums over all labelled training rows, added up by
-Spark; the covariance is shrunk towards the pooled one and a scaled identity. A text's score is the difference of the
+shape by logarithms. Per class, mean and covariance come from sums over the training rows (labelled ones; of
+more than FIT_ROWS, about so many, those of the smallest hashes of their ids), added up by Spark; the covariance is shrunk towards the pooled one and a scaled identity. A text's score is the difference of the
 classes' log densities (Mahalanobis distances by triangular solves with Cholesky factors that are computed once),
 its inverse hyperbolic sine put through a logistic curve fitted to a histogram of the training rows.
 
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loregraph.llm.store import bounded_batches, materialize
@@ -31,6 +31,7 @@ FEATURES = ("words", "word_bytes", "word_spread", "distinct", "top_share", "repe
 HELD_OUT = 2
 THRESHOLD = 0.7
 BINS = 4000
+FIT_ROWS = 50_000
 
 _KINDS = np.zeros(256, np.int8)  # 0 other, 1 letter, 2 digit, 3 symbol, 4 point, 5 capital
 _KINDS[[*range(97, 123), *range(128, 256)]] = 1
@@ -106,19 +107,30 @@ def statistics(s: Segment) -> np.ndarray:
     return np.stack(x, axis=1)
 
 
-def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        x = [statistics(s) for s in segments(batch["text"])]
-        flat = np.concatenate(x).ravel() if x else np.empty(0)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * len(FEATURES), pa.int32()), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], lists], ["doc_id", "x"])
+def _statistics(key: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [statistics(s) for s in segments(batch["text"])]
+            flat = np.concatenate(x).ravel() if x else np.empty(0)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * len(FEATURES), pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch[key], lists], [key, "x"])
+
+    return run
 
 
 def text_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and the vector ``x`` of FEATURES of each row."""
     bounded_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_statistics, f"doc_id {kind}, x array<double>")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_statistics("doc_id"), f"doc_id {kind}, x array<double>")
+
+
+def forward(lower: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """x of lower @ x = row for each row, by forward substitution."""
+    out = np.empty_like(rows)
+    for i in range(len(lower)):
+        out[:, i] = (rows[:, i] - out[:, :i] @ lower[i, :i]) / lower[i, i]
+    return out
 
 
 @dataclass
@@ -126,7 +138,7 @@ class Discriminant:
     centre: np.ndarray
     scale: np.ndarray
     means: list[np.ndarray]
-    factors: list[np.ndarray]
+    factors: list[np.ndarray]  # lower Cholesky factors of the covariances
     constants: list[float]
     slope: float = 1.0
     offset: float = 0.0
@@ -137,8 +149,7 @@ class Discriminant:
         z = (x - self.centre) / self.scale
         out = []
         for mean, factor, constant in zip(self.means, self.factors, self.constants, strict=True):
-            solved = (z - mean) @ factor.T
-            out.append(constant - 0.5 * (solved**2).sum(axis=1))
+            out.append(constant - 0.5 * (forward(factor, z - mean) ** 2).sum(axis=1))
         return out[1] - out[0]
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -185,7 +196,7 @@ def fit(labelled: DataFrame, shrink: float = 0.05, ridge: float = 0.02) -> Discr
         cov = (1 - shrink) * covs[c] + shrink * pooled
         cov = (1 - ridge) * cov + ridge * np.trace(cov) / d * np.eye(d)
         lower = np.linalg.cholesky(cov)
-        factors.append(np.linalg.inv(lower))
+        factors.append(lower)
         constants.append(-float(np.log(np.diag(lower)).sum()))
     model = Discriminant(centre, scale, means, factors, constants)
     return _calibrate(model, labelled, n)
@@ -221,35 +232,46 @@ def _calibrate(model: Discriminant, labelled: DataFrame, n: np.ndarray) -> Discr
     return model
 
 
-def score(rows: DataFrame, model: Discriminant) -> DataFrame:
-    """doc_id, held_out and score of rows (doc_id, held_out, x)."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+def _held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == HELD_OUT, F.lit(False))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch["x"].flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(shared.value.score(x), pa.float64())], ["doc_id", "held_out", "score"])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "held_out", "x").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double")
+def fit_documents(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, most: int = FIT_ROWS) -> Discriminant:
+    """Fit on the documents of labelled ids that are not held out; of more than ``most``, those with the smallest hashes,
+    about ``most``. Only their texts are gone through: so few ids are sent to all tasks."""
+    known = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and _id is not null")
+    known = materialize(known.where(~_held_out(F.col("_id"))).distinct())
+    if (n := known.count()) > most:
+        known = materialize(known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < (most << 30) // n))
+    own = docs.select(docs[doc_id].alias("_doc"), docs[text].alias("text")).join(F.broadcast(known), F.col("_doc") == F.col("_id"))
+    bounded_batches(docs.sparkSession)
+    x = own.select("label", "text").mapInArrow(_statistics("label"), "label int, x array<double>")
+    return fit(materialize(x))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """doc_id, held_out, score and predicted for each row; held-out rows take no part in training."""
-    fold = F.crc32(F.col("doc_id").cast("string")) % 4
-    rows = text_statistics(docs, doc_id, text).withColumn("held_out", F.coalesce(fold == HELD_OUT, F.lit(False)))
-    rows = materialize(rows)
-    known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where("label in (0, 1)").distinct()
-    model = fit(rows.where("not held_out").join(known, "doc_id"))
-    return score(rows, model).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    shared = docs.sparkSession.sparkContext.broadcast(fit_documents(docs, labels, doc_id, text, label))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [shared.value.score(statistics(s)) for s in segments(batch["text"])]
+            column = pa.array(np.concatenate(scores) if scores else [], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], column], ["doc_id", "score"])
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    scored = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    return scored.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """The rows of ``docs`` that score THRESHOLD or more, with all columns; fitted on the labelled rows among them that are not held out."""
-    known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where("label in (0, 1)").distinct()
-    known = known.where(F.crc32(F.col("doc_id").cast("string")) % 4 != HELD_OUT)
-    model = fit(materialize(text_statistics(docs, doc_id, text)).join(known, "doc_id"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """The rows of ``docs`` that score THRESHOLD or more, with all columns.
+
+    Defined results: a null or empty text is scored as one of no words; repeated rows stay or go together; a null id has
+    no label; without labels of either class all rows get one score, the share of label 1 (0.5 without any), so all stay or
+    all go; an empty table gives no rows.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(fit_documents(docs, labels, doc_id, text, label))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,8 +2,8 @@
 
 Documents of equal text form a group that stays in one shard. Groups are dealt to buckets by hash; in each bucket the
 partial partitions (one per group at first) with the largest spread are combined again and again, the largest part of
-one with the smallest of the other. The buckets' partitions are then combined in the same way: first in sets of
-``FAN_IN``, then those. A bucket holds a few thousand groups up to ``MAX_BUCKETS`` buckets, and no task but the
+one with the smallest of the other. The buckets' partitions are then combined in the same way, in sets of ``FAN_IN``,
+then those, until one is left. A bucket holds a few thousand groups at any size of the table, and no task but the
 buckets' own sees more than ``FAN_IN`` partitions of ``shards`` sums.
 
 Defined results: a null text has no bytes and joins the group of empty texts; repeated rows take a slot each; a group
@@ -25,7 +25,6 @@ from loregraph.llm.store import materialize
 
 BUCKET_GROUPS = 4000
 FAN_IN = 64
-MAX_BUCKETS = FAN_IN * FAN_IN
 SLOT_BUCKET_ROWS = 20000
 
 
@@ -110,19 +109,23 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", te
         )
     )
     groups = materialize(rows.groupBy("hi", "lo").agg(F.sum("size").alias("bytes")))
-    buckets = min(MAX_BUCKETS, max(1, -(-groups.count() // BUCKET_GROUPS)))
+    buckets = max(1, -(-groups.count() // BUCKET_GROUPS))
     dealt = groups.withColumn("bucket", F.pmod(F.xxhash64("lo", "hi"), F.lit(buckets)))
     dealt = materialize(dealt.groupBy("bucket").applyInPandas(_deal(shards), "node long, hi long, lo long, part long, bytes long"))
 
-    level = dealt.where("bytes >= 0").select("node", "part", "bytes")
-    to = dealt.where("bytes < 0").select("hi", "lo", "node", "part")
+    level, nodes, moves = dealt.where("bytes >= 0").select("node", "part", "bytes"), buckets, None
     schema = "parent long, node long, part long, to long, bytes long"
-    for fan in (FAN_IN, MAX_BUCKETS):
-        up = level.withColumn("parent", F.floor(F.col("node") / fan))
+    while nodes > 1:
+        nodes = -(-nodes // FAN_IN)
+        up = level.withColumn("parent", F.floor(F.col("node") / FAN_IN))
         merged = materialize(up.groupBy("parent").applyInPandas(_combine(shards), schema))
-        moves = merged.where("bytes < 0").select("parent", "node", "part", "to")
-        to = to.join(moves, ["node", "part"]).select("hi", "lo", F.col("parent").alias("node"), F.col("to").alias("part"))
+        step = merged.where("bytes < 0").select("node", "part", F.col("parent"), "to")
+        # Of each bucket's parts, where they are now: tables of shards rows for each bucket.
+        moves = step if moves is None else moves.join(step.toDF("parent", "to", "_parent", "_to"), ["parent", "to"]).select("node", "part", F.col("_parent").alias("parent"), F.col("_to").alias("to"))
         level = merged.where("bytes >= 0").select(F.col("parent").alias("node"), "part", "bytes")
+    to = dealt.where("bytes < 0").select("hi", "lo", "node", "part")
+    if moves is not None:
+        to = to.join(materialize(moves), ["node", "part"]).select("hi", "lo", F.col("to").alias("part"))
     to = materialize(to.select("hi", "lo", F.col("part").cast("int").alias("shard")))
     return _slots(rows.join(to, ["hi", "lo"]))
 

@@ -1,15 +1,19 @@
 """Licence scan by a trained paragraph classifier.
 
-A paragraph is a line. A multinomial logistic regression over hashed word n-grams (1 to 3) is trained on the driver from
-the notice templates below, altered at random, and from at most UNKNOWN_SAMPLE paragraphs of UNKNOWN_DOCS
-documents (those whose ids have the smallest hash) as the unknown class. Its weights are sparse: only n-grams of the templates have any, so a
-paragraph without one has the unknown class's constant score and is passed over without being scored. Probabilities
-are calibrated by a temperature fitted on altered templates that training has not seen. A predicted family
-counts if its probability reaches MIN_PROBABILITY and the paragraph holds at least MIN_SIMILARITY of the words of a template
-of that family, in order of the template's n-grams.
-
-Defined results: null and empty texts have no licence; repeated paragraphs and rows count each; a paragraph of any
-length is read whole; an empty table gives no rows and trains without unknown paragraphs.
+A multinomial logistic regression over hashed word n-grams (1 to 3) is trained on the driver from the notice templates
+below, altered at random, and from paragraphs that are no notice: at most UNKNOWN_SAMPLE lines of about UNKNOWN_DOCS
+documents (those whose ids have the smallest hash), among them lines that speak of licences without being near a
+template, and pieces of templates that name no licence. Its weights are sparse: only n-grams of templates have any.
+A temperature and an offset of the unknown class are then fitted on rows that training has not seen, notices and others,
+so that a probability of p is right about p of the time.
+
+A paragraph to judge is a stretch of words around n-grams of templates: windows as long as templates are, which run over
+line ends but not over blank lines or texts. So a wrapped notice is one paragraph, and two notices on one line are two.
+A window counts if a family has a probability of MIN_PROBABILITY and the window holds MIN_SIMILARITY of the n-grams of one
+of its templates; of overlapping windows the most similar, then the most probable, then the shortest is kept.
+
+Defined results: null and empty texts have no licence; repeated notices and rows count each; a text of any length is
+read whole; an empty table gives no rows and trains without lines of documents.
 """
 
 from __future__ import annotations
@@ -29,6 +33,9 @@ from loregraph.llm.words import ALNUM, U64, Segment, mix, odd_constants, segment
 UNKNOWN_DOCS, UNKNOWN_SAMPLE = 200, 4000
 MIN_PROBABILITY, MIN_SIMILARITY = 0.6, 0.6
 GRAMS = 3
+LINE = 2000
+NOT_NEAR = 0.35
+SLACK, GAP, CHUNK = 2, 8, 64
 
 # Usual wordings of licence notices by SPDX family.
 TEMPLATES = {
@@ -67,21 +74,24 @@ def _grams(h: np.ndarray, left: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _line_grams(s: Segment) -> tuple[np.ndarray, np.ndarray]:
-    """(the n-gram hashes at each word, by n; the number of the line in the segment of each word). n-grams stay in lines."""
-    breaks = np.cumsum(s.data == 10)
-    line = (breaks[s.starts] if len(s.starts) else np.empty(0, int)) + s.row_of_word()  # a new row is a new line too
-    last = np.searchsorted(line, line, side="right")
-    left = last - np.arange(len(line))
-    h = s.hashes(lower=True)
-    return np.stack([_grams(h, left, n) for n in range(1, GRAMS + 1)]), line
+def _paragraph_grams(s: Segment) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the n-gram hashes at each word, by n; the end of each word's paragraph; line ends before each word). n-grams stay in paragraphs."""
+    lines = np.concatenate([[0], np.cumsum(s.data == 10)])
+    before = lines[s.starts] if len(s.starts) else np.empty(0, int)
+    new = np.zeros(len(before), bool)
+    new[1:] = before[1:] - lines[s.ends[:-1]] >= 2
+    new[s.bounds[:-1][s.bounds[:-1] < len(new)]] = True
+    number = np.cumsum(new)
+    last = np.searchsorted(number, number, side="right")
+    h, left = s.hashes(lower=True), last - np.arange(len(number))
+    return np.stack([_grams(h, left, n) for n in range(1, GRAMS + 1)]), last, before
 
 
 def text_grams(texts: list[str]) -> list[np.ndarray]:
     """All n-gram hashes of each text, taken as one line."""
     out = []
     for s in segments(pa.array([t.replace("\n", " ") for t in texts], pa.string()), inside_word=ALNUM):
-        g, _ = _line_grams(s)
+        g, _, _ = _paragraph_grams(s)
         for r in range(s.hi - s.lo):
             own = g[:, s.bounds[r] : s.bounds[r + 1]].ravel()
             out.append(own[own != 0])
@@ -90,28 +100,77 @@ def text_grams(texts: list[str]) -> list[np.ndarray]:
 
 @dataclass
 class Classifier:
+    """vocabulary: the n-grams of templates. members: which of them each template has; owners: its family; lengths: its words."""
+
     families: list[str]
     vocabulary: np.ndarray
+    members: np.ndarray
+    owners: np.ndarray
+    lengths: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
-    temperature: float
-    templates: list[list[np.ndarray]]
+    temperature: float = 1.0
+
+    def places(self, grams: np.ndarray) -> np.ndarray:
+        """The numbers of n-grams in the vocabulary; -1 for others."""
+        at = np.minimum(np.searchsorted(self.vocabulary, grams), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == grams, at, -1)
 
     def features(self, grams: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.vocabulary, grams)
-        at = at[self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] == grams]
         x = np.zeros(len(self.vocabulary))
-        x[at] = 1
+        at = self.places(grams)
+        x[at[at >= 0]] = 1
         return x
 
-    def predict(self, grams: np.ndarray) -> tuple[str, float, float]:
-        """(family, probability, best share of a template of the family that the paragraph holds)."""
-        z = (self.features(grams) @ self.weights + self.bias) / self.temperature
-        p = np.exp(z - z.max())
-        p /= p.sum()
-        best = int(p.argmax())
-        share = max((float(np.isin(t, grams).mean()) for t in self.templates[best]), default=0.0)
-        return self.families[best], float(p[best]), share
+    def logits(self, x: np.ndarray) -> np.ndarray:
+        return (x @ self.weights + self.bias) / self.temperature
+
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        z = self.logits(x)
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        return p / p.sum(axis=1, keepdims=True)
+
+    def similarities(self, x: np.ndarray) -> np.ndarray:
+        """The share of each template's n-grams that a row has."""
+        return (x @ self.members.T) / self.members.sum(axis=1)
+
+    def judge(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(family number, its probability, the largest share of a template of the family) of each row."""
+        p, share = self.probabilities(x), self.similarities(x)
+        best = p.argmax(axis=1)
+        own = np.where(self.owners[None, :] == best[:, None], share, 0)
+        return best, p[np.arange(len(p)), best], own.max(axis=1)
+
+    def notices(self, grams: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, str, float, float]]:
+        """(start, end, family, probability, similarity) of the notices among windows from ``starts`` on, words of one stretch."""
+        found = []
+        reach = int(self.lengths.max()) + SLACK
+        for lo in range(0, len(starts), CHUNK):
+            own = starts[lo : lo + CHUNK]
+            first, stop = int(own[0]), int(min(own[-1] + reach, ends[own[-1]]))
+            n = stop - first
+            counts = []
+            for g in grams:
+                at = self.places(g[first:stop])
+                hot = np.zeros((n + 1, len(self.vocabulary)), np.int16)
+                rows = np.flatnonzero(at >= 0)
+                hot[rows + 1, at[rows]] = 1
+                counts.append(np.cumsum(hot, axis=0, dtype=np.int16))
+            a = np.repeat(own, len(self.lengths))
+            b = np.minimum(np.tile(self.lengths + SLACK, len(own)) + a, np.minimum(ends[a], stop))
+            a, b = np.unique(np.column_stack([a, b]), axis=0).T
+            x = np.zeros((len(a), len(self.vocabulary)))
+            for i, c in enumerate(counts):  # an n-gram is in the window if its last word is
+                x += c[np.maximum(b - i, a) - first] - c[a - first]
+            best, p, share = self.judge((x > 0).astype(float))
+            for r in np.flatnonzero((best < len(self.families) - 1) & (p >= MIN_PROBABILITY) & (share >= MIN_SIMILARITY)):
+                found.append((int(a[r]), int(b[r]), self.families[best[r]], float(p[r]), float(share[r])))
+        found.sort(key=lambda f: (-round(f[4], 6), -round(f[3], 2), f[1] - f[0], f[0]))
+        kept: list = []
+        for f in found:
+            if all(f[1] <= k[0] or k[1] <= f[0] for k in kept):
+                kept.append(f)
+        return sorted(kept)
 
 
 def _altered(texts: tuple[str, ...], n: int, filler: list[str], rng: np.random.Generator) -> list[str]:
@@ -141,42 +200,101 @@ def _softmax_fit(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 300, r
     return w, b
 
 
-def train(unknown: list[str], seed: int = 7, per_family: int = 60) -> Classifier:
-    rng = np.random.default_rng(seed)
-    families = [*TEMPLATES, UNKNOWN]
+def _pieces(n: int, filler: list[str], rng: np.random.Generator) -> list[str]:
+    """Parts of templates of less than half their words, and words of notices in any order, among other words."""
+    every = [t.split() for group in TEMPLATES.values() for t in group]
+    loose = sorted({w for t in every for w in t})
+    out = []
+    for i in range(n):
+        words = every[rng.integers(len(every))]
+        if i % 2:
+            size = int(rng.integers(1, max(2, (len(words) - 1) // 2 + 1)))
+            at = int(rng.integers(len(words) - size + 1))
+            part = words[at : at + size]
+        else:
+            part = [loose[j] for j in rng.integers(len(loose), size=rng.integers(2, 9))]
+        pad = lambda: [filler[j] for j in rng.integers(len(filler), size=rng.integers(0, 6))]
+        out.append(" ".join([*pad(), *part, *pad()]))
+    return out
+
+
+def labelled_texts(unknown: list[str], per_family: int, rng: np.random.Generator) -> tuple[list[str], np.ndarray]:
+    """Altered notices with their family's number, and texts that are none with the last number."""
     filler = sorted({w for t in unknown for w in tokens(t)})[:2000] or ["lorem", "ipsum"]
-    # Parts of notices that name no family belong to the unknown class.
-    vague = ["licensed under the terms above", "released under a free license", "the license of this work", "general public version 2", "this work is", "under the", "version 2.0", "software foundation", "license plate"]
-    texts, labels, held, held_labels = [], [], [], []
+    texts, labels = [], []
     for k, family in enumerate(TEMPLATES):
-        made = _altered(TEMPLATES[family], per_family + 20, filler, rng)
-        texts += [*TEMPLATES[family], *made[:per_family]]
-        labels += [k] * (len(TEMPLATES[family]) + per_family)
-        held += made[per_family:]
-        held_labels += [k] * 20
-    texts += vague + unknown
-    labels += [len(TEMPLATES)] * (len(vague) + len(unknown))
-    templates = [text_grams(list(TEMPLATES.get(f, ()))) for f in families]
-    vocabulary = np.unique(np.concatenate([g for group in templates for g in group]))
-    model = Classifier(families, vocabulary, np.empty(0), np.empty(0), 1.0, templates)
-    rows = np.stack([model.features(g) for g in text_grams(texts)])
-    # Equal rows weigh alike however often the corpus has them: most unknown paragraphs have no n-gram of a template.
-    _, kept = np.unique(np.column_stack([rows, labels]), axis=0, return_index=True)
-    model.weights, model.bias = _softmax_fit(rows[kept], np.array(labels)[kept], len(families))
-    other = np.stack([model.features(g) for g in text_grams(held)]) @ model.weights + model.bias
-    truth = np.array(held_labels)
-
-    def loss(t: float) -> float:
-        z = other / t
-        z = z - z.max(axis=1, keepdims=True)
-        return float(-(z[np.arange(len(z)), truth] - np.log(np.exp(z).sum(axis=1))).mean())
-
-    model.temperature = float(min(np.geomspace(0.2, 5, 60), key=loss))
+        texts += _altered(TEMPLATES[family], per_family, filler, rng)
+        labels += [k] * per_family
+    others = [*_pieces(per_family * 8, filler, rng), *unknown]
+    return texts + others, np.array(labels + [len(TEMPLATES)] * len(others))
+
+
+def untrained() -> Classifier:
+    groups = {f: text_grams(list(t)) for f, t in TEMPLATES.items()}
+    vocabulary = np.unique(np.concatenate([g for group in groups.values() for g in group]))
+    members = np.stack([np.isin(vocabulary, g) for group in groups.values() for g in group]).astype(float)
+    owners = np.repeat(np.arange(len(groups)), [len(g) for g in groups.values()])
+    lengths = np.unique([len(tokens(t)) for group in TEMPLATES.values() for t in group])
+    return Classifier([*TEMPLATES, UNKNOWN], vocabulary, members, owners, lengths, np.empty(0), np.empty(0))
+
+
+def train(unknown: list[str], seed: int = 7, per_family: int = 60) -> Classifier:
+    """unknown: lines of documents; those that are near a template are left out, as they may be notices."""
+    rng = np.random.default_rng(seed)
+    model = untrained()
+    features = lambda texts: np.stack([model.features(g) for g in text_grams(texts)])
+    if unknown:
+        near = model.similarities(features(unknown)).max(axis=1)
+        unknown = [t for t, s in zip(unknown, near, strict=True) if s < NOT_NEAR]
+    texts, labels = labelled_texts(unknown[::2], per_family, rng)
+    texts += [t for group in TEMPLATES.values() for t in group]
+    labels = np.concatenate([labels, model.owners])
+    rows = features(texts)
+    # A piece that holds most of a template is no example of the unknown class. Equal rows weigh alike however often the
+    # corpus has them: most of its lines have no n-gram of a template.
+    clear = (labels < len(TEMPLATES)) | (model.similarities(rows).max(axis=1) < MIN_SIMILARITY)
+    _, kept = np.unique(np.column_stack([rows, labels])[clear], axis=0, return_index=True)
+    model.weights, model.bias = _softmax_fit(rows[clear][kept], labels[clear][kept], len(model.families))
+    return _calibrated(model, *_held(model, unknown[1::2], per_family // 2, rng))
+
+
+def _held(model: Classifier, unknown: list[str], per_family: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    texts, labels = labelled_texts(unknown, per_family, rng)
+    x = np.stack([model.features(g) for g in text_grams(texts)])
+    clear = (labels < len(TEMPLATES)) | (model.similarities(x).max(axis=1) < MIN_SIMILARITY)
+    some = x.any(axis=1)  # the scan judges no other
+    return x[clear & some], labels[clear & some]
+
+
+def _calibrated(model: Classifier, x: np.ndarray, labels: np.ndarray) -> Classifier:
+    """The temperature and the offset of the unknown class with the least log loss on held-out rows, both kinds weighing alike."""
+    z, last = x @ model.weights + model.bias, len(model.families) - 1
+    weight = np.where(labels == last, 0.5 / max((labels == last).sum(), 1), 0.5 / max((labels < last).sum(), 1))
+
+    def loss(t: float, offset: float) -> float:
+        y = z / t
+        y[:, last] += offset / t
+        y = y - y.max(axis=1, keepdims=True)
+        return float(-(weight * (y[np.arange(len(y)), labels] - np.log(np.exp(y).sum(axis=1)))).sum())
+
+    grid = [(t, o) for t in np.geomspace(0.1, 5, 40) for o in np.linspace(-3, 3, 31)]
+    t, offset = min(grid, key=lambda g: loss(*g))
+    model.temperature = float(t)
+    model.bias = model.bias + offset * (np.arange(last + 1) == last)
     return model
 
 
+def reliability(model: Classifier, x: np.ndarray, labels: np.ndarray, bins: int = 10) -> tuple[float, float]:
+    """(accuracy, mean gap between probability and accuracy over bins of probability, weighted by rows)."""
+    p = model.probabilities(x)
+    top, right = p.max(axis=1), p.argmax(axis=1) == labels
+    at = np.minimum((top * bins).astype(int), bins - 1)
+    gap = sum(abs(top[at == b].mean() - right[at == b].mean()) * (at == b).mean() for b in np.unique(at))
+    return float(right.mean()), float(gap)
+
+
 def _scan(shared):
-    names = ["doc_id", "paragraph", "family", "probability", "similarity"]
+    names = ["doc_id", "paragraph", "start", "words", "family", "probability", "similarity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -184,18 +302,19 @@ def _scan(shared):
         bits[model.vocabulary >> U64(44)] = True
         for batch in batches:
             for s in segments(batch["text"], inside_word=ALNUM):
-                grams, line = _line_grams(s)
-                # Single words of notices are frequent anywhere; a template has n-grams of more, so those tell its lines.
-                some = bits[grams[1:] >> U64(44)].any(axis=0)
+                grams, ends, lines = _paragraph_grams(s)
+                # Single words of notices are frequent anywhere; a template has n-grams of more, so those tell where to look.
+                hits = np.flatnonzero(bits[grams[1:] >> U64(44)].any(axis=0))
+                hits = hits[(model.places(grams[1:, hits]) >= 0).any(axis=0)]
+                if not len(hits):
+                    continue
                 out = []
-                breaks = np.concatenate([[0], np.cumsum(s.data == 10)])
-                for number in np.unique(line[some]):
-                    a, b = np.searchsorted(line, number), np.searchsorted(line, number, side="right")
-                    own = grams[:, a:b].ravel()
-                    family, probability, share = model.predict(own[own != 0])
-                    if family != UNKNOWN and probability >= MIN_PROBABILITY and share >= MIN_SIMILARITY:
-                        row = int(np.searchsorted(s.bounds, a, side="right")) - 1
-                        out.append((row, int(breaks[s.starts[a]] - breaks[s.offsets[row]]), family, probability, share))
+                apart = np.flatnonzero((np.diff(hits) > GAP) | (ends[hits[1:]] != ends[hits[:-1]])) + 1
+                first_line = np.concatenate([[0], np.cumsum(s.data == 10)])[s.offsets[:-1]]
+                for stretch in np.split(hits, apart):
+                    row = int(np.searchsorted(s.bounds, stretch[0], side="right")) - 1
+                    for a, b, family, p, share in model.notices(grams, ends, stretch):
+                        out.append((row, int(lines[a] - first_line[row]), int(a - s.bounds[row]), b - a, family, p, share))
                 if out:
                     row, *cols = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(np.array(row) + s.lo)), *map(pa.array, cols)], names)
@@ -204,15 +323,20 @@ def _scan(shared):
 
 
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, paragraph (line number from 0), family, probability and similarity of each licence notice found."""
+    """doc_id, paragraph (line number from 0), start and words (in tokens), family, probability and similarity of each notice."""
     bounded_batches(docs.sparkSession)
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    few = d.where("text is not null").orderBy(F.xxhash64("doc_id", F.lit(4)), "text").limit(UNKNOWN_DOCS)
-    lines = few.select(F.explode(F.split("text", "\n")).alias("line")).where("trim(line) <> '' and not lower(line) rlike 'licen|copyright|spdx|permission|rights'")
-    unknown = [r["line"] for r in lines.limit(UNKNOWN_SAMPLE).collect()]
-    shared = docs.sparkSession.sparkContext.broadcast(train(unknown))
+    shared = docs.sparkSession.sparkContext.broadcast(train(unknown_lines(d)))
     kind = d.schema["doc_id"].dataType.simpleString()
-    return d.mapInArrow(_scan(shared), f"doc_id {kind}, paragraph long, family string, probability double, similarity double")
+    return d.mapInArrow(_scan(shared), f"doc_id {kind}, paragraph long, start long, words long, family string, probability double, similarity double")
+
+
+def unknown_lines(docs: DataFrame) -> list[str]:
+    """Lines of a bounded number of documents (doc_id, text): about UNKNOWN_DOCS, at most UNKNOWN_SAMPLE lines of at most LINE characters."""
+    n = max(1, docs.count())
+    some = docs if n <= UNKNOWN_DOCS else docs.where(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30)) < (UNKNOWN_DOCS << 30) // n)
+    lines = some.where("text is not null").select(F.explode(F.split("text", "\n")).alias("line")).where(f"trim(line) <> '' and length(line) <= {LINE}")
+    return [r["line"] for r in lines.orderBy(F.xxhash64("line"), "line").limit(UNKNOWN_SAMPLE).collect()]
 
 
 def op4_licenses(spark, sf_dir: str) -> DataFrame:

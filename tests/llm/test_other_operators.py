@@ -6,14 +6,17 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loregraph.llm.ann import nearest
+from loregraph.llm.ann import build_lists, nearest
 from loregraph.llm.chat import escape, format_conversations, parse, read_back, unescape
 from loregraph.llm.mixing import mix_sources, mixed_documents
-from loregraph.llm.quality import score_documents
+from loregraph.llm.quality import fit_documents, keep_good, score_documents, text_statistics
 from loregraph.llm.sharding import difference, shard_by_bytes
 
+from tests.llm.test_text_operators import components, overlaps_item, tokens_of
+
 DATA = "/root/testdata/sf0.001"
 
 
@@ -53,19 +56,26 @@ def test_mixing(docs, rows):
     assert mixed_documents(docs, mix).columns == docs.columns
 
 
-def test_mixed_documents_follow_the_taken_words(spark):
-    rows = [(None if i % 3 == 0 else i, f"w{i} " * (1 + i * i % 90), f"src{i % 3}") for i in range(240)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+def test_mixed_documents_follow_the_targets(spark):
+    rows = [(None if i % 3 == 0 else i, f"w{i} " * (1 + i * i % 90), f"src{i % 3}" if i % 7 else None, 70 + i % 2, i) for i in range(240)]
+    rows += [(5000, "same words here", "src1", 0, 0)] * 3 + [(5001, None, "src1", 0, 0), (5002, " ", "src1", 0, 0), (5003, "y " * 20000, "src2", 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _copy long, `_times` long")
     mix = mix_sources(docs)
-    taken, out, largest = Counter(), Counter(), Counter()
-    for r in mix.documents.collect():
-        taken[r["source"]] += r["taken"]
-    for _, text, source in rows:
-        largest[source] = max(largest[source], len(text.split()))
-    for r in mixed_documents(docs, mix).collect():
-        out[r["source"]] += len(r["text"].split())
-    assert all(abs(out[s] - taken[s]) <= largest[s] / 2 + 1 for s in taken)
-    assert mixed_documents(docs, mix).select("text").distinct().count() > 80
+    want = {r["source"]: r["target"] for r in mix.sources.collect()}
+    assert sum(want.values()) == pytest.approx(sum(len((t or "").split()) for _, t, *_ in rows))
+    words, largest, times = Counter(), Counter(), Counter()
+    for _, text, source, *_ in rows:
+        largest[source] = max(largest[source], len((text or "").split()))
+    out = mixed_documents(docs, mix)
+    assert out.columns == docs.columns
+    for r in out.collect():
+        words[r["source"]] += len(r["text"].split())
+        times[tuple(r)] += 1
+    assert all(abs(words[s] - want[s]) <= max(largest[s] / 2, 3) + 1 for s in want)
+    assert set(times) <= set(rows)  # rows as they were
+    passes = {r["source"]: r["passes"] for r in mix.sources.collect()}
+    assert all(passes[s] <= times[(i, t, s, a, b)] / (3 if i == 5000 else 1) <= passes[s] + 1 for i, t, s, a, b in rows if t and t.strip())
+    assert mixed_documents(docs.limit(0), mix_sources(docs.limit(0))).isEmpty()
 
 
 def test_mixing_empty(empty):
@@ -145,6 +155,48 @@ def test_neighbours(spark):
     assert nearest(table.limit(0), lambda i: i % 20 == 0).count() == 0
 
 
+def test_neighbours_of_structured_vectors_probe_few_lists(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(150, 16))
+    x = (centres[rng.integers(150, size=6000)] + 0.15 * rng.normal(size=(6000, 16))).astype(np.float32)
+    x[7] = x[9]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9, x[9].tolist()), (7000, [float("inf")] * 16)], "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in nearest(table, lambda i: i % 40 == 0, lists=120).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    hit = sum(len(set(np.argsort(-(x.astype(float) @ x[q].astype(float)), kind="stable")[:21].tolist()) & set(f)) for q, f in got.items())
+    assert len(got) == 150 and hit >= 0.9 * 20 * 150
+    cands = table.where("vec_id < 6000").groupBy(F.col("embedding").alias("vec")).agg(F.array(F.min("vec_id")).alias("ids"), F.min("vec_id").alias("cid"))
+    built = build_lists(cands, cands.where("cid % 40 = 0").select("vec", F.col("cid").alias("qc")), 20, lists=120)
+    assert len(built.index.centres) == 120 and built.probes <= 60
+
+
+def test_quality_scores_are_those_of_the_discriminant(spark):
+    """Means, shrunken covariances, log densities and the fitted curve, from the labelled rows with numpy alone."""
+    d, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    known = {r["doc_id"]: r["quality"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+    x = {r["doc_id"]: np.array(r["x"]) for r in text_statistics(d).collect()}
+    rows = np.array([x[i] for i in x if i in known])
+    y = np.array([known[i] for i in x if i in known])
+    z = (rows - rows.mean(axis=0)) / rows.std(axis=0)
+    own = [np.cov(z[y == c].T, bias=True) for c in (0, 1)]
+    pooled = sum((y == c).mean() * own[c] for c in (0, 1))
+    every = (np.array(list(x.values())) - rows.mean(axis=0)) / rows.std(axis=0)
+    density = []
+    for c in (0, 1):
+        cov = 0.95 * own[c] + 0.05 * pooled
+        cov = 0.98 * cov + 0.02 * np.trace(cov) / len(cov) * np.eye(len(cov))
+        far = every - z[y == c].mean(axis=0)
+        density.append(-0.5 * (far @ np.linalg.inv(cov) * far).sum(axis=1) - 0.5 * np.linalg.slogdet(cov)[1])
+    model = fit_documents(d, labels, "doc_id", "text", "quality")
+    assert np.allclose(model.difference(np.array(list(x.values()))), density[1] - density[0], rtol=1e-6, atol=1e-6)
+    got = {r["doc_id"]: r["score"] for r in score_documents(d, labels).collect()}
+    want = 1 / (1 + np.exp(-np.clip(model.slope * np.arcsinh(density[1] - density[0]) + model.offset, -500, 500)))
+    assert np.allclose([got[i] for i in x], want, atol=1e-6)
+    kept = {r["doc_id"] for r in keep_good(d, labels).collect()}
+    assert kept == {i for i, s in got.items() if s >= 0.7}
+
+
 def test_quality_held_out(spark):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = {r["doc_id"]: r for r in score_documents(d, labels).collect()}
@@ -162,12 +214,53 @@ def test_quality_edges(docs, spark):
     assert score_documents(docs.limit(0), labels).count() == 0
 
 
-def test_pipeline_stages(spark):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, DATA)
-        assert out.columns == docs.columns, name
-        before = {r["doc_id"] for r in docs.select("doc_id").collect()}
-        docs = spark.createDataFrame(out.collect(), docs.schema)
-        assert 0 < docs.count() and {r["doc_id"] for r in docs.select("doc_id").collect()} <= before
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() == docs.count()
+def test_pipeline_against_brute_force(docs, spark):
+    """Each stage on the rows that its predecessor left, against what plain Python makes of them."""
+    docs = docs.where("doc_id is not null")
+    labels, bench = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("labels", "benchmark"))
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality", "near_duplicates", "decontamination", "mixing", "sharding"]
+    rows = lambda df: Counter(tuple(r) for r in df.collect())
+    kept = stages["quality"](spark, docs, DATA)
+    scores = fit_documents(docs, labels, "doc_id", "text", "quality")
+    x = {r["doc_id"]: np.array(r["x"]) for r in text_statistics(docs).collect()}
+    good = {i for i, v in x.items() if scores.score(v[None])[0] >= 0.7}
+    assert rows(kept) == Counter({r: n for r, n in rows(docs).items() if r[0] in good})
+
+    more = spark.createDataFrame([r for r, n in rows(docs).items() for _ in range(n)], docs.schema)  # as it was: copies are wanted here
+    parts = [(r["doc_id"], r["text"], r["source"]) for r in more.collect()]
+    one = {i for i, _, least, _ in components(parts, 5, 80) if i == least}
+    left = stages["near_duplicates"](spark, more, DATA)
+    assert Counter(r["doc_id"] for r in left.collect()) == Counter(one) and set(rows(left)) <= set(rows(more))
+
+    items = [(b["item_id"], tokens_of(b["text"])) for b in bench.collect()]
+    clean = stages["decontamination"](spark, left, DATA)
+    assert rows(clean) == Counter({r: n for r, n in rows(left).items() if not any(overlaps_item(tokens_of(r[1]), t) for _, t in items)})
+
+    mixed = stages["mixing"](spark, clean, DATA)
+    assert set(rows(mixed)) <= set(rows(clean)) and max(rows(mixed).values()) <= 3
+    out = stages["sharding"](spark, mixed, DATA).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == Counter((r["doc_id"], len((r["text"] or "").encode()) + 8, zlib.crc32((r["text"] or "").encode())) for r in mixed.collect())
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_an_empty_table(spark, empty, name):
+    assert dict(corpus_pipeline.STAGES)[name](spark, empty, DATA).count() == 0
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_with_nulls_and_clashing_names(spark, name):
+    names = ("_id", "_k1", "rest", "packed", "row", "_s", "last_key", "f1", "k1", "size", "shard", "token")
+    base = [(1, "alpha beta gamma delta epsilon " * 9, "en", "a"), (1, "alpha beta gamma delta epsilon " * 9, "en", "a"), (None, None, None, None), (None, "", "de", None), (None, "one two three four five six seven", None, "b"), (3, "x" * 5000 + " y" * 30000, "en", "b")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    table = spark.createDataFrame([(*r, 7, *names) for r in base], schema)
+    out = dict(corpus_pipeline.STAGES)[name](spark, table, DATA)
+    got = out.collect()
+    if name == "sharding":
+        assert len(got) == len(base)
+    else:
+        assert out.columns == table.columns and {tuple(r) for r in got} <= {(*r, 7, *names) for r in base}
+    if name == "near_duplicates":
+        assert Counter((r["doc_id"], (r["text"] or "")[:3]) for r in got) == Counter({(1, "alp"): 1, (None, ""): 2, (None, "one"): 1, (3, "xxx"): 1})
+    if name == "decontamination":
+        assert len(got) == len(base)

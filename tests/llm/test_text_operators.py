@@ -1,14 +1,19 @@
 """Operators on texts against brute force over every row."""
 
 import hashlib
+import random
+import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loregraph.llm import suffix_dedup
 from loregraph.llm.decontaminate import decontaminate, overlaps
-from loregraph.llm.licenses import scan_licenses
+from loregraph.llm.licenses import TEMPLATES, reliability, scan_licenses, unknown_lines
+from loregraph.llm.licenses import _held as held_licenses
+from loregraph.llm.licenses import train as train_licenses
 from loregraph.llm.ngram_join import jaccard_components, keep_one
 from loregraph.llm.substring import remove_repeats
 from loregraph.llm.suffix_dedup import repeated_passages
@@ -136,10 +141,96 @@ def test_decontamination_finds_verbatim_items(spark, docs, rows):
     assert want <= got
 
 
+def tokens_of(text):
+    return [t for t in re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())]
+
+
+def overlaps_item(text, item, least=12, identity=0.75, mismatch=-2):
+    """Whether the best stretch of some diagonal counts, and a spaced seed (or a whole short item) hits on it."""
+    masks = [[i for i, c in enumerate(m) if c == "1"] for m in ("110110101111", "111010011011", "101101110111", "111101101101")]
+    if len(item) < 8:
+        return False
+    places = defaultdict(list)
+    for i, t in enumerate(item):
+        places[t].append(i)
+    for d in {p - q for p, t in enumerate(text) for q in places.get(t, ())}:
+        lo, hi = max(d, 0), min(d + len(item), len(text))
+        same = [text[p] == item[p - d] for p in range(lo, hi)]
+        whole = len(item) < 12 and len(same) == len(item) and all(same)
+        if not whole and not any(p + 12 <= len(same) and all(same[p + i] for i in m) for p in range(len(same)) for m in masks):
+            continue
+        best, start, score, found = 0, 0, 0, (0, 0)
+        for p, s in enumerate(same):
+            score += 1 if s else mismatch
+            if score < 0:  # a stretch is as long as it can be
+                score, start = 0, p + 1
+            elif score > best:
+                best, found = score, (start, p + 1)
+        matches, n = sum(same[found[0] : found[1]]), found[1] - found[0]
+        enough = min(least, (len(item) + 1) // 2) if len(item) >= 16 else min(least, len(item))
+        if matches >= enough and matches >= identity * n:
+            return True
+    return False
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choices(words, k=rng.choice([5, 9, 14, 20, 45, 60])))) for i in range(30)]
+    docs = []
+    for i in range(400):
+        part = rng.choice(items)[1].split()
+        lo = rng.randrange(len(part))
+        part = part[lo : lo + rng.randint(1, 60)]
+        part = [rng.choice(words) if rng.random() < rng.choice([0, 0.1, 0.25]) else w for w in part]
+        docs.append((i, " ".join([*rng.choices(words, k=rng.randint(0, 40)), *part, *rng.choices(words, k=rng.randint(0, 40))])))
+    docs += [(900, None), (901, ""), (902, items[5][1]), (902, items[5][1]), (903, "w1 " * 40000)]
+    table, bench = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame([*items, (77, None)], "item_id long, text string")
+    want = Counter((i, k) for i, t in docs for k, item in items if overlaps_item(tokens_of(t), tokens_of(item)))
+    assert 50 < len(want) and Counter((r["doc_id"], r["item_id"]) for r in overlaps(table, bench).collect()) == want
+    assert Counter(r["doc_id"] for r in decontaminate(table, bench).collect()) == Counter(i for i, _ in docs if i not in {i for i, _ in want})
+    assert overlaps(table.limit(0), bench).isEmpty() and overlaps(table, bench.limit(0)).isEmpty()
+
+
 def test_licenses(spark):
-    rows = [(1, "intro text\nLicensed under the Apache License, Version 2.0.\nmore"), (2, "This work is licensed under the GNU General Public License, version 3."), (3, "nothing to see"), (4, None), (5, ""), (6, "a driving license was lost\nunder the bridge")]
-    got = {(r["doc_id"], r["paragraph"], r["family"]) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {(1, 1, "Apache-2.0"), (2, 0, "GPL-3.0")}
+    rows = [(1, "intro text\nLicensed under the Apache License, Version 2.0.\nmore"), (2, "This work is licensed under the GNU General Public License, version 3."), (3, "nothing to see"), (4, None), (5, ""), (6, "a driving license was lost\nunder the bridge"), (2, "All rights reserved")]
+    got = Counter((r["doc_id"], r["paragraph"], r["family"]) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(1, 1, "Apache-2.0"), (2, 0, "GPL-3.0"), (2, 0, "Proprietary")])
+
+
+def test_licenses_in_wrapped_and_joined_lines(spark):
+    """Every planted notice is found in its family, wrapped or beside another, among words of real texts; few others are."""
+    rng = random.Random(5)
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    filler = [w for t in unknown_lines(d)[:300] for w in t.split()]
+    notices = [(f, t) for f, group in TEMPLATES.items() for t in group]
+    rows, want = [], Counter()
+    for i in range(400):
+        parts = []
+        for _ in range(rng.randint(0, 3)):
+            family, text = rng.choice(notices)
+            w, k = text.split(), rng.randint(3, 6)
+            parts += [" ".join(rng.choices(filler, k=rng.randint(2, 12))), text if rng.random() < 0.5 else "\n".join(" ".join(w[j : j + k]) for j in range(0, len(w), k))]
+            want[i, family] += 1
+        parts.append(" ".join(rng.choices(filler, k=20)))
+        rows.append((i, rng.choice([". ", "\n", " "]).join(parts)))
+    rows.append((1000, "Licensed under the MIT License " + "word " * 50000 + "Licensed under the MIT License"))
+    want[1000, "MIT"] += 2
+    got = Counter((r["doc_id"], r["family"]) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    both = sum((got & want).values())
+    assert both >= 0.98 * sum(want.values()) and both >= 0.97 * sum(got.values())
+
+
+def test_license_probabilities_are_calibrated(spark):
+    lines = unknown_lines(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"))
+    model = train_licenses(lines)
+    x, labels = held_licenses(model, lines[1::2], 60, np.random.default_rng(99))
+    unknown = labels == len(TEMPLATES)
+    accuracy, gap = reliability(model, x, labels)
+    assert unknown.sum() > 300 and accuracy > 0.97 and gap < 0.03
+    best, p, share = model.judge(x)
+    found = (best < len(TEMPLATES)) & (p >= 0.6) & (share >= 0.6)
+    assert found[unknown].mean() < 0.01 and (found & (best == labels))[~unknown].mean() > 0.95
 
 
 @pytest.mark.parametrize("run", [lambda d: jaccard_components(d), remove_repeats, repeated_passages, scan_licenses])

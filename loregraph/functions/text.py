@@ -45,16 +45,25 @@ def split_windows(c: Column, size: int = 1200, overlap: int = 200) -> Column:
 
 
 def split_sentences(c: Column, least: int = 40) -> Column:
-    """Sentences; a piece shorter than ``least`` characters is joined to the one before it."""
+    """Sentences; a piece shorter than ``least`` characters is joined to the one before it. Pieces ahead of the first long
+    one wait for it: together they begin it, and they stand before it twice, as the data model has it."""
     pieces = F.filter(F.transform(F.split(strip(c), SENTENCE_END), strip), lambda p: p != "")
+    start = F.named_struct(F.lit("done"), F.array().cast("array<string>"), F.lit("ahead"), F.lit("").cast("string"))
 
-    def join(done: Column, piece: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        merged = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat_ws(" ", last, piece)))
-        started = (F.size(done) == 1) & (F.length(last) < least)
-        return F.when((F.size(done) > 0) & ((F.length(piece) < least) | started), merged).otherwise(F.concat(done, F.array(piece)))
+    def join(state: Column, piece: Column) -> Column:
+        done, ahead = state["done"], state["ahead"]
+        cand = F.when(ahead != "", F.concat_ws(" ", ahead, piece)).otherwise(piece)
+        short = F.length(cand) < least
+        longer = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat_ws(" ", F.try_element_at(done, F.lit(-1)), cand)))
+        whole = F.concat(done, F.array(F.when(ahead != "", F.concat_ws(" ", ahead, cand)).otherwise(cand)))
+        next_done = F.when(short & (F.size(done) > 0), longer).when(short, done).otherwise(whole)
+        next_ahead = F.when(short & (F.size(done) == 0), cand).otherwise("")
+        return F.named_struct(F.lit("done"), next_done, F.lit("ahead"), next_ahead)
 
-    return F.aggregate(pieces, F.array().cast("array<string>"), join)
+    def end(state: Column) -> Column:
+        return F.when((F.size(state["done"]) == 0) & (state["ahead"] != ""), F.array(state["ahead"])).otherwise(state["done"])
+
+    return F.aggregate(pieces, start, join, end)
 
 
 def split_paragraphs(c: Column, least: int = 80) -> Column:
@@ -159,3 +168,38 @@ def roadmap_steps(c: Column) -> Column:
     """Numbered lines as structs (order, title of at most 120 characters)."""
     lines = F.filter(F.transform(F.split(c, "\n"), strip), lambda p: p.rlike(r"^\d+[.)]\s+\S"))
     return F.transform(lines, lambda p, i: F.struct((i + 1).alias("order"), F.substring(F.regexp_replace(p, r"^\d+[.)]\s+", ""), 1, 120).alias("title")))
+
+
+# Source types by chunk type, and the ids of page chunks.
+SOURCE_TYPES = {"excel_bucket": "excel", "pdf_text": "pdf", "book_text": "book", "scheme_caption": "scheme", "constraint_regulation": "regulation", "constraint_budget": "constraint", "constraint_example": "example", "external_text": "external"}
+PAGE_CHUNK = r"_p(\d+)_(\d+)$"
+
+
+def citation(chunk_id: Column, source: Column, chunk_type: Column, text: Column, meta: Column, source_url: Column) -> Column:
+    """A struct with source, type, place (page, paragraph, cell by metal, sheet), excerpt of at most 320 characters and
+    display_ref. Page and paragraph come from the metadata (map), else from the chunk's id."""
+    number = lambda c: F.expr("null") if c is None else c.try_cast("int")
+    kinds = F.create_map(*[F.lit(x) for pair in SOURCE_TYPES.items() for x in pair])
+    kind = F.coalesce(kinds[chunk_type], chunk_type)
+    own, by_id = number(meta["paragraph_index"]), chunk_id.rlike(PAGE_CHUNK)
+    paragraph = F.coalesce(own, F.when(by_id, number(F.regexp_extract(chunk_id, PAGE_CHUNK, 2))))
+    page = F.coalesce(number(meta["page"]), F.when(own.isNull() & by_id, number(F.regexp_extract(chunk_id, PAGE_CHUNK, 1))))
+    cell = F.coalesce(F.when(meta["metal"] == "Ni", meta["excel_cell_ni"]).otherwise(meta["excel_cell_cu"]), meta["excel_cell"])
+    name, t = F.coalesce(F.nullif(source, F.lit("")), chunk_id), strip(text)
+    ref = F.concat_ws(", ", name, F.concat(F.lit("стр. "), page), F.concat(F.lit("§"), paragraph + 1), F.concat(F.lit("ячейка "), cell), F.when(kind == "external", source_url), F.concat(F.lit("лист «"), meta["sheet"], F.lit("»")))
+    cut = F.when(F.length(t) > 320, F.concat(F.left(t, F.lit(319)), F.lit("…"))).otherwise(t)
+    return F.struct(name.alias("source"), kind.alias("source_type"), page.alias("page"), paragraph.alias("paragraph_index"), cell.alias("excel_cell"), meta["sheet"].alias("sheet"), cut.alias("excerpt"), ref.alias("display_ref"))
+
+
+def confidence(score: Column) -> Column:
+    """A fifth of the score, 1 at most; 0.7 without one."""
+    return F.when(F.coalesce(score, F.lit(0.0)) == 0, 0.7).otherwise(F.least(F.lit(1.0), score / 5))
+
+
+def impact_band(share: Column) -> Column:
+    return F.when(share >= 0.85, "high").when(share >= 0.7, "medium").otherwise("low")
+
+
+def novelty(c: Column) -> Column:
+    low = F.lower(F.coalesce(F.nullif(c, F.lit("")), F.lit("medium")))
+    return F.when(low.isin("high", "medium", "low"), low).otherwise("medium")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loregraph.functions.text import slug
+
 # Relations of intervention paths, prefixes of retrieval and topic nodes, limits of topic wiring.
 INTERVENTION = ("EXPLAINED_BY", "ADDRESSED_BY", "USES_EQUIPMENT", "RELATED_MECHANISM")
 RETRIEVAL_PREFIXES = ("lossform_", "mech_", "process_", "equip_", "mineral_", "reagent_")
@@ -180,3 +182,12 @@ def supports(passages: DataFrame, hypotheses: DataFrame, least: int = 1) -> Data
     """SUPPORTS_HYPOTHESIS pairs by shared entities: tags (chunk_id, node_id) against (hypothesis_id, node_id)."""
     p = passages.select("chunk_id", "node_id").distinct().join(hypotheses.select("hypothesis_id", "node_id").distinct(), "node_id")
     return p.groupBy("chunk_id", "hypothesis_id").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+
+
+def example_hypotheses(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hypothesis nodes of example chunks (chunk_id, chunk_type, summary, text, source_id), and their edges to passage and source."""
+    c = chunks.where("chunk_type = 'constraint_example'").withColumn("node_id", slug(F.lit("hypothesis"), F.col("chunk_id")))
+    nodes = c.select("node_id", F.lit("Hypothesis").alias("node_type"), F.coalesce(F.nullif("summary", F.lit("")), F.left("text", F.lit(72))).alias("label"), F.col("text").alias("claim"), "chunk_id")
+    ends = F.array(F.struct(F.lit("HAS_PASSAGE").alias("relation"), F.concat(F.lit("passage_"), "chunk_id").alias("target")), F.struct(F.lit("EVIDENCED_BY").alias("relation"), F.col("source_id").alias("target")))
+    edges = c.select(F.col("node_id").alias("source"), F.inline(ends)).where("target is not null").distinct()
+    return nodes.dropDuplicates(["node_id"]), edges

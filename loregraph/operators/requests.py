@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loregraph.functions.text import EXPANSION_TOKEN, highlight, tokenize
+from loregraph.operators import losses as L
 from loregraph.operators import retrieval as R
+from loregraph.store import stored
 
 # Channel weights and depths of retrieval.
 WEIGHTS = {"graph": 2.5, "hybrid": 1.6, "constraint": 2.0, "dense": 1.0, "bm25": 1.3}
-K_CHANNEL, K_GRAPH, K_OUT = 60, 30, 8
+GRAPH_REPEAT = 1.5
+K_CHANNEL, K_GRAPH, K_CONSTRAINT, K_OUT = 60, 30, 20, 8
+SLOTS = ("factory", "metal", "mineral_form", "size_class", "node_type", "entity", "search")
 
 
 def has_any(text: Column, words: tuple[str, ...]) -> Column:
@@ -44,7 +48,6 @@ def classify_intent(text: Column, words: dict[str, tuple[str, ...]], entity: Col
         .when(w("by_factory"), "factory_breakdown")
         .when(search.isNotNull() & w("find"), "search_nodes")
         .when(entity.isNotNull() & factory.isNull(), "neighbors")
-        .when(search.isNotNull() | w("find"), "search_nodes")
         .otherwise("search_nodes")
     )
 
@@ -73,26 +76,179 @@ def pin_first(ranked: DataFrame, pinned: DataFrame) -> DataFrame:
     return rest.union(pinned.select("query_id", "chunk_id", F.lit(1.0), F.lit(0)))
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, query_nodes: DataFrame, tags: DataFrame, k_out: int = K_OUT) -> DataFrame:
-    """Channels, weighted fusion, graph and token reranks, diversity, highlights: query_id, position, chunk_id, score, channels, highlight.
+def question_slots(questions: DataFrame, aliases: DataFrame, text: str = "question") -> DataFrame:
+    """Add the slots that a question names: a column for each slot of SLOTS with the value of its first alias in the text.
 
-    queries: query_id, text. chunks: chunk_id, text. query_nodes: query_id, node_id. tags: chunk_id, node_id.
+    aliases: slot, seq, needle, value; a dimension. ``search`` is the last alias of slot search, else the whole question
+    if it is longer than 3 characters.
     """
-    tf = R.term_frequencies(chunks)
-    voc = R.tfidf_vocabulary(tf, R.corpus_stats(chunks))
-    bm25 = R.top_k(R.bm25_scores(queries, chunks), K_CHANNEL)
-    dense = R.top_k(R.dot_scores(R.tfidf_vectors(queries, voc, "query_id"), R.tfidf_vectors(chunks, voc, "chunk_id")), K_CHANNEL)
-    graph = R.top_k(R.graph_overlap(query_nodes, tags), K_GRAPH)
-    named = None
-    for name, ranked in (("bm25", bm25), ("dense", dense), ("graph", graph)):
-        part = ranked.select("query_id", "chunk_id", "rank", F.lit(name).alias("channel"), F.lit(WEIGHTS[name]).alias("weight"))
-        named = part if named is None else named.union(part)
-    fused = R.top_k(R.weighted_rrf(named), 4 * k_out)
-    none = F.array().cast("array<string>")
-    nodes = query_nodes.groupBy("query_id").agg(F.collect_set("node_id").alias("nodes"))
-    tagged = tags.groupBy("chunk_id").agg(F.collect_set("node_id").alias("graph_node_ids"))
-    c = fused.join(chunks.select("chunk_id", "text"), "chunk_id").join(queries.withColumnRenamed("text", "query_text"), "query_id")
-    c = c.join(nodes, "query_id", "left").join(tagged, "chunk_id", "left").withColumns({"nodes": F.coalesce("nodes", none), "graph_node_ids": F.coalesce("graph_node_ids", none)})
-    picked = R.mmr(R.rerank_overlap(R.rerank_graph_overlap(c)), k_out)
-    out = picked.join(c.select("query_id", "chunk_id", "text", "query_text", "channels"), ["query_id", "chunk_id"])
-    return out.select("query_id", "position", "chunk_id", "score", "channels", highlight(F.col("query_text"), F.col("text")).alias("highlight"))
+    q = questions.withColumn("_id", F.monotonically_increasing_id()) if "request_id" not in questions.columns else questions.withColumn("_id", F.col("request_id"))
+    hits = q.select("_id", F.lower(text).alias("_low")).distinct().join(F.broadcast(aliases), F.contains("_low", "needle"))
+    found = hits.groupBy("_id").pivot("slot", list(SLOTS)).agg(F.min_by("value", "seq"))
+    out = q.join(found, "_id", "left").drop("_id")
+    whole = F.when(F.length(F.trim(text)) > 3, F.trim(text))
+    return out.withColumn("search", F.coalesce("search", whole))
+
+
+def bucket_or_top(requests: DataFrame, buckets: DataFrame, k: int = 5) -> DataFrame:
+    """request_id, rank, node_id and tonnes: the bucket that a request names, else the k largest that fit its other slots
+    (factory, metal, mineral_form, size_class; null: any)."""
+    named = requests.where("bucket_id is not null").join(buckets.select("node_id", "tonnes"), F.col("bucket_id") == F.col("node_id"))
+    slots = ["factory", "metal", "mineral_form", "size_class"]
+    rest = requests.where("bucket_id is null")
+    scopes = rest.select(*slots).distinct()
+    # The largest of each combination of set slots first, so that no request meets more than k buckets.
+    tops = None
+    for n in range(1 << len(slots)):
+        own = [s for i, s in enumerate(slots) if n >> i & 1]
+        scope = scopes
+        for s in slots:
+            scope = scope.where(F.col(s).isNotNull() if s in own else F.col(s).isNull())
+        w = Window.partitionBy(*own).orderBy(F.desc("tonnes"), "node_id") if own else Window.orderBy(F.desc("tonnes"), "node_id")
+        ranked = buckets if own else buckets.orderBy(F.desc("tonnes"), "node_id").limit(k)
+        ranked = ranked.select(*own, "node_id", "tonnes", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
+        part = scope.join(ranked, own) if own else scope.join(F.broadcast(ranked), F.lit(True))  # k rows
+        part = part.select(*slots, "rank", "node_id", "tonnes")
+        tops = part if tops is None else tops.union(part)
+    tops = tops.toDF(*(f"_{s}" for s in slots), "rank", "node_id", "tonnes")
+    same = F.lit(True)
+    for s in slots:
+        same = same & F.col(s).eqNullSafe(F.col(f"_{s}"))
+    return named.select("request_id", F.lit(1).alias("rank"), "node_id", "tonnes").union(rest.join(tops, same).select("request_id", "rank", "node_id", "tonnes"))
+
+
+def constraint_rankings(scopes: DataFrame, chunks: DataFrame, k: int = K_CONSTRAINT) -> DataFrame:
+    """The k constraint chunks of each query (query_id, factory, budget_tier): query_id, chunk_id, rank.
+
+    Budget and example chunks of its tier, regulations of its factory or of none, which go first. Lists are cut to k for
+    each tier and factory before they meet the queries.
+    """
+    top = lambda df, by: df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("chunk_id"))).where(F.col("_r") <= k).drop("_r")
+    tiers = top(chunks.where("chunk_type in ('constraint_budget', 'constraint_example')").select("budget_tier", "chunk_id"), ["budget_tier"])
+    rules = chunks.where("chunk_type = 'constraint_regulation'").select("factory", "chunk_id")
+    own, every = top(rules.where("factory is not null"), ["factory"]), rules.where("factory is null").orderBy("chunk_id").limit(k).select("chunk_id")
+    s = scopes.select("query_id", "factory", "budget_tier")
+    hits = s.join(tiers, "budget_tier").select("query_id", "chunk_id", F.lit(1.0).alias("score"))
+    hits = hits.union(s.join(own, "factory").select("query_id", "chunk_id", F.lit(2.0))).union(s.select("query_id").join(F.broadcast(every), F.lit(True)).select("query_id", "chunk_id", F.lit(2.0)))
+    return R.top_k(hits, k)
+
+
+def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """BM25 and TF-IDF rankings of each query with equal weights: query_id, chunk_id, score, rank of the k best."""
+    post = stored(R.postings(chunks))
+    voc = stored(R.tfidf_vocabulary(post, R.postings_stats(chunks, post).select("n")))
+    bm25 = R.bm25_topk(queries, chunks, k, post)
+    dense = R.sparse_topk(R.tfidf_vectors(queries, voc, "query_id"), R.tfidf_vectors(post.select("chunk_id", "term", "tf"), voc, "chunk_id"), k)
+    both = bm25.select("query_id", "chunk_id", "rank", F.lit("bm25").alias("channel"), F.lit(1.0).alias("weight"))
+    both = both.union(dense.select("query_id", "chunk_id", "rank", F.lit("dense"), F.lit(1.0)))
+    return R.top_k(R.weighted_rrf(both), k)
+
+
+def rewrite_hits(queries: DataFrame, chunks: DataFrame, k: int = K_CHANNEL) -> DataFrame:
+    """Hybrid search for each rewrite (query_id, q_idx, text): query_id, q_idx, chunk_id, score, rank."""
+    kind = queries.schema["query_id"].dataType.simpleString()
+    each = queries.select(F.concat_ws("#", "query_id", "q_idx").alias("query_id"), "text")
+    hits = hybrid_search(each, chunks, k)
+    key = F.col("query_id")
+    return hits.select(F.substring_index(key, "#", 1).cast(kind).alias("query_id"), F.substring_index(key, "#", -1).cast("int").alias("q_idx"), "chunk_id", "score", "rank")
+
+
+def probe_top(hits: DataFrame, k: int = 5) -> DataFrame:
+    """The k first chunks of each rewrite of requests that have several."""
+    hits = stored(hits)
+    several = hits.groupBy("query_id").agg(F.countDistinct("q_idx").alias("_n")).where("_n > 1").select("query_id")
+    return hits.where(F.col("rank") <= k).join(several, "query_id", "left_semi").select("query_id", "q_idx", "rank", "chunk_id")
+
+
+def with_probes(hypotheses: DataFrame, probes: DataFrame) -> DataFrame:
+    """Hypotheses (query_id, q_idx, ...) with the list of their probe's chunks; an empty one without a probe."""
+    lists = probes.groupBy("query_id", "q_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("probe_top_chunks"))
+    return hypotheses.join(lists, ["query_id", "q_idx"], "left").withColumn("probe_top_chunks", F.coalesce("probe_top_chunks", F.array().cast("array<string>")))
+
+
+def rank_candidates(queries: DataFrame, chunks: DataFrame, query_nodes: DataFrame | None, tags: DataFrame | None, constraints: DataFrame | None = None, buckets: DataFrame | None = None, k_out: int = K_OUT) -> DataFrame:
+    """All channels fused and reranked, before diversity: query_id, chunk_id, score, channels, text, query_text.
+
+    queries: query_id, q_idx, text (a row for each rewrite). query_nodes: query_id, node_id and tags: chunk_id, node_id (both
+    None: no graph). constraints: query_id, chunk_id, rank. buckets: query_id of requests that are about one bucket, for which
+    the graph's ranking counts once more.
+    """
+    row = lambda df, name, weight: df.select("query_id", "chunk_id", "rank", F.lit(name).alias("channel"), F.lit(weight).alias("weight"))
+    named = row(rewrite_hits(queries, chunks), "hybrid", WEIGHTS["hybrid"])
+    if constraints is not None:
+        named = named.union(row(constraints, "constraint", WEIGHTS["constraint"]))
+    if query_nodes is not None:
+        graph = R.top_k(R.graph_overlap(query_nodes, tags), K_GRAPH)
+        named = named.union(row(graph, "graph", WEIGHTS["graph"]))
+        if buckets is not None:
+            named = named.union(row(graph.join(buckets, "query_id", "left_semi"), "graph", GRAPH_REPEAT))
+    fused = stored(R.top_k(R.weighted_rrf(named), 4 * k_out))
+    every = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("q_idx", "text"))), lambda x: x["text"]), " | ")
+    asked = queries.groupBy("query_id").agg(every.alias("query_text"))
+    c = fused.select("query_id", "chunk_id", "score", "channels").join(chunks.select("chunk_id", "text"), "chunk_id").join(asked, "query_id")
+    if query_nodes is not None:
+        none = F.array().cast("array<string>")
+        nodes = query_nodes.groupBy("query_id").agg(F.collect_set("node_id").alias("nodes"))
+        tagged = tags.groupBy("chunk_id").agg(F.collect_set("node_id").alias("graph_node_ids"))
+        c = c.join(nodes, "query_id", "left").join(tagged, "chunk_id", "left").withColumns({"nodes": F.coalesce("nodes", none), "graph_node_ids": F.coalesce("graph_node_ids", none)})
+        c = R.rerank_graph_overlap(c)
+    return R.rerank_overlap(c).select("query_id", "chunk_id", F.round("score", 8).alias("score"), "channels", "text", "query_text")
+
+
+def retrieve(candidates: DataFrame, k_out: int = K_OUT, pinned: DataFrame | None = None, chunks: DataFrame | None = None) -> DataFrame:
+    """Diversity, the pinned chunk first (query_id, chunk_id; looked up in ``chunks``), highlights: query_id, position,
+    chunk_id, score, channels, highlight."""
+    candidates = stored(candidates)
+    picked = R.mmr(candidates, k_out)
+    if pinned is not None:
+        picked = pin_first(picked, pinned)
+    out = picked.join(candidates.select("query_id", "chunk_id", "text", "channels"), ["query_id", "chunk_id"], "left")
+    out = out.join(candidates.groupBy("query_id").agg(F.first("query_text").alias("query_text")), "query_id", "left")
+    if chunks is not None:
+        out = out.join(chunks.select("chunk_id", F.col("text").alias("_text")), "chunk_id", "left").withColumn("text", F.coalesce("text", "_text"))
+    return out.select("query_id", "position", "chunk_id", "score", F.coalesce("channels", F.lit("bucket")).alias("channels"), highlight(F.coalesce("query_text", F.lit("")), F.col("text")).alias("highlight"))
+
+
+def merge_sources(rows: DataFrame) -> DataFrame:
+    """Sources (request_id, seq, chunk_id, title, ...) without repeats: the first by chunk_id, or by title where that is missing."""
+    key = F.coalesce(F.nullif("chunk_id", F.lit("")), "title")
+    w = Window.partitionBy("request_id", key).orderBy("seq")
+    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def enrich_sources(said: DataFrame, known: DataFrame) -> DataFrame:
+    """Sources that a model named (request_id, seq, chunk_id, title, type, relevance) with what is known of their chunk
+    (chunk_id, title, type, excerpt, relevance); one that isn't known keeps its own words."""
+    k = known.select("chunk_id", F.col("title").alias("_title"), F.col("type").alias("_type"), F.col("excerpt").alias("_excerpt"), F.col("relevance").alias("_relevance"), F.lit(True).alias("_known"))
+    s = said.join(k, "chunk_id", "left")
+    own = lambda c, other: F.when(F.col("_known"), F.col(f"_{c}")).otherwise(F.coalesce(F.nullif(c, F.lit("")), F.lit(other)))
+    relevance = F.coalesce(F.nullif("relevance", F.lit("")), "_relevance", F.lit(""))
+    return s.select("request_id", "seq", "chunk_id", own("title", "Источник").alias("title"), own("type", "reference").alias("type"), F.when(F.col("_known"), F.col("_excerpt")).otherwise(F.coalesce("relevance", F.lit(""))).alias("excerpt"), relevance.alias("relevance"))
+
+
+def source_details(sources: DataFrame) -> DataFrame:
+    """Sources (chunk_id, title, type, excerpt, relevance, source_url) as given out: title, type, excerpt, url."""
+    url = F.when(F.coalesce("chunk_id", F.lit("")) != "", F.concat(F.lit("/api/v1/sources/chunks/"), "chunk_id")).otherwise(F.nullif("source_url", F.lit("")))
+    words = lambda *c: F.coalesce(*(F.nullif(F.col(x), F.lit("")) if x in sources.columns else F.lit(x) for x in c))
+    return sources.withColumns({"title": words("title", "chunk_id", "Источник"), "type": words("type", "db"), "excerpt": F.coalesce(words("excerpt", "relevance"), F.lit("")), "url": url})
+
+
+def session_context(requests: DataFrame, buckets: DataFrame, equipment: DataFrame, tier_texts: dict[str, str], words: dict[str, tuple[str, ...]]) -> DataFrame:
+    """A row for each request: intent, bucket and how it was found, factory, budget tier, role, constraints, five largest buckets.
+
+    requests: request_id, question, bucket_id, factory, metal, size_class, mineral_form, budget_tier, entity, search, user_constraints.
+    """
+    resolved = L.resolve_buckets(requests, buckets)
+    budgets = L.infer_budget(buckets).select(F.col("node_id").alias("bucket"), F.col("factory").alias("_factory"), F.col("budget_tier").alias("_tier"), F.col("size_class").alias("_size"), F.col("mineral_form").alias("_form"))
+    r = requests.join(resolved, "request_id").join(budgets, "bucket", "left")
+    intent = classify_intent(F.lower("question"), words, F.col("entity"), F.col("factory"), F.col("search"))
+    r = r.withColumns({"intent": intent, "_f": F.coalesce("factory", "_factory"), "tier": L.resolve_tier(F.col("budget_tier"), F.col("_tier"))})
+    r = r.withColumn("role", L.agent_role(F.col("intent"), F.col("_form"), F.col("_size")))
+    own = equipment.groupBy(F.col("factory").alias("_f")).agg(F.collect_set("equipment").alias("_equipment"))
+    r = r.join(own, "_f", "left")
+    texts = F.create_map(*[F.lit(x) for pair in tier_texts.items() for x in pair])
+    r = r.withColumn("constraints", constraint_items(texts[F.col("tier")], F.coalesce("_equipment", F.array().cast("array<string>")), F.col("user_constraints")))
+    scopes = r.select("request_id", F.lit(None).cast("string").alias("bucket_id"), F.col("_f").alias("factory"), "metal", F.lit(None).cast("string").alias("mineral_form"), F.lit(None).cast("string").alias("size_class"))
+    tops = bucket_or_top(scopes, buckets).groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "node_id"))), lambda x: x["node_id"]).alias("top_buckets"))
+    r = r.join(tops, "request_id", "left")
+    return r.select("request_id", "intent", "bucket", "method", F.col("_f").alias("factory"), F.col("tier").alias("budget_tier"), "role", "constraints", "top_buckets")

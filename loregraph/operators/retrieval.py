@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loregraph.functions.text import tokenize
+from loregraph.store import stored
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 RRF_K = 60
 TFIDF_TERMS, HASH_BUCKETS = 512, 256
 MMR_LAMBDA = 0.72
-QUERY_BLOCK = 512
+QUERY_BLOCK, STEP = 65_536, 512
+QUERY_TERMS, SCORES = 200_000, 4_000_000
 
 
 def tokens(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -52,16 +56,103 @@ def top_k(scores: DataFrame, k: int, query: str = "query_id", item: str = "chunk
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """query_id, chunk_id and Okapi score of chunks that hold a query token; repeated query tokens count again."""
-    tf = term_frequencies(chunks)
-    stats = corpus_stats(chunks)
-    asked = tokens(queries, "query_id").groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    wanted = asked.join(bm25_terms(document_frequencies(tf), stats), "term")
-    length = chunks.select("chunk_id", F.size(tokenize(F.col("text"))).alias("dl"))
-    hits = tf.join(wanted, "term").join(length, "chunk_id").join(F.broadcast(stats), F.lit(True), "left")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+def postings(chunks: DataFrame) -> DataFrame:
+    """chunk_id, term, tf and dl (the chunk's number of tokens). Texts are dealt out by chunk and split once; their tokens stay there."""
+    t = chunks.select("chunk_id", "text").repartition("chunk_id").select("chunk_id", tokenize(F.col("text")).alias("_t")).select("chunk_id", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+    return t.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+
+
+def encode_terms(chunks: DataFrame, encoder: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Sparse rows (chunk_id, term, weight): of ``encoder`` if one is given, else the BM25 weights without idf of postings."""
+    if encoder is not None:
+        return encoder(chunks).select("chunk_id", "term", F.col("weight").cast("double").alias("weight"))
+    stats = postings_stats(chunks, post := postings(chunks))
+    return post.join(F.broadcast(stats), F.lit(True), "left").select("chunk_id", "term", impact().alias("weight"))
+
+
+def embed(rows: DataFrame, embedder: Callable[[pd.Series], np.ndarray], key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """(key, vec) by an embedder of whole batches: a function from a series of texts to a matrix of as many rows."""
+
+    @F.pandas_udf("array<float>")
+    def vectors(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series(list(np.asarray(embedder(batch.fillna("")), np.float32)))
+
+    return rows.select(key, vectors(F.col(text)).alias("vec"))
+
+
+def impact() -> Column:
+    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+
+def postings_stats(chunks: DataFrame, post: DataFrame) -> DataFrame:
+    """One row: n chunks and their average number of tokens."""
+    every = chunks.agg(F.count(F.lit(1)).alias("n"))
+    return every.join(F.broadcast(post.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("_tokens"))), F.lit(True), "left").select("n", (F.col("_tokens") / F.col("n")).alias("avgdl"))
+
+
+def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int, post: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id, score and rank of the k chunks of highest Okapi score; repeated query tokens count again."""
+    post = stored(postings(chunks)) if post is None else post
+    stats = stored(postings_stats(chunks, post))
+    terms = bm25_terms(document_frequencies(post), stats)
+    asked = tokens(queries, "query_id").groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")).join(terms, "term")
+    parts = post.join(F.broadcast(stats), F.lit(True), "left").select("chunk_id", "term", impact().alias("weight"))
+    return sparse_topk(asked.select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")), parts, k)
+
+
+def sparse_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """The k largest sums of products of two sparse tables (query_id, term, weight) and (chunk_id, term, weight).
+
+    A pair of a query and a chunk is never a row: queries go to all tasks in blocks of about QUERY_TERMS of their rows, each
+    batch of chunks adds up its products by (chunk, query), and passes on the k best chunks of each query.
+    """
+    kind, qkind = chunks.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    asked = stored(queries)
+    blocks = 1 + asked.count() // QUERY_TERMS
+    wanted = chunks.join(asked.select("term").distinct(), "term", "left_semi")
+    rows = wanted.groupBy("chunk_id").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))
+    rows = stored(rows) if blocks > 1 else rows
+    out = None
+    for b in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
+        if len(own) or out is None:
+            part = rows.mapInArrow(_scorer(queries.sparkSession.sparkContext.broadcast(own), k), f"query_id {qkind}, chunk_id {kind}, score double")
+            out = part if out is None else out.union(part)
+    return top_k(out, k)
+
+
+def _scorer(shared, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        ids, query = np.unique(own["query_id"].to_numpy(), return_inverse=True)
+        terms, term = np.unique(own["term"].to_numpy().astype(str), return_inverse=True)
+        order = np.argsort(term, kind="stable")
+        query, weight = query[order], own["weight"].to_numpy(np.float64)[order]
+        edges = np.searchsorted(term[order], np.arange(len(terms) + 1))
+        known = pa.array(terms.tolist(), pa.string())
+        step = max(1, SCORES // max(1, len(ids)))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, step):
+                batch = whole.slice(lo, step)
+                lists = batch["terms"]
+                n = np.diff(lists.offsets.to_numpy())
+                at = pc.index_in(lists.flatten().cast(pa.string()), value_set=known).fill_null(-1).to_numpy()
+                row, part = np.repeat(np.arange(len(n)), n)[at >= 0], batch["weights"].flatten().to_numpy()[at >= 0]
+                at = at[at >= 0]
+                each = edges[at + 1] - edges[at]
+                place = np.repeat(edges[at] - np.cumsum(each) + each, each) + np.arange(int(each.sum()))
+                cell = query[place] * len(n) + np.repeat(row, each)
+                s = np.round(np.bincount(cell, np.repeat(part, each) * weight[place], minlength=len(ids) * len(n)).reshape(len(ids), len(n)), 6)
+                by_id = np.argsort(batch["chunk_id"].to_numpy(zero_copy_only=False), kind="stable")
+                s = s[:, by_id]
+                best = _largest(s, k)
+                q = np.repeat(np.arange(len(ids)), best.shape[1])
+                score = s[q, best.ravel()]
+                some = score > 0
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q[some]]), batch["chunk_id"].take(pa.array(by_id[best.ravel()[some]])), pa.array(score[some])], ["query_id", "chunk_id", "score"])
+
+    return run
 
 
 def tfidf_vocabulary(tf: DataFrame, stats: DataFrame, terms: int = TFIDF_TERMS) -> DataFrame:
@@ -76,8 +167,8 @@ def normalized(weights: DataFrame, key: str) -> DataFrame:
 
 
 def tfidf_vectors(rows: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
-    """Sparse rows (key, term, weight) of unit length."""
-    tf = term_frequencies(rows, key).join(F.broadcast(vocabulary), "term")  # the vocabulary is bounded by its size parameter
+    """Sparse rows (key, term, weight) of unit length, of texts or of postings (key, term, tf)."""
+    tf = (rows if "tf" in rows.columns else term_frequencies(rows, key)).join(F.broadcast(vocabulary), "term")  # the vocabulary is bounded by its size parameter
     return normalized(tf.select(key, "term", (F.col("tf") * F.col("idf")).alias("weight")), key)
 
 
@@ -98,7 +189,8 @@ def dot_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Exact cosine top-k over stored arrays: queries (query_id, vec) go to all tasks in blocks, vectors (chunk_id, vec) stay in place."""
+    """Exact cosine top-k over stored arrays: queries (query_id, vec) go to all tasks in blocks of a bounded size, vectors
+    (chunk_id, vec) stay in place and are gone through once for each block; a batch passes on its k + 1 best of each query."""
     kind = vectors.schema["chunk_id"].dataType.simpleString()
     qkind = queries.schema["query_id"].dataType.simpleString()
     out, sc = None, queries.sparkSession.sparkContext
@@ -107,26 +199,39 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
         if not len(part):
             continue
-        shared = sc.broadcast((part["query_id"].to_numpy(), np.stack(part["vec"].to_numpy()).astype(np.float64)))
+        shared = sc.broadcast((part["query_id"].to_numpy(), np.stack(part["vec"].to_numpy()).astype(np.float32)))
 
         def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            q = q / np.linalg.norm(q, axis=1, keepdims=True)
+            ids, every = shared.value
             for pdf in frames:
                 if not len(pdf):
                     continue
                 x = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-                s = np.round((x / np.linalg.norm(x, axis=1, keepdims=True)) @ q.T, 6)
-                names = pdf["chunk_id"].to_numpy()
-                for j, query in enumerate(ids):
-                    best = np.lexsort((names, -s[:, j]))[: k + 1]
-                    yield pd.DataFrame({"query_id": query, "chunk_id": names[best], "score": s[best, j]})
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                order = np.argsort(pdf["chunk_id"].to_numpy(), kind="stable")
+                x, names = x[order], pdf["chunk_id"].to_numpy()[order]
+                for lo in range(0, len(ids), STEP):
+                    q = every[lo : lo + STEP].astype(np.float64)
+                    s = np.round((q / np.linalg.norm(q, axis=1, keepdims=True)) @ x.T, 6)
+                    best = _largest(s, k + 1)
+                    row = np.repeat(np.arange(len(q)), best.shape[1])
+                    yield pd.DataFrame({"query_id": ids[lo : lo + STEP][row], "chunk_id": names[best.ravel()], "score": s[row, best.ravel()]})
 
         found = vectors.select("chunk_id", "vec").mapInPandas(run, f"query_id {qkind}, chunk_id {kind}, score double")
         out = found if out is None else out.union(found)
     return top_k(out.where("chunk_id <> query_id"), k)
 
 
+def _largest(scores: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k largest of each row; of equals at the border, the first."""
+    if scores.shape[1] <= k:
+        return np.tile(np.arange(scores.shape[1]), (len(scores), 1))
+    edge = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+    above, level = scores > edge, scores == edge
+    room = k - above.sum(axis=1, keepdims=True)
+    return np.nonzero(above | (level & (np.cumsum(level, axis=1) <= room)))[1].reshape(len(scores), k)
+
+
 def weighted_rrf(rankings: DataFrame, k: int = RRF_K) -> DataFrame:
     """rankings: query_id, channel, weight, rank, chunk_id -> summed weight / (k + rank) and the channels' sorted names."""
     r = rankings.where("weight > 0")
@@ -195,3 +300,9 @@ def judged_metrics(hits: DataFrame, k: int) -> DataFrame:
     out = h.groupBy("query_id").agg(F.max("relevant").alias("hit_at_k"), F.avg("relevant").alias("precision"), F.min(F.when(F.col("relevant") == 1, F.col("rank"))).alias("first_rank"), F.sum(gain(F.col("rank"))).alias("_dcg"), F.sum(gain(F.col("_ideal"))).alias("_best"))
     r = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 3)
     return out.select("query_id", "hit_at_k", r(F.col("precision")).alias("precision"), r(1 / F.col("first_rank")).alias("mrr"), r(F.col("_dcg") / F.nullif(F.col("_best"), F.lit(0.0))).alias("ndcg"), "first_rank")
+
+
+def factory_filter(factory: Column, chunk_type: Column, wanted: Column, mode: str = "lenient", shared: tuple[str, ...] = ()) -> Column:
+    """lenient: same factory or none on either side; strict: same factory; shared: same factory or one of the types."""
+    same = F.coalesce(factory == wanted, F.lit(False))
+    return {"lenient": same | factory.isNull() | wanted.isNull(), "strict": same, "shared": same | chunk_type.isin(*shared)}[mode]

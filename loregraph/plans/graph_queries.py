@@ -320,13 +320,6 @@ def pw6(spark, d):
     return G.supports(rare, hypotheses(spark, d))
 
 
-@query("pw7_hypotheses", sql("lexicon", "SELECT 'hyp_'||item_id AS source, 'EVIDENCED_BY' AS relation, 'source_benchmark' AS target FROM benchmark UNION ALL SELECT 'hyp_'||item_id, 'HAS_PASSAGE', 'passage_bench_'||item_id FROM benchmark"))
-def pw7(spark, d):
-    b = V.table(spark, d, "benchmark")
-    h = F.concat(F.lit("hyp_"), "item_id").alias("source")
-    return b.select(h, F.lit("EVIDENCED_BY").alias("relation"), F.lit("source_benchmark").alias("target")).union(b.select(h, F.lit("HAS_PASSAGE"), F.concat(F.lit("passage_bench_"), "item_id")))
-
-
 @query("pw8_incremental_topics", sql("tags paragraphs", "SELECT a, b, shared, rank FROM ranked JOIN paragraphs p ON p.chunk_id=a WHERE p.source='src3'", **TOPIC))
 def pw8(spark, d):
     new = V.paragraphs(spark, d).where("source = 'src3'").select("chunk_id")

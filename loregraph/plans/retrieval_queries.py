@@ -10,6 +10,7 @@ from loregraph.operators import chunking as CH
 from loregraph.operators import retrieval as R
 from loregraph.plans import views as V
 from loregraph.plans.views import TOKENS_SQL, n_rows, sql
+from loregraph.store import stored
 
 QUERIES, SQL = {}, {}
 K = 60
@@ -51,13 +52,14 @@ TI_PARTS = dict(voc=VOC, cv=NORM.format("chunk_id", "SELECT chunk_id, term, tf*i
 
 
 def bm25(spark, d, k=K):
-    return R.top_k(R.bm25_scores(V.eval_queries(spark, d), chunks(spark, d)), k)
+    return R.bm25_topk(V.eval_queries(spark, d), chunks(spark, d), k)
 
 
-def tfidf(spark, d, k=K):
+def tfidf(spark, d, k=K, post=None):
     c = chunks(spark, d)
-    voc = R.tfidf_vocabulary(R.term_frequencies(c), R.corpus_stats(c))
-    return R.top_k(R.dot_scores(R.tfidf_vectors(V.eval_queries(spark, d), voc, "query_id"), R.tfidf_vectors(c, voc, "chunk_id")), k)
+    post = stored(R.postings(c)) if post is None else post
+    voc = stored(R.tfidf_vocabulary(post, R.postings_stats(c, post)))
+    return R.sparse_topk(R.tfidf_vectors(V.eval_queries(spark, d), voc, "query_id"), R.tfidf_vectors(post.select("chunk_id", "term", "tf"), voc, "chunk_id"), k)
 
 
 OUT = ("query_id", "chunk_id", "rank")
@@ -91,13 +93,13 @@ def rt3(spark, d):
     return tfidf(spark, d).select(*OUT)
 
 
-VEC = "SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]),6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id<20 AND q.vec_id<>v.vec_id"
+VEC = "SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]),6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id%50=0 AND q.vec_id<>v.vec_id"
 
 
 @query("rt3_stored_vectors", sql("", "SELECT query_id, chunk_id, rank, score FROM vtop", vec=VEC, vtop=TOP.format("vec", 20)))
 def rt3b(spark, d):
     e = V.table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"))
-    q = e.where("chunk_id < 20").select(F.col("chunk_id").alias("query_id"), "vec")
+    q = e.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vec")
     return R.vector_topk(q, e, 20).select(*OUT, "score")
 
 
@@ -108,7 +110,9 @@ HY_NEEDS = "query_tokens dfreq tf chunk_len stats"
 
 
 def rankings(spark, d, bm_weight=1.0, dense_weight=1.0):
-    return bm25(spark, d).withColumns({"channel": F.lit("bm25"), "weight": F.lit(bm_weight)}).unionByName(tfidf(spark, d).withColumns({"channel": F.lit("dense"), "weight": F.lit(dense_weight)}))
+    post = stored(R.postings(chunks(spark, d)))
+    bm = R.bm25_topk(V.eval_queries(spark, d), chunks(spark, d), K, post).withColumns({"channel": F.lit("bm25"), "weight": F.lit(bm_weight)})
+    return bm.unionByName(tfidf(spark, d, K, post).withColumns({"channel": F.lit("dense"), "weight": F.lit(dense_weight)}))
 
 
 def hybrid(spark, d, k=K):
@@ -207,12 +211,12 @@ def rt15(spark, d):
     return c.withColumn("k", F.row_number().over(w)).where("k <= 5").select("query_id", "chunk_id", "shared", F.col("k").alias("rank"))
 
 
-REL = "SELECT item_id AS query_id, chunk_id FROM paragraphs p JOIN benchmark b ON contains(p.text, substr(string_split(b.text,chr(10))[1],1,80))"
+REL = "SELECT item_id AS query_id, chunk_id FROM paragraphs p JOIN benchmark b ON contains(p.text, string_split(b.text,chr(10))[1])"
 
 
 def relevant(spark, d):
-    """(query_id, chunk_id) of paragraphs that hold the start of an item."""
-    head = V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring(F.split("text", "\n")[0], 1, 80).alias("head"))
+    """(query_id, chunk_id) of paragraphs that hold the first line of an item."""
+    head = V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.split("text", "\n")[0].alias("head"))
     found = CH.tag_entities(chunks(spark, d), head.select(F.col("query_id").cast("string").alias("node_id"), F.col("head").alias("keyword")))
     found = found.select("chunk_id", F.col("node_id").cast("long").alias("query_id")).join(head, "query_id").join(chunks(spark, d).select("chunk_id", "text"), "chunk_id")
     return found.where(F.contains("text", "head")).select("query_id", "chunk_id")

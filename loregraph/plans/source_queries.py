@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from loregraph.functions import text as X
 from loregraph.operators import graph as G
+from loregraph.operators import retrieval as R
 from loregraph.plans import views as V
 from loregraph.plans.text_queries import STRIP, marked
 from loregraph.plans.views import n_rows, sql
@@ -101,17 +102,11 @@ def typed_chunks(spark, d):
 TYPED = "SELECT chunk_id, doc_id, ['book_text','constraint_regulation','constraint_budget','constraint_example'][paragraph_index%4+1] AS chunk_type, CASE WHEN doc_id%3<>0 THEN 'f'||(doc_id%5) END AS factory, doc_id%2=0 AS external, ['low','medium','high'][doc_id%3+1] AS budget_tier FROM paragraphs"
 
 
-def factory_filter(c, factory, mode="lenient", shared=()):
-    """lenient: same factory or none; strict: same factory; shared: same factory or one of the types."""
-    same = F.coalesce(c["factory"] == factory, F.lit(False))
-    return {"lenient": same | c["factory"].isNull(), "strict": same, "shared": same | c["chunk_type"].isin(*shared)}[mode]
-
-
 for _name, _mode, _where in (("f1_factory_lenient", "lenient", "factory IS NULL OR factory='f2'"), ("f2_factory_strict", "strict", "factory='f2'"), ("f3_factory_shared", "shared", "factory='f2' OR chunk_type='constraint_regulation'")):
 
     def _filter(spark, d, mode=_mode):
         c = typed_chunks(spark, d)
-        return c.where(factory_filter(c, "f2", mode, ("constraint_regulation",))).select("chunk_id", "chunk_type", "factory")
+        return c.where(R.factory_filter(F.col("factory"), F.col("chunk_type"), F.lit("f2"), mode, ("constraint_regulation",))).select("chunk_id", "chunk_type", "factory")
 
     query(_name, sql("paragraphs", f"SELECT chunk_id, chunk_type, factory FROM typed WHERE {_where}", typed=TYPED))(_filter)
 
@@ -146,12 +141,6 @@ def a20(spark, d):
     return V.table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed"))
 
 
-@query("a23_retrieved_paragraphs", "SELECT conv_id, turn, left(text,20) AS title FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, left(text,20) ORDER BY turn)=1")
-def a23(spark, d):
-    c = V.table(spark, d, "conversations").withColumn("title", F.left("text", F.lit(20)))
-    return c.groupBy("conv_id", "title").agg(F.min("turn").alias("turn"))
-
-
 @query("d4_citation_dedupe", sql("paragraphs", "SELECT doc_id, source, min(chunk_id) AS chunk_id FROM paragraphs GROUP BY ALL"))
 def d4(spark, d):
     return V.paragraphs(spark, d).groupBy("doc_id", "source").agg(F.min("chunk_id").alias("chunk_id"))
@@ -203,6 +192,3 @@ def st7(spark, d):
     return I.step_status(e).select("request_id", "step_id", (F.col("status") == "done").alias("seen"), F.col("elapsed").cast("double").alias("elapsed"))
 
 
-@query("x29_source_mapping", "SELECT page_id, 'page_'||page_id AS chunk_id, CASE WHEN starts_with(url,'http') THEN url END AS url FROM pages")
-def x29(spark, d):
-    return V.table(spark, d, "pages").select("page_id", F.concat(F.lit("page_"), "page_id").alias("chunk_id"), X.source_entry(F.col("url"))[1].alias("url"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loregraph.functions import files as FI
 from loregraph.functions import text as X
 from loregraph.operators import chunking as CH
 from loregraph.plans import views as V
@@ -58,7 +59,12 @@ def spaced(spark, d):
     return V.table(spark, d, "documents").select("doc_id", F.array_join(lines, "\n").alias("text"))
 
 
-@query("x8_paragraph_merge")
+SPACED = "SELECT doc_id, array_to_string(list_transform(string_split(text,chr(10)), lambda x, i: CASE WHEN (i-1)%3=2 THEN x||chr(10) ELSE x END), chr(10)) AS text FROM documents"
+PIECES = "SELECT doc_id, k, p FROM (SELECT doc_id, k, " + STRIP.format("raw") + " AS p FROM (SELECT doc_id, unnest(l) AS raw, generate_subscripts(l,1) AS k FROM (SELECT doc_id, string_split_regex(text, '\\n\\s*\\n') AS l FROM spaced))) WHERE p<>''"
+GROUPED = "SELECT *, sum(CASE WHEN first OR NOT (length(p)<80 AND NOT regexp_matches(p,'[.!?»\"]$')) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS g FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k)=1 AS first FROM pieces)"
+
+
+@query("x8_paragraph_merge", sql("", "SELECT doc_id, CAST(g-1 AS INT) AS i, string_agg(p, chr(10) ORDER BY k) AS paragraph FROM grouped GROUP BY doc_id, g", spaced=SPACED, pieces=PIECES, grouped=GROUPED))
 def x8(spark, d):
     return spaced(spark, d).select("doc_id", F.posexplode(X.split_paragraphs(F.col("text"))).alias("i", "paragraph"))
 
@@ -80,7 +86,7 @@ def f9(spark, d):
     return V.paragraphs(spark, d).groupBy("lang").agg(F.count_if(X.is_noise(F.col("text"))).alias("noise"), n_rows())
 
 
-@query("f10_reextract")
+@query("f10_reextract", sql("paragraphs", f"SELECT lang, count(*) FILTER (length({STRIP.format('text')})<80 OR regexp_matches(text,'(^|[^\\p{{L}}\\p{{N}}_])([\\p{{L}}\\p{{N}}_]\\s){{4,}}[\\p{{L}}\\p{{N}}_]($|[^\\p{{L}}\\p{{N}}_])') OR length(regexp_replace(text,'[^\\p{{L}}]','','g'))<0.35*length(text)) AS bad, count(*) AS n FROM paragraphs GROUP BY 1"))
 def f10(spark, d):
     return V.paragraphs(spark, d).groupBy("lang").agg(F.count_if(X.needs_reextraction(F.col("text"))).alias("bad"), n_rows())
 
@@ -92,11 +98,9 @@ def f13(spark, d):
     return V.table(spark, d, "pages").select("page_id", F.coalesce(ok, F.lit(False)).alias("valid"))
 
 
-@query("f12_text_sniff", "SELECT conv_id, turn, (position(chr(0) IN text)=0 AND length(regexp_replace(text,'[^ -~\\t\\n\\r]','','g'))>0.9*length(text)) AS is_text FROM (SELECT conv_id, turn, left(text,1024) AS text FROM conversations)")
+@query("f12_text_sniff", "SELECT conv_id, turn, (length(text)=0 OR position(chr(0) IN text)=0 AND length(regexp_replace(text,'[^ -~\\t\\n\\r]','','g'))>0.9*length(text)) AS is_text FROM (SELECT conv_id, turn, left(text,1024) AS text FROM conversations)")
 def f12(spark, d):
-    head = F.left("text", F.lit(1024))
-    good = (F.instr(head, "\x00") == 0) & (F.length(F.regexp_replace(head, r"[^ -~\t\n\r]", "")) > 0.9 * F.length(head))
-    return V.table(spark, d, "conversations").select("conv_id", "turn", good.alias("is_text"))
+    return V.table(spark, d, "conversations").select("conv_id", "turn", FI.is_text(F.col("text")).alias("is_text"))
 
 
 def marked(spark, d):
@@ -124,22 +128,14 @@ def x15(spark, d):
     return V.paragraphs(spark, d).select("chunk_id", F.md5(X.embed_text(F.col("text"), summary, F.array(F.lit("q1"), F.lit("q2")))).alias("digest"))
 
 
-@query("x16_highlight")
-def x16(spark, d):
-    q = F.substring_index("text", " ", 8)
-    return V.paragraphs(spark, d).select("chunk_id", X.highlight(q, F.col("text")).alias("highlight"))
-
-
-@query("x17_citation", sql("paragraphs", "SELECT chunk_id, source||', стр. '||(paragraph_index//5+1)||', §'||(paragraph_index+1) AS display_ref, CASE WHEN length(t)<=320 THEN t ELSE substr(t,1,319)||'…' END AS excerpt FROM (SELECT *, " + STRIP.format("regexp_replace(text,'\\s+',' ','g')") + " AS t FROM paragraphs)"))
-def x17(spark, d):
-    ref = F.concat_ws(", ", "source", F.concat(F.lit("стр. "), F.floor(F.col("paragraph_index") / 5) + 1), F.concat(F.lit("§"), F.col("paragraph_index") + 1))
-    return V.paragraphs(spark, d).select("chunk_id", ref.alias("display_ref"), X.excerpt(F.col("text")).alias("excerpt"))
+WANTED = f"SELECT chunk_id, text, list_sort(list_transform(list_filter(list_distinct({TOKENS_SQL.format('text')}), lambda x: length(x)>3 AND contains(lower(text),x)), lambda x: {{'n': -length(x), 't': x}}))[1].t AS tok FROM paragraphs"
+SNIPPET = "SELECT chunk_id, text, tok, " + STRIP.format("substr(text, greatest(strpos(lower(text),tok)-40,1), strpos(lower(text),tok)+length(tok)+80-greatest(strpos(lower(text),tok)-40,1))") + " AS s FROM wanted"
 
 
-@query("x25_model_json", "SELECT event_id, props AS found FROM events")
-def x25(spark, d):
-    said = F.concat(F.lit("Here:\n```json\n"), "props", F.lit("\n```\nDone."))
-    return V.table(spark, d, "events").select("event_id", X.json_from_output(said).alias("found"))
+@query("x16_highlight", sql("paragraphs", "SELECT chunk_id, CASE WHEN tok IS NULL THEN CASE WHEN length(text)>120 THEN left(text,120)||'…' ELSE text END WHEN length(s)>120 THEN left(s,119)||'…' ELSE s END AS highlight FROM snippet", wanted=WANTED, snippet=SNIPPET))
+def x16(spark, d):
+    """Each paragraph as the query for itself."""
+    return V.paragraphs(spark, d).select("chunk_id", X.highlight(F.col("text"), F.col("text")).alias("highlight"))
 
 
 @query("x27_roadmap", "SELECT doc_id, i AS \"order\", left(l,120) AS title FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, l FROM (SELECT doc_id, unnest(string_split(text,chr(10))) AS raw, generate_subscripts(string_split(text,chr(10)),1) AS k FROM documents), LATERAL (SELECT " + STRIP.format("raw") + " AS l) WHERE l<>'')")
@@ -148,13 +144,6 @@ def x27(spark, d):
     return V.table(spark, d, "documents").select("doc_id", F.inline(X.roadmap_steps(numbered)))
 
 
-@query("x28_confidence", "SELECT doc_id, round(c,4) AS confidence, CASE WHEN c>=0.85 THEN 'high' WHEN c>=0.7 THEN 'medium' ELSE 'low' END AS impact FROM (SELECT doc_id, CASE WHEN doc_id%7=0 THEN 0.7 ELSE least(1.0,(doc_id%6)/5.0) END::DOUBLE AS c FROM labels)")
-def x28(spark, d):
-    score = F.when(F.col("doc_id") % 7 != 0, (F.col("doc_id") % 6).cast("double"))
-    c = F.when(score.isNull(), 0.7).otherwise(F.least(F.lit(1.0), score / 5))
-    return V.table(spark, d, "labels").select("doc_id", F.round(c, 4).alias("confidence"), F.when(c >= 0.85, "high").when(c >= 0.7, "medium").otherwise("low").alias("impact"))
-
-
 @query("x31_passage_label", sql("paragraphs", "SELECT chunk_id, source||' · '||lang||' · §'||(paragraph_index+1) AS label, left(text,320) AS excerpt FROM paragraphs"))
 def x31(spark, d):
     label = F.concat_ws(" · ", "source", "lang", F.concat(F.lit("§"), F.col("paragraph_index") + 1))
@@ -167,14 +156,6 @@ def x32(spark, d):
     return V.table(spark, d, "pages").select("page_id", title.alias("title"), url.alias("url"))
 
 
-@query("x24_table_markdown", "SELECT factory, count(*) AS n, md5(string_agg(l, chr(10) ORDER BY l)) AS digest FROM (SELECT n_name AS factory, '| '||s_suppkey||' | '||CASE WHEN s_acctbal=floor(s_acctbal) THEN CAST(CAST(s_acctbal AS BIGINT) AS VARCHAR) ELSE '' END||' |' AS l FROM supplier JOIN nation ON s_nationkey=n_nationkey) GROUP BY 1")
-def x24(spark, d):
-    s = V.table(spark, d, "supplier").join(V.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    whole = F.when(F.col("s_acctbal") == F.floor("s_acctbal"), F.col("s_acctbal").cast("long").cast("string")).otherwise("")
-    s = s.select(F.col("n_name").alias("factory"), F.concat(F.lit("| "), "s_suppkey", F.lit(" | "), whole, F.lit(" |")).alias("l"))
-    return s.groupBy("factory").agg(n_rows(), F.md5(F.array_join(F.array_sort(F.collect_list("l")), "\n")).alias("digest"))
-
-
 @query("j3_lexicon_tags", sql("tags", "SELECT chunk_id, node_id FROM tags"))
 def j3(spark, d):
     return V.tags(spark, d)

@@ -123,9 +123,8 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 12 words of each benchmark item."""
-    b = table(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 12), " ").alias("text"))
+    """The benchmark items as queries, whole."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 def slug_sql(*parts: str) -> str:
@@ -159,7 +158,7 @@ CTES = {
         CASE WHEN conv_id%3=0 THEN '+71' END AS size_class, CASE WHEN conv_id%3=0 THEN 'closed_pnt_cp' END AS mineral_form,
         CASE WHEN conv_id%2=1 THEN {slug_sql("'lossform'", 'n_name', "'+125'", "'pyrite'", "CASE WHEN turn%2=0 THEN 'Ni' ELSE 'Cu' END")} END AS bucket_id
         FROM conversations JOIN nation ON conv_id%25=n_nationkey WHERE role='user'""",
-    "eq": "SELECT item_id AS query_id, array_to_string(string_split_regex(text,'\\s+')[1:12],' ') AS text FROM benchmark",
+    "eq": "SELECT item_id AS query_id, text FROM benchmark",
     "chunk_tokens": f"SELECT chunk_id, unnest({TOKENS_SQL.format('text')}) AS term FROM paragraphs",
     "query_tokens": f"SELECT query_id, unnest({TOKENS_SQL.format('text')}) AS term FROM eq",
     "tf": "SELECT chunk_id, term, count(*) AS tf FROM chunk_tokens GROUP BY 1,2",

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loregraph.functions.text import body, frontmatter, strip
+from loregraph.functions.text import body, frontmatter, is_noise, slug, strip
+from loregraph.operators.losses import is_recoverable
 
 SKIPPED = {"script", "style", "nav", "aside", "footer", "noscript"}
 BLOCKS = {"p", "li", "blockquote", "td", "th", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "div", "article", "section", "br"}
@@ -35,6 +36,44 @@ def paged_book(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "page", (F.row_number().over(w) - 1).alias("paragraph_index"), "text")
 
 
+def page_marked_markdown(docs: DataFrame) -> DataFrame:
+    """Paragraphs of extractor Markdown (doc_id, text) with ``---page-N---`` lines: doc_id, page, paragraph_index (in the page), text.
+
+    Blank lines and page marks end a paragraph; lines that are an image are left out; leading # are dropped; noise goes.
+    """
+    lines = docs.select("doc_id", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("i", "raw")).withColumn("line", strip(F.col("raw")))
+    mark = F.expr("try_cast(nullif(regexp_extract(line, '^---page-([0-9]+)---$', 1), '') as int)")
+    upto = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    ends = mark.isNotNull() | (F.col("line") == "")
+    lines = lines.withColumns({"page": F.coalesce(F.last(mark, ignorenulls=True).over(upto), F.lit(1)), "group": F.sum(ends.cast("int")).over(upto)})
+    kept = lines.where(mark.isNull() & ~F.col("line").rlike(r"^!\[.*\]\(.*\)\s*$")).withColumn("line", strip(F.regexp_replace("raw", r"^#+\s*", ""))).where("line <> ''")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n")
+    p = kept.groupBy("doc_id", "page", "group").agg(text.alias("text")).where(~is_noise(F.col("text")))
+    w = Window.partitionBy("doc_id", "page").orderBy("group")
+    return p.select("doc_id", "page", (F.row_number().over(w) - 1).alias("paragraph_index"), "text")
+
+
+def bucket_documents(docs: DataFrame) -> DataFrame:
+    """Loss buckets from documents (path, raw) that are frontmatter: node and chunk of each in one row.
+
+    A document counts if it names a factory or is of type excel_bucket. The id is graph_node_id, else node_id, else the slug.
+    """
+    d = docs.select("path", frontmatter(F.col("raw")).alias("m"), strip(body(F.col("raw"))).alias("_body"))
+    at = lambda key: F.nullif(F.col("m")[key], F.lit(""))
+    d = d.where(at("factory").isNotNull() | F.coalesce(at("chunk_type") == "excel_bucket", F.lit(False)))
+    slots = {c: F.coalesce(at(c), F.lit("")) for c in ("factory", "size_class", "mineral_form")}
+    d = d.withColumns(slots | {"metal": F.coalesce(at("metal"), F.lit("Ni")), "tonnes": F.coalesce(F.round(at("tonnes").try_cast("double"), 2), F.lit(0.0))})
+    given = F.lower(at("recoverable"))
+    d = d.withColumn("recoverable", F.when(given.isNotNull(), ~given.isin("false", "0")).otherwise(is_recoverable(F.col("mineral_form"), F.col("metal"))))
+    named = slug(F.lit("lossform"), F.col("factory"), F.col("size_class"), F.col("mineral_form"), F.col("metal"))
+    d = d.withColumn("node_id", F.coalesce(at("graph_node_id"), at("node_id"), named))
+    form = F.replace("mineral_form", F.lit("_"), F.lit(" "))
+    label = F.coalesce(at("title"), F.concat_ws(" ", "factory", "size_class", form, "metal"))
+    text = F.concat(F.lit("Фабрика "), "factory", F.lit(". Класс "), "size_class", F.lit(". Форма: "), "mineral_form", F.lit(". Потери "), "metal", F.lit(": "), F.col("tonnes").cast("string"), F.lit(" т. Извлекаемо: "), F.when(F.col("recoverable"), "да").otherwise("нет"), F.lit("."))
+    source = F.coalesce(at("source"), F.regexp_extract("path", r"([^/]+)$", 1))
+    return d.select("node_id", F.coalesce(at("chunk_id"), F.concat(F.lit("excel_"), "node_id")).alias("chunk_id"), label.alias("label"), "factory", "size_class", "mineral_form", "metal", "tonnes", "recoverable", F.coalesce(F.nullif("_body", F.lit("")), text).alias("text"), source.alias("source"), F.coalesce(at("chunk_type"), F.lit("excel_bucket")).alias("chunk_type"))
+
+
 def chunked_documents(docs: DataFrame) -> DataFrame:
     """Blocks between ``---chunk---`` lines with the document's metadata under their own: doc_id, chunk_index, meta, text."""
     d = docs.select("doc_id", frontmatter(F.col("raw")).alias("top"), F.posexplode(F.split(body(F.col("raw")), r"(?m)^---chunk---\s*$")).alias("i", "part"))

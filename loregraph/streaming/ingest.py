@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
+from loregraph.operators.chunking import external_chunks
+from loregraph.operators.requests import rewrite_hits
+
+BUCKETS = 64
+
 # Message types that have a handler.
 TYPES = ("chunk.upsert", "graph.triplet", "graph_rag.query", "graphrag.query", "nl_cypher.ask", "external.ingest", "ingest.markdown", "ingest.bootstrap", "chunk.get")
 QUERY = TYPES[3]
@@ -31,14 +38,30 @@ def latest_per_key(messages: DataFrame, key: str = "key", order: tuple[str, ...]
 
 
 def upsert(spark: SparkSession, batch: DataFrame, path: str, version: int) -> None:
-    """Write the next version of a keyed table: the last message of each key among the table's and the batch's.
+    """Apply a batch to the keyed table at ``path``: the last message of each key among the table's and the batch's counts.
 
-    Versions are written side by side, so a repeated batch gives the same table.
+    The table is kept in BUCKETS buckets by key. A batch reads and rewrites the buckets that it touches and no others,
+    as files of its own version, so a repeated batch gives the same table.
     """
-    rows = batch
-    if version:
-        rows = spark.read.schema(batch.schema).parquet(f"{path}/v{version - 1}").unionByName(batch)
-    latest_per_key(rows).write.mode("overwrite").parquet(f"{path}/v{version}")
+    own = batch.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int"))
+    touched = [r["bucket"] for r in own.select("bucket").distinct().collect()]  # at most BUCKETS
+    if not touched:
+        return
+    if version and (now := current(spark, path, batch.schema, version)) is not None:
+        own = own.unionByName(now.where(F.col("bucket").isin(touched)))
+    latest_per_key(own).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={version}")
+
+
+def current(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame | None:
+    """The rows of the table, with their bucket: of each bucket the files of its last version (below ``before``); None if there are none."""
+    whole = T.StructType([*(f for f in schema if f.name != "bucket"), T.StructField("version", T.IntegerType()), T.StructField("bucket", T.IntegerType())])
+    try:
+        rows = spark.read.schema(whole).parquet(path)
+    except AnalysisException:  # no version has been written
+        return None
+    rows = rows if before is None else rows.where(F.col("version") < before)
+    last = rows.groupBy("bucket").agg(F.max("version").alias("version"))
+    return rows.join(F.broadcast(last), ["bucket", "version"]).drop("version")  # a row for each bucket
 
 
 def start_upserts(stream: DataFrame, path: str, checkpoint: str, route: str = "chunk.upsert") -> StreamingQuery:
@@ -48,9 +71,80 @@ def start_upserts(stream: DataFrame, path: str, checkpoint: str, route: str = "c
         own = dispatch(batch).where(F.col("route") == route).select("key", "payload", "ts", "seq")
         upsert(batch.sparkSession, own, path, number)
 
+    return _start(stream, checkpoint, apply)
+
+
+def _start(stream: DataFrame, checkpoint: str, apply) -> StreamingQuery:
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+TRIPLET = "subject struct<node_id: string, node_type: string, label: string>, predicate string, relation string, object struct<node_id: string, node_type: string, label: string>"
+EXTERNAL = "title string, source_url string, text string, markdown string, content string, graph_node_ids array<string>"
+QUESTION = "question string, query string, top_k int, retrieval_queries array<string>"
+
+
+def triplet_rows(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node_id, node_type, label) and edges of graph.triplet messages; of one node the last message counts."""
+    t = dispatch(messages).where("route = 'graph.triplet'").select("ts", "seq", F.from_json("payload", TRIPLET).alias("p")).where("p.subject.node_id is not null and p.object.node_id is not null")
+    ends = t.select("ts", "seq", F.explode(F.array("p.subject", "p.object")).alias("n")).select("ts", "seq", "n.node_id", F.coalesce("n.node_type", F.lit("Entity")).alias("node_type"), F.coalesce("n.label", "n.node_id").alias("label"))
+    last = ends.groupBy("node_id").agg(F.max_by(F.struct("node_type", "label"), F.struct("ts", "seq", "node_type", "label")).alias("n")).select("node_id", "n.*")
+    edges = t.select(F.col("p.subject.node_id").alias("source"), F.coalesce("p.predicate", "p.relation", F.lit("RELATED_TO")).alias("relation"), F.col("p.object.node_id").alias("target")).distinct()
+    return last, edges
+
+
+def ingested_texts(messages: DataFrame) -> DataFrame:
+    """The texts of external.ingest and ingest.markdown messages: title, source_url, text, explicit; blank ones are left out."""
+    m = dispatch(messages).where("route in ('external.ingest', 'ingest.markdown')").select("ts", "seq", F.from_json("payload", EXTERNAL).alias("p"))
+    text = F.coalesce(F.nullif("p.text", F.lit("")), F.nullif("p.markdown", F.lit("")), "p.content")
+    m = m.select("ts", "seq", F.coalesce(F.nullif("p.title", F.lit("")), F.lit("External source")).alias("title"), F.col("p.source_url").alias("source_url"), text.alias("text"), F.coalesce("p.graph_node_ids", F.array().cast("array<string>")).alias("explicit")).where("trim(text) <> ''")
+    return m.groupBy("title").agg(F.max_by(F.struct("source_url", "text", "explicit"), F.struct("ts", "seq")).alias("r")).select("title", "r.*")
+
+
+def asked_queries(messages: DataFrame) -> DataFrame:
+    """Requests of query messages, legacy ones too: query_id, q_idx, text (a row for each rewrite)."""
+    q = dispatch(messages).where(F.col("route") == QUERY).select(F.col("seq").alias("query_id"), F.from_json("payload", QUESTION).alias("p"))
+    q = q.select("query_id", F.coalesce("p.question", "p.query").alias("question"), F.coalesce("p.retrieval_queries", F.array().cast("array<string>")).alias("more")).where("trim(question) <> ''")
+    every = F.array_distinct(F.filter(F.concat(F.array("question"), F.col("more")), lambda x: F.trim(x) != ""))
+    return q.select("query_id", F.posexplode(every).alias("q_idx", "text"))
+
+
+def start_triplets(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep the graph's nodes and edges at ``path`` current: keyed tables of nodes by id and of edges by (source, relation, target)."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        nodes, edges = triplet_rows(batch)
+        at = batch.agg(F.max("ts").alias("ts"), F.max("seq").alias("seq"))
+        keyed = lambda df, key: df.select(F.concat_ws("\t", *key).alias("key"), F.to_json(F.struct(*df.columns)).alias("payload")).join(F.broadcast(at), F.lit(True), "left")
+        upsert(batch.sparkSession, keyed(nodes, ["node_id"]), f"{path}/nodes", number)
+        upsert(batch.sparkSession, keyed(edges, ["source", "relation", "target"]), f"{path}/edges", number)
+
+    return _start(stream, checkpoint, apply)
+
+
+def start_external(stream: DataFrame, lexicon: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Ingest the stream's texts: chunks, evidence edges and nodes as keyed tables at ``path``, and a row of counts for each batch."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        chunks, edges, nodes = external_chunks(ingested_texts(batch), lexicon)
+        at = batch.agg(F.max("ts").alias("ts"), F.max("seq").alias("seq"))
+        for name, df, key in (("chunks", chunks, ["chunk_id"]), ("edges", edges, ["source", "relation", "target"]), ("nodes", nodes, ["node_id"])):
+            own = df.select(F.concat_ws("\t", *key).alias("key"), F.to_json(F.struct(*df.columns)).alias("payload")).join(F.broadcast(at), F.lit(True), "left")
+            upsert(batch.sparkSession, own, f"{path}/{name}", number)
+        counts = chunks.agg(F.count(F.lit(1)).alias("chunk_count")).join(edges.agg(F.count(F.lit(1)).alias("edges_added")), F.lit(True), "left")
+        counts.write.mode("overwrite").parquet(f"{path}/counts/batch={number}")
+
+    return _start(stream, checkpoint, apply)
+
+
+def start_queries(stream: DataFrame, chunks: DataFrame, path: str, checkpoint: str, k: int = 8) -> StreamingQuery:
+    """Answer the stream's requests from the current ``chunks``: the k first of each rewrite, a folder of answers for each batch."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        rewrite_hits(asked_queries(batch), chunks).where(F.col("rank") <= k).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return _start(stream, checkpoint, apply)
+
+
 def step_status(events: DataFrame) -> DataFrame:
     """Last status of each step (request_id, step_id, status, ts, seq) and the seconds since the request's first event."""
     first = events.groupBy("request_id").agg(F.min("ts").alias("_first"))

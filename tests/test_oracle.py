@@ -1,14 +1,15 @@
 """Every query with SQL gives what DuckDB gives on the same tables."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
-from loregraph.plans import graph_queries, loss_queries, request_queries, retrieval_queries, source_queries, text_queries
+from loregraph.plans import graph_queries, ingest_queries, loss_queries, request_queries, retrieval_queries, source_queries, text_queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-PLANS = (loss_queries, text_queries, retrieval_queries, graph_queries, source_queries, request_queries)
+PLANS = (loss_queries, text_queries, retrieval_queries, graph_queries, source_queries, request_queries, ingest_queries)
 QUERIES = {n: f for p in PLANS for n, f in p.QUERIES.items()}
 SQL = {n: s for p in PLANS for n, s in p.SQL.items()}
 
@@ -23,7 +24,9 @@ def duck():
 
 def normal(df: pd.DataFrame) -> list[tuple]:
     def cell(x):
-        if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+        if isinstance(x, (list, tuple, np.ndarray)):
+            return "|".join(map(cell, x))
+        if x is None or pd.isna(x):
             return ""
         if isinstance(x, bool):
             return str(x)

@@ -1,10 +1,15 @@
 """A stream of messages gives the table that the batch gives."""
 
+import json
 import tempfile
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from loregraph.operators.requests import rewrite_hits
+from loregraph.plans import ingest_queries as N
 from loregraph.plans import source_queries as Q
+from loregraph.plans import views as V
 from loregraph.streaming import ingest as I
 
 DATA = "/root/testdata/sf0.001"
@@ -27,3 +32,57 @@ def test_bad_and_legacy_messages(spark):
     rows = [('{"type": "chunk.get", "payload": "p"}',), ('{"query": "q", "top_k": 3}',), ('{"type": "nope"}',), ("not json",)]
     out = I.dispatch(I.envelopes(spark.createDataFrame(rows, "value string"))).select(F.col("route")).collect()
     assert [r["route"] for r in out] == ["chunk.get", I.QUERY, "dead_letter", "dead_letter"]
+
+
+def fed(spark, messages, root):
+    """The messages as a stream of several batches."""
+    messages.repartition(3).write.parquet(f"{root}/in")
+    return I.envelopes(spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"))
+
+
+def payloads(spark, path):
+    now = I.current(spark, path, T.StructType.fromDDL("key string, payload string, ts timestamp, seq long"))
+    return {r["key"]: json.loads(r["payload"]) for r in now.collect()}
+
+
+def test_upserts_touch_their_buckets_only(spark):
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/t"
+    rows = lambda *r: spark.createDataFrame(r, "key string, payload string, ts long, seq long")
+    I.upsert(spark, rows(*((f"k{i}", "old", 1, i) for i in range(300))), path, 0)
+    for _ in range(2):  # a batch that comes again changes nothing
+        I.upsert(spark, rows(("k5", "new", 2, 0), ("k6", "late", 0, 0), ("k999", "more", 2, 1)), path, 1)
+    got = {r["key"]: r["payload"] for r in I.current(spark, path, rows(("", "", 0, 0)).schema).collect()}
+    assert got == {f"k{i}": "old" for i in range(300)} | {"k5": "new", "k999": "more"}
+    assert spark.read.parquet(f"{path}/version=1").select("bucket").distinct().count() <= 3
+
+
+def test_triplets_as_a_stream(spark):
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    messages = N.triplet_messages(spark, DATA)
+    q = I.start_triplets(fed(spark, messages, root), f"{root}/graph", f"{root}/checkpoint")
+    q.awaitTermination(180)
+    assert q.exception() is None
+    nodes, edges = I.triplet_rows(I.envelopes(messages))
+    assert set(payloads(spark, f"{root}/graph/nodes")) == {r["node_id"] for r in nodes.collect()}
+    assert {(e["source"], e["relation"], e["target"]) for e in payloads(spark, f"{root}/graph/edges").values()} == {tuple(r) for r in edges.collect()}
+
+
+def test_texts_and_requests_as_streams(spark):
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    messages = N.text_messages(spark, DATA)
+    q = I.start_external(fed(spark, messages, root), V.lexicon(spark), f"{root}/out", f"{root}/checkpoint")
+    q.awaitTermination(180)
+    assert q.exception() is None
+    chunks = payloads(spark, f"{root}/out/chunks")
+    assert {c["source"] for c in chunks.values()} == {r["title"] for r in I.ingested_texts(I.envelopes(messages)).collect()}
+    assert spark.read.parquet(f"{root}/out/counts").agg(F.sum("chunk_count")).first()[0] >= len(chunks) > 0
+
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    few = N.query_messages(spark, DATA).where("key < 6")
+    chunks = V.paragraphs(spark, DATA)
+    q = I.start_queries(fed(spark, few, root), chunks, f"{root}/out", f"{root}/checkpoint")
+    q.awaitTermination(240)
+    assert q.exception() is None
+    want = rewrite_hits(I.asked_queries(I.envelopes(few)), chunks).where("rank <= 8")
+    key = ["query_id", "q_idx", "chunk_id", "rank"]
+    assert sorted(map(tuple, spark.read.parquet(f"{root}/out").select(key).collect())) == sorted(map(tuple, want.select(key).collect()))

@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loregraph.llm.store import bounded_batches
 from loregraph.llm.words import text_buffers
 
 HEAD, MID, TAIL = "<|", "|>\n", "<|end|>\n"
@@ -122,6 +123,7 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def format_conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv_id, n_turns, formatted and loss_spans of each conversation."""
+    bounded_batches(turns.sparkSession)
     t = turns.select(*(F.col(c).alias(n) for c, n in ((conv_id, "conv_id"), (turn, "turn"), (role, "role"), (text, "text"))))
     t = t.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return t.select("conv_id", "role", "text").mapInArrow(_stream, FORMATTED)

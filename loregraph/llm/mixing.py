@@ -36,7 +36,8 @@ BUCKET_ROWS = 2000
 class Mix:
     """rows: source, size and key (its place in the source's order) of each input row. sources: one row each with size,
     weight, target, passes, rest (words beyond the whole passes) and slots. slots: shard, slot, source, block and words.
-    documents: one row per input row with what the mix takes of it."""
+    documents: one row per input row with what the mix takes of it
+    and the first output shard that holds a part of it."""
 
     rows: DataFrame
     sources: DataFrame
@@ -140,12 +141,12 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     d = d.join(sums, ["sid", "_bucket"]).withColumn("start", F.col("_ahead") + F.col("_within"))
     d = d.withColumn("end", F.col("start") + F.col("size"))
     cells = d.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / L), F.floor(F.greatest(F.col("start"), F.col("end") - 1) / L))))
-    takes = slots.groupBy("sid", "block").agg(F.count(F.when(F.col("cut").isNull(), 1)).alias("_times"), F.max("cut").alias("_cut"))
+    takes = slots.groupBy("sid", "block").agg(F.count(F.when(F.col("cut").isNull(), 1)).alias("_times"), F.max("cut").alias("_cut"), F.min("shard").alias("_shard"))
     base = F.col("block") * L
     lo, hi = F.greatest(F.col("start") - base, F.lit(0)), F.least(F.col("end") - base, L)
     part = F.greatest(F.least(hi, F.coalesce("_cut", F.lit(0))) - lo, F.lit(0))
     cells = cells.join(takes.hint("merge"), ["sid", "block"], "left").withColumn("_taken", F.coalesce(F.col("_times"), F.lit(0)) * (hi - lo) + part)
-    documents = cells.groupBy("doc_id", "source", "size", "source_size", "target", "start").agg(F.sum("_taken").alias("taken"), F.count(F.lit(1)).alias("_cells"))
+    documents = cells.groupBy("doc_id", "source", "size", "source_size", "target", "start").agg(F.sum("_taken").alias("taken"), F.min(F.when(F.col("_taken") > 0, F.col("_shard"))).alias("first_shard"), F.count(F.lit(1)).alias("_cells"))
     # Empty rows share a start with others; each of them is a cell of its own there.
     documents = documents.withColumn("_copy", F.explode(F.when(F.col("size") == 0, F.sequence(F.lit(1).cast("long"), F.col("_cells"))).otherwise(F.array(F.lit(1).cast("long")))))
     return Mix(sized.select("source", "size", F.col("_key").alias("key")), sources, slots, documents.drop("_cells", "_copy"))
@@ -188,4 +189,4 @@ def mixed_documents(docs: DataFrame, mix: Mix, doc_id: str = "doc_id", text: str
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
     mix = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return mix.documents.select("doc_id", "size", "source_size", "target", "taken")
+    return mix.documents.select("doc_id", "size", "source_size", "target", "taken", "first_shard")

@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where that is unset, a folder under /tmp if driver and tasks are one process, as in tests."""
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        return folder
-    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+from loregraph.store import shared_dir
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -52,6 +52,8 @@ def test_mixing(docs, rows):
     assert all(abs(taken[s] - want[s]) <= 1 for s in want)
     assert sorted(map(tuple, mix_sources(docs).documents.collect()), key=str) == sorted(map(tuple, got), key=str)
     slots = mix.slots.collect()
+    shards = {r["shard"] for r in slots}
+    assert all((r["first_shard"] in shards) == (r["taken"] > 0) for r in got)
     assert len({(r["shard"], r["slot"]) for r in slots}) == len(slots)
     assert mixed_documents(docs, mix).columns == docs.columns
 

@@ -56,9 +56,14 @@ def top_k(scores: DataFrame, k: int, query: str = "query_id", item: str = "chunk
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt out by chunk over all shuffle partitions: what follows costs far more than its bytes tell, so that few would be too few."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk_id")
+
+
 def postings(chunks: DataFrame) -> DataFrame:
     """chunk_id, term, tf and dl (the chunk's number of tokens). Texts are dealt out by chunk and split once; their tokens stay there."""
-    t = chunks.select("chunk_id", "text").repartition("chunk_id").select("chunk_id", tokenize(F.col("text")).alias("_t")).select("chunk_id", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+    t = dealt(chunks.select("chunk_id", "text")).select("chunk_id", tokenize(F.col("text")).alias("_t")).select("chunk_id", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
     return t.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
@@ -111,7 +116,7 @@ def sparse_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     asked = stored(queries)
     blocks = 1 + asked.count() // QUERY_TERMS
     wanted = chunks.join(asked.select("term").distinct(), "term", "left_semi")
-    rows = wanted.groupBy("chunk_id").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))
+    rows = dealt(wanted).groupBy("chunk_id").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))
     rows = stored(rows) if blocks > 1 else rows
     out = None
     for b in range(blocks):

@@ -24,8 +24,8 @@ QUERY_TERMS, SCORES = 200_000, 4_000_000
 
 
 def tokens(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """One row per token occurrence."""
-    return rows.select(key, F.explode(tokenize(F.col(text))).alias("term"))
+    """One row per token occurrence. (Of an inner explode Spark infers filters that split the text again, so it is an outer one.)"""
+    return rows.select(key, F.explode_outer(tokenize(F.col(text))).alias("term")).where("term is not null")
 
 
 def term_frequencies(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -63,7 +63,8 @@ def dealt(rows: DataFrame) -> DataFrame:
 
 def postings(chunks: DataFrame) -> DataFrame:
     """chunk_id, term, tf and dl (the chunk's number of tokens). Texts are dealt out by chunk and split once; their tokens stay there."""
-    t = dealt(chunks.select("chunk_id", "text")).select("chunk_id", tokenize(F.col("text")).alias("_t")).select("chunk_id", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+    t = dealt(chunks.select("chunk_id", "text")).select("chunk_id", tokenize(F.col("text")).alias("_t")).select("chunk_id", F.size("_t").alias("dl"), "_t")
+    t = t.select("chunk_id", "dl", F.explode_outer("_t").alias("term")).where("term is not null")
     return t.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 

@@ -201,7 +201,8 @@ def repeated_substrings(docs: DataFrame, span: int = SPAN, gram: int = GRAM, doc
     chosen = chosen.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "size", "single")).alias("runs"))
     spread = touched.select("k1", "k2", "packed").join(chosen, ["k1", "k2"])
     listed = materialize(spread.mapInArrow(_windows(span), "window long, k1 long, k2 long, start int, single boolean"))
-    again = listed.groupBy("window").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("window")
+    # A written table: Spark splits a frequent window's rows in the join only where both sides are plain shuffles.
+    again = materialize(listed.groupBy("window").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("window"))
     ends = listed.where("single").join(again, "window", "left_semi").select("k1", "k2", "start", F.lit(1).alias("size"))
     return rows, touched, alike.union(ends)
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from loregraph.functions.text import strip
 
@@ -52,12 +55,24 @@ def fenced(language: Column | str, content: Column) -> Column:
     return F.concat(F.lit("```"), language if isinstance(language, Column) else F.lit(language), F.lit("\n"), content, F.lit("\n```\n"))
 
 
+@F.pandas_udf(StringType())
+def _set_out(texts: pd.Series) -> pd.Series:
+    def one(text: str | None) -> str | None:
+        try:
+            out = text and json.dumps(json.loads(text), ensure_ascii=False, indent=2)
+            return out and out.encode().decode()
+        except (ValueError, RecursionError):  # no JSON, half a surrogate pair, or too deep
+            return text
+
+    return texts.map(one)
+
+
 def pretty_json(content: Column) -> Column:
-    """A JSON object or array with one member a line and two blanks for each level; other texts as they are."""
-    v = F.try_parse_json(content)
-    first = F.left(F.ltrim(content), F.lit(1))
-    flat = F.when(first == "{", F.to_json(F.from_json(F.to_json(v), "map<string,string>"), {"pretty": "true", "ignoreNullFields": "false"})).when(first == "[", F.to_json(F.from_json(F.to_json(v), "array<string>"), {"pretty": "true"}))
-    return F.coalesce(flat, content)
+    """Valid JSON with one member a line and two blanks for each level, members in their order; other texts as they are.
+
+    Spark's JSON writer keeps neither order nor nested levels of a value without a schema, so batches go through Python's.
+    """
+    return _set_out(content)
 
 
 def markdown_cell(value: Column) -> Column:
@@ -95,7 +110,7 @@ Converter = Callable[[Column, Column], Column]
 #: kind -> function of (name, content) that gives Markdown.
 CONVERTERS: dict[str, Converter] = {
     "text": lambda name, content: fenced("text", content),
-    "code": lambda name, content: fenced(code_language(name), F.when(suffix(name) == "json", pretty_json(content)).otherwise(content)),
+    "code": lambda name, content: fenced(code_language(name), F.when(suffix(name) == "json", pretty_json(F.when(suffix(name) == "json", content))).otherwise(content)),
     "csv": lambda name, content: fenced("csv", content),
 }
 

@@ -77,9 +77,13 @@ def top_per_factory(buckets: DataFrame, k: int) -> DataFrame:
 
 
 def top_of_scope(buckets: DataFrame, scope: list[str]) -> DataFrame:
-    """The largest bucket of each scope."""
-    w = Window.partitionBy(*scope).orderBy(F.desc("tonnes"), "node_id") if scope else Window.orderBy(F.desc("tonnes"), "node_id")
-    return buckets.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """The largest bucket of each scope (of all buckets without one); ties to the smaller id, a null tonnage is the least.
+
+    Each task keeps one row of a scope, so no scope is sorted and a hot one is no burden.
+    """
+    none = F.col("tonnes").isNull()
+    own = F.min_by(F.struct("*"), F.struct(none, -F.col("tonnes"), "node_id"))
+    return buckets.groupBy(*scope).agg(own.alias("_row")).where("_row is not null").select("_row.*")
 
 
 def factory_breakdown(buckets: DataFrame) -> DataFrame:

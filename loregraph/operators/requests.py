@@ -178,7 +178,7 @@ def rank_candidates(queries: DataFrame, chunks: DataFrame, query_nodes: DataFram
     if constraints is not None:
         named = named.union(row(constraints, "constraint", WEIGHTS["constraint"]))
     if query_nodes is not None:
-        graph = R.top_k(R.graph_overlap(query_nodes, tags), K_GRAPH)
+        graph = R.graph_topk(query_nodes, tags, K_GRAPH)
         named = named.union(row(graph, "graph", WEIGHTS["graph"]))
         if buckets is not None:
             named = named.union(row(graph.join(buckets, "query_id", "left_semi"), "graph", GRAPH_REPEAT))

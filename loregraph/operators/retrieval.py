@@ -196,16 +196,23 @@ def dot_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Exact cosine top-k over stored arrays: queries (query_id, vec) go to all tasks in blocks of a bounded size, vectors
-    (chunk_id, vec) stay in place and are gone through once for each block; a batch passes on its k + 1 best of each query."""
+    (chunk_id, vec) stay in place and are gone through once for each block; a batch passes on its k + 1 best of each query.
+
+    Vectors that are null, zero, or hold null or non-finite components take no part.
+    """
+    usable = F.size("vec") > 0  # false or null of a null vector
+    usable &= F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("vec", lambda x: x != 0)
+    queries, vectors = stored(queries.where(usable)), vectors.where(usable)
     kind = vectors.schema["chunk_id"].dataType.simpleString()
     qkind = queries.schema["query_id"].dataType.simpleString()
     out, sc = None, queries.sparkSession.sparkContext
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     for b in range(blocks):
         part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
-        if not len(part):
+        if not len(part) and (out is not None or b < blocks - 1):
             continue
-        shared = sc.broadcast((part["query_id"].to_numpy(), np.stack(part["vec"].to_numpy()).astype(np.float32)))
+        every = np.stack(part["vec"].to_numpy()).astype(np.float32) if len(part) else np.empty((0, 0), np.float32)
+        shared = sc.broadcast((part["query_id"].to_numpy(), every))
 
         def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, every = shared.value
@@ -292,6 +299,12 @@ def graph_overlap(queries: DataFrame, tags: DataFrame) -> DataFrame:
     return queries.join(tags, "node_id").groupBy("query_id", "chunk_id").agg(F.countDistinct("node_id").cast("double").alias("score"))
 
 
+def graph_topk(queries: DataFrame, tags: DataFrame, k: int) -> DataFrame:
+    """query_id, chunk_id, score and rank of the k chunks that share most nodes; a frequent node makes no rows of pairs."""
+    term = lambda df, key: df.select(key, F.col("node_id").alias("term"), F.lit(1.0).alias("weight")).where("term is not null").distinct()
+    return sparse_topk(term(queries, "query_id"), term(tags, "chunk_id"), k)
+
+
 def channel_hits(hits: DataFrame, channels: list[str]) -> DataFrame:
     """Distinct chunks per query and channel, one column for each channel."""
     return hits.groupBy("query_id").pivot("channel", channels).agg(F.countDistinct("chunk_id")).na.fill(0)

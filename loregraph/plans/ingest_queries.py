@@ -134,11 +134,13 @@ def u3(spark, d):
     return f.select("page_id", "name").join(c, "name").drop("name")
 
 
-@query("x23_fenced_markdown", "SELECT event_id, '```json'||chr(10)||CASE WHEN event_id%4=0 THEN 'bad {'||props ELSE regexp_replace(regexp_replace(props, '^\\{\"(\\w+)\": ?(\"?[^,\"}]*\"?)\\}$', '{'||chr(10)||'  \"\\1\" : '||'\\2'||chr(10)||'}'), 'zzz', '') END||chr(10)||'```'||chr(10) AS markdown FROM events WHERE regexp_matches(props, '^\\{\"\\w+\": ?\"[^,\"}]*\"\\}$') OR event_id%4=0")
+@query("x23_fenced_markdown", "SELECT event_id, '```json'||chr(10)||CASE event_id%4 WHEN 0 THEN 'bad {'||props WHEN 1 THEN '{'||chr(10)||'  \"z\": ['||chr(10)||'    '||regexp_replace(props, '^\\{\"k\": (\\d+)\\}$', '{'||chr(10)||'      \"k\": \\1'||chr(10)||'    }')||','||chr(10)||'    \"é\"'||chr(10)||'  ],'||chr(10)||'  \"a\": null'||chr(10)||'}' ELSE regexp_replace(props, '^\\{\"k\": (\\d+)\\}$', '{'||chr(10)||'  \"k\": \\1'||chr(10)||'}') END||chr(10)||'```'||chr(10) AS markdown FROM events")
 def x23(spark, d):
-    content = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("bad {"), "props")).otherwise(F.col("props"))
-    e = V.table(spark, d, "events").where(F.col("props").rlike(r'^\{"\w+": ?"[^,"}]*"\}$') | (F.col("event_id") % 4 == 0))
-    return e.select("event_id", FI.CONVERTERS["code"](F.lit("a.json"), content).alias("markdown"))
+    """Broken JSON, nested JSON and a flat object."""
+    k = F.col("event_id") % 4
+    nested = F.concat(F.lit('{"z": ['), "props", F.lit(', "é"], "a":null}'))
+    content = F.when(k == 0, F.concat(F.lit("bad {"), "props")).when(k == 1, nested).otherwise(F.col("props"))
+    return V.table(spark, d, "events").select("event_id", FI.CONVERTERS["code"](F.lit("a.json"), content).alias("markdown"))
 
 
 CLEAN_CASES = ("Sure.\n```\n{0}\n```\nBye", "flowchart TD\n{0}\n\n Let me explain", "The table:\n| a | b |\n|---|---|\n| {0} | x |\ndone", "  {0} ")
@@ -159,10 +161,10 @@ def x25(spark, d):
     return V.table(spark, d, "events").select("event_id", X.json_from_output(said).alias("found"))
 
 
-@query("x24_table_markdown", "SELECT n_nationkey, count(*) AS n, md5('| supplier | balance | whole |'||chr(10)||'|---|---|---|'||chr(10)||string_agg('| '||s_suppkey||' | '||printf('%.2f', s_acctbal)||' | '||CASE WHEN s_suppkey%3=0 THEN '' ELSE CAST(round(s_acctbal)::BIGINT AS VARCHAR) END||' |', chr(10) ORDER BY s_suppkey)) AS digest FROM supplier JOIN nation ON s_nationkey=n_nationkey WHERE CAST(round(s_acctbal*100) AS BIGINT)%10<>0 GROUP BY 1")
+@query("x24_table_markdown", "SELECT n_nationkey, count(*) AS n, md5('| supplier | balance | whole |'||chr(10)||'|---|---|---|'||chr(10)||string_agg('| '||s_suppkey||' | '||regexp_replace(CAST(CAST(s_acctbal AS DOUBLE) AS VARCHAR), '\\.0$', '')||' | '||CASE WHEN s_suppkey%3=0 THEN '' ELSE CAST(round(s_acctbal)::BIGINT AS VARCHAR) END||' |', chr(10) ORDER BY s_suppkey)) AS digest FROM supplier JOIN nation ON s_nationkey=n_nationkey GROUP BY 1")
 def x24(spark, d):
-    """Ragged rows: each third supplier lacks its last cell. Balances that a double writes with two places."""
-    s = V.table(spark, d, "supplier").where("cast(round(s_acctbal * 100) as bigint) % 10 <> 0").select(F.col("s_nationkey").alias("n_nationkey"), "s_suppkey", "s_acctbal")
+    """Ragged rows: each third supplier lacks its last cell."""
+    s = V.table(spark, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), "s_suppkey", "s_acctbal")
     value = lambda c: FI.markdown_cell(F.col(c).cast("double"))
     body = s.withColumn("_whole", F.round("s_acctbal")).select("n_nationkey", F.col("s_suppkey").alias("row"), F.posexplode(F.array(value("s_suppkey"), value("s_acctbal"), value("_whole"))).alias("col", "value"), "s_suppkey").where("not (col = 2 and s_suppkey % 3 = 0)").drop("s_suppkey")
     head = s.select("n_nationkey").distinct().select("n_nationkey", F.lit(-1).cast("long").alias("row"), F.posexplode(F.array(F.lit("supplier"), F.lit("balance"), F.lit("whole"))).alias("col", "value"))
@@ -303,8 +305,7 @@ def u1(spark, d):
 
     chunks = R.embed(V.paragraphs(spark, d).select(F.col("chunk_id"), "text"), embedder)
     queries = R.embed(V.eval_queries(spark, d).select(F.col("query_id").cast("string").alias("query_id"), "text"), embedder, key="query_id")
-    norm = lambda df: df.where(F.exists("vec", lambda x: x != 0))
-    return R.vector_topk(norm(queries), norm(chunks), 10).select("query_id", "chunk_id", "rank", "score")
+    return R.vector_topk(queries, chunks, 10).select("query_id", "chunk_id", "rank", "score")
 
 
 @query("u2_encoded_terms", sql("tf stats chunk_len", "SELECT chunk_id, term, round(tf*2.5/(tf+1.5*(1-0.75+0.75*dl/avgdl)),6) AS weight FROM tf JOIN chunk_len USING (chunk_id), stats"))

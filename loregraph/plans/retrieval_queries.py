@@ -184,7 +184,7 @@ def j2(spark, d):
 
 @query("rt10_graph_channel", sql("tags", "SELECT query_id, chunk_id, rank FROM gtop", qn=QN, g="SELECT query_id, chunk_id, count(DISTINCT node_id) AS score FROM qn JOIN tags USING (node_id) GROUP BY 1,2", gtop=TOP.format("g", 30)))
 def rt10(spark, d):
-    return R.top_k(R.graph_overlap(query_nodes(spark, d), V.tags(spark, d)), 30).select(*OUT)
+    return R.graph_topk(query_nodes(spark, d), V.tags(spark, d), 30).select(*OUT)
 
 
 @query("j1_chunk_lookup", sql("query_tokens dfreq tf chunk_len stats paragraphs", "SELECT query_id, chunk_id, length(text) AS chars FROM bm_top JOIN paragraphs USING (chunk_id)", **BM_PARTS))

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from loregraph.functions import files as FI
 from loregraph.functions import text as X
 from loregraph.operators import graph as G
 from loregraph.operators import losses as L
@@ -94,3 +95,46 @@ def test_spaced_letters_query_reads_whole_paragraphs(spark):
     want = {r["chunk_id"]: letters(r) for r in views.paragraphs(spark, "/root/testdata/sf0.001").collect()}
     got = {r["chunk_id"]: letters(r) for r in text_queries.QUERIES["x10_spaced_letters"](spark, "/root/testdata/sf0.001").collect()}
     assert max(map(len, want.values())) > 40 and got == want
+
+
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [
+        ('{"b":{"c":[1,2.50,"é"]},"a":null}', '{\n  "b": {\n    "c": [\n      1,\n      2.5,\n      "é"\n    ]\n  },\n  "a": null\n}'),
+        ("[]", "[]"),
+        ("7", "7"),
+        ("{broken", "{broken"),
+        ("", ""),
+        (None, None),
+        ('"\\ud800"', '"\\ud800"'),
+        ("[" * 100000, "[" * 100000),
+    ],
+)
+def test_pretty_json(spark, raw, want):
+    assert one(spark, FI.pretty_json(F.lit(raw).cast("string"))) == want
+
+
+def test_largest_bucket_of_a_scope(spark):
+    rows = [("b", "f", 2.0), ("a", "f", 2.0), ("c", "f", None), ("d", None, None), ("e", "g", 1.0)]
+    b = spark.createDataFrame(rows, "node_id string, factory string, tonnes double")
+    top = lambda df, scope: {(r["factory"], r["node_id"]) for r in L.top_of_scope(df, scope).collect()}
+    assert top(b, ["factory"]) == {("f", "a"), (None, "d"), ("g", "e")}
+    assert top(b, []) == {("f", "a")} and L.top_of_scope(b, []).columns == b.columns
+    assert top(b.limit(0), []) == top(b.limit(0), ["factory"]) == set()
+
+
+def test_vector_topk_leaves_out_vectors_without_direction(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [None, 1.0]), (8, [1.0, 0.0]), (9, [])]
+    v = spark.createDataFrame(rows, "chunk_id int, vec array<float>")
+    q = v.select(F.col("chunk_id").alias("query_id"), "vec")
+    got = {(r["query_id"], r["rank"]): (r["chunk_id"], r["score"]) for r in R.vector_topk(q, v, 5).collect()}
+    assert got == {(1, 1): (8, 1.0), (1, 2): (2, 0.707107), (2, 1): (1, 0.707107), (2, 2): (8, 0.707107), (8, 1): (1, 1.0), (8, 2): (2, 0.707107)}
+    assert R.vector_topk(q.limit(0), v, 5).count() == R.vector_topk(q, v.limit(0), 5).count() == 0
+
+
+def test_graph_topk_is_the_top_of_the_join(spark):
+    tags = spark.createDataFrame([(f"c{i:03}", f"n{j}") for i in range(200) for j in range(7) if i % (j + 1) == 0] + [("c001", None)], "chunk_id string, node_id string")
+    asked = spark.createDataFrame([(q, f"n{(q + j) % 9}") for q in range(6) for j in range(3)] * 2 + [(7, None)], "query_id int, node_id string")
+    rows = lambda df: {tuple(r) for r in df.select("query_id", "chunk_id", "score", "rank").collect()}
+    want = rows(R.top_k(R.graph_overlap(asked, tags), 30))
+    assert want and rows(R.graph_topk(asked, tags, 30)) == want

@@ -195,7 +195,7 @@ def repeated_substrings(docs: DataFrame, span: int = SPAN, gram: int = GRAM, doc
     kinds = materialize(kinds.withColumn("single", F.col("lo") == F.col("hi")))
     alike = members.join(kinds.where("not single").select("run"), "run", "left_semi").select("k1", "k2", "start", "size")
 
-    several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).where("n > 1 or again").select("anchor")
+    several = materialize(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).where("n > 1 or again").select("anchor"))
     apart = kinds.join(several, "anchor", "left_semi").select("run", "lo", "single")
     chosen = members.withColumn("lo", place).join(apart, ["run", "lo"])
     chosen = chosen.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "size", "single")).alias("runs"))

@@ -7,12 +7,15 @@ from loregraph.llm.ann import op2_neighbours
 from loregraph.llm.chat import op6_chat
 from loregraph.llm.decontaminate import op3_decontamination
 from loregraph.llm.licenses import op4_licenses
+from loregraph.llm.merkle import OP12_SQL, op12_merkle
+from loregraph.llm.minhash import OP11_SQL, op11_minhash
 from loregraph.llm.mixing import op5_mixing
 from loregraph.llm.ngram_join import op1_ngram_join
 from loregraph.llm.quality import op9_quality
 from loregraph.llm.sharding import op8_sharding
 from loregraph.llm.suffix_dedup import op7_suffix_dedup
 from loregraph.llm.substring import op10_substring
+from loregraph.llm.vector_codes import OP13_SQL, op13_codes
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
@@ -25,7 +28,10 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_quality": op9_quality,
     "op10_substring": op10_substring,
+    "op11_minhash": op11_minhash,
+    "op12_merkle": op12_merkle,
+    "op13_codes": op13_codes,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_minhash": OP11_SQL, "op12_merkle": OP12_SQL, "op13_codes": OP13_SQL}

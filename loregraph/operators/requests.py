@@ -133,22 +133,26 @@ def constraint_rankings(scopes: DataFrame, chunks: DataFrame, k: int = K_CONSTRA
     return R.top_k(hits, k)
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """BM25 and TF-IDF rankings of each query with equal weights: query_id, chunk_id, score, rank of the k best."""
+def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int, wanted: DataFrame | None = None, attributes: DataFrame | None = None) -> DataFrame:
+    """BM25 and TF-IDF rankings of each query with equal weights: query_id, chunk_id, score, rank of the k best.
+
+    wanted and attributes: filters of queries and chunks, applied in both channels before they are ranked.
+    """
     post = stored(R.postings(chunks))
-    voc = stored(R.tfidf_vocabulary(post, R.postings_stats(chunks, post).select("n")))
-    bm25 = R.bm25_topk(queries, chunks, k, post)
-    dense = R.sparse_topk(R.tfidf_vectors(queries, voc, "query_id"), R.tfidf_vectors(post.select("chunk_id", "term", "tf"), voc, "chunk_id"), k)
+    filters = [stored(x) if x is not None else None for x in (wanted, attributes)]
+    bm25 = R.bm25_topk(queries, chunks, k, post, *filters)
+    dense = R.tfidf_topk(queries, chunks, k, post, *filters)
     both = bm25.select("query_id", "chunk_id", "rank", F.lit("bm25").alias("channel"), F.lit(1.0).alias("weight"))
     both = both.union(dense.select("query_id", "chunk_id", "rank", F.lit("dense"), F.lit(1.0)))
     return R.top_k(R.weighted_rrf(both), k)
 
 
-def rewrite_hits(queries: DataFrame, chunks: DataFrame, k: int = K_CHANNEL) -> DataFrame:
-    """Hybrid search for each rewrite (query_id, q_idx, text): query_id, q_idx, chunk_id, score, rank."""
+def rewrite_hits(queries: DataFrame, chunks: DataFrame, k: int = K_CHANNEL, wanted: DataFrame | None = None, attributes: DataFrame | None = None) -> DataFrame:
+    """Hybrid search for each rewrite (query_id, q_idx, text): query_id, q_idx, chunk_id, score, rank. Filters are those of query_id."""
     kind = queries.schema["query_id"].dataType.simpleString()
-    each = queries.select(F.concat_ws("#", "query_id", "q_idx").alias("query_id"), "text")
-    hits = hybrid_search(each, chunks, k)
+    each = queries.select(F.concat_ws("#", "query_id", "q_idx").alias("_each"), "query_id", "text")
+    own = None if wanted is None else each.select("_each", "query_id").join(wanted, "query_id").drop("query_id").withColumnRenamed("_each", "query_id")
+    hits = hybrid_search(each.select(F.col("_each").alias("query_id"), "text"), chunks, k, own, attributes)
     key = F.col("query_id")
     return hits.select(F.substring_index(key, "#", 1).cast(kind).alias("query_id"), F.substring_index(key, "#", -1).cast("int").alias("q_idx"), "chunk_id", "score", "rank")
 
@@ -166,19 +170,20 @@ def with_probes(hypotheses: DataFrame, probes: DataFrame) -> DataFrame:
     return hypotheses.join(lists, ["query_id", "q_idx"], "left").withColumn("probe_top_chunks", F.coalesce("probe_top_chunks", F.array().cast("array<string>")))
 
 
-def rank_candidates(queries: DataFrame, chunks: DataFrame, query_nodes: DataFrame | None, tags: DataFrame | None, constraints: DataFrame | None = None, buckets: DataFrame | None = None, k_out: int = K_OUT) -> DataFrame:
+def rank_candidates(queries: DataFrame, chunks: DataFrame, query_nodes: DataFrame | None, tags: DataFrame | None, constraints: DataFrame | None = None, buckets: DataFrame | None = None, k_out: int = K_OUT, wanted: DataFrame | None = None, attributes: DataFrame | None = None) -> DataFrame:
     """All channels fused and reranked, before diversity: query_id, chunk_id, score, channels, text, query_text.
 
     queries: query_id, q_idx, text (a row for each rewrite). query_nodes: query_id, node_id and tags: chunk_id, node_id (both
     None: no graph). constraints: query_id, chunk_id, rank. buckets: query_id of requests that are about one bucket, for which
-    the graph's ranking counts once more.
+    the graph's ranking counts once more. wanted (query_id, factory, external) and attributes (chunk_id, factory, external, chunk_type):
+    filters of the channels.
     """
     row = lambda df, name, weight: df.select("query_id", "chunk_id", "rank", F.lit(name).alias("channel"), F.lit(weight).alias("weight"))
-    named = row(rewrite_hits(queries, chunks), "hybrid", WEIGHTS["hybrid"])
+    named = row(rewrite_hits(queries, chunks, wanted=wanted, attributes=attributes), "hybrid", WEIGHTS["hybrid"])
     if constraints is not None:
         named = named.union(row(constraints, "constraint", WEIGHTS["constraint"]))
     if query_nodes is not None:
-        graph = R.graph_topk(query_nodes, tags, K_GRAPH)
+        graph = R.graph_topk(query_nodes, tags, K_GRAPH, None if wanted is None else wanted.select("query_id", "factory"), attributes)
         named = named.union(row(graph, "graph", WEIGHTS["graph"]))
         if buckets is not None:
             named = named.union(row(graph.join(buckets, "query_id", "left_semi"), "graph", GRAPH_REPEAT))

@@ -6,21 +6,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loregraph.functions.text import tokenize
+from loregraph.operators.topk import dealt, sparse_topk, top_k, vector_topk  # noqa: F401
 from loregraph.store import stored
 
+
 K1, B, FLOOR = 1.5, 0.75, 0.25
 RRF_K = 60
 TFIDF_TERMS, HASH_BUCKETS = 512, 256
 MMR_LAMBDA = 0.72
-QUERY_BLOCK, STEP = 65_536, 512
-QUERY_TERMS, SCORES = 200_000, 4_000_000
+# The types of chunks that the graph channel takes for every factory.
+SHARED_TYPES = ("pdf_text", "book_text", "external_text", "scheme_caption", "constraint_regulation", "constraint_example")
 
 
 def tokens(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -49,18 +49,6 @@ def bm25_terms(df: DataFrame, stats: DataFrame) -> DataFrame:
     return t.join(F.broadcast(mean), F.lit(True), "left").select("term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
 
 
-def top_k(scores: DataFrame, k: int, query: str = "query_id", item: str = "chunk_id") -> DataFrame:
-    """The k best of each query, ties to the smaller id; scores are rounded first so that ties are ties."""
-    s = scores.withColumn("score", F.round("score", 6)).where("score > 0")
-    w = Window.partitionBy(query).orderBy(F.desc("score"), item)
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def dealt(rows: DataFrame) -> DataFrame:
-    """Rows dealt out by chunk over all shuffle partitions: what follows costs far more than its bytes tell, so that few would be too few."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk_id")
-
-
 def postings(chunks: DataFrame) -> DataFrame:
     """chunk_id, term, tf and dl (the chunk's number of tokens). Texts are dealt out by chunk and split once; their tokens stay there."""
     t = dealt(chunks.select("chunk_id", "text")).select("chunk_id", tokenize(F.col("text")).alias("_t")).select("chunk_id", F.size("_t").alias("dl"), "_t")
@@ -97,68 +85,24 @@ def postings_stats(chunks: DataFrame, post: DataFrame) -> DataFrame:
     return every.join(F.broadcast(post.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("_tokens"))), F.lit(True), "left").select("n", (F.col("_tokens") / F.col("n")).alias("avgdl"))
 
 
-def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int, post: DataFrame | None = None) -> DataFrame:
-    """query_id, chunk_id, score and rank of the k chunks of highest Okapi score; repeated query tokens count again."""
+def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int, post: DataFrame | None = None, wanted: DataFrame | None = None, attributes: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id, score and rank of the k chunks of highest Okapi score; repeated query tokens count again.
+
+    wanted, attributes: what queries ask for and chunks have, of topk.FILTERS; the statistics are those of all chunks.
+    """
     post = stored(postings(chunks)) if post is None else post
     stats = stored(postings_stats(chunks, post))
     terms = bm25_terms(document_frequencies(post), stats)
     asked = tokens(queries, "query_id").groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")).join(terms, "term")
     parts = post.join(F.broadcast(stats), F.lit(True), "left").select("chunk_id", "term", impact().alias("weight"))
-    return sparse_topk(asked.select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")), parts, k)
+    return sparse_topk(asked.select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")), parts, k, wanted, attributes)
 
 
-def sparse_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """The k largest sums of products of two sparse tables (query_id, term, weight) and (chunk_id, term, weight).
-
-    A pair of a query and a chunk is never a row: queries go to all tasks in blocks of about QUERY_TERMS of their rows, each
-    batch of chunks adds up its products by (chunk, query), and passes on the k best chunks of each query.
-    """
-    kind, qkind = chunks.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    asked = stored(queries)
-    blocks = 1 + asked.count() // QUERY_TERMS
-    wanted = chunks.join(asked.select("term").distinct(), "term", "left_semi")
-    rows = dealt(wanted).groupBy("chunk_id").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))
-    rows = stored(rows) if blocks > 1 else rows
-    out = None
-    for b in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
-        if len(own) or out is None:
-            part = rows.mapInArrow(_scorer(queries.sparkSession.sparkContext.broadcast(own), k), f"query_id {qkind}, chunk_id {kind}, score double")
-            out = part if out is None else out.union(part)
-    return top_k(out, k)
-
-
-def _scorer(shared, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        ids, query = np.unique(own["query_id"].to_numpy(), return_inverse=True)
-        terms, term = np.unique(own["term"].to_numpy().astype(str), return_inverse=True)
-        order = np.argsort(term, kind="stable")
-        query, weight = query[order], own["weight"].to_numpy(np.float64)[order]
-        edges = np.searchsorted(term[order], np.arange(len(terms) + 1))
-        known = pa.array(terms.tolist(), pa.string())
-        step = max(1, SCORES // max(1, len(ids)))
-        for whole in batches:
-            for lo in range(0, whole.num_rows, step):
-                batch = whole.slice(lo, step)
-                lists = batch["terms"]
-                n = np.diff(lists.offsets.to_numpy())
-                at = pc.index_in(lists.flatten().cast(pa.string()), value_set=known).fill_null(-1).to_numpy()
-                row, part = np.repeat(np.arange(len(n)), n)[at >= 0], batch["weights"].flatten().to_numpy()[at >= 0]
-                at = at[at >= 0]
-                each = edges[at + 1] - edges[at]
-                place = np.repeat(edges[at] - np.cumsum(each) + each, each) + np.arange(int(each.sum()))
-                cell = query[place] * len(n) + np.repeat(row, each)
-                s = np.round(np.bincount(cell, np.repeat(part, each) * weight[place], minlength=len(ids) * len(n)).reshape(len(ids), len(n)), 6)
-                by_id = np.argsort(batch["chunk_id"].to_numpy(zero_copy_only=False), kind="stable")
-                s = s[:, by_id]
-                best = _largest(s, k)
-                q = np.repeat(np.arange(len(ids)), best.shape[1])
-                score = s[q, best.ravel()]
-                some = score > 0
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q[some]]), batch["chunk_id"].take(pa.array(by_id[best.ravel()[some]])), pa.array(score[some])], ["query_id", "chunk_id", "score"])
-
-    return run
+def tfidf_topk(queries: DataFrame, chunks: DataFrame, k: int, post: DataFrame | None = None, wanted: DataFrame | None = None, attributes: DataFrame | None = None) -> DataFrame:
+    """The k chunks of largest cosine of TF-IDF vectors over the corpus' vocabulary."""
+    post = stored(postings(chunks)) if post is None else post
+    voc = stored(tfidf_vocabulary(post, postings_stats(chunks, post)))
+    return sparse_topk(tfidf_vectors(queries, voc, "query_id"), tfidf_vectors(post.select("chunk_id", "term", "tf"), voc, "chunk_id"), k, wanted, attributes)
 
 
 def tfidf_vocabulary(tf: DataFrame, stats: DataFrame, terms: int = TFIDF_TERMS) -> DataFrame:
@@ -194,57 +138,6 @@ def dot_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return q.join(chunks, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("_q") * F.col("weight")).alias("score"))
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Exact cosine top-k over stored arrays: queries (query_id, vec) go to all tasks in blocks of a bounded size, vectors
-    (chunk_id, vec) stay in place and are gone through once for each block; a batch passes on its k + 1 best of each query.
-
-    Vectors that are null, zero, or hold null or non-finite components take no part.
-    """
-    usable = F.size("vec") > 0  # false or null of a null vector
-    usable &= F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("vec", lambda x: x != 0)
-    queries, vectors = stored(queries.where(usable)), vectors.where(usable)
-    kind = vectors.schema["chunk_id"].dataType.simpleString()
-    qkind = queries.schema["query_id"].dataType.simpleString()
-    out, sc = None, queries.sparkSession.sparkContext
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
-        if not len(part) and (out is not None or b < blocks - 1):
-            continue
-        every = np.stack(part["vec"].to_numpy()).astype(np.float32) if len(part) else np.empty((0, 0), np.float32)
-        shared = sc.broadcast((part["query_id"].to_numpy(), every))
-
-        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, every = shared.value
-            for pdf in frames:
-                if not len(pdf):
-                    continue
-                x = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                order = np.argsort(pdf["chunk_id"].to_numpy(), kind="stable")
-                x, names = x[order], pdf["chunk_id"].to_numpy()[order]
-                for lo in range(0, len(ids), STEP):
-                    q = every[lo : lo + STEP].astype(np.float64)
-                    s = np.round((q / np.linalg.norm(q, axis=1, keepdims=True)) @ x.T, 6)
-                    best = _largest(s, k + 1)
-                    row = np.repeat(np.arange(len(q)), best.shape[1])
-                    yield pd.DataFrame({"query_id": ids[lo : lo + STEP][row], "chunk_id": names[best.ravel()], "score": s[row, best.ravel()]})
-
-        found = vectors.select("chunk_id", "vec").mapInPandas(run, f"query_id {qkind}, chunk_id {kind}, score double")
-        out = found if out is None else out.union(found)
-    return top_k(out.where("chunk_id <> query_id"), k)
-
-
-def _largest(scores: np.ndarray, k: int) -> np.ndarray:
-    """The places of the k largest of each row; of equals at the border, the first."""
-    if scores.shape[1] <= k:
-        return np.tile(np.arange(scores.shape[1]), (len(scores), 1))
-    edge = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-    above, level = scores > edge, scores == edge
-    room = k - above.sum(axis=1, keepdims=True)
-    return np.nonzero(above | (level & (np.cumsum(level, axis=1) <= room)))[1].reshape(len(scores), k)
-
-
 def weighted_rrf(rankings: DataFrame, k: int = RRF_K) -> DataFrame:
     """rankings: query_id, channel, weight, rank, chunk_id -> summed weight / (k + rank) and the channels' sorted names."""
     r = rankings.where("weight > 0")
@@ -299,10 +192,20 @@ def graph_overlap(queries: DataFrame, tags: DataFrame) -> DataFrame:
     return queries.join(tags, "node_id").groupBy("query_id", "chunk_id").agg(F.countDistinct("node_id").cast("double").alias("score"))
 
 
-def graph_topk(queries: DataFrame, tags: DataFrame, k: int) -> DataFrame:
-    """query_id, chunk_id, score and rank of the k chunks that share most nodes; a frequent node makes no rows of pairs."""
+def shared_by_type(attributes: DataFrame) -> DataFrame:
+    """Attributes (chunk_id, factory, chunk_type) for the graph channel: chunks of SHARED_TYPES pass for every factory, others for their own only."""
+    own = F.when(~F.coalesce(F.col("chunk_type").isin(*SHARED_TYPES), F.lit(False)), F.coalesce(F.nullif("factory", F.lit("")), F.lit("no factory")))
+    return attributes.select("chunk_id", own.alias("factory"))
+
+
+def graph_topk(queries: DataFrame, tags: DataFrame, k: int, wanted: DataFrame | None = None, attributes: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id, score and rank of the k chunks that share most nodes; a frequent node makes no rows of pairs.
+
+    wanted (query_id, factory) and attributes (chunk_id, factory, chunk_type): the chunk's factory must be the query's, but for SHARED_TYPES.
+    """
+    attributes = attributes if attributes is None else shared_by_type(attributes)
     term = lambda df, key: df.select(key, F.col("node_id").alias("term"), F.lit(1.0).alias("weight")).where("term is not null").distinct()
-    return sparse_topk(term(queries, "query_id"), term(tags, "chunk_id"), k)
+    return sparse_topk(term(queries, "query_id"), term(tags, "chunk_id"), k, wanted, attributes)
 
 
 def channel_hits(hits: DataFrame, channels: list[str]) -> DataFrame:

@@ -222,12 +222,12 @@ def rt11(spark, d):
     return Q.constraint_rankings(scopes(spark, d), SQ.typed_chunks(spark, d)).select("query_id", "chunk_id", "rank")
 
 
-def candidates(spark, d, k_out=Q.K_OUT, graph=True, chunks=None):
+def candidates(spark, d, k_out=Q.K_OUT, graph=True, chunks=None, filters=(None, None)):
     chunks = V.paragraphs(spark, d) if chunks is None else chunks
     nodes, tags = (stored(item_nodes(spark, d)), stored(V.tags(spark, d))) if graph else (None, None)
     cons = Q.constraint_rankings(scopes(spark, d), SQ.typed_chunks(spark, d))
     even = V.table(spark, d, "benchmark").where("item_id % 2 = 0").select(F.col("item_id").alias("query_id"))
-    return Q.rank_candidates(rewrites(spark, d), chunks, nodes, tags, cons, even if graph else None, k_out)
+    return Q.rank_candidates(rewrites(spark, d), chunks, nodes, tags, cons, even if graph else None, k_out, *filters)
 
 
 ITEM_NODES = "SELECT query_id, node_id FROM qn UNION SELECT item_id, p.node_id FROM benchmark JOIN nation ON item_id%25=n_nationkey JOIN tops ON tops.factory=n_name JOIN on_path p ON p.start_id=tops.node_id WHERE item_id%2=0"
@@ -243,8 +243,11 @@ PLAN = SUB | dict(
 )
 
 
-@query("rt16_candidates", sql(SUB_NEEDS + " tags edges loss", f"""SELECT f.query_id, f.chunk_id, f.channels, round(f.score + 0.25*coalesce(s.score,0)/greatest(coalesce(n.n,0),1) + 0.2*len(list_intersect(q, list_distinct({TOKENS_SQL.format('p.text')})))/greatest(len(q),1), 6) AS score
- FROM fused f JOIN paragraphs p USING (chunk_id) JOIN asked USING (query_id) LEFT JOIN shared s ON s.query_id=f.query_id AND s.chunk_id=f.chunk_id LEFT JOIN (SELECT query_id, count(DISTINCT node_id) AS n FROM inodes GROUP BY 1) n ON n.query_id=f.query_id""", **PLAN))
+CANDIDATES = f"""SELECT f.query_id, f.chunk_id, f.channels, round(f.score + 0.25*coalesce(s.score,0)/greatest(coalesce(n.n,0),1) + 0.2*len(list_intersect(q, list_distinct({TOKENS_SQL.format('p.text')})))/greatest(len(q),1), 6) AS score
+ FROM fused f JOIN paragraphs p USING (chunk_id) JOIN asked USING (query_id) LEFT JOIN shared s ON s.query_id=f.query_id AND s.chunk_id=f.chunk_id LEFT JOIN (SELECT query_id, count(DISTINCT node_id) AS n FROM inodes GROUP BY 1) n ON n.query_id=f.query_id"""
+
+
+@query("rt16_candidates", sql(SUB_NEEDS + " tags edges loss", CANDIDATES, **PLAN))
 def rt16_candidates(spark, d):
     return candidates(spark, d).select("query_id", "chunk_id", "channels", F.round("score", 6).alias("score"))
 

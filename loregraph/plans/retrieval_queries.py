@@ -56,10 +56,7 @@ def bm25(spark, d, k=K):
 
 
 def tfidf(spark, d, k=K, post=None):
-    c = chunks(spark, d)
-    post = stored(R.postings(c)) if post is None else post
-    voc = stored(R.tfidf_vocabulary(post, R.postings_stats(c, post)))
-    return R.sparse_topk(R.tfidf_vectors(V.eval_queries(spark, d), voc, "query_id"), R.tfidf_vectors(post.select("chunk_id", "term", "tf"), voc, "chunk_id"), k)
+    return R.tfidf_topk(V.eval_queries(spark, d), chunks(spark, d), k, post)
 
 
 OUT = ("query_id", "chunk_id", "rank")

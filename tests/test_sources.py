@@ -9,6 +9,7 @@ import pytest
 from loregraph.functions import files as FI
 from loregraph.operators import chunking as CH
 from loregraph.operators import retrieval as R
+from loregraph.operators import topk as K
 from loregraph.sources import documents as S
 
 
@@ -74,8 +75,9 @@ def test_sparse_topk_in_several_blocks(spark, monkeypatch):
     rng = np.random.default_rng(2)
     q, c = (rng.random((n, 30)) * (rng.random((n, 30)) < 0.3) for n in (40, 300))
     table = lambda m, key: spark.createDataFrame([(int(i), f"t{j}", float(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)], f"{key} long, term string, weight double")
-    monkeypatch.setattr(R, "QUERY_TERMS", 100)
-    monkeypatch.setattr(R, "SCORES", 500)
+    monkeypatch.setattr(K, "QUERY_TERMS", 100)
+    monkeypatch.setattr(K, "SCORES", 500)
+    monkeypatch.setattr(K, "BLOCK", 16)
     got = {(r["query_id"], r["rank"]): r["chunk_id"] for r in R.sparse_topk(table(q, "query_id"), table(c, "chunk_id"), 7).collect()}
     s = np.round(q @ c.T, 6)
     want = {(i, r + 1): j for i in range(40) for r, j in enumerate(np.lexsort((np.arange(300), -s[i]))[:7].tolist()) if s[i, j] > 0}

@@ -146,14 +146,14 @@ def default_chunk_id(doc_id: Column, granularity: Column, index: Column) -> Colu
     return F.concat_ws("_", F.lit("book"), doc_id, F.when(granularity != "paragraph", granularity), F.concat(F.lit("i"), index))
 
 
-def assemble_chunks(docs: DataFrame) -> DataFrame:
+def assemble_chunks(docs: DataFrame, *more: str) -> DataFrame:
     """Documents (doc_id, meta, text) as typed chunks: type and id of the metadata (map), else book_text and the default id;
-    metadata without nulls and without what has a column of its own."""
+    metadata without nulls and without what has a column of its own; columns ``more`` stay."""
     at = lambda key: F.nullif(F.col("meta")[key], F.lit(""))
     granularity, index = F.coalesce(at("granularity"), F.lit("paragraph")), F.coalesce(at("chunk_index"), F.lit("0"))
     chunk_id = F.coalesce(at("chunk_id"), default_chunk_id(F.col("doc_id"), granularity, index))
     rest = F.map_filter("meta", lambda k, v: v.isNotNull() & ~k.isin("chunk_id", "chunk_type"))
-    return docs.select(chunk_id.alias("chunk_id"), F.coalesce(at("chunk_type"), F.lit("book_text")).alias("chunk_type"), "text", rest.alias("metadata"))
+    return docs.select(chunk_id.alias("chunk_id"), F.coalesce(at("chunk_type"), F.lit("book_text")).alias("chunk_type"), "text", rest.alias("metadata"), *more)
 
 
 def external_chunks(texts: DataFrame, lexicon: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -161,12 +161,13 @@ def external_chunks(texts: DataFrame, lexicon: DataFrame) -> tuple[DataFrame, Da
 
     Texts are cut into blocks, tagged with the lexicon's entities and the ``explicit`` ids, and linked with the entity by
     one EVIDENCED_BY edge for each (entity, source), which names the first chunk. Nodes: the sources, and a placeholder with a
-    type from the id's prefix for each entity.
+    type from the id's prefix for each entity. Of titles that give the same chunk id, the first in order keeps it.
     """
     t = texts.withColumns({"source_id": slug(F.lit("source"), F.lit("external"), F.col("title")), "_slug": slug(F.left("title", F.lit(48)))})
     c = t.select("title", "source_url", "source_id", "_slug", "explicit", F.posexplode(split_blocks(F.col("text"))).alias("paragraph_index", "text"))
     c = c.withColumn("chunk_id", F.concat(F.lit("external_"), "_slug", F.lit("_paragraph_i"), "paragraph_index"))
-    c = c.dropDuplicates(["chunk_id"])
+    first = F.min_by(F.struct("title", "source_url", "source_id", "explicit", "paragraph_index", "text"), F.struct("title", "source_url", "text"))
+    c = c.groupBy("chunk_id").agg(first.alias("_c")).select("chunk_id", "_c.*")
     tags = tag_entities(c, lexicon).union(c.select("chunk_id", F.explode("explicit"))).where("node_id <> ''").distinct()
     tagged = tags.groupBy("chunk_id").agg(F.collect_set("node_id").alias("_nodes"))
     none = F.array().cast("array<string>")

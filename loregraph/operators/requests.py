@@ -152,7 +152,11 @@ def rewrite_hits(queries: DataFrame, chunks: DataFrame, k: int = K_CHANNEL, want
     kind = queries.schema["query_id"].dataType.simpleString()
     each = queries.select(F.concat_ws("#", "query_id", "q_idx").alias("_each"), "query_id", "text")
     own = None if wanted is None else each.select("_each", "query_id").join(wanted, "query_id").drop("query_id").withColumnRenamed("_each", "query_id")
-    hits = hybrid_search(each.select(F.col("_each").alias("query_id"), "text"), chunks, k, own, attributes)
+    return split_hits(hybrid_search(each.select(F.col("_each").alias("query_id"), "text"), chunks, k, own, attributes), kind)
+
+
+def split_hits(hits: DataFrame, kind: str) -> DataFrame:
+    """Hits of rewrites, whose id is query_id#q_idx, as query_id, q_idx, chunk_id, score, rank."""
     key = F.col("query_id")
     return hits.select(F.substring_index(key, "#", 1).cast(kind).alias("query_id"), F.substring_index(key, "#", -1).cast("int").alias("q_idx"), "chunk_id", "score", "rank")
 
@@ -170,16 +174,16 @@ def with_probes(hypotheses: DataFrame, probes: DataFrame) -> DataFrame:
     return hypotheses.join(lists, ["query_id", "q_idx"], "left").withColumn("probe_top_chunks", F.coalesce("probe_top_chunks", F.array().cast("array<string>")))
 
 
-def rank_candidates(queries: DataFrame, chunks: DataFrame, query_nodes: DataFrame | None, tags: DataFrame | None, constraints: DataFrame | None = None, buckets: DataFrame | None = None, k_out: int = K_OUT, wanted: DataFrame | None = None, attributes: DataFrame | None = None) -> DataFrame:
+def rank_candidates(queries: DataFrame, chunks: DataFrame, query_nodes: DataFrame | None, tags: DataFrame | None, constraints: DataFrame | None = None, buckets: DataFrame | None = None, k_out: int = K_OUT, wanted: DataFrame | None = None, attributes: DataFrame | None = None, hits: DataFrame | None = None) -> DataFrame:
     """All channels fused and reranked, before diversity: query_id, chunk_id, score, channels, text, query_text.
 
     queries: query_id, q_idx, text (a row for each rewrite). query_nodes: query_id, node_id and tags: chunk_id, node_id (both
     None: no graph). constraints: query_id, chunk_id, rank. buckets: query_id of requests that are about one bucket, for which
     the graph's ranking counts once more. wanted (query_id, factory, external) and attributes (chunk_id, factory, external, chunk_type):
-    filters of the channels.
+    filters of the channels. hits: those of the rewrites, if an index has found them already.
     """
     row = lambda df, name, weight: df.select("query_id", "chunk_id", "rank", F.lit(name).alias("channel"), F.lit(weight).alias("weight"))
-    named = row(rewrite_hits(queries, chunks, wanted=wanted, attributes=attributes), "hybrid", WEIGHTS["hybrid"])
+    named = row(rewrite_hits(queries, chunks, wanted=wanted, attributes=attributes) if hits is None else hits, "hybrid", WEIGHTS["hybrid"])
     if constraints is not None:
         named = named.union(row(constraints, "constraint", WEIGHTS["constraint"]))
     if query_nodes is not None:

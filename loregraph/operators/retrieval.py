@@ -85,14 +85,16 @@ def postings_stats(chunks: DataFrame, post: DataFrame) -> DataFrame:
     return every.join(F.broadcast(post.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("_tokens"))), F.lit(True), "left").select("n", (F.col("_tokens") / F.col("n")).alias("avgdl"))
 
 
-def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int, post: DataFrame | None = None, wanted: DataFrame | None = None, attributes: DataFrame | None = None) -> DataFrame:
+def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int, post: DataFrame | None = None, wanted: DataFrame | None = None, attributes: DataFrame | None = None, stats: DataFrame | None = None, df: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, score and rank of the k chunks of highest Okapi score; repeated query tokens count again.
 
+    post: the chunks' postings, or those of the queries' terms if stats (n, avgdl) and df (term, df) are given.
+
     wanted, attributes: what queries ask for and chunks have, of topk.FILTERS; the statistics are those of all chunks.
     """
     post = stored(postings(chunks)) if post is None else post
-    stats = stored(postings_stats(chunks, post))
-    terms = bm25_terms(document_frequencies(post), stats)
+    stats = stored(postings_stats(chunks, post) if stats is None else stats)
+    terms = bm25_terms(document_frequencies(post) if df is None else df, stats)
     asked = tokens(queries, "query_id").groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")).join(terms, "term")
     parts = post.join(F.broadcast(stats), F.lit(True), "left").select("chunk_id", "term", impact().alias("weight"))
     return sparse_topk(asked.select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")), parts, k, wanted, attributes)
@@ -105,9 +107,9 @@ def tfidf_topk(queries: DataFrame, chunks: DataFrame, k: int, post: DataFrame |
     return sparse_topk(tfidf_vectors(queries, voc, "query_id"), tfidf_vectors(post.select("chunk_id", "term", "tf"), voc, "chunk_id"), k, wanted, attributes)
 
 
-def tfidf_vocabulary(tf: DataFrame, stats: DataFrame, terms: int = TFIDF_TERMS) -> DataFrame:
-    """The terms of highest document frequency (ties: first in order) with idf = ln((1 + n) / (1 + df)) + 1."""
-    top = document_frequencies(tf).orderBy(F.desc("df"), "term").limit(terms)
+def tfidf_vocabulary(tf: DataFrame | None, stats: DataFrame, terms: int = TFIDF_TERMS, df: DataFrame | None = None) -> DataFrame:
+    """The terms of highest document frequency (ties: first in order) with idf = ln((1 + n) / (1 + df)) + 1; df: known frequencies."""
+    top = (document_frequencies(tf) if df is None else df).orderBy(F.desc("df"), "term").limit(terms)
     return top.join(F.broadcast(stats), F.lit(True), "left").select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 

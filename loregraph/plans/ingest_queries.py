@@ -246,12 +246,12 @@ def triplet_messages(spark, d):
 
 @query("st4_triplet_edges", "SELECT DISTINCT 'user_'||user_id AS source, CASE WHEN event_id%4<>0 THEN upper(event_type) ELSE 'RELATED_TO' END AS relation, 'k_'||(event_id%11) AS target FROM events WHERE event_type<>'view'")
 def st4(spark, d):
-    return I.triplet_rows(I.envelopes(triplet_messages(spark, d)))[1]
+    return I.triplet_rows(I.envelopes(triplet_messages(spark, d)))[1].select("source", "relation", "target")
 
 
 @query("st4_triplet_nodes", "SELECT node_id, node_type, label FROM (SELECT 'user_'||user_id AS node_id, 'User' AS node_type, CASE WHEN event_id%2=0 THEN event_type ELSE 'user_'||user_id END AS label, ts, event_id FROM events WHERE event_type<>'view' UNION ALL SELECT 'k_'||(event_id%11), CASE WHEN event_id%3=0 THEN 'Key' ELSE 'Entity' END, CASE WHEN event_id%2=0 THEN event_type ELSE 'k_'||(event_id%11) END, ts, event_id FROM events WHERE event_type<>'view') QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY ts DESC, event_id DESC)=1")
 def st4_nodes(spark, d):
-    return I.triplet_rows(I.envelopes(triplet_messages(spark, d)))[0]
+    return I.triplet_rows(I.envelopes(triplet_messages(spark, d)))[0].select("node_id", "node_type", "label")
 
 
 def text_messages(spark, d):

@@ -53,12 +53,12 @@ def page_marked_markdown(docs: DataFrame) -> DataFrame:
     return p.select("doc_id", "page", (F.row_number().over(w) - 1).alias("paragraph_index"), "text")
 
 
-def bucket_documents(docs: DataFrame) -> DataFrame:
-    """Loss buckets from documents (path, raw) that are frontmatter: node and chunk of each in one row.
+def bucket_documents(docs: DataFrame, *more: str) -> DataFrame:
+    """Loss buckets from documents (path, raw) that are frontmatter: node and chunk of each in one row; columns ``more`` stay.
 
     A document counts if it names a factory or is of type excel_bucket. The id is graph_node_id, else node_id, else the slug.
     """
-    d = docs.select("path", frontmatter(F.col("raw")).alias("m"), strip(body(F.col("raw"))).alias("_body"))
+    d = docs.select("path", frontmatter(F.col("raw")).alias("m"), strip(body(F.col("raw"))).alias("_body"), F.struct(F.lit(1), *more).alias("_more"))
     at = lambda key: F.nullif(F.col("m")[key], F.lit(""))
     d = d.where(at("factory").isNotNull() | F.coalesce(at("chunk_type") == "excel_bucket", F.lit(False)))
     slots = {c: F.coalesce(at(c), F.lit("")) for c in ("factory", "size_class", "mineral_form")}
@@ -71,7 +71,7 @@ def bucket_documents(docs: DataFrame) -> DataFrame:
     label = F.coalesce(at("title"), F.concat_ws(" ", "factory", "size_class", form, "metal"))
     text = F.concat(F.lit("Фабрика "), "factory", F.lit(". Класс "), "size_class", F.lit(". Форма: "), "mineral_form", F.lit(". Потери "), "metal", F.lit(": "), F.col("tonnes").cast("string"), F.lit(" т. Извлекаемо: "), F.when(F.col("recoverable"), "да").otherwise("нет"), F.lit("."))
     source = F.coalesce(at("source"), F.regexp_extract("path", r"([^/]+)$", 1))
-    return d.select("node_id", F.coalesce(at("chunk_id"), F.concat(F.lit("excel_"), "node_id")).alias("chunk_id"), label.alias("label"), "factory", "size_class", "mineral_form", "metal", "tonnes", "recoverable", F.coalesce(F.nullif("_body", F.lit("")), text).alias("text"), source.alias("source"), F.coalesce(at("chunk_type"), F.lit("excel_bucket")).alias("chunk_type"))
+    return d.select("node_id", F.coalesce(at("chunk_id"), F.concat(F.lit("excel_"), "node_id")).alias("chunk_id"), label.alias("label"), "factory", "size_class", "mineral_form", "metal", "tonnes", "recoverable", F.coalesce(F.nullif("_body", F.lit("")), text).alias("text"), source.alias("source"), F.coalesce(at("chunk_type"), F.lit("excel_bucket")).alias("chunk_type"), *(F.col(f"_more.{c}").alias(c) for c in more))
 
 
 def chunked_documents(docs: DataFrame) -> DataFrame:

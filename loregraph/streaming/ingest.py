@@ -2,29 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.window import Window
 
-from loregraph.operators.chunking import external_chunks
-from loregraph.operators.requests import rewrite_hits
+from loregraph.functions.text import citation
+from loregraph.operators.chunking import tag_entities
+from loregraph.operators.requests import K_CHANNEL, rank_candidates, retrieve, split_hits
+from loregraph.store import stored
+from loregraph.streaming.index import indexed_search, merge
+from loregraph.streaming.knowledge import CHUNK, CHUNKS, MENTIONS, Facts, add_facts, add_triplets, external_facts, keyed_edges, markdown_facts, merge_attrs
+from loregraph.streaming.ledger import Change, Ledger, newest, stream_id
 
-BUCKETS = 64
+ROWS = "rows"
 
 # Message types that have a handler.
 TYPES = ("chunk.upsert", "graph.triplet", "graph_rag.query", "graphrag.query", "nl_cypher.ask", "external.ingest", "ingest.markdown", "ingest.bootstrap", "chunk.get")
 QUERY = TYPES[3]
+QUERIES = TYPES[2:4]
 
 
 def envelopes(raw: DataFrame, value: str = "value") -> DataFrame:
-    """type and payload of JSON messages; the legacy shape {query, top_k} is a query. Other columns stay."""
-    m = raw.withColumn("_m", F.from_json(value, "type string, payload string, query string, top_k int"))
-    legacy = F.to_json(F.struct(F.col("_m.query").alias("question"), F.col("_m.top_k").alias("top_k")))
-    out = m.withColumn("type", F.coalesce("_m.type", F.when(F.col("_m.query").isNotNull(), QUERY)))
-    return out.withColumn("payload", F.coalesce("_m.payload", F.when(F.col("_m.query").isNotNull(), legacy))).drop("_m")
+    """type and payload of JSON messages; the legacy shape {query or question, top_k} is a query. Other columns stay."""
+    m = raw.withColumn("_m", F.from_json(value, "type string, payload string, query string, question string, top_k int"))
+    asked = F.coalesce("_m.question", "_m.query")
+    legacy = F.to_json(F.struct(asked.alias("question"), F.col("_m.top_k").alias("top_k")))
+    out = m.withColumn("type", F.coalesce("_m.type", F.when(asked.isNotNull(), QUERY)))
+    return out.withColumn("payload", F.coalesce("_m.payload", F.when(asked.isNotNull(), legacy))).drop("_m")
 
 
 def dispatch(messages: DataFrame) -> DataFrame:
@@ -32,36 +36,39 @@ def dispatch(messages: DataFrame) -> DataFrame:
     return messages.withColumn("route", F.when(F.col("type").isin(*TYPES), F.col("type")).otherwise("dead_letter"))
 
 
-def latest_per_key(messages: DataFrame, key: str = "key", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(*(F.desc(c) for c in order))
-    return messages.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+def checked(messages: DataFrame) -> DataFrame:
+    """Add ``route`` and ``error``: what keeps a message from its handler, null if nothing does. An error is a row, and the other messages go on."""
+    m = dispatch(messages)
+    p = F.try_parse_json("payload")
+    at = lambda path: F.coalesce(F.trim(F.try_variant_get(p, f"$.{path}", "string")), F.lit(""))
+    any_of = lambda *paths: F.concat(*(at(x) for x in paths))
+    need = {
+        ("chunk.get", "chunk.upsert"): (any_of("chunk_id"), "chunk_id required"),
+        (*QUERIES, "nl_cypher.ask"): (any_of("question", "query"), "question required"),
+        ("external.ingest",): (any_of("text", "content"), "text required"),
+        ("ingest.markdown",): (any_of("markdown", "content"), "markdown required"),
+    }
+    error = F.when(F.col("route") == "dead_letter", F.concat(F.lit("unknown message type: "), F.coalesce("type", F.lit(""))))
+    error = error.when(F.coalesce(F.schema_of_variant(p), F.lit("")).startswith("OBJECT") == F.lit(False), "malformed payload")
+    for routes, (value, text) in need.items():
+        error = error.when(F.col("route").isin(*routes) & (value == ""), text)
+    ends = (at("subject.node_id") == "") | (at("object.node_id") == "")
+    return m.withColumn("error", error.when((F.col("route") == "graph.triplet") & ends, "subject and object need a node_id"))
 
 
-def upsert(spark: SparkSession, batch: DataFrame, path: str, version: int) -> None:
-    """Apply a batch to the keyed table at ``path``: the last message of each key among the table's and the batch's counts.
+def latest_per_key(messages: DataFrame, key: str = "key", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
+    return newest(messages, key, order)
 
-    The table is kept in BUCKETS buckets by key. A batch reads and rewrites the buckets that it touches and no others,
-    as files of its own version, so a repeated batch gives the same table.
-    """
-    own = batch.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int"))
-    touched = [r["bucket"] for r in own.select("bucket").distinct().collect()]  # at most BUCKETS
-    if not touched:
-        return
-    if version and (now := current(spark, path, batch.schema, version)) is not None:
-        own = own.unionByName(now.where(F.col("bucket").isin(touched)))
-    latest_per_key(own).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={version}")
 
+def upsert(spark: SparkSession, batch: DataFrame, path: str, number: int, stream: str = "batch") -> None:
+    """Apply batch ``number`` of a stream to the keyed table at ``path`` (key, ts, seq, ...): of each key the last row counts,
+    among the table's and the batch's. A batch that comes again changes nothing; another stream goes on where the table is."""
+    Ledger(spark, path).transact(lambda change: change.upsert(ROWS, batch), stream, number)
 
-def current(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame | None:
-    """The rows of the table, with their bucket: of each bucket the files of its last version (below ``before``); None if there are none."""
-    whole = T.StructType([*(f for f in schema if f.name != "bucket"), T.StructField("version", T.IntegerType()), T.StructField("bucket", T.IntegerType())])
-    try:
-        rows = spark.read.schema(whole).parquet(path)
-    except AnalysisException:  # no version has been written
-        return None
-    rows = rows if before is None else rows.where(F.col("version") < before)
-    last = rows.groupBy("bucket").agg(F.max("version").alias("version"))
-    return rows.join(F.broadcast(last), ["bucket", "version"]).drop("version")  # a row for each bucket
+
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of the keyed table at ``path``; None if nothing has been written."""
+    return Ledger(spark, path).table(ROWS)
 
 
 def start_upserts(stream: DataFrame, path: str, checkpoint: str, route: str = "chunk.upsert") -> StreamingQuery:
@@ -69,7 +76,7 @@ def start_upserts(stream: DataFrame, path: str, checkpoint: str, route: str = "c
 
     def apply(batch: DataFrame, number: int) -> None:
         own = dispatch(batch).where(F.col("route") == route).select("key", "payload", "ts", "seq")
-        upsert(batch.sparkSession, own, path, number)
+        upsert(batch.sparkSession, own, path, number, stream_id(batch.sparkSession, checkpoint))
 
     return _start(stream, checkpoint, apply)
 
@@ -78,75 +85,169 @@ def _start(stream: DataFrame, checkpoint: str, apply) -> StreamingQuery:
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-TRIPLET = "subject struct<node_id: string, node_type: string, label: string>, predicate string, relation string, object struct<node_id: string, node_type: string, label: string>"
+NODE = "struct<node_id: string, node_type: string, label: string, attributes: map<string, string>>"
+TRIPLET = f"subject {NODE}, predicate string, relation string, object {NODE}, attributes map<string, string>"
 EXTERNAL = "title string, source_url string, text string, markdown string, content string, graph_node_ids array<string>"
+MARKDOWN = "markdown string, content string, source_path string, filename string, source_url string, factory string"
 QUESTION = "question string, query string, top_k int, retrieval_queries array<string>"
+UPSERT = "chunk_id string, text string, source string, factory string, chunk_type string, graph_node_ids array<string>, external boolean, source_url string, metadata map<string, string>"
 
 
-def triplet_rows(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (node_id, node_type, label) and edges of graph.triplet messages; of one node the last message counts."""
+def _null() -> Column:
+    return F.lit(None).cast("string")
+
+
+def triplet_facts(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of graph.triplet messages with their attributes (attrs), a row for each time that a message names one (ts, seq)."""
     t = dispatch(messages).where("route = 'graph.triplet'").select("ts", "seq", F.from_json("payload", TRIPLET).alias("p")).where("p.subject.node_id is not null and p.object.node_id is not null")
-    ends = t.select("ts", "seq", F.explode(F.array("p.subject", "p.object")).alias("n")).select("ts", "seq", "n.node_id", F.coalesce("n.node_type", F.lit("Entity")).alias("node_type"), F.coalesce("n.label", "n.node_id").alias("label"))
-    last = ends.groupBy("node_id").agg(F.max_by(F.struct("node_type", "label"), F.struct("ts", "seq", "node_type", "label")).alias("n")).select("node_id", "n.*")
-    edges = t.select(F.col("p.subject.node_id").alias("source"), F.coalesce("p.predicate", "p.relation", F.lit("RELATED_TO")).alias("relation"), F.col("p.object.node_id").alias("target")).distinct()
-    return last, edges
+    none = F.create_map().cast("map<string, string>")
+    ends = t.select("ts", "seq", F.posexplode(F.array("p.subject", "p.object")).alias("end", "n"))
+    # Where a message has a node twice, its object counts, as it comes last.
+    ends = ends.groupBy("ts", "seq", F.col("n.node_id").alias("node_id")).agg(F.max_by("n", "end").alias("n"), F.max_by("n.attributes", "end").alias("_a"))
+    nodes = ends.select("node_id", F.coalesce("n.node_type", F.lit("Entity")).alias("node_type"), F.coalesce("n.label", "n.node_id").alias("label"), F.coalesce("_a", none).alias("attrs"), "ts", "seq")
+    edges = t.select(F.col("p.subject.node_id").alias("source"), F.coalesce("p.predicate", "p.relation", F.lit("RELATED_TO")).alias("relation"), F.col("p.object.node_id").alias("target"), F.coalesce("p.attributes", none).alias("attrs"), "ts", "seq")
+    return nodes, edges
+
+
+def triplet_rows(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node_id, node_type, label, attrs) and edges (source, relation, target, attrs) of graph.triplet messages: of each the last
+    message counts, and of attributes, which are merged, the last value."""
+    nodes, edges = triplet_facts(messages)
+    nodes = merge_attrs(nodes, "node_id").select("node_id", "node_type", "label", "attrs")
+    return nodes, merge_attrs(keyed_edges(edges), "key").select("source", "relation", "target", "attrs")
 
 
-def ingested_texts(messages: DataFrame) -> DataFrame:
-    """The texts of external.ingest and ingest.markdown messages: title, source_url, text, explicit; blank ones are left out."""
-    m = dispatch(messages).where("route in ('external.ingest', 'ingest.markdown')").select("ts", "seq", F.from_json("payload", EXTERNAL).alias("p"))
+def ingested_texts(messages: DataFrame, routes: tuple[str, ...] = ("external.ingest", "ingest.markdown")) -> DataFrame:
+    """The texts of messages: title, source_url, text, explicit; blank ones are left out. Of one title the last message counts;
+    texts without a title are told apart by their address or message, which their title then names."""
+    m = dispatch(messages).where(F.col("route").isin(*routes)).select("key", "ts", "seq", F.from_json("payload", EXTERNAL).alias("p"))
     text = F.coalesce(F.nullif("p.text", F.lit("")), F.nullif("p.markdown", F.lit("")), "p.content")
-    m = m.select("ts", "seq", F.coalesce(F.nullif("p.title", F.lit("")), F.lit("External source")).alias("title"), F.col("p.source_url").alias("source_url"), text.alias("text"), F.coalesce("p.graph_node_ids", F.array().cast("array<string>")).alias("explicit")).where("trim(text) <> ''")
+    title = F.coalesce(F.nullif("p.title", F.lit("")), F.concat(F.lit("External source "), F.coalesce(F.nullif("p.source_url", F.lit("")), F.concat_ws("_", "key", "seq"))))
+    m = m.select("ts", "seq", title.alias("title"), F.col("p.source_url").alias("source_url"), text.alias("text"), F.coalesce("p.graph_node_ids", F.array().cast("array<string>")).alias("explicit")).where("trim(text) <> ''")
     return m.groupBy("title").agg(F.max_by(F.struct("source_url", "text", "explicit"), F.struct("ts", "seq")).alias("r")).select("title", "r.*")
 
 
+def markdown_documents(messages: DataFrame) -> DataFrame:
+    """The documents of ingest.markdown messages: path, raw, source_url, factory; of one path the last message counts."""
+    m = dispatch(messages).where("route = 'ingest.markdown'").select("key", "ts", "seq", F.from_json("payload", MARKDOWN).alias("p"))
+    raw = F.coalesce(F.nullif(F.trim("p.markdown"), F.lit("")), F.trim("p.content"))
+    path = F.coalesce(F.nullif("p.source_path", F.lit("")), F.nullif("p.filename", F.lit("")), F.concat(F.lit("upload_"), "key", F.lit("_"), "seq", F.lit(".md")))
+    m = m.select("ts", "seq", path.alias("path"), raw.alias("raw"), F.col("p.source_url").alias("source_url"), F.col("p.factory").alias("factory")).where("raw <> ''")
+    return m.groupBy("path").agg(F.max_by(F.struct("raw", "source_url", "factory"), F.struct("ts", "seq")).alias("r")).select("path", "r.*")
+
+
+def document_facts(messages: DataFrame, lexicon: DataFrame) -> Facts:
+    """What the documents of a batch say: ingest.markdown through the document parser, external.ingest as external texts."""
+    return markdown_facts(markdown_documents(messages), lexicon).union(external_facts(ingested_texts(messages, ("external.ingest",)), lexicon))
+
+
+def upserted_chunks(messages: DataFrame) -> DataFrame:
+    """The chunks of chunk.upsert messages, of each id the last."""
+    m = dispatch(messages).where("route = 'chunk.upsert'").select("ts", "seq", F.from_json("payload", UPSERT).alias("p")).where("p.chunk_id <> ''")
+    meta = F.coalesce("p.metadata", F.create_map().cast("map<string, string>"))
+    c = m.select("p.chunk_id", F.coalesce("p.text", F.lit("")).alias("text"), "p.source", _null().alias("source_id"), F.coalesce("p.chunk_type", F.lit("pdf_text")).alias("chunk_type"), "p.factory", F.coalesce("p.external", F.lit(False)).alias("external"), "p.source_url", meta["doc_id"].alias("doc_id"), meta["page"].try_cast("int").alias("page"), meta["paragraph_index"].try_cast("int").alias("paragraph_index"), F.coalesce("p.graph_node_ids", F.array().cast("array<string>")).alias("graph_node_ids"), meta.alias("metadata"), "ts", "seq")
+    return newest(c, "chunk_id", ("ts", "seq"))
+
+
 def asked_queries(messages: DataFrame) -> DataFrame:
-    """Requests of query messages, legacy ones too: query_id, q_idx, text (a row for each rewrite)."""
-    q = dispatch(messages).where(F.col("route") == QUERY).select(F.col("seq").alias("query_id"), F.from_json("payload", QUESTION).alias("p"))
+    """Requests of query messages of both types, legacy ones too: query_id, q_idx, text (a row for each rewrite)."""
+    q = dispatch(messages).where(F.col("route").isin(*QUERIES)).select(F.col("seq").alias("query_id"), F.from_json("payload", QUESTION).alias("p"))
     q = q.select("query_id", F.coalesce("p.question", "p.query").alias("question"), F.coalesce("p.retrieval_queries", F.array().cast("array<string>")).alias("more")).where("trim(question) <> ''")
     every = F.array_distinct(F.filter(F.concat(F.array("question"), F.col("more")), lambda x: F.trim(x) != ""))
     return q.select("query_id", F.posexplode(every).alias("q_idx", "text"))
 
 
 def start_triplets(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the graph's nodes and edges at ``path`` current: keyed tables of nodes by id and of edges by (source, relation, target)."""
+    """Keep the graph's nodes and edges at ``path`` current: nodes by id and edges by (source, relation, target), in one commit a batch."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        nodes, edges = triplet_rows(batch)
-        at = batch.agg(F.max("ts").alias("ts"), F.max("seq").alias("seq"))
-        keyed = lambda df, key: df.select(F.concat_ws("\t", *key).alias("key"), F.to_json(F.struct(*df.columns)).alias("payload")).join(F.broadcast(at), F.lit(True), "left")
-        upsert(batch.sparkSession, keyed(nodes, ["node_id"]), f"{path}/nodes", number)
-        upsert(batch.sparkSession, keyed(edges, ["source", "relation", "target"]), f"{path}/edges", number)
+        spark = batch.sparkSession
+        Ledger(spark, path).transact(lambda change: add_triplets(change, *triplet_facts(batch)), stream_id(spark, checkpoint), number)
 
     return _start(stream, checkpoint, apply)
 
 
-def start_external(stream: DataFrame, lexicon: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Ingest the stream's texts: chunks, evidence edges and nodes as keyed tables at ``path``, and a row of counts for each batch."""
+def apply_messages(change: Change, messages: DataFrame, lexicon: DataFrame, part: str) -> None:
+    """Stage what a batch of messages does to the knowledge base, and its errors, counts and found chunks as parts ``part``."""
+    spark = change.ledger.spark
+    every = stored(checked(messages).select("key", "ts", "seq", "type", "route", "payload", "error"))
+    errors, good = every.where("error is not null"), every.where("error is null")
+    at = every.agg(F.max("ts"), F.max("seq")).first()
+    if at[1] is None:
+        return
+    facts, upserts = document_facts(good, lexicon), upserted_chunks(good)
+    facts.chunks = facts.chunks.unionByName(upserts.select(*CHUNK).join(facts.chunks.select("chunk_id"), "chunk_id", "left_anti"))
+    counts = add_facts(change, facts, at)
+    nodes, edges = triplet_facts(good)
+    add_triplets(change, nodes, edges)
+    wanted = good.where("route = 'chunk.get'").select("key", "seq", F.try_variant_get(F.parse_json("payload"), "$.chunk_id", "string").alias("chunk_id"))
+    there = change.read(CHUNKS)
+    rows = wanted.where("false").withColumns({c: _null() for c in ("text", "source", "chunk_type", "display_ref")}) if there is None else cited(wanted.join(there.drop("key", "seq", "ts"), "chunk_id")).select("key", "seq", "chunk_id", "text", "source", "chunk_type", "display_ref")
+    lost = wanted.join(rows.select("seq"), "seq", "left_anti").select("key", "seq", F.lit("chunk.get").alias("route"), F.concat(F.lit("chunk not found: "), "chunk_id").alias("error"), _null().alias("payload"))
+    change.put("errors", errors.select("key", "seq", "route", "error", "payload").unionByName(lost).withColumn("part", F.lit(part)))
+    change.put("found", rows.withColumn("part", F.lit(part)))
+    change.put("counts", spark.createDataFrame([(part, *(counts[k] for k in ("chunks", "nodes", "edges")))], "batch string, chunks long, nodes long, edges long").withColumn("part", F.lit(part)))
+
+
+def start_messages(stream: DataFrame, lexicon: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Apply the stream's messages of every kind but questions to the knowledge base at ``path``: nodes, edges, chunks, mentions and the postings
+    index, with tables of errors, counts and found chunks, in one commit a batch."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        chunks, edges, nodes = external_chunks(ingested_texts(batch), lexicon)
-        at = batch.agg(F.max("ts").alias("ts"), F.max("seq").alias("seq"))
-        for name, df, key in (("chunks", chunks, ["chunk_id"]), ("edges", edges, ["source", "relation", "target"]), ("nodes", nodes, ["node_id"])):
-            own = df.select(F.concat_ws("\t", *key).alias("key"), F.to_json(F.struct(*df.columns)).alias("payload")).join(F.broadcast(at), F.lit(True), "left")
-            upsert(batch.sparkSession, own, f"{path}/{name}", number)
-        counts = chunks.agg(F.count(F.lit(1)).alias("chunk_count")).join(edges.agg(F.count(F.lit(1)).alias("edges_added")), F.lit(True), "left")
-        counts.write.mode("overwrite").parquet(f"{path}/counts/batch={number}")
+        ledger, name = Ledger(batch.sparkSession, path), stream_id(batch.sparkSession, checkpoint)
+        ledger.transact(lambda change: apply_messages(change, batch, lexicon, f"{name}-{number}"), name, number)
+        merge(ledger)
 
     return _start(stream, checkpoint, apply)
 
 
-def start_queries(stream: DataFrame, chunks: DataFrame, path: str, checkpoint: str, k: int = 8) -> StreamingQuery:
-    """Answer the stream's requests from the current ``chunks``: the k first of each rewrite, a folder of answers for each batch."""
+def cited(chunks: DataFrame) -> DataFrame:
+    """Chunks with their citation's source_type, excerpt and display_ref."""
+    meta = F.coalesce("metadata", F.create_map().cast("map<string, string>"))
+    c = chunks.withColumn("_c", citation(F.col("chunk_id"), F.col("source"), F.col("chunk_type"), F.col("text"), meta, F.col("source_url")))
+    return c.withColumns({x: F.col(f"_c.{x}") for x in ("source_type", "excerpt", "display_ref")}).drop("_c")
+
+
+def answers(asked: DataFrame, ledger: Ledger, lexicon: DataFrame, k: int = 8) -> DataFrame | None:
+    """The whole retrieval plan over the knowledge base as it is: query_id, position, chunk_id, score, channels, highlight, display_ref.
+
+    asked: query_id, q_idx, text. Text channels come from the postings index, the graph channel from the passages' mentions.
+    """
+    change = Change(ledger, ledger.state())  # one version for all reads
+    chunks = change.read(CHUNKS)
+    each = asked.select(F.concat_ws("#", "query_id", "q_idx").alias("query_id"), "text")
+    hits = indexed_search(each, change, K_CHANNEL)
+    if chunks is None or hits is None:
+        return None
+    mentions = change.read(MENTIONS)
+    nodes = tag_entities(asked.select(F.col("query_id").alias("chunk_id"), "text"), lexicon).withColumnRenamed("chunk_id", "query_id").distinct()
+    rows = chunks.select("chunk_id", "text", "source", "chunk_type", "source_url", "metadata")
+    cands = rank_candidates(asked, rows.select("chunk_id", "text"), None if mentions is None else stored(nodes), mentions, k_out=k, hits=split_hits(hits, asked.schema["query_id"].dataType.simpleString()))
+    return retrieve(cands, k).join(cited(rows).select("chunk_id", "display_ref"), "chunk_id", "left")
+
+
+def start_queries(stream: DataFrame, lexicon: DataFrame, path: str, out: str, checkpoint: str, k: int = 8) -> StreamingQuery:
+    """Answer the stream's requests from the knowledge base at ``path``, in a folder of answers under ``out`` for each batch.
+
+    A batch reads the buckets of its terms in the postings index; no text is split but the requests'.
+    """
 
     def apply(batch: DataFrame, number: int) -> None:
-        rewrite_hits(asked_queries(batch), chunks).where(F.col("rank") <= k).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        found = answers(stored(asked_queries(batch)), Ledger(batch.sparkSession, path), lexicon, k)
+        if found is not None:
+            found.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return _start(stream, checkpoint, apply)
 
 
 def step_status(events: DataFrame) -> DataFrame:
-    """Last status of each step (request_id, step_id, status, ts, seq) and the seconds since the request's first event."""
-    first = events.groupBy("request_id").agg(F.min("ts").alias("_first"))
-    last = events.groupBy("request_id", "step_id").agg(F.max_by("status", F.struct("ts", "seq")).alias("status"), F.max("ts").alias("_last"))
-    return last.join(first, "request_id").select("request_id", "step_id", "status", (F.unix_timestamp("_last") - F.unix_timestamp("_first")).alias("elapsed"))
+    """The status of each step (request_id, step_id, status, ts, seq) and the seconds from the request's first event to the step's last.
+
+    A later event of another step closes a step that is still running.
+    """
+    at = F.struct("ts", "seq")
+    whole = events.groupBy("request_id").agg(F.min("ts").alias("_first"), F.max(F.struct("ts", "seq", "step_id")).alias("_end"))
+    last = events.groupBy("request_id", "step_id").agg(F.max_by("status", at).alias("status"), F.max(at).alias("_last"))
+    closed = (F.col("status") == "running") & (F.col("_end.step_id") != F.col("step_id"))
+    status = F.when(closed, "done").otherwise(F.col("status"))
+    return last.join(whole, "request_id").select("request_id", "step_id", status.alias("status"), (F.unix_timestamp("_last.ts") - F.unix_timestamp("_first")).alias("elapsed"))

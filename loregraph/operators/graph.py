@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loregraph.functions.text import slug
+from loregraph.store import stored
 
 # Relations of intervention paths, prefixes of retrieval and topic nodes, limits of topic wiring.
 INTERVENTION = ("EXPLAINED_BY", "ADDRESSED_BY", "USES_EQUIPMENT", "RELATED_MECHANISM")
@@ -86,16 +87,29 @@ def traverse(starts: DataFrame, edges: DataFrame, max_hops: int = 3, relations:
 
 
 def reachable(starts: DataFrame, edges: DataFrame, hops: int = 3, relations: tuple[str, ...] | None = INTERVENTION) -> DataFrame:
-    """Distinct (start_id, node_id, hops) with the fewest hops; the frontier is distinct per hop."""
+    """Distinct (start_id, node_id, hops) with the fewest hops. Of each hop only the nodes that no earlier one has reached go on."""
     e = edges.where(F.col("relation").isin(*relations)) if relations else edges
-    e = e.select("source", "target").distinct()
-    frontier = starts.select("start_id", F.col("start_id").alias("node_id"))
-    out = None
+    e = stored(e.select("source", "target").distinct())
+    frontier, seen = starts.select("start_id", F.col("start_id").alias("node_id")).distinct(), None
     for hop in range(1, hops + 1):
-        frontier = frontier.join(e, F.col("node_id") == F.col("source")).select("start_id", F.col("target").alias("node_id")).distinct()
+        new = frontier.join(e, F.col("node_id") == F.col("source")).select("start_id", F.col("target").alias("node_id")).distinct()
+        if seen is not None:
+            new = new.join(seen, ["start_id", "node_id"], "left_anti")
+        frontier = stored(new)
         part = frontier.withColumn("hops", F.lit(hop))
-        out = part if out is None else out.union(part)
-    return out.groupBy("start_id", "node_id").agg(F.min("hops").alias("hops"))
+        seen = part if seen is None else seen.union(part)
+        if hop < hops and frontier.isEmpty():
+            break
+    return seen
+
+
+def neighbourhood(starts: DataFrame, edges: DataFrame, hops: int = 6, relations: tuple[str, ...] | None = None) -> DataFrame:
+    """The edges within ``hops`` of each start: start_id, hop (the first on which an edge can be gone), source, relation, target."""
+    e = edges.where(F.col("relation").isin(*relations)) if relations else edges
+    near = reachable(starts, edges, hops - 1, relations).select("start_id", F.col("node_id").alias("source"), "hops") if hops > 1 else None
+    own = starts.select("start_id", F.col("start_id").alias("source"), F.lit(0).alias("hops")).distinct()
+    at = own if near is None else own.union(near.where("source <> start_id"))
+    return at.join(e.select("source", "relation", "target").distinct(), "source").select("start_id", (F.col("hops") + 1).alias("hop"), "source", "relation", "target")
 
 
 def primary_path(paths: DataFrame, allowed: tuple[str, ...] = INTERVENTION) -> DataFrame:
@@ -117,11 +131,38 @@ def indirect_links(edges: DataFrame, first: tuple[str, ...], second: tuple[str,
     """A-C pairs joined through some B without a direct edge, with the number of such B."""
     a = edges.where(F.col("relation").isin(*first)).select(F.col("source").alias("a"), F.col("target").alias("b")).distinct()
     c = edges.where(F.col("relation").isin(*second)).select(F.col("source").alias("b"), F.col("target").alias("c")).distinct()
-    pairs = a.join(c, "b").where("a <> c").groupBy("a", "c").agg(F.countDistinct("b").alias("via"))
+    pairs = shared_nodes(a.select("a", F.col("b").alias("node_id")), c.select("c", F.col("b").alias("node_id")), "a", "c", counted="via").where("a <> c")
     direct = edges.select(F.col("source").alias("a"), F.col("target").alias("c")).distinct()
     return pairs.join(direct, ["a", "c"], "left_anti")
 
 
+def node_sets(tags: DataFrame, key: str) -> DataFrame:
+    """Classes of keys that have the very same nodes: set_id, nodes (sorted) and members, the number of keys."""
+    own = tags.where("node_id is not null").groupBy(key).agg(F.array_sort(F.collect_set("node_id")).alias("nodes"))
+    return own.withColumn("set_id", F.xxhash64("nodes"))
+
+
+def shared_classes(left: DataFrame, right: DataFrame, lkey: str, rkey: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes of left keys (lkey, left_set), classes of right keys (rkey, right_set), pairs of classes (left_set, right_set, shared)).
+
+    Keys with the very same nodes are one class, and a pair of classes stands for all pairs of their members. A node that half of all keys
+    have is then met once for each different set of nodes, not once for each key, and no pair of keys is listed.
+    """
+    a, b = stored(node_sets(left, lkey)), stored(node_sets(right, rkey))
+    sets = lambda df, name: df.groupBy(F.col("set_id").alias(name)).agg(F.first("nodes").alias("nodes"))
+    x = sets(a, "left_set").select("left_set", F.explode("nodes").alias("node_id"))
+    y = sets(b, "right_set").select("right_set", F.explode("nodes").alias("node_id"))
+    pairs = x.join(y, "node_id").groupBy("left_set", "right_set").agg(F.count(F.lit(1)).alias("shared"))
+    return a.select(lkey, F.col("set_id").alias("left_set")), b.select(rkey, F.col("set_id").alias("right_set")), stored(pairs)
+
+
+def shared_nodes(left: DataFrame, right: DataFrame, lkey: str, rkey: str, least: int = 1, counted: str = "shared") -> DataFrame:
+    """(lkey, rkey, number of shared nodes) of keys that share ``least`` or more; counted over classes, then told out to their members."""
+    a, b, pairs = shared_classes(left, right, lkey, rkey)
+    pairs = pairs.where(F.col("shared") >= least)
+    return pairs.join(a, "left_set").join(b, "right_set").select(lkey, rkey, F.col("shared").alias(counted))
+
+
 def subgraph(nodes: DataFrame, edges: DataFrame, types: tuple[str, ...], relations: tuple[str, ...]) -> DataFrame:
     """Edges of some relations whose ends both have one of the types."""
     ids = nodes.where(F.col("node_type").isin(*types)).select("node_id")
@@ -180,8 +221,7 @@ def source_pairs(ranked: DataFrame, passages: DataFrame) -> DataFrame:
 
 def supports(passages: DataFrame, hypotheses: DataFrame, least: int = 1) -> DataFrame:
     """SUPPORTS_HYPOTHESIS pairs by shared entities: tags (chunk_id, node_id) against (hypothesis_id, node_id)."""
-    p = passages.select("chunk_id", "node_id").distinct().join(hypotheses.select("hypothesis_id", "node_id").distinct(), "node_id")
-    return p.groupBy("chunk_id", "hypothesis_id").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+    return shared_nodes(passages, hypotheses, "chunk_id", "hypothesis_id", least)
 
 
 def example_hypotheses(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from loregraph.functions.text import EXPANSION_TOKEN, highlight, tokenize
 from loregraph.operators import losses as L
 from loregraph.operators import retrieval as R
+from loregraph.operators.chunking import tag_entities
 from loregraph.store import stored
 
 # Channel weights and depths of retrieval.
@@ -79,11 +80,13 @@ def pin_first(ranked: DataFrame, pinned: DataFrame) -> DataFrame:
 def question_slots(questions: DataFrame, aliases: DataFrame, text: str = "question") -> DataFrame:
     """Add the slots that a question names: a column for each slot of SLOTS with the value of its first alias in the text.
 
-    aliases: slot, seq, needle, value; a dimension. ``search`` is the last alias of slot search, else the whole question
+    aliases: slot, seq, needle, value, of any number. ``search`` is the last alias of slot search, else the whole question
     if it is longer than 3 characters.
     """
     q = questions.withColumn("_id", F.monotonically_increasing_id()) if "request_id" not in questions.columns else questions.withColumn("_id", F.col("request_id"))
-    hits = q.select("_id", F.lower(text).alias("_low")).distinct().join(F.broadcast(aliases), F.contains("_low", "needle"))
+    named = aliases.select(F.to_json(F.struct("slot", "seq", "value")).alias("node_id"), F.col("needle").alias("keyword"))
+    hits = tag_entities(q.select(F.col("_id").alias("chunk_id"), F.col(text).alias("text")), named)
+    hits = hits.select(F.col("chunk_id").alias("_id"), F.from_json("node_id", "slot string, seq int, value string").alias("a")).select("_id", "a.*")
     found = hits.groupBy("_id").pivot("slot", list(SLOTS)).agg(F.min_by("value", "seq"))
     out = q.join(found, "_id", "left").drop("_id")
     whole = F.when(F.length(F.trim(text)) > 3, F.trim(text))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loregraph.functions.text import tokenize
+from loregraph.operators.graph import shared_nodes
 from loregraph.operators.topk import dealt, sparse_topk, top_k, vector_topk  # noqa: F401
 from loregraph.store import stored
 
@@ -191,7 +192,7 @@ def mmr(cands: DataFrame, top_n: int, lam: float = MMR_LAMBDA) -> DataFrame:
 
 def graph_overlap(queries: DataFrame, tags: DataFrame) -> DataFrame:
     """query_id, chunk_id and the number of distinct shared nodes, from (query_id, node_id) and (chunk_id, node_id)."""
-    return queries.join(tags, "node_id").groupBy("query_id", "chunk_id").agg(F.countDistinct("node_id").cast("double").alias("score"))
+    return shared_nodes(queries, tags, "query_id", "chunk_id", counted="score").withColumn("score", F.col("score").cast("double"))
 
 
 def shared_by_type(attributes: DataFrame) -> DataFrame:

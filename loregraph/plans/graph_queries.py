@@ -199,6 +199,16 @@ def gr13(spark, d):
     return G.reachable(s, V.edges(spark, d), hops=6, relations=("HAS_EQUIPMENT", "HAS_LOSS", "EXPLAINED_BY", "ADDRESSED_BY", "USES_EQUIPMENT"))
 
 
+NEAR = ("HAS_EQUIPMENT", "HAS_LOSS", "EXPLAINED_BY", "ADDRESSED_BY", "USES_EQUIPMENT", "EVIDENCED_BY")
+
+
+@query("gr13_neighbourhood", sql("edges nodes", "SELECT start_id, hop, source, relation, target FROM (SELECT start_id, h+1 AS hop, e.source, e.relation, e.target FROM (SELECT start_id, node_id, min(h) AS h FROM near GROUP BY 1,2) n JOIN near_e e ON e.source=node_id WHERE h<6)", near_e="SELECT DISTINCT source, relation, target FROM edges WHERE relation IN ('HAS_EQUIPMENT','HAS_LOSS','EXPLAINED_BY','ADDRESSED_BY','USES_EQUIPMENT','EVIDENCED_BY')", near="SELECT node_id AS start_id, node_id, 0 AS h FROM nodes WHERE node_type='Factory' UNION SELECT start_id, e.target, h+1 FROM near JOIN near_e e ON e.source=node_id WHERE h<6"))
+def gr13_edges(spark, d):
+    """Each factory's edges of six hops, down to the sources that literature evidence leads to."""
+    s = V.nodes(spark, d).where("node_type = 'Factory'").select(F.col("node_id").alias("start_id"))
+    return G.neighbourhood(s, V.edges(spark, d), 6, NEAR)
+
+
 @query("gr14_view_filter", sql("edges nodes", "SELECT e.source, e.relation, e.target FROM edges e JOIN nodes a ON a.node_id=e.source AND a.node_type IN ('LossForm','Mineral','Metal') JOIN nodes b ON b.node_id=e.target AND b.node_type IN ('LossForm','Mineral','Metal') WHERE e.relation IN ('OF_MINERAL','CARRIES_METAL')"))
 def gr14(spark, d):
     return G.subgraph(V.nodes(spark, d), V.edges(spark, d), ("LossForm", "Mineral", "Metal"), ("OF_MINERAL", "CARRIES_METAL"))
@@ -334,3 +344,16 @@ def rt12(spark, d):
     mineral = s.join(e.where("relation = 'OF_MINERAL'"), F.col("start_id") == F.col("source")).select("start_id", F.col("target").alias("node_id"))
     every = F.array_sort(F.collect_set("node_id"))
     return on_path.union(mineral).where(G.has_prefix(F.col("node_id"))).groupBy("start_id").agg(F.size(every).cast("long").alias("n"), F.array_join(every, ",").alias("nodes"))
+
+
+SETS = "SELECT {0}, string_agg(DISTINCT node_id, ',' ORDER BY node_id) AS nodes FROM {1} GROUP BY 1"
+
+
+@query("pw6_support_classes", sql("tags", "SELECT x.nodes AS left_nodes, y.nodes AS right_nodes, x.n AS left_n, y.n AS right_n, len(list_intersect(string_split(x.nodes,','), string_split(y.nodes,',')))::BIGINT AS shared FROM (SELECT nodes, count(*) AS n FROM ps GROUP BY 1) x JOIN (SELECT nodes, count(*) AS n FROM hs GROUP BY 1) y ON len(list_intersect(string_split(x.nodes,','), string_split(y.nodes,',')))>0", hyp=HYP, ps=SETS.format("chunk_id", "tags"), hs=SETS.format("hypothesis_id", "hyp")))
+def pw6_classes(spark, d):
+    """Support by classes of equal entities, over all entities, however frequent: what pairs of passages and hypotheses would tell, without listing them."""
+    t, h = V.tags(spark, d), hypotheses(spark, d)
+    a, b, pairs = G.shared_classes(t, h, "chunk_id", "hypothesis_id")
+    x = a.groupBy("left_set").agg(F.count(F.lit(1)).alias("left_n")).join(G.node_sets(t, "chunk_id").select(F.col("set_id").alias("left_set"), F.array_join("nodes", ",").alias("left_nodes")).distinct(), "left_set")
+    y = b.groupBy("right_set").agg(F.count(F.lit(1)).alias("right_n")).join(G.node_sets(h, "hypothesis_id").select(F.col("set_id").alias("right_set"), F.array_join("nodes", ",").alias("right_nodes")).distinct(), "right_set")
+    return pairs.join(x, "left_set").join(y, "right_set").select("left_nodes", "right_nodes", "left_n", "right_n", "shared")

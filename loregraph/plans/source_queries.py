@@ -64,6 +64,22 @@ def sc9(spark, d):
     return S.flatten_elements(raw).select("doc_id", F.col("page").cast("long").alias("page"), "number", "text", "section")
 
 
+@query("sc9_deep_elements", sql("paragraphs", """SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY i, lvl)-1 AS number, type, text, last_value(CASE WHEN type='heading' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i, lvl) AS section
+ FROM (SELECT doc_id, paragraph_index AS i, lvl, paragraph_index//5+1 AS page, CASE WHEN lvl=0 THEN 'paragraph' WHEN lvl=3 THEN 'heading' ELSE 'list item' END AS type, 'L'||lvl||' '||text AS text FROM paragraphs, range(5) t(lvl) WHERE lvl<=paragraph_index%5 AND NOT (lvl=1 AND paragraph_index%2=0))"""))
+def sc9_deep(spark, d):
+    """Each paragraph as an element with kids up to four levels below it; a level of half of them is of a type that is left out, but not its kids."""
+    p = V.paragraphs(spark, d)
+    i, node = F.col("paragraph_index"), None
+    for level in (4, 3, 2, 1, 0):
+        kind = {0: F.lit("paragraph"), 1: F.when(i % 2 == 0, "table").otherwise("list item"), 3: F.lit("heading")}.get(level, F.lit("list item"))
+        fields = [kind.alias("type"), F.concat(F.lit(f"L{level} "), "text").alias("content"), (F.floor(i / 5) + 1).cast("int").alias("page")]
+        own = F.struct(*fields) if node is None else F.struct(*fields, F.when(i % 5 > level, F.array(node)).alias("kids"))
+        node = own
+    each = p.select("doc_id", "paragraph_index", F.to_json(node).alias("e")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("paragraph_index", "e"))).alias("es"))
+    raw = each.select("doc_id", F.concat(F.lit("["), F.array_join(F.transform("es", lambda x: x["e"]), ","), F.lit("]")).alias("json"))
+    return S.flatten_elements(raw)
+
+
 @query("sc12_pages")
 def sc12(spark, d):
     return S.extract_pages(V.table(spark, d, "pages")).select("page_id", "title", "text", "markdown", F.size("headings").alias("headings"), F.size("links").alias("links"))

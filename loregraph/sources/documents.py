@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loregraph.functions.text import body, frontmatter, is_noise, slug, strip
 from loregraph.operators.losses import is_recoverable
-
-SKIPPED = {"script", "style", "nav", "aside", "footer", "noscript"}
-BLOCKS = {"p", "li", "blockquote", "td", "th", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "div", "article", "section", "br"}
-PAGE_SCHEMA = "page_id long, title string, text string, markdown string, headings array<string>, links array<string>, images array<string>, lang string, description string, canonical string"
+from loregraph.sources.pages import extract_page, extract_pages  # noqa: F401
+from loregraph.store import stored
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
@@ -90,21 +84,33 @@ def missing_transcripts(images: DataFrame, transcripts: DataFrame) -> DataFrame:
 
 def classify_by_prefix(files: DataFrame, rules: DataFrame) -> DataFrame:
     """The first rule (seq, prefix, chunk_type) whose prefix starts the file's stem; a type in the metadata goes first."""
-    hit = files.join(F.broadcast(rules), F.startswith("stem", "prefix"), "left")  # rules: a dimension written by hand
+    hit = files.join(rules, F.startswith("stem", "prefix"), "left")
     first = hit.groupBy("stem").agg(F.min_by("chunk_type", "seq").alias("_type"), F.first("meta_type").alias("meta_type"))
     return first.select("stem", F.coalesce("meta_type", "_type").alias("chunk_type"))
 
 
 def flatten_elements(raw: DataFrame) -> DataFrame:
-    """Text elements (type, content, page) of extractor JSON with kids two levels deep, in order, with the last heading as section."""
-    leaf = "type string, content string, page int"
-    node = F.from_json("json", f"array<struct<{leaf.replace(' ', ': ').replace(',:', ',')}, kids: array<struct<{leaf.replace(' ', ': ').replace(',:', ',')}>>>>")
-    e = raw.select("doc_id", F.posexplode(node).alias("i", "e"))
-    flat = F.concat(F.array(F.struct(F.col("e.type").alias("type"), F.col("e.content").alias("content"), F.col("e.page").alias("page"))), F.coalesce("e.kids", F.array().cast("array<struct<type: string, content: string, page: int>>")))
-    e = e.select("doc_id", "i", F.posexplode(flat).alias("j", "x")).select("doc_id", "i", "j", "x.*").where("type in ('paragraph', 'heading', 'list item') and content is not null")
-    w = Window.partitionBy("doc_id").orderBy("i", "j").rowsBetween(Window.unboundedPreceding, 0)
-    e = e.withColumn("section", F.last(F.when(F.col("type") == "heading", F.col("content")), ignorenulls=True).over(w))
-    n = Window.partitionBy("doc_id", "page").orderBy("i", "j")
+    """Text elements of extractor JSON (doc_id, json) whose kids nest to any depth, in document order: doc_id, page, number (in the page),
+    type, text, and the last heading before as section.
+
+    A level is worked out from the one above it until no element has kids. JSON that isn't an array of elements gives none.
+    """
+    at = lambda field, kind: F.try_variant_get("e", F.lit(f"$.{field}"), kind)
+    top = raw.select("doc_id", F.posexplode(F.expr("try_cast(try_parse_json(json) as array<variant>)")).alias("i", "e"))
+    level, every = top.select("doc_id", F.array("i").alias("path"), "e"), None
+    while True:
+        kids = F.transform(at("kids", "array<variant>"), lambda k: F.to_json(k))
+        level = stored(level.select("doc_id", "path", at("type", "string").alias("type"), at("content", "string").alias("content"), at("page", "int").alias("page"), kids.alias("kids")))
+        own = level.where("type in ('paragraph', 'heading', 'list item') and content is not null").drop("kids")
+        every = own if every is None else every.union(own)
+        level = level.where("size(kids) > 0")
+        if level.isEmpty():
+            break
+        below = level.select("doc_id", "path", F.posexplode("kids").alias("i", "_e"))
+        level = below.select("doc_id", F.array_append("path", F.col("i")).alias("path"), F.parse_json("_e").alias("e"))
+    w = Window.partitionBy("doc_id").orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
+    e = every.withColumn("section", F.last(F.when(F.col("type") == "heading", F.col("content")), ignorenulls=True).over(w))
+    n = Window.partitionBy("doc_id", "page").orderBy("path")
     return e.select("doc_id", "page", (F.row_number().over(n) - 1).alias("number"), "type", F.col("content").alias("text"), "section")
 
 
@@ -116,81 +122,6 @@ def read_delimited(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
     return spark.read.option("sep", sep).option("header", True).option("mode", "DROPMALFORMED").csv(path), sep
 
 
-class _Page(HTMLParser):
-    """Text, headings, links and images of the article (or body) of a page."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.skip, self.inside_title, self.heading = 0, False, None
-        self.title, self.lang, self.meta, self.canonical = "", None, {}, None
-        self.parts: list[str] = []
-        self.marked: list[str] = []
-        self.headings: list[str] = []
-        self.links: list[str] = []
-        self.images: list[str] = []
-
-    def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        if tag in SKIPPED or "ad" in (a.get("class") or "").split():
-            self.skip += tag not in ("br", "img", "meta", "link")
-        elif self.skip:
-            self.skip += tag not in ("br", "img", "meta", "link", "input", "hr")
-        if tag == "html":
-            self.lang = a.get("lang")
-        elif tag == "meta":
-            self.meta.setdefault(a.get("name") or a.get("property"), a.get("content"))
-        elif tag == "link" and a.get("rel") == "canonical":
-            self.canonical = a.get("href")
-        elif tag == "title":
-            self.inside_title = True
-        elif not self.skip:
-            if tag == "a" and a.get("href"):
-                self.links.append(a["href"])
-            elif tag == "img" and a.get("src"):
-                self.images.append(a["src"])
-            if tag in BLOCKS:
-                self.parts.append("\n")
-                self.marked.append("\n" + ("#" * int(tag[1]) + " " if tag[0] == "h" and tag[1:].isdigit() else "- " if tag == "li" else ""))
-            if tag[0] == "h" and tag[1:].isdigit():
-                self.heading = []
-
-    def handle_endtag(self, tag):
-        if tag == "title":
-            self.inside_title = False
-        if self.skip:
-            self.skip -= 1
-        if tag[0] == "h" and tag[1:].isdigit() and self.heading is not None:
-            self.headings.append(" ".join("".join(self.heading).split()))
-            self.heading = None
-
-    def handle_data(self, data):
-        if self.inside_title:
-            self.title += data
-        elif not self.skip:
-            self.parts.append(data)
-            self.marked.append(data)
-            if self.heading is not None:
-                self.heading.append(data)
-
-
-def extract_page(html: str) -> dict:
-    p = _Page()
-    p.feed(html or "")
-    lines = lambda parts: "\n".join(x for x in (" ".join(line.split()) for line in "".join(parts).split("\n")) if x)
-    first = lambda *names: next((p.meta[n] for n in names if p.meta.get(n)), None)
-    return {"title": first("og:title", "twitter:title") or " ".join(p.title.split()), "text": lines(p.parts), "markdown": lines(p.marked), "headings": p.headings, "links": p.links, "images": p.images, "lang": p.lang, "description": first("description", "og:description", "twitter:description"), "canonical": p.canonical or first("og:url")}
-
-
-def extract_pages(pages: DataFrame) -> DataFrame:
-    """Article, markdown and metadata of stored pages (page_id, html)."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            yield pd.DataFrame([{"page_id": i, **extract_page(h)} for i, h in zip(pdf["page_id"], pdf["html"], strict=True)], columns=[c.split()[0] for c in PAGE_SCHEMA.split(", ")])
-
-    return pages.select("page_id", "html").mapInPandas(run, PAGE_SCHEMA)
-
-
 def render_frontmatter(meta, text):
     """A document with its metadata (map) as frontmatter."""
     lines = F.transform(F.array_sort(F.map_entries(meta)), lambda e: F.concat(e["key"], F.lit(": "), F.to_json(F.array(e["value"])).substr(F.lit(2), F.length(F.to_json(F.array(e["value"]))) - 2)))

@@ -5,13 +5,13 @@ Rows of equal shingle sets are one set. Two collections of m bands each, of ROWS
 twice as many minhashes a key; m follows from the similarity asked for and the chance MISS that a pair of just that similarity
 meets in no table.
 
-Tables are never built whole. Two sets meet in some table if they share a band of either collection; so bands that one set alone has
+Tables are never built whole. Two sets meet in some table if they share a band of each collection; so bands that one set alone has
 are left out, and of bands (and then of pairs of bands) that have the very same sets one is kept, as those
 pair the same sets. Of a group of near copies that is one pair of bands, not hundreds.
 
 A bucket is dealt into blocks of BLOCK sets, and each pair of its blocks is a task's group: however large a bucket, no group
-is larger. There, parities of shingles (whose difference bounds that of the sets from below) rule out what can't link, and what
-is left joins sets to clusters. A cluster is verified in blocks of full sets: each block by itself and with the cluster's
+is larger; texts stay where they are. There, parities of shingles (whose difference bounds that of the sets from below) rule out what can't link, and what
+is left joins sets to clusters. Only the texts of sets in clusters are moved, once. A cluster is verified in blocks of full sets: each block by itself and with the cluster's
 first, which settles clusters of near copies; then, only where a cluster isn't one component yet, the blocks of sets
 outside its largest component with all of its blocks. So a link between different texts is missed only if its sets meet in no table.
 
@@ -32,8 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loregraph.llm.components import components
-from loregraph.llm.corpus import keyed, texts_of, unpack
-from loregraph.llm.ngram_join import _fingerprints, _open, _order, _signatures, close_pairs
+from loregraph.llm.corpus import keyed, texts_of
+from loregraph.llm.ngram_join import _open, close_pairs, parity_bits
 from loregraph.llm.store import materialize
 from loregraph.llm.words import U64, mix, odd_constants, segments, shingle_sets
 
@@ -58,36 +58,47 @@ def band_hashes(values: np.ndarray, bounds: np.ndarray, m: int, rows: int = ROWS
     return mix(out)
 
 
-def _bands(k: int, m: int):
-    """(band, side, f1) of each set."""
-    side = np.repeat([False, True], m)
+def _sketches(k: int, percent: int, m: int):
+    """Each row's number of shingles n, hash f1 of its set, smallest shingle low, parities bits, and bands; the lowest bit of a band is its collection."""
+    side = np.repeat([U64(0), U64(1)], m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch["f1"].to_numpy()
-            for s in segments(unpack(batch["packed"])):
+            for s in segments(batch["text"]):
                 values, bounds = shingle_sets(s.hashes(lower=True), s.bounds, k, 21)
-                own = band_hashes(values, bounds, m)
-                yield pa.RecordBatch.from_arrays([pa.array(own.ravel().view(np.int64)), pa.array(np.tile(side, len(own))), pa.array(np.repeat(ids[s.lo : s.hi], 2 * m))], ["band", "side", "f1"])
+                n = np.diff(bounds)
+                some = np.flatnonzero(n)
+                sums = np.concatenate([[U64(0)], np.cumsum(mix(values ^ U64(1)), dtype=U64)])
+                f1 = mix(sums[bounds[1:]] - sums[bounds[:-1]]).view(np.int64)
+                low = values[np.where(n > 0, bounds[:-1], 0)].view(np.int64) if len(values) else np.zeros(len(n), np.int64)
+                own = band_hashes(values, np.append(bounds[some], bounds[-1]), m) if len(some) else np.empty((0, 2 * m), U64)
+                own = ((own & ~U64(1)) | side).view(np.int64)
+                edges = np.concatenate([[0], np.cumsum(np.where(n > 0, 2 * m, 0))]).astype(np.int32)
+                bits = [parity_bits(values[bounds[r] : bounds[r + 1]], percent) if n[r] else b"" for r in range(len(n))]
+                ids = [batch[c].slice(s.lo, s.hi - s.lo) for c in ("doc_id", "k1", "k2")]
+                yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, (n, f1, low)), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(edges), pa.array(own.ravel()))], ["doc_id", "k1", "k2", "n", "f1", "low", "bits", "bands"])
 
     return run
 
 
-def _distinct(rows: DataFrame, key: str, *more: str) -> DataFrame:
-    """(key, n) of the keys that several sets have, one of those with the very same sets; rows (key, f1, more)."""
-    held = rows.groupBy(key, *more).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("f1")).alias("x1"), F.bit_xor(F.xxhash64("f1", F.lit(1))).alias("x2"), F.min("f1").alias("low"))
-    return materialize(held.where("n > 1").groupBy("n", "x1", "x2", "low", *more).agg(F.min(key).alias(key)).select(key, "n"))
+def _distinct(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n) of the keys that several sets have, one of those with the very same sets; rows (key, f1), no row twice."""
+    held = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("f1")).alias("own"))
+    return materialize(held.where("n > 1").groupBy("n", "own", F.col(key).bitwiseAND(F.lit(1))).agg(F.min(key).alias(key)).select(key, "n"))
 
 
-def buckets(sets: DataFrame, n_words: int, m: int) -> DataFrame:
-    """(key, n, f1): the buckets of several sets, of f1 each, that the tables hold, and their sizes."""
-    halves = materialize(sets.select("f1", "packed").mapInArrow(_bands(n_words, m), "band long, side boolean, f1 long"))
-    chosen = halves.join(_distinct(halves, "band", "side").select("band"), "band")
-    own = lambda side: F.collect_list(F.when(F.col("side") == side, F.col("band")))
-    pairs = chosen.groupBy("f1").agg(own(False).alias("first"), own(True).alias("second"))  # at most m bands each
-    keys = pairs.select("f1", F.explode("first").alias("_a"), "second").select("f1", F.explode("second").alias("_b"), "_a").select("f1", F.xxhash64("_a", "_b").alias("key"))
+def buckets(sets: DataFrame) -> DataFrame:
+    """(key, n, f1): the buckets of several sets, of f1 each, that the tables hold, and their sizes.
+
+    Joins are by sorting at any size: a bucket's rows can then be split, and the plan of a large table is that of a small one.
+    """
+    halves = sets.select("f1", F.explode("bands").alias("band"))
+    chosen = halves.join(_distinct(halves, "band").select("band").hint("merge"), "band")
+    own = lambda side: F.collect_list(F.when(F.col("band").bitwiseAND(F.lit(1)) == side, F.col("band")))
+    pairs = chosen.groupBy("f1").agg(own(0).alias("first"), own(1).alias("second"))  # at most m bands each
+    keys = pairs.select("f1", F.explode("first").alias("_a"), "second").select("f1", F.explode("second").alias("_b"), "_a").select("f1", F.shiftleft(F.xxhash64("_a", "_b"), 1).alias("key"))
     keys = materialize(keys)
-    return keys.join(_distinct(keys, "key"), "key").select("key", "n", "f1")
+    return keys.join(_distinct(keys, "key").hint("merge"), "key").select("key", "n", "f1")
 
 
 def _near(percent: int):
@@ -121,15 +132,12 @@ def _looks(blocks: str, at: str) -> Column:
     return F.when(F.col(blocks) == 1, other).otherwise(F.filter(other, lambda p: p["lo"] != p["hi"]))
 
 
-def clusters(sets: DataFrame, n_words: int, percent: int, m: int) -> DataFrame:
+def clusters(sets: DataFrame, percent: int) -> DataFrame:
     """(f1, root) of sets that meet in a bucket and that parities don't rule out, directly or through others."""
-    rows = materialize(buckets(sets, n_words, m))
-    some = materialize(rows.select("f1").distinct())
-    marks = sets.select("f1", "packed").join(some, "f1", "left_semi").mapInArrow(_signatures(n_words, percent), "f1 long, n long, bits binary")
-    dealt = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    dealt = buckets(sets).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     dealt = dealt.withColumn("at", F.pmod(F.xxhash64("f1", F.lit(3)), F.col("blocks")).cast("int"))
     dealt = dealt.select("f1", "key", F.explode(_looks("blocks", "at")).alias("p")).select("f1", F.xxhash64("key", "p.lo", "p.hi").alias("look"))
-    held = dealt.join(materialize(marks), "f1").select("look", "f1", "n", "bits")
+    held = materialize(dealt).join(sets.select("f1", "n", "bits").hint("merge"), "f1").select("look", "f1", "n", "bits")
     near = held.repartition("look").sortWithinPartitions("look").mapInArrow(_near(percent), "u long, v long")
     return components(near).withColumnRenamed("node", "f1")
 
@@ -144,14 +152,17 @@ def _verify(sets_in: DataFrame, looks: DataFrame, n_words: int, percent: int) ->
     return materialize(found.where("u <> v").select("u", "v"))
 
 
-def linked_sets(sets: DataFrame, near: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """(f1, root) of the components of the links within the clusters ``near`` (f1, root)."""
+def linked_sets(sets: DataFrame, near: DataFrame, texts, n_words: int, percent: int) -> DataFrame:
+    """(f1, root) of the components of the links within the clusters ``near`` (f1, root).
+
+    texts: gives the rows of a table of sets with their packed text; asked once, for the sets in clusters.
+    """
     near = materialize(near)
     count = near.count()
     block = lambda at, kind=0: F.xxhash64("cluster", at, F.lit(kind))
     sizes = materialize(near.groupBy(F.col("root").alias("cluster")).agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("blocks")), count)
     where = near.join(sizes, near["root"] == sizes["cluster"]).select("f1", "cluster", "blocks", block(F.pmod(F.xxhash64("f1"), F.col("blocks")).cast("int")).alias("block"))
-    sets_in = materialize(sets.select("f1", "copies", "gid", "packed").join(materialize(where, count), "f1"))
+    sets_in = materialize(texts(materialize(sets.select("f1", "copies", "gid", "k1", "k2", "rep").join(materialize(where, count), "f1"))))
     each = sizes.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     nothing = F.lit(None).cast("long")
     first = each.select(block(F.col("x")).alias("a"), nothing.alias("b")).union(each.where("x > 0").select(block(F.lit(0)), block(F.col("x"))))
@@ -179,14 +190,17 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, miss:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and kept (the row of that id) of each row."""
     k = keyed(docs, doc_id, text)
     kind = k.schema["doc_id"].dataType.simpleString()
-    rows = materialize(k.select("doc_id", "text", "k1", "k2").mapInArrow(_fingerprints(n_words), f"doc_id {kind}, k1 long, k2 long, n long, f1 long, f2 long, low long"))
-    sets = rows.where("n > 0").groupBy("f1", "n", "low").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.min(_order("doc_id", "k1", "k2")).alias("_rep"))
-    sets = materialize(sets.select("f1", "copies", "least", F.col("_rep.doc_id").alias("rep"), "_rep.k1", "_rep.k2", F.xxhash64("low", F.floor(F.log("n"))).alias("gid")))
-    full = texts_of(k, sets.select("k1", "k2", "rep", "f1", "gid", "copies"))
-    if not rows.groupBy("doc_id", "k1", "k2").count().where("count > 1").isEmpty():
-        full = full.dropDuplicates(["f1"])  # a row that is there twice is read twice
-    full = materialize(full)
-    roots = linked_sets(full, clusters(full, n_words, percent, bands(percent, miss)), n_words, percent)
+    rows = materialize(k.select("doc_id", "text", "k1", "k2").mapInArrow(_sketches(n_words, percent, bands(percent, miss)), f"doc_id {kind}, k1 long, k2 long, n long, f1 long, low long, bits binary, bands array<long>"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2", "bits", "bands"))  # null ids last
+    sets = rows.where("n > 0").groupBy("f1", "n", "low").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), first.alias("_rep"))
+    sets = materialize(sets.select("f1", "n", "copies", "least", F.col("_rep.doc_id").alias("rep"), "_rep.k1", "_rep.k2", F.xxhash64("low", F.floor(F.log("n"))).alias("gid"), "_rep.bits", "_rep.bands"))
+    twice = not rows.groupBy("doc_id", "k1", "k2").count().where("count > 1").isEmpty()
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        out = texts_of(k, wanted.hint("merge"))
+        return out.dropDuplicates(["f1"]) if twice else out  # a row that is there twice is read twice
+
+    roots = linked_sets(sets, clusters(sets, percent), texts, n_words, percent)
     known = sets.select("f1", "least").join(materialize(roots), "f1", "left").withColumn("root", F.coalesce("root", "f1"))
     known = materialize(known)
     known = known.join(materialize(known.groupBy("root").agg(F.min("least").alias("component_id"))), "root").select("f1", "component_id")

@@ -127,6 +127,24 @@ def evidence_hops(paths: DataFrame, edges: DataFrame) -> DataFrame:
     return h.join(ev, "to_id", "left")
 
 
+def evidence_chain(starts: DataFrame, paths: DataFrame, edges: DataFrame, citations: DataFrame) -> DataFrame:
+    """The hops of each start's path with what cites them: start_id, hop, from_id, relation, to_id, inferred, source.
+
+    A hop is cited by the sources of its target, the first one also by its bucket's own citation (citations: start_id, citation). A start
+    without a path has one hop, to itself, if it has a citation.
+    """
+    h = evidence_hops(paths, edges).withColumnRenamed("evidence", "source")
+    own = citations.select(F.col("start_id").alias("_at"), "citation")
+    first = h.where(F.col("from_id") == F.col("start_id")).select("start_id", "hop", "from_id", "relation", "to_id", "inferred").distinct()
+    first = first.join(own, F.col("start_id") == F.col("_at")).drop("_at").withColumnRenamed("citation", "source")
+    alone = starts.join(paths.select("start_id"), "start_id", "left_anti").join(own, F.col("start_id") == F.col("_at"))
+    alone = alone.select("start_id", F.lit(0).alias("hop"), F.col("start_id").alias("from_id"), F.lit("BUCKET").alias("relation"), F.col("start_id").alias("to_id"), F.lit(False).alias("inferred"), F.col("citation").alias("source"))
+    cols = ("start_id", "hop", "from_id", "relation", "to_id", "inferred", "source")
+    every = h.select(*cols).unionByName(first.select(*cols)).unionByName(alone).distinct()
+    names = F.array(*map(F.lit, ("A", "A→B", "B→C", "C→D", "D→E")))
+    return every.withColumn("hop", F.coalesce(F.get(names, F.col("hop")), F.concat(F.lit("hop-"), "hop")))
+
+
 def indirect_links(edges: DataFrame, first: tuple[str, ...], second: tuple[str, ...]) -> DataFrame:
     """A-C pairs joined through some B without a direct edge, with the number of such B."""
     a = edges.where(F.col("relation").isin(*first)).select(F.col("source").alias("a"), F.col("target").alias("b")).distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loregraph.functions.text import EXPANSION_TOKEN, highlight, tokenize
+from loregraph.functions.text import EXPANSION_TOKEN, citation, highlight, tokenize
 from loregraph.operators import losses as L
 from loregraph.operators import retrieval as R
 from loregraph.operators.chunking import tag_entities
@@ -64,13 +64,32 @@ def expand_queries(queries: DataFrame, synonyms: DataFrame, most: int = 12) -> D
     return queries.join(added, "query_id", "left").select("query_id", F.concat_ws(" ", "text", "added").alias("text"))
 
 
-def constraint_items(tier_text: Column, equipment: Column, user_items: Column) -> Column:
-    """The list of constraint texts that apply to a request, without blanks."""
+def constraint_items(tier_text: Column, equipment: Column, user_items: Column, regulations: Column | None = None) -> Column:
+    """The list of constraint texts that apply to a request: tier, equipment, regulations, its own; without blanks."""
     listed = F.when(F.size(equipment) > 0, F.concat(F.lit("Доступное оборудование: "), F.array_join(F.array_sort(equipment), ", ")))
-    every = F.concat(F.array(tier_text, listed), F.coalesce(user_items, F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    rules = none if regulations is None else F.coalesce(regulations, none)
+    every = F.concat(F.array(tier_text, listed), rules, F.coalesce(user_items, none))
     return F.filter(every, lambda x: x.isNotNull() & (F.trim(x) != ""))
 
 
+def factory_regulations(factories: DataFrame, regulations: DataFrame) -> DataFrame:
+    """factory and the texts of the regulations (seq, factory, text) that hold there, in order: its own and those of no factory."""
+    rows = lambda df: F.collect_list(F.struct("seq", "text"))  # noqa: E731, ARG005
+    own = regulations.where("factory is not null").groupBy("factory").agg(rows(regulations).alias("_own"))
+    every = regulations.where("factory is null").agg(rows(regulations).alias("_every"))  # one row
+    f = factories.select("factory").distinct().join(own, "factory", "left").join(F.broadcast(every), F.lit(True), "left")
+    both = F.array_sort(F.concat(F.coalesce("_own", F.expr("array()").cast(f.schema["_every"].dataType)), "_every"))
+    return f.select("factory", F.transform(both, lambda x: x["text"]).alias("regulations"))
+
+
+def cited(chunks: DataFrame) -> DataFrame:
+    """Chunks (chunk_id, source, chunk_type, text, metadata, source_url) with their citation's source_type, excerpt and display_ref."""
+    meta = F.coalesce("metadata", F.create_map().cast("map<string, string>"))
+    c = chunks.withColumn("_c", citation(F.col("chunk_id"), F.col("source"), F.col("chunk_type"), F.col("text"), meta, F.col("source_url")))
+    return c.withColumns({x: F.col(f"_c.{x}") for x in ("source_type", "excerpt", "display_ref")}).drop("_c")
+
+
 def pin_first(ranked: DataFrame, pinned: DataFrame) -> DataFrame:
     """Put the pinned chunk (query_id, chunk_id) first with score 1.0; its other row goes."""
     rest = ranked.select("query_id", "chunk_id", "score", "position").join(pinned, ["query_id", "chunk_id"], "left_anti")
@@ -245,10 +264,11 @@ def source_details(sources: DataFrame) -> DataFrame:
     return sources.withColumns({"title": words("title", "chunk_id", "Источник"), "type": words("type", "db"), "excerpt": F.coalesce(words("excerpt", "relevance"), F.lit("")), "url": url})
 
 
-def session_context(requests: DataFrame, buckets: DataFrame, equipment: DataFrame, tier_texts: dict[str, str], words: dict[str, tuple[str, ...]]) -> DataFrame:
+def session_context(requests: DataFrame, buckets: DataFrame, equipment: DataFrame, tier_texts: dict[str, str], words: dict[str, tuple[str, ...]], regulations: DataFrame | None = None) -> DataFrame:
     """A row for each request: intent, bucket and how it was found, factory, budget tier, role, constraints, five largest buckets.
 
     requests: request_id, question, bucket_id, factory, metal, size_class, mineral_form, budget_tier, entity, search, user_constraints.
+    regulations: seq, factory (null: all), text.
     """
     resolved = L.resolve_buckets(requests, buckets)
     budgets = L.infer_budget(buckets).select(F.col("node_id").alias("bucket"), F.col("factory").alias("_factory"), F.col("budget_tier").alias("_tier"), F.col("size_class").alias("_size"), F.col("mineral_form").alias("_form"))
@@ -258,8 +278,12 @@ def session_context(requests: DataFrame, buckets: DataFrame, equipment: DataFram
     r = r.withColumn("role", L.agent_role(F.col("intent"), F.col("_form"), F.col("_size")))
     own = equipment.groupBy(F.col("factory").alias("_f")).agg(F.collect_set("equipment").alias("_equipment"))
     r = r.join(own, "_f", "left")
+    rules = None
+    if regulations is not None:
+        held = factory_regulations(r.select(F.coalesce("_f", F.lit("")).alias("factory")), regulations)
+        r, rules = r.join(held.select(F.col("factory").alias("_rf"), F.col("regulations").alias("_rules")), F.coalesce("_f", F.lit("")) == F.col("_rf"), "left"), F.col("_rules")
     texts = F.create_map(*[F.lit(x) for pair in tier_texts.items() for x in pair])
-    r = r.withColumn("constraints", constraint_items(texts[F.col("tier")], F.coalesce("_equipment", F.array().cast("array<string>")), F.col("user_constraints")))
+    r = r.withColumn("constraints", constraint_items(texts[F.col("tier")], F.coalesce("_equipment", F.array().cast("array<string>")), F.col("user_constraints"), rules))
     scopes = r.select("request_id", F.lit(None).cast("string").alias("bucket_id"), F.col("_f").alias("factory"), "metal", F.lit(None).cast("string").alias("mineral_form"), F.lit(None).cast("string").alias("size_class"))
     tops = bucket_or_top(scopes, buckets).groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "node_id"))), lambda x: x["node_id"]).alias("top_buckets"))
     r = r.join(tops, "request_id", "left")

@@ -227,6 +227,32 @@ def judged_metrics(hits: DataFrame, k: int) -> DataFrame:
     return out.select("query_id", "hit_at_k", r(F.col("precision")).alias("precision"), r(1 / F.col("first_rank")).alias("mrr"), r(F.col("_dcg") / F.nullif(F.col("_best"), F.lit(0.0))).alias("ndcg"), "first_rank")
 
 
+def book_metrics(hits: DataFrame, k: int) -> DataFrame:
+    """Metrics of each query over its k first hits (query_id, rank, relevant, is_book, channels): a hit counts if it is of a book.
+
+    recall_at_k: whether any counts; precision over hits of books; how many hits of books the graph and the text channels found.
+    """
+    rel = F.when(F.col("is_book"), F.col("relevant")).otherwise(0)
+    h = hits.where(F.col("rank") <= k).withColumn("relevant", rel)
+    book = F.count_if("is_book")
+    found = h.groupBy("query_id").agg(
+        book.alias("book_hits"),
+        F.sum("relevant").alias("relevant_book_hits"),
+        F.count_if(F.col("is_book") & F.contains("channels", F.lit("graph"))).alias("graph_book_hits"),
+        F.count_if(F.col("is_book") & F.col("channels").rlike("hybrid|dense|bm25")).alias("vector_book_hits"),
+    )
+    m = judged_metrics(h, k).select("query_id", F.col("hit_at_k").cast("double").alias("recall_at_k"), "mrr", "ndcg", "first_rank")
+    share = F.round(F.coalesce(F.col("relevant_book_hits") / F.nullif("book_hits", F.lit(0)), F.lit(0.0)), 3)
+    return found.join(m, "query_id").withColumn("precision_at_k", share)
+
+
+def graph_lift(plain: DataFrame, graph: DataFrame) -> DataFrame:
+    """One row: mean recall of metrics without and with a graph, and what the graph adds."""
+    mean = lambda df, name: df.agg(F.round(F.avg("recall_at_k"), 3).alias(name))
+    both = mean(plain, "rag_recall").join(F.broadcast(mean(graph, "graphrag_recall")), F.lit(True), "left")  # one row each
+    return both.withColumn("graph_lift", F.round(F.col("graphrag_recall") - F.col("rag_recall"), 3))
+
+
 def factory_filter(factory: Column, chunk_type: Column, wanted: Column, mode: str = "lenient", shared: tuple[str, ...] = ()) -> Column:
     """lenient: same factory or none on either side; strict: same factory; shared: same factory or one of the types."""
     same = F.coalesce(factory == wanted, F.lit(False))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from loregraph.functions.text import citation
 from loregraph.operators.chunking import tag_entities
-from loregraph.operators.requests import K_CHANNEL, rank_candidates, retrieve, split_hits
+from loregraph.operators.requests import K_CHANNEL, cited, rank_candidates, retrieve, split_hits
 from loregraph.store import stored
 from loregraph.streaming.index import indexed_search, merge
 from loregraph.streaming.knowledge import CHUNK, CHUNKS, MENTIONS, Facts, add_facts, add_triplets, external_facts, keyed_edges, markdown_facts, merge_attrs
@@ -201,13 +203,6 @@ def start_messages(stream: DataFrame, lexicon: DataFrame, path: str, checkpoint:
     return _start(stream, checkpoint, apply)
 
 
-def cited(chunks: DataFrame) -> DataFrame:
-    """Chunks with their citation's source_type, excerpt and display_ref."""
-    meta = F.coalesce("metadata", F.create_map().cast("map<string, string>"))
-    c = chunks.withColumn("_c", citation(F.col("chunk_id"), F.col("source"), F.col("chunk_type"), F.col("text"), meta, F.col("source_url")))
-    return c.withColumns({x: F.col(f"_c.{x}") for x in ("source_type", "excerpt", "display_ref")}).drop("_c")
-
-
 def answers(asked: DataFrame, ledger: Ledger, lexicon: DataFrame, k: int = 8) -> DataFrame | None:
     """The whole retrieval plan over the knowledge base as it is: query_id, position, chunk_id, score, channels, highlight, display_ref.
 
@@ -251,3 +246,49 @@ def step_status(events: DataFrame) -> DataFrame:
     closed = (F.col("status") == "running") & (F.col("_end.step_id") != F.col("step_id"))
     status = F.when(closed, "done").otherwise(F.col("status"))
     return last.join(whole, "request_id").select("request_id", "step_id", status.alias("status"), (F.unix_timestamp("_last.ts") - F.unix_timestamp("_first")).alias("elapsed"))
+
+
+STEPS = "request_id long, step_id string, status string, elapsed double"
+
+
+class _Steps(StatefulProcessor):
+    """The steps of one request: each event sets its own step and closes the others that are running; changed steps are given out."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.first = handle.getValueState("first", "at double")
+        self.last = handle.getValueState("last", "step_id string, at double, seq long")
+        self.steps = handle.getMapState("steps", "step_id string", "status string, at double, seq long")
+
+    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
+        events = pd.concat(list(rows), ignore_index=True).sort_values(["at", "seq"])
+        known = self.first.get() if self.first.exists() else None
+        first = min(events["at"].iloc[0], known[0]) if known else events["at"].iloc[0]
+        end = tuple(self.last.get()) if self.last.exists() else None
+        before = {k[0]: tuple(v) for k, v in self.steps.iterator()}
+        steps = dict(before)
+        for step, status, at, seq in zip(events["step_id"], events["status"], events["at"], events["seq"], strict=True):
+            if step not in steps or (steps[step][1], steps[step][2]) <= (at, seq):
+                steps[step] = (status, float(at), int(seq))
+            if end is None or (end[1], end[2]) <= (at, seq):
+                end = (step, float(at), int(seq))
+        out = []
+        for step, (status, at, seq) in steps.items():
+            closed = "done" if status == "running" and step != end[0] else status
+            if before.get(step) != (closed, at, seq) or (known and first != known[0]):
+                self.steps.updateValue((step,), (closed, at, seq))
+                out.append((key[0], step, closed, float(int(at) - int(first))))
+        self.first.update((float(first),))
+        self.last.update(end)
+        yield pd.DataFrame(out, columns=["request_id", "step_id", "status", "elapsed"])
+
+    def close(self) -> None:
+        pass
+
+
+def step_stream(events: DataFrame) -> DataFrame:
+    """A stream of step events (request_id, step_id, status, ts, seq) as a stream of the steps that change, with state for each request.
+
+    The last row of a step is what ``step_status`` gives for all events. Late events count by their time, as there.
+    """
+    e = events.select("request_id", "step_id", "status", F.col("ts").cast("double").alias("at"), "seq")
+    return e.groupBy("request_id").transformWithStateInPandas(statefulProcessor=_Steps(), outputStructType=STEPS, outputMode="Update", timeMode="None")

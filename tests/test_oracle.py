@@ -5,11 +5,11 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from loregraph.plans import graph_queries, ingest_queries, knowledge_queries, loss_queries, request_queries, retrieval_queries, search_queries, source_queries, text_queries
+from loregraph.plans import evidence_queries, graph_queries, ingest_queries, knowledge_queries, loss_queries, request_queries, retrieval_queries, search_queries, source_queries, text_queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-PLANS = (loss_queries, text_queries, retrieval_queries, graph_queries, source_queries, request_queries, ingest_queries, search_queries, knowledge_queries)
+PLANS = (loss_queries, text_queries, retrieval_queries, graph_queries, source_queries, request_queries, ingest_queries, search_queries, knowledge_queries, evidence_queries)
 QUERIES = {n: f for p in PLANS for n, f in p.QUERIES.items()}
 SQL = {n: s for p in PLANS for n, s in p.SQL.items()}
 

@@ -13,6 +13,7 @@ from loregraph.plans import source_queries as Q
 from loregraph.plans import views as V
 from loregraph.streaming import index as X
 from loregraph.streaming import ingest as I
+from loregraph.streaming.knowledge import add_triplets
 from loregraph.streaming.ledger import KEEP, Change, Ledger
 
 DATA = "/root/testdata/sf0.001"
@@ -199,9 +200,11 @@ def test_messages_of_every_kind_and_their_errors(spark):
 def test_documents_as_a_stream(spark):
     """Several batches give the chunks, nodes and evidence of one."""
     messages = K.document_messages(spark, DATA)
-    runs = []
-    for files in (1, 3):
+    runs, catalog = [], V.lexicon(spark).select("node_id", F.lit("Entity").alias("node_type"), F.col("node_id").alias("label"), F.create_map().cast("map<string, string>").alias("attrs"), F.timestamp_seconds(F.lit(0)).alias("ts"), F.lit(0).cast("long").alias("seq"))
+    nothing = catalog.limit(0).select(F.col("node_id").alias("source"), F.col("node_type").alias("relation"), F.col("label").alias("target"), "attrs", "ts", "seq")
+    for files in (1, 2):
         root = folder()
+        Ledger(spark, f"{root}/kb").transact(lambda change: add_triplets(change, catalog, nothing))  # passages mention entities that are there
         done(I.start_messages(fed(spark, messages, root, files), V.lexicon(spark), f"{root}/kb", f"{root}/checkpoint"))
         ledger = Ledger(spark, f"{root}/kb")
         edges = ledger.table("edges").where("relation in ('PART_OF', 'MENTIONS')").select("source", "relation", "target")
@@ -221,3 +224,21 @@ def test_answers_are_those_of_the_batch(spark):
     want = rewrite_hits(asked, chunks).where("rank <= 8")
     key = ["query_id", "q_idx", "chunk_id", "rank"]
     assert sorted(map(tuple, got.select(key).collect())) == sorted(map(tuple, want.select(key).collect()))
+
+
+def test_steps_as_a_state_machine(spark):
+    """Events in several batches, late ones too, leave each step as windows over all events do; a later step closes running ones."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    root = folder()
+    events = K.step_events(spark, DATA)
+    events.repartition(3, "seq").write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+
+    def keep(batch, number):
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/out/n={number}")
+
+    done(I.step_stream(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+    got = spark.read.parquet(f"{root}/out").groupBy("request_id", "step_id").agg(F.max_by(F.struct("status", "elapsed"), "batch").alias("r")).select("request_id", "step_id", "r.*")
+    want = I.step_status(events).withColumn("elapsed", F.col("elapsed").cast("double")).collect()
+    assert {r["status"] for r in want} == {"running", "done"}
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want))

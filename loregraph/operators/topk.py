@@ -65,6 +65,17 @@ class Best:
         if self.size > max(len(self.query), 1 << 16):
             self.merge()
 
+    def offer(self, who: np.ndarray, s: np.ndarray, rows: pa.RecordBatch, checks: Checks) -> None:
+        """Take the scores (queries ``who``, rows) that pass the filters and can be among the k best."""
+        if (ok := checks.passing(who, rows)) is not None:
+            s = np.where(ok, s, 0)
+        level = np.maximum(self.limit[who], ROUNDED)
+        if s.shape[1] > self.k:  # what is below the k-th best of these rows alone can't count; equals stay, as ids decide
+            level = np.maximum(level, np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k])
+        i, j = np.nonzero(s >= level[:, None])
+        if len(i):
+            self.add(who[i], s[i, j], rows["chunk_id"].take(pa.array(j)))
+
     def merge(self) -> None:
         if not self.waiting:
             return
@@ -196,12 +207,7 @@ def _score(best: Best, rows: pa.RecordBatch, at, row, part, q, w, edges, who, ch
     place = np.repeat(edges[at] - np.cumsum(each) + each, each) + np.arange(int(each.sum()))
     cell = q[place] * m + np.repeat(row, each)
     s = np.round(np.bincount(cell, np.repeat(part, each) * w[place], minlength=len(who) * m).reshape(len(who), m), 6)
-    good = (s > 0) & (s >= best.limit[who][:, None])
-    if (ok := checks.passing(who, rows)) is not None:
-        good &= ok
-    i, j = np.nonzero(good)
-    if len(i):
-        best.add(who[i], s[i, j], rows["chunk_id"].take(pa.array(j)))
+    best.offer(who, s, rows, checks)
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, wanted: DataFrame | None = None, attributes: DataFrame | None = None) -> DataFrame:
@@ -239,12 +245,7 @@ def _dense(shared, k: int):
                 s = np.round(q[who] @ x.T, 6)
                 mine = np.flatnonzero((asker >= lo) & (asker < lo + STEP))
                 s[asker[mine] - lo, mine] = 0
-                good = (s > 0) & (s >= best.limit[who][:, None])
-                if (ok := checks.passing(who, batch)) is not None:
-                    good &= ok
-                i, j = np.nonzero(good)
-                if len(i):
-                    best.add(who[i], s[i, j], batch["chunk_id"].take(pa.array(j)))
+                best.offer(who, s, batch, checks)
         if best is not None:
             yield best.rows(names)
 

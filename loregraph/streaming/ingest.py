@@ -290,5 +290,5 @@ def step_stream(events: DataFrame) -> DataFrame:
 
     The last row of a step is what ``step_status`` gives for all events. Late events count by their time, as there.
     """
-    e = events.select("request_id", "step_id", "status", F.col("ts").cast("double").alias("at"), "seq")
+    e = events.select("request_id", "step_id", "status", F.col("ts").cast("timestamp").cast("double").alias("at"), "seq")
     return e.groupBy("request_id").transformWithStateInPandas(statefulProcessor=_Steps(), outputStructType=STEPS, outputMode="Update", timeMode="None")

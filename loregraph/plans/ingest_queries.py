@@ -11,6 +11,8 @@ from loregraph.operators import graph as G
 from loregraph.operators import losses as L
 from loregraph.operators import requests as Q
 from loregraph.operators import retrieval as R
+from loregraph.operators.chunk_table import register_rechunker
+from loregraph.plans import text_queries as TQ
 from loregraph.plans import views as V
 from loregraph.plans.text_queries import STRIP
 from loregraph.plans.views import n_rows, sql
@@ -319,6 +321,18 @@ def u4(spark, d):
     return spark.sql("SELECT doc_id, i, piece FROM {docs}, LATERAL rechunk_text(text, 'window')", docs=V.table(spark, d, "documents").where("text is not null"))
 
 
+@query("u4_rechunked_atoms", sql("atoms", """SELECT granularity, doc_id, paragraph_index, page, section, md5(text) AS digest FROM (SELECT 'paragraph' AS granularity, doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos)-1 AS paragraph_index, page, section, text FROM sec
+ UNION ALL SELECT 'page', doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page)-1, page, arg_max(coalesce(section,'~'), pos), string_agg(text, chr(10)||chr(10) ORDER BY pos) FROM sec GROUP BY doc_id, page)""".replace("page, section, md5", "page, nullif(section,'~') AS section, md5"), bodies=TQ.BODY, sec=TQ.SEC))
+def u4_atoms(spark, d):
+    """The table function over all atoms at two granularities; the test has all five."""
+    register_rechunker(spark)
+    atoms, out = V.atoms(spark, d), None
+    for g in ("paragraph", "page"):
+        rows = spark.sql(f"SELECT '{g}' AS granularity, doc_id, paragraph_index, page, section, md5(text) AS digest FROM rechunk_atoms(TABLE({{atoms}}), '{g}')", atoms=atoms)
+        out = rows if out is None else out.union(rows)
+    return out
+
+
 @query("pw7_hypotheses", sql("paragraphs", "SELECT 'hypothesis_'||chunk_id AS source, 'HAS_PASSAGE' AS relation, 'passage_'||chunk_id AS target FROM paragraphs WHERE paragraph_index%4=3 UNION ALL SELECT 'hypothesis_'||chunk_id, 'EVIDENCED_BY', 'source_'||source FROM paragraphs WHERE paragraph_index%4=3 AND source IS NOT NULL"))
 def pw7(spark, d):
     kind = F.when(F.col("paragraph_index") % 4 == 3, "constraint_example").otherwise("book_text")

@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from loregraph.functions import text as X
+from loregraph.operators import chunking as CH
 from loregraph.operators import graph as G
 from loregraph.operators import retrieval as R
 from loregraph.operators import topk as K
+from loregraph.operators.chunk_table import register_rechunker
 from loregraph.plans import request_queries as PQ
 from loregraph.plans import retrieval_queries as RQ
 from loregraph.plans import views as V
@@ -142,6 +144,15 @@ def test_a_hub_is_met_once_for_each_set(spark):
     assert rows(G.shared_nodes(left, right, "a", "b")) == rows(want)
 
 
+@pytest.mark.parametrize("granularity", list(CH.GRANULARITIES))
+def test_table_function_gives_the_granularities(spark, granularity):
+    register_rechunker(spark)
+    atoms = V.atoms(spark, DATA)
+    got = spark.sql(f"SELECT * FROM rechunk_atoms(TABLE({{atoms}}), '{granularity}')", atoms=atoms)
+    rows = lambda df: sorted(map(tuple, df.select("doc_id", "paragraph_index", "page", F.coalesce("section", F.lit("")), "text").collect()))
+    assert rows(got) == rows(CH.rechunk(atoms, granularity))
+
+
 LONG = "A sentence with, some, commas that makes a paragraph of an article. " * 4
 
 

@@ -214,7 +214,7 @@ def op11_minhash(spark, sf_dir: str) -> DataFrame:
 
 
 def components_sql(n_words: int, percent: int) -> str:
-    """doc_id, n_shingles and component_id by a join on shingles and recursion over links."""
+    """doc_id, n_shingles, component_id and n_links by a join on shingles and recursion over links."""
     return rf"""
 WITH RECURSIVE w AS (
     SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -228,7 +228,8 @@ links AS MATERIALIZED (SELECT u, v FROM both_have JOIN sized x ON x.r = u JOIN s
 either AS MATERIALIZED (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
 reach AS (SELECT r, r AS o FROM sized UNION SELECT r, v FROM reach JOIN either ON u = o),
 least AS (SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN sized d ON d.r = o GROUP BY reach.r)
-SELECT doc_id, n AS n_shingles, component_id FROM sized JOIN least USING (r)"""
+SELECT doc_id, n AS n_shingles, component_id, coalesce(c, 0) AS n_links FROM sized JOIN least USING (r) LEFT JOIN (SELECT u AS r, count(*) AS c FROM either GROUP BY u) USING (r)"""
 
 
-OP11_SQL = f"SELECT *, doc_id IS NOT DISTINCT FROM component_id AS kept FROM ({components_sql(5, 85)})"
+OP1_SQL = components_sql(3, 90)
+OP11_SQL = f"SELECT doc_id, n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM ({components_sql(5, 85)})"

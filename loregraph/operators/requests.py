@@ -75,9 +75,9 @@ def constraint_items(tier_text: Column, equipment: Column, user_items: Column, r
 
 def factory_regulations(factories: DataFrame, regulations: DataFrame) -> DataFrame:
     """factory and the texts of the regulations (seq, factory, text) that hold there, in order: its own and those of no factory."""
-    rows = lambda df: F.collect_list(F.struct("seq", "text"))  # noqa: E731, ARG005
-    own = regulations.where("factory is not null").groupBy("factory").agg(rows(regulations).alias("_own"))
-    every = regulations.where("factory is null").agg(rows(regulations).alias("_every"))  # one row
+    rows = F.collect_list(F.struct("seq", "text"))
+    own = regulations.where("factory is not null").groupBy("factory").agg(rows.alias("_own"))
+    every = regulations.where("factory is null").agg(rows.alias("_every"))  # one row
     f = factories.select("factory").distinct().join(own, "factory", "left").join(F.broadcast(every), F.lit(True), "left")
     both = F.array_sort(F.concat(F.coalesce("_own", F.expr("array()").cast(f.schema["_every"].dataType)), "_every"))
     return f.select("factory", F.transform(both, lambda x: x["text"]).alias("regulations"))

@@ -9,6 +9,7 @@ from loregraph.operators import requests as Q
 from loregraph.operators import retrieval as R
 from loregraph.plans import graph_queries as GQ
 from loregraph.plans import ingest_queries as N
+from loregraph.plans import request_queries as PQ
 from loregraph.plans import retrieval_queries as RQ
 from loregraph.plans import source_queries as SQ
 from loregraph.plans import views as V
@@ -37,6 +38,14 @@ def rt17(spark, d):
     return Q.cited(i.join(c, "chunk_id")).select("item_id", "chunk_id", "source_type", F.md5("excerpt").alias("digest"), "display_ref")
 
 
+@query("rt16_cited")
+def rt16(spark, d):
+    """The whole retrieval plan with each chunk's citation."""
+    meta = F.create_map(F.lit("paragraph_index"), F.col("paragraph_index").cast("string"))
+    c = V.paragraphs(spark, d).select("chunk_id", "text", "source", F.lit("book_text").alias("chunk_type"), F.lit(None).cast("string").alias("source_url"), meta.alias("metadata"))
+    return Q.retrieve(PQ.candidates(spark, d)).join(Q.cited(c).select("chunk_id", "source_type", "excerpt", "display_ref"), "chunk_id", "left")
+
+
 CHAIN = dict(
     hops_=GQ.EVIDENCE,
     chain="""SELECT start_id, hop, from_id, relation, to_id, inferred, evidence AS source FROM hops_ UNION SELECT start_id, hop, from_id, relation, to_id, inferred, 'excel_'||start_id FROM hops_ WHERE from_id=start_id

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loregraph.functions import text as X
 from loregraph.operators import graph as G
 from loregraph.operators import retrieval as R
 from loregraph.plans import views as V

@@ -11,6 +11,7 @@ from loregraph.operators import graph as G
 from loregraph.operators import retrieval as R
 from loregraph.operators import topk as K
 from loregraph.operators.chunk_table import register_rechunker
+from loregraph.plans import evidence_queries as EQ
 from loregraph.plans import request_queries as PQ
 from loregraph.plans import retrieval_queries as RQ
 from loregraph.plans import views as V
@@ -133,6 +134,12 @@ def test_diversity_equals_plain_python(spark, which):
     assert found == want
 
 
+def test_answers_are_cited(spark):
+    p = {r["chunk_id"]: r for r in V.paragraphs(spark, DATA).collect()}
+    rows = EQ.rt16(spark, DATA).collect()
+    assert rows and all(r["display_ref"] == f"{p[r['chunk_id']]['source']}, §{p[r['chunk_id']]['paragraph_index'] + 1}" and r["source_type"] == "book" for r in rows)
+
+
 def test_a_hub_is_met_once_for_each_set(spark):
     """A node on half of all keys: pairs of classes, not of keys, and the same counts."""
     left = spark.createDataFrame([(i, n) for i in range(400) for n in (["hub"] if i % 2 else []) + [f"n{i % 5}"]], "a long, node_id string")

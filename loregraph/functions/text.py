@@ -135,16 +135,22 @@ def excerpt(c: Column, most: int = 320) -> Column:
 
 def highlight(query: Column, text: Column, most: int = 120) -> Column:
     """A snippet around the longest query token of over 3 characters that the text holds (ties: the first in order), else its start."""
-    low = F.lower(text)
-    wanted = F.filter(F.array_distinct(tokenize(query)), lambda t: (F.length(t) > 3) & (F.instr(low, t) > 0))
-    ranked = F.array_sort(F.transform(wanted, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
-    token = F.try_element_at(ranked, F.lit(1))["t"]
-    at = F.instr(low, token)
-    start = F.greatest(at - 40, F.lit(1))
-    snippet = strip(F.substring(text, start, at + F.length(token) + 80 - start))
-    cut = F.when(F.length(snippet) > most, F.concat(F.substring(snippet, 1, most - 1), F.lit("…"))).otherwise(snippet)
+    longer = F.filter(F.array_distinct(tokenize(query)), lambda t: F.length(t) > 3)
+    ranked = F.transform(F.array_sort(F.transform(longer, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda x: x["t"])
     head = F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text)
-    return F.when(token.isNull(), head).otherwise(cut)
+
+    def cut(low: Column, token: Column) -> Column:
+        at = F.instr(low, token)
+        start = F.greatest(at - 40, F.lit(1))
+        snippet = strip(F.substring(text, start, at + F.length(token) + 80 - start))
+        short = F.when(F.length(snippet) > most, F.concat(F.substring(snippet, 1, most - 1), F.lit("…"))).otherwise(snippet)
+        return F.when(token.isNull(), head).otherwise(short)
+
+    # The text is searched from the longest token on, until one is found, and lower-cased once: what a lambda names without
+    # being given it is worked out again for each token.
+    first = lambda low: F.aggregate(ranked, F.lit(None).cast("string"), lambda best, t: F.when(best.isNull() & (F.instr(low, t) > 0), t).otherwise(best))
+    given = lambda c, f: F.transform(F.array(c), f)[0]
+    return given(F.lower(text), lambda low: given(first(low), lambda token: cut(low, token)))
 
 
 def embed_text(text: Column, summary: Column, questions: Column) -> Column:

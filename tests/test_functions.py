@@ -1,5 +1,7 @@
 """Hand-computed cases of text functions, fusion and selection."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +57,17 @@ def test_highlight(spark):
     assert one(spark, X.highlight(F.lit("zzz"), F.lit("plain"))) == "plain"
 
 
+def test_highlight_of_long_texts_by_themselves(spark):
+    """60,000 different words: work by the square of their number takes minutes."""
+    text = " ".join(f"word{i}" for i in range(60000))
+    df = spark.createDataFrame([(text,)], "text string")
+    began = time.time()
+    got = df.select(X.highlight(F.col("text"), F.col("text")).alias("x")).first()["x"]
+    assert "word10000" in got and time.time() - began < 20
+    df = spark.createDataFrame([("absent1 absent2 wordy words", "Wordy words"), (None, "x" * 130), ("word", None)], "q string, text string")
+    assert [r["x"] for r in df.select(X.highlight(F.col("q"), F.col("text")).alias("x")).collect()] == ["Wordy words", "x" * 120 + "…", None]
+
+
 def test_hash_bucket(spark):
     assert one(spark, R.hash_bucket(F.lit("test"))) == 246
 

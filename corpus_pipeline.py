@@ -29,7 +29,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come as often as the mix of sources takes them."""
+    """Documents come as often as the mix of sources takes them, laid out in the mix's shards."""
     return mixed_documents(docs, mix_sources(docs))
 
 

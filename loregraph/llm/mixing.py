@@ -37,12 +37,16 @@ class Mix:
     """rows: source, size and key (its place in the source's order) of each input row. sources: one row each with size,
     weight, target, passes, rest (words beyond the whole passes) and slots. slots: shard, slot, source, block and words.
     documents: one row per input row with what the mix takes of it
-    and the first output shard that holds a part of it."""
+    and the first output shard that holds a part of it. heads: sid, key, words, and the block and the word of it (from 0) in which
+    the rows of a key begin; rows without words have none."""
 
     rows: DataFrame
     sources: DataFrame
     slots: DataFrame
     documents: DataFrame
+    heads: DataFrame
+    shard_slots: int
+    seed: int
 
 
 def word_count(text: Column) -> Column:
@@ -95,10 +99,14 @@ def plan_slots(sources: DataFrame, block_words: int, cap: float, seed: int) -> D
     done = F.when(past, (F.col("_last") - 1) * L - gap).otherwise((F.col("_last") - 1) * L)
     s = s.withColumn("cut", F.when(F.col("rest") > 0, F.col("rest") - done).cast("long"))
     s = s.withColumn("slots", F.col("passes") * F.col("blocks") + F.col("_last"))
+    return number_slots(s.drop("_want", "_short", "_last"))
+
+
+def number_slots(sources: DataFrame) -> DataFrame:
+    """Add how many slots there are in all and before each source's."""
     w = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("slots_before", F.coalesce(F.sum("slots").over(w), F.lit(0)).cast("long"))
-    s = s.withColumn("slots_total", F.sum("slots").over(Window.partitionBy()))
-    return s.drop("_want", "_short", "_last")
+    s = sources.withColumn("slots_before", F.coalesce(F.sum("slots").over(w), F.lit(0)).cast("long"))
+    return s.withColumn("slots_total", F.sum("slots").over(Window.partitionBy()))
 
 
 def slot_table(sources: DataFrame, shard_slots: int, seed: int) -> DataFrame:
@@ -140,6 +148,8 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     d = d.withColumn("_within", F.coalesce(F.sum("size").over(within), F.lit(0)))
     d = d.join(sums, ["sid", "_bucket"]).withColumn("start", F.col("_ahead") + F.col("_within"))
     d = d.withColumn("end", F.col("start") + F.col("size"))
+    heads = d.where("size > 0").groupBy("sid", F.col("_key").alias("key")).agg(F.sum("size").alias("words"), F.min("start").alias("_start"))
+    heads = heads.select("sid", "key", "words", F.floor(F.col("_start") / L).alias("block"), (F.col("_start") % L).alias("word"))
     cells = d.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / L), F.floor(F.greatest(F.col("start"), F.col("end") - 1) / L))))
     takes = slots.groupBy("sid", "block").agg(F.count(F.when(F.col("cut").isNull(), 1)).alias("_times"), F.max("cut").alias("_cut"), F.min("shard").alias("_shard"))
     base = F.col("block") * L
@@ -149,42 +159,50 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     documents = cells.groupBy("doc_id", "source", "size", "source_size", "target", "start").agg(F.sum("_taken").alias("taken"), F.min(F.when(F.col("_taken") > 0, F.col("_shard"))).alias("first_shard"), F.count(F.lit(1)).alias("_cells"))
     # Empty rows share a start with others; each of them is a cell of its own there.
     documents = documents.withColumn("_copy", F.explode(F.when(F.col("size") == 0, F.sequence(F.lit(1).cast("long"), F.col("_cells"))).otherwise(F.array(F.lit(1).cast("long")))))
-    return Mix(sized.select("source", "size", F.col("_key").alias("key")), sources, slots, documents.drop("_cells", "_copy"))
+    return Mix(sized.select("source", "size", F.col("_key").alias("key")), sources, slots, documents.drop("_cells", "_copy"), heads, shard_slots, seed)
 
 
-def last_taken(mix: Mix) -> DataFrame:
-    """source, passes and last_key: a source's rows up to last_key hold its ``rest`` as nearly as whole rows can.
+def whole_slots(mix: Mix, heads: DataFrame) -> DataFrame:
+    """The slots of whole documents: each takes those that begin in its block, a source's last slot those that begin in the block's
+    first ``cut`` words. After its whole passes a source goes on through its permuted blocks until they hold its ``rest`` as nearly
+    as whole documents can.
 
-    Sums by (source, bucket of keys) tell in which bucket the rest ends; only that bucket's rows are put in order.
+    Sums by (source, bucket of slots) tell in which bucket the rest ends; only that bucket's documents are put in order.
     """
-    named = mix.sources.select(F.col("source").alias("_source"), "sid", "rest", F.ceil(F.col("rows") / BUCKET_ROWS).alias("_buckets"))
-    r = mix.rows.where("size > 0").join(named, mix.rows["source"].eqNullSafe(named["_source"]))
-    r = r.withColumn("_bucket", F.shiftright(F.shiftright("key", 32) * F.col("_buckets"), 31))
+    named = mix.sources.select("sid", "blocks", "passes", "rest", F.ceil(F.col("rows") / BUCKET_ROWS).alias("_buckets"))
+    place = permute(F.col("block"), F.col("blocks"), [F.col("sid"), F.col("passes"), F.lit(mix.seed)], inverse=True)
+    h = heads.join(named, "sid").withColumn("_place", place)
+    h = h.withColumn("_bucket", F.floor(F.col("_place") * F.col("_buckets") / F.col("blocks")).cast("long"))
     upto = Window.partitionBy("sid").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = r.groupBy("sid", "_bucket", "rest").agg(F.sum("size").alias("_sum")).withColumn("_end", F.sum("_sum").over(upto))
-    ends = materialize(sums.where("_end >= rest and _end - _sum < rest").select("sid", "_bucket", (F.col("_end") - F.col("_sum")).alias("_ahead")))
-    order = Window.partitionBy("sid").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = r.join(ends, ["sid", "_bucket"]).withColumn("_miss", F.abs(F.col("_ahead") + F.sum("size").over(order) - F.col("rest")))
-    best = inside.groupBy("sid").agg(F.min(F.struct("_miss", "key")).alias("_best"), F.min("key").alias("_first"), F.first(F.col("rest") - F.col("_ahead")).alias("_left"))
-    best = best.select("sid", F.when(F.col("_left") <= F.col("_best._miss"), F.col("_first") - 1).otherwise(F.col("_best.key")).alias("last_key"))
-    return materialize(mix.sources.select("sid", "source", "passes").join(best, "sid", "left").select("source", "passes", F.coalesce("last_key", F.lit(-1)).alias("last_key")))
-
-
-def mixed_documents(docs: DataFrame, mix: Mix, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 20) -> DataFrame:
-    """The documents as often as the mix takes them, in whole copies: each as often as its source has whole passes, and those
-    first in the source's pseudorandom order once more. A source misses its target by at most half its largest document
-    (or rows of one id and text, which share a place). Texts aren't shuffled: sources are few and sent to all tasks if
-    their table is small enough for Spark to do so, else joined by source, where Spark splits a hot one.
+    sums = h.groupBy("sid", "_bucket", "rest").agg(F.sum("words").alias("_sum")).withColumn("_end", F.sum("_sum").over(upto))
+    ends = sums.where("_end >= rest and _end - _sum < rest").select("sid", "_bucket", (F.col("rest") - F.col("_end") + F.col("_sum")).alias("_left"))
+    order = Window.partitionBy("sid").orderBy("_place", "word").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = h.join(materialize(ends), ["sid", "_bucket"]).withColumn("_miss", F.abs(F.sum("words").over(order) - F.col("_left")))
+    best = inside.groupBy("sid").agg(F.min(F.struct("_miss", "_place", "word")).alias("_best"), F.min("_place").alias("_first"), F.first("_left").alias("_left"))
+    some = F.col("_left") > F.col("_best._miss")  # else the rest is met most nearly without any of the bucket
+    best = best.select("sid", F.when(some, F.col("_best._place") + 1).otherwise(F.col("_first")).alias("_last"), F.when(some, F.col("_best.word") + 1).alias("cut"))
+    s = mix.sources.drop("slots", "slots_before", "slots_total", "cut").join(best, "sid", "left")
+    s = s.withColumn("slots", F.col("passes") * F.col("blocks") + F.coalesce("_last", F.lit(0))).drop("_last")
+    return slot_table(materialize(number_slots(s)), mix.shard_slots, mix.seed)
+
+
+def mixed_documents(docs: DataFrame, mix: Mix, doc_id: str = "doc_id", text: str = "text", source: str = "source", place: tuple[str, str] | None = None) -> DataFrame:
+    """The documents as often as the mix takes them, in whole copies: the method's blocks, permutations and shards, but a slot takes
+    the documents that begin in its block. A source misses its target by at most half its largest document (or rows of one id and
+    text, which share a place). A shard's rows are in one partition, in the order of their slots. ``place``: names of two more
+    columns, the shard and the slot that a copy is taken by.
 
     Defined results: rows without words come 0 times, as nothing can be taken from them; a null id or source is a value as
     any other; rows of one id and text come equally often; an empty table gives no rows; columns keep their names,
     whatever those are.
     """
-    last = last_taken(mix)
-    d = docs.select(F.struct("*").alias("row"), docs[source].alias("_s"), row_key(docs[doc_id], docs[text], seed).alias("_k"), docs[text].rlike(WORD).alias("_words"))
-    d = d.where("_words").join(last, d["_s"].eqNullSafe(last["source"]))
-    copies = F.col("passes") + (F.col("_k") <= F.col("last_key")).cast("long")
-    return d.select("row", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select("row.*")
+    heads = materialize(mix.heads)
+    taken = heads.join(whole_slots(mix, heads).hint("merge"), ["sid", "block"]).where("cut is null or word < cut")
+    taken = taken.select(F.col("source").alias("_source"), "key", "shard", "slot", "word")
+    d = docs.select(F.struct("*").alias("row"), docs[source].alias("_s"), row_key(docs[doc_id], docs[text], mix.seed).alias("_k"), docs[text].rlike(WORD).alias("_words"))
+    d = d.where("_words").join(taken, d["_s"].eqNullSafe(taken["_source"]) & (d["_k"] == taken["key"]))
+    d = d.repartition("shard").sortWithinPartitions("shard", "slot", "word")
+    return d.select("row.*", *(F.col(c).alias(name) for c, name in zip(("shard", "slot"), place or (), strict=False)))
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

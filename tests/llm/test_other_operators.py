@@ -80,6 +80,28 @@ def test_mixed_documents_follow_the_targets(spark):
     assert mixed_documents(docs.limit(0), mix_sources(docs.limit(0))).isEmpty()
 
 
+def test_mixed_documents_are_taken_by_slots(spark):
+    """A copy has a slot of its own block: as many as the passes over the blocks, or one more for those first in the permuted order."""
+    rows = [(i, f"w{i} " * (1 + i * i % 90), f"src{i % 3}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mix_sources(docs, shard_slots=64)
+    sources = {r["source"]: r for r in mix.sources.collect()}
+    starts = {r["doc_id"]: r["start"] for r in mix.documents.collect()}
+    out = mixed_documents(docs, mix, place=("sh", "sl")).collect()
+    size, block_of, per_block = {i: len(t.split()) for i, t, _ in rows}, {}, defaultdict(set)
+    for r in out:
+        at = (r["sh"], r["sl"])
+        own = (r["source"], starts[r["doc_id"]] // 32)
+        assert block_of.setdefault(at, own) == own and 0 <= r["sl"] < 64  # a slot takes from one block
+        per_block[own].add(at)
+    assert len({r["sh"] for r in out}) > 1
+    assert all(len(v) - sources[s]["passes"] in (0, 1) for (s, _), v in per_block.items())
+    words = Counter()
+    for r in out:
+        words[r["source"]] += size[r["doc_id"]]
+    assert all(abs(words[s] - r["target"]) <= 46 for s, r in sources.items())
+
+
 def test_mixing_empty(empty):
     assert mix_sources(empty).documents.count() == 0
 

@@ -136,7 +136,7 @@ def excerpt(c: Column, most: int = 320) -> Column:
 def highlight(query: Column, text: Column, most: int = 120) -> Column:
     """A snippet around the longest query token of over 3 characters that the text holds (ties: the first in order), else its start."""
     longer = F.filter(F.array_distinct(tokenize(query)), lambda t: F.length(t) > 3)
-    ranked = F.transform(F.array_sort(F.transform(longer, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda x: x["t"])
+    ranked = F.transform(F.sort_array(F.transform(longer, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda x: x["t"])
     head = F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text)
 
     def cut(low: Column, token: Column) -> Column:

@@ -155,12 +155,13 @@ def constraint_rankings(scopes: DataFrame, chunks: DataFrame, k: int = K_CONSTRA
     return R.top_k(hits, k)
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int, wanted: DataFrame | None = None, attributes: DataFrame | None = None) -> DataFrame:
+def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int, wanted: DataFrame | None = None, attributes: DataFrame | None = None, post: DataFrame | None = None) -> DataFrame:
     """BM25 and TF-IDF rankings of each query with equal weights: query_id, chunk_id, score, rank of the k best.
 
-    wanted and attributes: filters of queries and chunks, applied in both channels before they are ranked.
+    wanted and attributes: filters of queries and chunks, applied in both channels before they are ranked. post: the chunks'
+    packed postings, if they are there already.
     """
-    post = stored(R.postings(chunks))
+    post = stored(R.packed_postings(chunks)) if post is None else post
     filters = [stored(x) if x is not None else None for x in (wanted, attributes)]
     bm25 = R.bm25_topk(queries, chunks, k, post, *filters)
     dense = R.tfidf_topk(queries, chunks, k, post, *filters)
@@ -169,12 +170,12 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int, wanted: DataFra
     return R.top_k(R.weighted_rrf(both), k)
 
 
-def rewrite_hits(queries: DataFrame, chunks: DataFrame, k: int = K_CHANNEL, wanted: DataFrame | None = None, attributes: DataFrame | None = None) -> DataFrame:
+def rewrite_hits(queries: DataFrame, chunks: DataFrame, k: int = K_CHANNEL, wanted: DataFrame | None = None, attributes: DataFrame | None = None, post: DataFrame | None = None) -> DataFrame:
     """Hybrid search for each rewrite (query_id, q_idx, text): query_id, q_idx, chunk_id, score, rank. Filters are those of query_id."""
     kind = queries.schema["query_id"].dataType.simpleString()
     each = queries.select(F.concat_ws("#", "query_id", "q_idx").alias("_each"), "query_id", "text")
     own = None if wanted is None else each.select("_each", "query_id").join(wanted, "query_id").drop("query_id").withColumnRenamed("_each", "query_id")
-    return split_hits(hybrid_search(each.select(F.col("_each").alias("query_id"), "text"), chunks, k, own, attributes), kind)
+    return split_hits(hybrid_search(each.select(F.col("_each").alias("query_id"), "text"), chunks, k, own, attributes, post), kind)
 
 
 def split_hits(hits: DataFrame, kind: str) -> DataFrame:

@@ -4,8 +4,8 @@ A pair of a query and a chunk is never a row. Queries go to all tasks in blocks
 query over all that it reads and gives them out once, at its end: at most queries x k rows leave it, however many chunks it has.
 
 Sparse chunks are gone through in blocks. The largest weight of each term in a block bounds the score that any of its chunks can
-reach for a query; queries whose bound doesn't reach their k-th best so far are left out of the block. Chunks of large weights come first,
-so that the k-th best is soon high and the blocks after it are passed over.
+reach for a query; queries whose bound doesn't reach their k-th best so far are left out of the block. In each Arrow batch chunks of large weights
+come first, so that the k-th best is soon high and the blocks after it are passed over; whole partitions aren't sorted.
 
 Filters: columns that queries and chunks share, of FILTERS; null on the query's side asks for nothing. A chunk that a filter rules out
 doesn't take a place.
@@ -155,7 +155,6 @@ def sparse_topk(queries: DataFrame, chunks: DataFrame, k: int, wanted: DataFrame
 def topk_of_rows(asked: DataFrame, rows: DataFrame, k: int, wanted: DataFrame | None = None, attributes: DataFrame | None = None) -> DataFrame:
     """``sparse_topk`` over rows (chunk_id, terms, weights); asked: a written table."""
     rows, asked = with_filters(rows, asked, wanted, attributes)
-    rows = rows.sortWithinPartitions(F.desc(F.array_max("weights")))
     return _in_blocks(asked, rows, asked.count(), QUERY_TERMS, _sparse, k)
 
 
@@ -173,6 +172,7 @@ def _sparse(shared, k: int):
         terms, best = len(vocabulary.dictionary), None
         for whole in batches:
             best = best or Best(len(names), k, whole["chunk_id"].type)
+            whole = _largest_first(whole)
             for lo in range(0, whole.num_rows, BLOCK):
                 block = whole.slice(lo, BLOCK)
                 n = np.diff(block["terms"].offsets.to_numpy())
@@ -200,6 +200,13 @@ def _sparse(shared, k: int):
     return run
 
 
+def _largest_first(batch: pa.RecordBatch) -> pa.RecordBatch:
+    n = np.diff(batch["weights"].offsets.to_numpy())
+    most = np.full(len(n), -np.inf)
+    np.maximum.at(most, np.repeat(np.arange(len(n)), n), batch["weights"].flatten().to_numpy(zero_copy_only=False))
+    return batch.take(pa.array(np.argsort(-most, kind="stable")))
+
+
 def _score(best: Best, rows: pa.RecordBatch, at, row, part, q, w, edges, who, checks: Checks) -> None:
     """Add up the products of the rows' terms (at, row, part) with those of the live queries ``who``, and offer what passes."""
     m = rows.num_rows

@@ -106,14 +106,14 @@ HY = BM_PARTS | TI_PARTS | dict(both_=BOTH, rrf=RRF.replace("sum(weight/(60+rank
 HY_NEEDS = "query_tokens dfreq tf chunk_len stats"
 
 
-def rankings(spark, d, bm_weight=1.0, dense_weight=1.0):
-    post = stored(R.postings(chunks(spark, d)))
+def rankings(spark, d, bm_weight=1.0, dense_weight=1.0, post=None):
+    post = stored(R.packed_postings(chunks(spark, d))) if post is None else post
     bm = R.bm25_topk(V.eval_queries(spark, d), chunks(spark, d), K, post).withColumns({"channel": F.lit("bm25"), "weight": F.lit(bm_weight)})
     return bm.unionByName(tfidf(spark, d, K, post).withColumns({"channel": F.lit("dense"), "weight": F.lit(dense_weight)}))
 
 
-def hybrid(spark, d, k=K):
-    return R.top_k(R.weighted_rrf(rankings(spark, d)), k)
+def hybrid(spark, d, k=K, post=None):
+    return R.top_k(R.weighted_rrf(rankings(spark, d, post=post)), k)
 
 
 @query("rt5_hybrid", sql(HY_NEEDS, "SELECT query_id, chunk_id, rank, channels FROM hy", **HY))

@@ -183,3 +183,15 @@ LONG = "A sentence with, some, commas that makes a paragraph of an article. " *
 )
 def test_articles_of_malformed_pages(html, text):
     assert extract_page(html)["text"] == text
+
+
+def test_postings_hold_one_chunk_at_a_time(spark, capsys):
+    """Counted in each row: neither an aggregation nor a sort over a task's chunks, whose memory grows with the input."""
+    texts = ["b a b", None, "", " .. ", "A a a", "z " * 3000 + "y"]
+    chunks = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "chunk_id long, text string")
+    post = R.postings(chunks)
+    got = {(r["chunk_id"], r["term"]): (r["tf"], r["dl"]) for r in post.collect()}
+    assert got == {(0, "a"): (1, 3), (0, "b"): (2, 3), (4, "a"): (3, 3), (5, "y"): (1, 3001), (5, "z"): (3000, 3001)}
+    post.explain()
+    plan = capsys.readouterr().out
+    assert "Exchange" in plan and "Aggregate" not in plan and "Sort " not in plan

@@ -222,12 +222,12 @@ def rt11(spark, d):
     return Q.constraint_rankings(scopes(spark, d), SQ.typed_chunks(spark, d)).select("query_id", "chunk_id", "rank")
 
 
-def candidates(spark, d, k_out=Q.K_OUT, graph=True, chunks=None, filters=(None, None)):
+def candidates(spark, d, k_out=Q.K_OUT, graph=True, chunks=None, filters=(None, None), hits=None):
     chunks = V.paragraphs(spark, d) if chunks is None else chunks
     nodes, tags = (stored(item_nodes(spark, d)), stored(V.tags(spark, d))) if graph else (None, None)
     cons = Q.constraint_rankings(scopes(spark, d), SQ.typed_chunks(spark, d))
     even = V.table(spark, d, "benchmark").where("item_id % 2 = 0").select(F.col("item_id").alias("query_id"))
-    return Q.rank_candidates(rewrites(spark, d), chunks, nodes, tags, cons, even if graph else None, k_out, *filters)
+    return Q.rank_candidates(rewrites(spark, d), chunks, nodes, tags, cons, even if graph else None, k_out, *filters, hits=hits)
 
 
 ITEM_NODES = "SELECT query_id, node_id FROM qn UNION SELECT item_id, p.node_id FROM benchmark JOIN nation ON item_id%25=n_nationkey JOIN tops ON tops.factory=n_name JOIN on_path p ON p.start_id=tops.node_id WHERE item_id%2=0"
@@ -280,14 +280,18 @@ def means(metrics, **names):
 @query("ev3_modes")
 def ev3(spark, d):
     """Literature only, the full plan without a graph, and with it; items that name a bucket apart from the others."""
-    relevant, rows = RQ.relevant(spark, d), None
+    relevant, rows = stored(RQ.relevant(spark, d)), None
+    chunks = V.paragraphs(spark, d)
+    post = stored(R.packed_postings(chunks))  # all modes search the same chunks, two of them with the same rewrites
+    found = stored(Q.rewrite_hits(rewrites(spark, d), chunks, post=post))
+    place = F.col("position").alias("rank")
     ranked = {
-        "rag": RQ.hybrid(spark, d, K_EVAL).select("query_id", "chunk_id", "rank"),
-        "full_rag": Q.retrieve(candidates(spark, d, K_EVAL, graph=False), K_EVAL).select("query_id", "chunk_id", F.col("position").alias("rank")),
-        "graphrag": Q.retrieve(candidates(spark, d, K_EVAL), K_EVAL).select("query_id", "chunk_id", F.col("position").alias("rank")),
+        "rag": RQ.hybrid(spark, d, K_EVAL, post).select("query_id", "chunk_id", "rank"),
+        "full_rag": Q.retrieve(candidates(spark, d, K_EVAL, graph=False, hits=found), K_EVAL).select("query_id", "chunk_id", place),
+        "graphrag": Q.retrieve(candidates(spark, d, K_EVAL, hits=found), K_EVAL).select("query_id", "chunk_id", place),
     }
     for mode, hits in ranked.items():
-        m = judged(hits, relevant)
+        m = stored(judged(hits, relevant))  # read by both suites
         for suite, part in (("bucket", m.where("query_id % 2 = 0")), ("literature", m.where("query_id % 2 = 1"))):
             row = means(part, mode=mode, suite=suite)
             rows = row if rows is None else rows.union(row)

@@ -195,3 +195,10 @@ def test_postings_hold_one_chunk_at_a_time(spark, capsys):
     post.explain()
     plan = capsys.readouterr().out
     assert "Exchange" in plan and "Aggregate" not in plan and "Sort " not in plan
+
+
+def test_modes_share_postings(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(R, "packed_postings", lambda c, own=R.packed_postings: made.append(1) or own(c))
+    assert PQ.QUERIES["ev3_modes"](spark, "/root/testdata/sf0.001").count() == 6
+    assert len(made) == 1

@@ -299,8 +299,8 @@ def ev3(spark, d):
 
 
 def granular(spark, d, granularity):
-    """(chunk_id, text) of one granularity, and the chunks that hold the first line of an item."""
-    c = CH.rechunk(V.atoms(spark, d), granularity).select("chunk_id", "text")
+    """(chunk_id, text) of one granularity, written as several steps read it, and the chunks that hold the first line of an item."""
+    c = stored(CH.rechunk(V.atoms(spark, d), granularity).select("chunk_id", "text"))
     head = V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.split("text", "\n")[0].alias("head"))
     found = CH.tag_entities(c, head.select(F.col("query_id").cast("string").alias("node_id"), F.col("head").alias("keyword")))
     return c, found.select(F.col("node_id").cast("long").alias("query_id"), "chunk_id")

@@ -202,3 +202,10 @@ def test_modes_share_postings(spark, monkeypatch):
     monkeypatch.setattr(R, "packed_postings", lambda c, own=R.packed_postings: made.append(1) or own(c))
     assert PQ.QUERIES["ev3_modes"](spark, "/root/testdata/sf0.001").count() == 6
     assert len(made) == 1
+
+
+def test_granular_chunks_are_written_once(spark, capsys):
+    """Steps read a table and don't cut the documents again."""
+    PQ.granular(spark, "/root/testdata/sf0.001", "page")[0].explain()
+    plan = capsys.readouterr().out
+    assert "Scan parquet" in plan and "Window" not in plan and "Aggregate" not in plan

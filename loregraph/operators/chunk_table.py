@@ -1,4 +1,4 @@
-"""The granularities of chunks as a table function for SQL: one call over a table of atoms, a document at a time in its order."""
+"""The granularities of chunks, a document at a time in its order: as a table function for SQL, and all of them in one pass over a table of atoms."""
 
 from __future__ import annotations
 
@@ -6,16 +6,20 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 
 from loregraph.functions.text import SENTENCE_END
-from loregraph.operators.chunking import GRANULARITIES
+from loregraph.operators.chunking import GRANULARITIES, granular_id
 
 SPACE = " \t\n\x0b\f\r"
 SIZE, STEP, LEAST = 1200, 1000, 40
+#: Characters of chunks that are given out at once.
+PIECE = 4_000_000
 OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("paragraph_index", T.IntegerType()), T.StructField("page", T.IntegerType()), T.StructField("section", T.StringType()), T.StructField("text", T.StringType())])
 
 
@@ -51,14 +55,19 @@ class Rechunk:
 
     def eval(self, row, granularity: str) -> None:
         self.doc, self.granularity = row["doc_id"], granularity
-        if row["is_heading"]:
-            self.section, self.number = row["text"], self.number + 1
+        self.add(row["page"], row["is_heading"], row["text"])
+
+    def add(self, page: int | None, is_heading: bool, text: str) -> None:
+        if is_heading:
+            self.section, self.number = text, self.number + 1
         else:
-            self.body.append((row["page"], self.section, self.number, row["text"]))
+            self.body.append((page, self.section, self.number, text))
+
+    def chunks(self, granularity: str) -> list[tuple]:
+        return {"paragraph": self.paragraph, "sentence": self.sentence, "page": self.page, "section": self.by_section, "window": self.window}[granularity]()
 
     def terminate(self) -> Iterator[tuple]:
-        chunks = {"paragraph": self.paragraph, "sentence": self.sentence, "page": self.page, "section": self.by_section, "window": self.window}[self.granularity]
-        for i, (page, section, text) in enumerate(chunks()):
+        for i, (page, section, text) in enumerate(self.chunks(self.granularity)):
             yield self.doc, i, page, section, text
 
     def paragraph(self) -> list[tuple]:
@@ -93,3 +102,41 @@ class Rechunk:
 def register_rechunker(spark: SparkSession, name: str = "rechunk_atoms") -> None:
     """SELECT * FROM rechunk_atoms(TABLE(atoms), 'page'): Spark deals the atoms out by document and sorts them by pos."""
     spark.udtf.register(name, udtf(Rechunk))
+
+
+def every_granularity(atoms: DataFrame) -> DataFrame:
+    """granularity, chunk_id and text of the chunks that ``rechunk`` gives at all of GRANULARITIES.
+
+    The atoms are dealt out by document and sorted once for all. A task holds one document and about PIECE characters of chunks.
+    """
+    body = atoms.where("is_heading is not null and text is not null").select("doc_id", "pos", "page", "is_heading", "text")
+    rows = body.repartition("doc_id").sortWithinPartitions("doc_id", "pos").drop("pos")
+    kind = atoms.schema["doc_id"].dataType.simpleString()
+    cut = rows.mapInArrow(_every, f"doc_id {kind}, granularity string, paragraph_index int, text string")
+    return cut.select("granularity", granular_id(F.col("granularity")).alias("chunk_id"), "text")
+
+
+def _every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind, own = None, None
+    out, size = [], 0
+    names = ["doc_id", "granularity", "paragraph_index", "text"]
+    give = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (kind, pa.string(), pa.int32(), pa.string()), strict=True)], names)
+    for batch in batches:
+        kind = batch["doc_id"].type
+        for doc, page, is_heading, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "page", "is_heading", "text")), strict=True):
+            if own is None or own.doc != doc:
+                out += _cut(own)
+                if size > PIECE:
+                    yield give()
+                    out, size = [], 0
+                own = Rechunk()
+                own.doc = doc
+            own.add(page, is_heading, text)
+            size += len(GRANULARITIES) * len(text)
+    out += _cut(own)
+    if out:
+        yield give()
+
+
+def _cut(own: Rechunk | None) -> list[tuple]:
+    return [(own.doc, g, i, chunk[-1]) for g in GRANULARITIES for i, chunk in enumerate(own.chunks(g))] if own else []

@@ -71,8 +71,11 @@ GRANULARITIES = {"paragraph": paragraph_chunks, "sentence": sentence_chunks, "pa
 
 def rechunk(atoms: DataFrame, granularity: str) -> DataFrame:
     """Chunks of one of GRANULARITIES with ids that name it."""
-    c = GRANULARITIES[granularity](atoms)
-    return c.withColumn("chunk_id", F.concat_ws("_", F.lit("book"), "doc_id", F.lit(granularity), F.concat(F.lit("i"), "paragraph_index")))
+    return GRANULARITIES[granularity](atoms).withColumn("chunk_id", granular_id(F.lit(granularity)))
+
+
+def granular_id(granularity: Column) -> Column:
+    return F.concat_ws("_", F.lit("book"), "doc_id", granularity, F.concat(F.lit("i"), "paragraph_index"))
 
 
 def register_chunker(spark: SparkSession, name: str = "rechunk_text") -> None:

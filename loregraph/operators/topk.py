@@ -31,6 +31,8 @@ QUERY_TERMS, QUERY_BLOCK = 200_000, 65_536
 #: Chunks of a block, and cells of a score matrix.
 BLOCK, SCORES = 1024, 4_000_000
 STEP = 512
+#: Cells of a product of matrices that take as long as a pair of a query and a chunk with a common term.
+PAIR = 300
 ROUNDED = 1e-6
 
 
@@ -69,10 +71,11 @@ class Best:
         """Take the scores (queries ``who``, rows) that pass the filters and can be among the k best."""
         if (ok := checks.passing(who, rows)) is not None:
             s = np.where(ok, s, 0)
-        level = np.maximum(self.limit[who], ROUNDED)
-        if s.shape[1] > self.k:  # what is below the k-th best of these rows alone can't count; equals stay, as ids decide
-            level = np.maximum(level, np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k])
-        i, j = np.nonzero(s >= level[:, None])
+        good = s >= np.maximum(self.limit[who], ROUNDED)[:, None]
+        many = np.flatnonzero(np.count_nonzero(good, axis=1) > self.k)
+        if len(many):  # what is below the k-th best of these rows alone can't count; equals stay, as ids decide
+            good[many] &= s[many] >= np.partition(s[many], s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k, None]
+        i, j = np.nonzero(good)
         if len(i):
             self.add(who[i], s[i, j], rows["chunk_id"].take(pa.array(j)))
 
@@ -152,13 +155,21 @@ def sparse_topk(queries: DataFrame, chunks: DataFrame, k: int, wanted: DataFrame
     return topk_of_rows(asked, rows, k, wanted, attributes)
 
 
-def topk_of_rows(asked: DataFrame, rows: DataFrame, k: int, wanted: DataFrame | None = None, attributes: DataFrame | None = None) -> DataFrame:
-    """``sparse_topk`` over rows (chunk_id, terms, weights); asked: a written table."""
+def topk_of_rows(asked: DataFrame, rows: DataFrame, k: int, wanted: DataFrame | None = None, attributes: DataFrame | None = None, weigh=None) -> DataFrame:
+    """``sparse_topk`` over rows (chunk_id, terms, weights); asked: a written table.
+
+    Terms may be an array or one string with blanks between them. weigh: instead of the column weights, a function of a batch, its
+    distinct terms and their number in each place of the lists.
+    """
     rows, asked = with_filters(rows, asked, wanted, attributes)
-    return _in_blocks(asked, rows, asked.count(), QUERY_TERMS, _sparse, k)
+    return _in_blocks(asked, rows, asked.count(), QUERY_TERMS, lambda shared, k: _sparse(shared, k, weigh), k)
+
 
+def _given(batch: pa.RecordBatch, words: pa.Array, code: np.ndarray) -> np.ndarray:
+    return batch["weights"].flatten().to_numpy(zero_copy_only=False)
 
-def _sparse(shared, k: int):
+
+def _sparse(shared, k: int, weigh=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: pa.Table = shared.value
         coded = own["query_id"].combine_chunks().dictionary_encode()
@@ -172,16 +183,13 @@ def _sparse(shared, k: int):
         terms, best = len(vocabulary.dictionary), None
         for whole in batches:
             best = best or Best(len(names), k, whole["chunk_id"].type)
-            whole = _largest_first(whole)
-            for lo in range(0, whole.num_rows, BLOCK):
-                block = whole.slice(lo, BLOCK)
-                n = np.diff(block["terms"].offsets.to_numpy())
-                at = pc.index_in(block["terms"].flatten(), value_set=vocabulary.dictionary).fill_null(-1).to_numpy()
-                row, part = np.repeat(np.arange(len(n)), n)[at >= 0], block["weights"].flatten().to_numpy(zero_copy_only=False)[at >= 0]
-                at = at[at >= 0]
+            rows, at, row, part = _largest_first(whole, vocabulary.dictionary, weigh or _given)
+            block = np.searchsorted(row, np.arange(0, rows.num_rows + BLOCK, BLOCK))
+            for b, lo in enumerate(range(0, rows.num_rows, BLOCK)):
+                mine = slice(block[b], block[b + 1])
                 high, low = np.zeros(terms), np.zeros(terms)
-                np.maximum.at(high, at, part)
-                np.minimum.at(low, at, part)
+                np.maximum.at(high, at[mine], part[mine])
+                np.minimum.at(low, at[mine], part[mine])
                 bound = np.bincount(query, np.maximum(weight * high[term], weight * low[term]), minlength=len(names)) + ROUNDED
                 live = (bound >= best.limit) & (bound > ROUNDED)
                 if not live.any():
@@ -189,32 +197,58 @@ def _sparse(shared, k: int):
                 used = live[query]
                 number, who = np.cumsum(live) - 1, np.flatnonzero(live)
                 q, w, edges = number[query[used]], weight[used], np.searchsorted(term[used], np.arange(terms + 1))
-                step = max(1, SCORES // len(who))
-                first = np.searchsorted(row, np.arange(0, len(n) + step, step))
-                for i, a in enumerate(range(0, len(n), step)):
+                step, end = max(1, SCORES // len(who)), min(lo + BLOCK, rows.num_rows)
+                first = np.searchsorted(row, np.minimum(np.arange(lo, end + step, step), end))
+                for i, a in enumerate(range(lo, end, step)):
                     here = slice(first[i], first[i + 1])
-                    _score(best, block.slice(a, step), at[here], row[here] - a, part[here], q, w, edges, who, checks)
+                    _score(best, rows.slice(a, min(step, end - a)), at[here], row[here] - a, part[here], q, w, edges, who, checks)
         if best is not None:
             yield best.rows(names)
 
     return run
 
 
-def _largest_first(batch: pa.RecordBatch) -> pa.RecordBatch:
-    n = np.diff(batch["weights"].offsets.to_numpy())
+def _largest_first(batch: pa.RecordBatch, vocabulary: pa.Array, weigh) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]:
+    """The batch without its lists, rows of large weights first, and what it has of the vocabulary: number of the term, row and weight."""
+    lists = batch["terms"] if pa.types.is_list(batch["terms"].type) else pc.split_pattern(batch["terms"], " ")
+    n, coded = np.diff(lists.offsets.to_numpy()), lists.flatten().dictionary_encode()
+    code, known = coded.indices.to_numpy(), pc.index_in(coded.dictionary, value_set=vocabulary).fill_null(-1).to_numpy()
+    at, row, part = known[code], np.repeat(np.arange(len(n)), n), weigh(batch, coded.dictionary, code)
+    has = (at >= 0) & (part != 0)
+    at, row, part = at[has], row[has], part[has]
     most = np.full(len(n), -np.inf)
-    np.maximum.at(most, np.repeat(np.arange(len(n)), n), batch["weights"].flatten().to_numpy(zero_copy_only=False))
-    return batch.take(pa.array(np.argsort(-most, kind="stable")))
+    np.maximum.at(most, row, part)
+    order = np.argsort(-most, kind="stable")
+    place = np.empty(len(n), np.int64)
+    place[order] = np.arange(len(n))
+    row = place[row]
+    sort = np.argsort(row, kind="stable")
+    flat = batch.select([c for c in batch.schema.names if c == "chunk_id" or c in FILTERS]).take(pa.array(order))
+    return flat, at[sort], row[sort], part[sort]
 
 
 def _score(best: Best, rows: pa.RecordBatch, at, row, part, q, w, edges, who, checks: Checks) -> None:
-    """Add up the products of the rows' terms (at, row, part) with those of the live queries ``who``, and offer what passes."""
-    m = rows.num_rows
-    each = edges[at + 1] - edges[at]
-    place = np.repeat(edges[at] - np.cumsum(each) + each, each) + np.arange(int(each.sum()))
-    cell = q[place] * m + np.repeat(row, each)
-    s = np.round(np.bincount(cell, np.repeat(part, each) * w[place], minlength=len(who) * m).reshape(len(who), m), 6)
-    best.offer(who, s, rows, checks)
+    """Add up the products of the rows' terms (at, row, part) with those of the live queries ``who``, and offer what passes.
+
+    Terms that many queries share with many rows are multiplied as matrices, the others pair by pair.
+    """
+    m, each = rows.num_rows, np.diff(edges)
+    shared = np.flatnonzero(np.bincount(at, minlength=len(each)) * each * PAIR > m * len(who))
+    column = np.full(len(each), -1)
+    column[shared] = np.arange(len(shared))
+    s, rest = np.zeros((len(who), m)), slice(None)
+    if len(shared):
+        asks, own = np.repeat(column, each), column[at]
+        x = np.bincount(q[asks >= 0] * len(shared) + asks[asks >= 0], w[asks >= 0], minlength=len(who) * len(shared)).reshape(len(who), -1)
+        y = np.bincount(own[own >= 0] * m + row[own >= 0], part[own >= 0], minlength=len(shared) * m).reshape(-1, m)
+        s, rest = x @ y, own < 0
+    at, row, part = at[rest], row[rest], part[rest]
+    each = each[at]
+    if total := int(each.sum()):
+        place = np.repeat(edges[at] - np.cumsum(each) + each, each) + np.arange(total)
+        cell = q[place] * m + np.repeat(row, each)
+        s += np.bincount(cell, np.repeat(part, each) * w[place], minlength=len(who) * m).reshape(len(who), m)
+    best.offer(who, np.round(s, 6), rows, checks)
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, wanted: DataFrame | None = None, attributes: DataFrame | None = None) -> DataFrame:

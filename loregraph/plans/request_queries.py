@@ -10,6 +10,7 @@ from loregraph.operators import graph as G
 from loregraph.operators import losses as L
 from loregraph.operators import requests as Q
 from loregraph.operators import retrieval as R
+from loregraph.operators.chunk_table import every_granularity
 from loregraph.plans import graph_queries as GQ
 from loregraph.plans import loss_queries as LQ
 from loregraph.plans import retrieval_queries as RQ
@@ -298,9 +299,12 @@ def ev3(spark, d):
     return rows
 
 
-def granular(spark, d, granularity):
-    """(chunk_id, text) of one granularity, written as several steps read it, and the chunks that hold the first line of an item."""
-    c = stored(CH.rechunk(V.atoms(spark, d), granularity).select("chunk_id", "text"))
+def granular(spark, d, granularity, chunks=None):
+    """(chunk_id, text) of one granularity, written as several steps read it, and the chunks that hold the first line of an item.
+
+    chunks: those of every granularity, if they are written already.
+    """
+    c = stored(CH.rechunk(V.atoms(spark, d), granularity).select("chunk_id", "text")) if chunks is None else chunks.where(F.col("granularity") == granularity).drop("granularity")
     head = V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.split("text", "\n")[0].alias("head"))
     found = CH.tag_entities(c, head.select(F.col("query_id").cast("string").alias("node_id"), F.col("head").alias("keyword")))
     return c, found.select(F.col("node_id").cast("long").alias("query_id"), "chunk_id")
@@ -309,10 +313,11 @@ def granular(spark, d, granularity):
 @query("ev4_best_granularity")
 def ev4(spark, d):
     """Mean metrics of hybrid search for each granularity, and which is best by hits, then by nDCG."""
-    rows = None
+    rows, chunks = None, stored(every_granularity(V.atoms(spark, d)), by="granularity")
     for granularity in CH.GRANULARITIES:
-        c, relevant = granular(spark, d, granularity)
-        row = means(judged(Q.hybrid_search(V.eval_queries(spark, d), c, K_EVAL), relevant), granularity=granularity)
+        c, relevant = granular(spark, d, granularity, chunks)
+        post = stored(R.packed_postings(c, spread=False))
+        row = means(judged(Q.hybrid_search(V.eval_queries(spark, d), c, K_EVAL, post=post), relevant), granularity=granularity)
         rows = row if rows is None else rows.union(row)
     best = F.max_by("granularity", F.struct("hit_at_k", "ndcg", "granularity")).over(Window.partitionBy())
     return rows.withColumn("best", F.col("granularity") == best)

@@ -17,8 +17,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again, so that its readers don't each compute it; survives lost executors."""
+def stored(df: DataFrame, by: str | None = None) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again, so that its readers don't each compute it; survives lost executors.
+
+    by: a column of few values; a reader that asks for one of them reads that part only.
+    """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return df.sparkSession.read.schema(df.schema).parquet(path)

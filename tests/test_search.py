@@ -6,11 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from loregraph.functions import text as X
+from loregraph.operators import chunk_table as CT
 from loregraph.operators import chunking as CH
 from loregraph.operators import graph as G
 from loregraph.operators import retrieval as R
 from loregraph.operators import topk as K
-from loregraph.operators.chunk_table import register_rechunker
+from loregraph.operators.chunk_table import every_granularity, register_rechunker
 from loregraph.plans import evidence_queries as EQ
 from loregraph.plans import request_queries as PQ
 from loregraph.plans import retrieval_queries as RQ
@@ -209,3 +210,66 @@ def test_granular_chunks_are_written_once(spark, capsys):
     PQ.granular(spark, "/root/testdata/sf0.001", "page")[0].explain()
     plan = capsys.readouterr().out
     assert "Scan parquet" in plan and "Window" not in plan and "Aggregate" not in plan
+
+
+@pytest.mark.parametrize("pair", [0, 1e9])
+def test_terms_of_many_queries_are_multiplied_as_matrices(monkeypatch, pair):
+    """Neither all terms pair by pair nor all as matrices, nor terms that a row or a query holds twice, change the scores."""
+    monkeypatch.setattr(K, "PAIR", pair)
+    q, c, want, have = sparse_case(np.random.default_rng(5), 20, 500, 12)
+    asked = pa.concat_tables([asked_table(q, want).select(["query_id", "term", "weight"])] * 2)
+    rows = [(f"c{i:05}", [f"t{x}" for x in np.flatnonzero(r)] * 2, r[r > 0].tolist() * 2) for i, r in enumerate(c)]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["chunk_id", "terms", "weights"])
+    (out,) = K._sparse(Shared(asked), 6)(iter([batch]))
+    scores = np.round(4 * (q @ c.T), 6)
+    for i in range(len(q)):
+        got = sorted((-s, x) for n, x, s in zip(*(out[n].to_pylist() for n in ("query_id", "chunk_id", "score")), strict=True) if n == i)
+        plain = sorted((-scores[i, j], f"c{j:05}") for j in range(len(c)) if scores[i, j] > 0)[:6]
+        assert [x for _, x in got] == [x for _, x in plain] and np.allclose([s for s, _ in got], [s for s, _ in plain])
+
+
+def test_postings_are_those_of_the_tokens(spark, monkeypatch):
+    """Counted in Arrow with the tokens of ``tokenize``, in slices of any size, and so are document frequencies."""
+    texts = ["Это Ёлка, ёлка-ёлка! 12a", "\u0130stanbul \u212aelvin \u03a3\u03a3 na\u00efve", "a\u0000b\u0085c\u2028a a", " one", "two ", "x" * 90, "\U0001f600a\U0001f600", None, "...", "", "İ" * 9]
+    chunks = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts * 3)], "chunk_id string, text string").coalesce(2)
+    want = R.term_frequencies(chunks)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for spread in (True, False):
+        post = R.packed_postings(chunks, spread)
+        assert rows(R.unpacked(post).select("chunk_id", "term", "tf")) == rows(want.select("chunk_id", "term", "tf"))
+        assert rows(R.document_frequencies(post)) == rows(R.document_frequencies(want))
+        assert rows(post.select("chunk_id", "dl")) == rows(want.groupBy("chunk_id").agg(F.sum("tf")))
+    low = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*chunks.select("chunk_id", F.lower("text")).collect(), strict=True)], ["chunk_id", "_t"])
+    whole = pa.Table.from_batches(R._counted(iter([low]))).to_pylist()
+    monkeypatch.setattr(R, "PIECE", 40)
+    cut = list(R._counted(iter([low])))
+    assert len(cut) > 3 and pa.Table.from_batches(cut).to_pylist() == whole
+
+
+def test_granularities_are_cut_in_one_pass(spark, monkeypatch, capsys):
+    """One deal and one sort of the atoms give the chunks of ``rechunk`` at all granularities, in batches of any size."""
+    atoms = V.atoms(spark, DATA)
+    every = every_granularity(atoms)
+    rows = lambda df: sorted(map(tuple, df.select("granularity", "chunk_id", "text").collect()))
+    want = None
+    for g in CH.GRANULARITIES:
+        own = CH.rechunk(atoms, g).withColumn("granularity", F.lit(g)).select("granularity", "chunk_id", "text")
+        want = own if want is None else want.union(own)
+    assert rows(every) == rows(want)
+    every.explain()
+    assert capsys.readouterr().out.count("Exchange") == 1
+    names = ["doc_id", "page", "is_heading", "text"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*atoms.orderBy("doc_id", "pos").select(names).collect(), strict=True)], names)
+    whole = pa.Table.from_batches(CT._every(iter([batch]))).to_pylist()
+    monkeypatch.setattr(CT, "PIECE", 5000)
+    cut = list(CT._every(batch.slice(i, 7) for i in range(0, batch.num_rows, 7)))
+    assert len(whole) == every.count() and len(cut) > 3 and pa.Table.from_batches(cut).to_pylist() == whole
+
+
+def test_best_granularity_cuts_and_counts_once(spark, monkeypatch):
+    """The documents are cut once for all granularities, and each granularity's terms are counted once."""
+    cut, counted = [], []
+    monkeypatch.setattr(CH, "rechunk", lambda *a, own=CH.rechunk: cut.append(1) or own(*a))
+    monkeypatch.setattr(R, "document_frequencies", lambda p, own=R.document_frequencies: counted.append(1) or own(p))
+    assert PQ.QUERIES["ev4_best_granularity"](spark, DATA).count() == 5
+    assert not cut and len(counted) == 5

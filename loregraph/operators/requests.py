@@ -161,14 +161,9 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int, wanted: DataFra
     wanted and attributes: filters of queries and chunks, applied in both channels before they are ranked. post: the chunks'
     packed postings, if they are there already.
     """
-    post = stored(R.packed_postings(chunks)) if post is None else post
     filters = [stored(x) if x is not None else None for x in (wanted, attributes)]
-    known = dict(stats=stored(R.postings_stats(chunks, post)), df=stored(R.document_frequencies(post)))
-    bm25 = R.bm25_topk(queries, chunks, k, post, *filters, **known)
-    dense = R.tfidf_topk(queries, chunks, k, post, *filters, **known)
-    both = bm25.select("query_id", "chunk_id", "rank", F.lit("bm25").alias("channel"), F.lit(1.0).alias("weight"))
-    both = both.union(dense.select("query_id", "chunk_id", "rank", F.lit("dense"), F.lit(1.0)))
-    return R.top_k(R.weighted_rrf(both), k)
+    both = R.channels_topk(queries, chunks, k, post, *filters)
+    return R.top_k(R.weighted_rrf(both.withColumn("weight", F.lit(1.0))), k)
 
 
 def rewrite_hits(queries: DataFrame, chunks: DataFrame, k: int = K_CHANNEL, wanted: DataFrame | None = None, attributes: DataFrame | None = None, post: DataFrame | None = None) -> DataFrame:

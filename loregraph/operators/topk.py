@@ -36,7 +36,7 @@ PAIR = 300
 ROUNDED = 1e-6
 
 
-def top_k(scores: DataFrame, k: int, query: str = "query_id", item: str = "chunk_id") -> DataFrame:
+def top_k(scores: DataFrame, k: int, query: str | list[str] = "query_id", item: str = "chunk_id") -> DataFrame:
     """The k best of each query, ties to the smaller id; scores are rounded first so that ties are ties."""
     s = scores.withColumn("score", F.round("score", 6)).where("score > 0")
     w = Window.partitionBy(query).orderBy(F.desc("score"), item)
@@ -133,17 +133,20 @@ def with_filters(chunks: DataFrame, queries: DataFrame, wanted: DataFrame | None
     return chunks.join(attributes.select("chunk_id", *map(none, both)), "chunk_id", "left"), queries.join(wanted.select("query_id", *map(none, both)), "query_id", "left")
 
 
-def _in_blocks(asked: DataFrame, rows: DataFrame, size: int, most: int, run, k: int) -> DataFrame:
-    """``run(shared, k)`` over all rows for each block of queries of about ``most`` of ``size`` rows, and the k best of what comes out."""
-    kinds = [x.schema[c].dataType.simpleString() for x, c in ((asked, "query_id"), (rows, "chunk_id"))]
-    sc, blocks, out = asked.sparkSession.sparkContext, 1 + size // most, None
+def _in_blocks(asked: list[DataFrame], rows: DataFrame, size: int, most: int, run, k: int) -> DataFrame:
+    """``run(shared, k)`` over all rows for each block of queries of about ``most`` of ``size`` rows, and the k best of what comes out.
+
+    asked: the queries of each ranking; shared has one table for each, and what comes out names the ranking by its number.
+    """
+    kinds = [x.schema[c].dataType.simpleString() for x, c in ((asked[0], "query_id"), (rows, "chunk_id"))]
+    sc, blocks, out = rows.sparkSession.sparkContext, 1 + size // most, None
     rows = stored(rows) if blocks > 1 else rows
     for b in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
-        if own.num_rows or out is None:
-            part = rows.mapInArrow(run(sc.broadcast(own), k), f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
+        own = [a.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow() for a in asked]
+        if any(x.num_rows for x in own) or out is None:
+            part = rows.mapInArrow(run(sc.broadcast(own), k), f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double, ranking int")
             out = part if out is None else out.union(part)
-    return top_k(out, k)
+    return top_k(out, k, ["query_id", "ranking"])
 
 
 def sparse_topk(queries: DataFrame, chunks: DataFrame, k: int, wanted: DataFrame | None = None, attributes: DataFrame | None = None) -> DataFrame:
@@ -161,70 +164,93 @@ def topk_of_rows(asked: DataFrame, rows: DataFrame, k: int, wanted: DataFrame |
     Terms may be an array or one string with blanks between them. weigh: instead of the column weights, a function of a batch, its
     distinct terms and their number in each place of the lists.
     """
-    rows, asked = with_filters(rows, asked, wanted, attributes)
-    return _in_blocks(asked, rows, asked.count(), QUERY_TERMS, lambda shared, k: _sparse(shared, k, weigh), k)
+    return topk_of_rankings([(asked, weigh)], rows, k, wanted, attributes).drop("ranking")
+
+
+def topk_of_rankings(rankings: list, rows: DataFrame, k: int, wanted: DataFrame | None = None, attributes: DataFrame | None = None) -> DataFrame:
+    """``topk_of_rows`` for several (asked, weigh) in one pass over the rows, with the number of the ranking."""
+    rows = rows.select(*(c for c in rows.columns if not c.startswith("piece_")))
+    both = [with_filters(rows, asked, wanted, attributes) for asked, _ in rankings]
+    weighs = [weigh for _, weigh in rankings]
+    return _in_blocks([asked for _, asked in both], both[0][0], max(asked.count() for asked, _ in rankings), QUERY_TERMS, lambda shared, k: _sparse(shared, k, weighs), k)
 
 
 def _given(batch: pa.RecordBatch, words: pa.Array, code: np.ndarray) -> np.ndarray:
     return batch["weights"].flatten().to_numpy(zero_copy_only=False)
 
 
-def _sparse(shared, k: int, weigh=None):
+def _sparse(shared, k: int, weighs=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: pa.Table = shared.value
-        coded = own["query_id"].combine_chunks().dictionary_encode()
-        names, query = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-        _, once = np.unique(query, return_index=True)
-        checks = Checks(own.take(pa.array(once)))
-        vocabulary = own["term"].combine_chunks().dictionary_encode()
-        term, weight = vocabulary.indices.to_numpy(), own["weight"].to_numpy()
-        order = np.argsort(term, kind="stable")
-        query, term, weight = query[order], term[order], weight[order]
-        terms, best = len(vocabulary.dictionary), None
-        for whole in batches:
-            best = best or Best(len(names), k, whole["chunk_id"].type)
-            rows, at, row, part = _largest_first(whole, vocabulary.dictionary, weigh or _given)
-            block = np.searchsorted(row, np.arange(0, rows.num_rows + BLOCK, BLOCK))
-            for b, lo in enumerate(range(0, rows.num_rows, BLOCK)):
-                mine = slice(block[b], block[b + 1])
-                high, low = np.zeros(terms), np.zeros(terms)
-                np.maximum.at(high, at[mine], part[mine])
-                np.minimum.at(low, at[mine], part[mine])
-                bound = np.bincount(query, np.maximum(weight * high[term], weight * low[term]), minlength=len(names)) + ROUNDED
-                live = (bound >= best.limit) & (bound > ROUNDED)
-                if not live.any():
-                    continue
-                used = live[query]
-                number, who = np.cumsum(live) - 1, np.flatnonzero(live)
-                q, w, edges = number[query[used]], weight[used], np.searchsorted(term[used], np.arange(terms + 1))
-                step, end = max(1, SCORES // len(who)), min(lo + BLOCK, rows.num_rows)
-                first = np.searchsorted(row, np.minimum(np.arange(lo, end + step, step), end))
-                for i, a in enumerate(range(lo, end, step)):
-                    here = slice(first[i], first[i + 1])
-                    _score(best, rows.slice(a, min(step, end - a)), at[here], row[here] - a, part[here], q, w, edges, who, checks)
-        if best is not None:
-            yield best.rows(names)
+        tables = shared.value if isinstance(shared.value, list) else [shared.value]
+        asked = [Asked(own, k) for own in tables]
+        for batch in batches:
+            lists = batch["terms"] if pa.types.is_list(batch["terms"].type) else pc.split_pattern(batch["terms"], " ")
+            n, coded = np.diff(lists.offsets.to_numpy()), lists.flatten().dictionary_encode()
+            words, code = coded.dictionary, coded.indices.to_numpy()
+            row = np.repeat(np.arange(len(n), dtype=np.int32), n)
+            flat = batch.select([c for c in batch.schema.names if c == "chunk_id" or c in FILTERS])
+            for own, weigh in zip(asked, weighs or [None] * len(asked), strict=True):
+                own.add(flat, words, code, row, (weigh or _given)(batch, words, code))
+        for i, own in enumerate(asked):
+            if own.best is not None:
+                out = own.best.rows(own.names)
+                yield out.append_column("ranking", pa.repeat(pa.scalar(i, pa.int32()), out.num_rows))
 
     return run
 
 
-def _largest_first(batch: pa.RecordBatch, vocabulary: pa.Array, weigh) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]:
-    """The batch without its lists, rows of large weights first, and what it has of the vocabulary: number of the term, row and weight."""
-    lists = batch["terms"] if pa.types.is_list(batch["terms"].type) else pc.split_pattern(batch["terms"], " ")
-    n, coded = np.diff(lists.offsets.to_numpy()), lists.flatten().dictionary_encode()
-    code, known = coded.indices.to_numpy(), pc.index_in(coded.dictionary, value_set=vocabulary).fill_null(-1).to_numpy()
-    at, row, part = known[code], np.repeat(np.arange(len(n)), n), weigh(batch, coded.dictionary, code)
-    has = (at >= 0) & (part != 0)
+class Asked:
+    """A block of sparse queries (query_id, term, weight, filters), and the k best chunks of each so far."""
+
+    def __init__(self, own: pa.Table, k: int) -> None:
+        coded = own["query_id"].combine_chunks().dictionary_encode()
+        self.names, query = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        _, once = np.unique(query, return_index=True)
+        self.checks = Checks(own.take(pa.array(once)))
+        coded = own["term"].combine_chunks().dictionary_encode()
+        self.vocabulary, term = coded.dictionary, coded.indices.to_numpy()
+        order = np.argsort(term, kind="stable")
+        self.query, self.term, self.weight = query[order], term[order], own["weight"].to_numpy()[order]
+        self.k, self.best = k, None
+
+    def add(self, rows: pa.RecordBatch, words: pa.Array, code: np.ndarray, row: np.ndarray, part: np.ndarray) -> None:
+        """Rows with the terms words[code] in ``row`` and their weights ``part``."""
+        self.best = best = self.best or Best(len(self.names), self.k, rows["chunk_id"].type)
+        query, term, weight, terms = self.query, self.term, self.weight, len(self.vocabulary)
+        known = pc.index_in(words, value_set=self.vocabulary).fill_null(-1).to_numpy()
+        rows, at, row, part = _largest_first(rows, known[code], row, part)
+        block = np.searchsorted(row, np.arange(0, rows.num_rows + BLOCK, BLOCK))
+        for b, lo in enumerate(range(0, rows.num_rows, BLOCK)):
+            mine = slice(block[b], block[b + 1])
+            high, low = np.zeros(terms), np.zeros(terms)
+            np.maximum.at(high, at[mine], part[mine])
+            np.minimum.at(low, at[mine], part[mine])
+            bound = np.bincount(query, np.maximum(weight * high[term], weight * low[term]), minlength=len(self.names)) + ROUNDED
+            live = (bound >= best.limit) & (bound > ROUNDED)
+            if not live.any():
+                continue
+            used = live[query]
+            number, who = np.cumsum(live) - 1, np.flatnonzero(live)
+            q, w, edges = number[query[used]], weight[used], np.searchsorted(term[used], np.arange(terms + 1))
+            step, end = max(1, SCORES // len(who)), min(lo + BLOCK, rows.num_rows)
+            first = np.searchsorted(row, np.minimum(np.arange(lo, end + step, step), end))
+            for i, a in enumerate(range(lo, end, step)):
+                here = slice(first[i], first[i + 1])
+                _score(best, rows.slice(a, min(step, end - a)), at[here], row[here] - a, part[here], q, w, edges, who, self.checks)
+
+
+def _largest_first(rows: pa.RecordBatch, at: np.ndarray, row: np.ndarray, part: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of large weights first, and of their terms (at, row, part) those that have a number and a weight, by row."""
+    has = np.flatnonzero((at >= 0) & (part != 0))
     at, row, part = at[has], row[has], part[has]
-    most = np.full(len(n), -np.inf)
+    most = np.full(rows.num_rows, -np.inf)
     np.maximum.at(most, row, part)
     order = np.argsort(-most, kind="stable")
-    place = np.empty(len(n), np.int64)
-    place[order] = np.arange(len(n))
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order))
     row = place[row]
     sort = np.argsort(row, kind="stable")
-    flat = batch.select([c for c in batch.schema.names if c == "chunk_id" or c in FILTERS]).take(pa.array(order))
-    return flat, at[sort], row[sort], part[sort]
+    return rows.take(pa.array(order)), at[sort], row[sort], part[sort]
 
 
 def _score(best: Best, rows: pa.RecordBatch, at, row, part, q, w, edges, who, checks: Checks) -> None:
@@ -261,7 +287,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, wanted: DataFram
     rows, asked = with_filters(vectors.where(usable), queries.where(usable), wanted, attributes)
     rows, asked = (x.withColumn("vec", F.col("vec").cast(T.ArrayType(T.DoubleType()))) for x in (rows, asked))
     asked = stored(asked)
-    return _in_blocks(asked, rows, asked.count(), QUERY_BLOCK, _dense, k)
+    return _in_blocks([asked], rows, asked.count(), QUERY_BLOCK, _dense, k).drop("ranking")
 
 
 def _unit(column: pa.Array) -> np.ndarray:
@@ -272,7 +298,7 @@ def _unit(column: pa.Array) -> np.ndarray:
 
 def _dense(shared, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: pa.Table = shared.value
+        (own,) = shared.value
         names, checks, best = own["query_id"].combine_chunks(), Checks(own), None
         q = _unit(own["vec"]) if own.num_rows else np.empty((0, 0))
         for batch in batches:
@@ -288,6 +314,7 @@ def _dense(shared, k: int):
                 s[asker[mine] - lo, mine] = 0
                 best.offer(who, s, batch, checks)
         if best is not None:
-            yield best.rows(names)
+            out = best.rows(names)
+            yield out.append_column("ranking", pa.repeat(pa.scalar(0, pa.int32()), out.num_rows))
 
     return run

@@ -107,9 +107,8 @@ HY_NEEDS = "query_tokens dfreq tf chunk_len stats"
 
 
 def rankings(spark, d, bm_weight=1.0, dense_weight=1.0, post=None):
-    post = stored(R.packed_postings(chunks(spark, d))) if post is None else post
-    bm = R.bm25_topk(V.eval_queries(spark, d), chunks(spark, d), K, post).withColumns({"channel": F.lit("bm25"), "weight": F.lit(bm_weight)})
-    return bm.unionByName(tfidf(spark, d, K, post).withColumns({"channel": F.lit("dense"), "weight": F.lit(dense_weight)}))
+    both = R.channels_topk(V.eval_queries(spark, d), chunks(spark, d), K, post)
+    return both.withColumn("weight", F.when(F.col("channel") == "bm25", bm_weight).otherwise(dense_weight))
 
 
 def hybrid(spark, d, k=K, post=None):

@@ -11,6 +11,7 @@ from loregraph.functions import text as X
 from loregraph.operators import chunk_table as CT
 from loregraph.operators import chunking as CH
 from loregraph.operators import graph as G
+from loregraph.operators import requests as Q
 from loregraph.operators import retrieval as R
 from loregraph.operators import topk as K
 from loregraph.operators.chunk_table import every_granularity, register_rechunker
@@ -279,3 +280,13 @@ def test_best_granularity_cuts_and_counts_once(spark, monkeypatch):
     monkeypatch.setattr(R, "document_frequencies", lambda p, own=R.document_frequencies: counted.append(1) or own(p))
     assert PQ.QUERIES["ev4_best_granularity"](spark, DATA).count() == 5
     assert not cut and len(counted) == 5
+
+
+def test_relevance_is_looked_up_among_hits(spark, monkeypatch):
+    """Only chunks that are hits are searched for an item's line, and the metrics are those of all chunks that hold it."""
+    sizes = []
+    monkeypatch.setattr(CH, "tag_entities", lambda c, *a, own=CH.tag_entities: sizes.append(c.count()) or own(c, *a))
+    got = {r["granularity"]: r for r in PQ.QUERIES["ev4_best_granularity"](spark, DATA).drop("best").collect()}
+    chunks, relevant = PQ.granular(spark, DATA, "sentence")
+    want = PQ.means(PQ.judged(Q.hybrid_search(V.eval_queries(spark, DATA), chunks, PQ.K_EVAL), relevant), granularity="sentence").first()
+    assert got["sentence"] == want and len(sizes) == 6 and sizes[1] < sizes[-1] == chunks.count()

@@ -23,5 +23,5 @@ def stored(df: DataFrame, by: str | None = None) -> DataFrame:
     by: a column of few values; a reader that asks for one of them reads that part only.
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path, partitionBy=by)
+    df.write.parquet(path, partitionBy=by, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(path)

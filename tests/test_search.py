@@ -20,6 +20,7 @@ from loregraph.plans import request_queries as PQ
 from loregraph.plans import retrieval_queries as RQ
 from loregraph.plans import views as V
 from loregraph.sources.pages import extract_page
+from loregraph.store import stored
 
 DATA = "/root/testdata/sf0.001"
 
@@ -290,3 +291,11 @@ def test_relevance_is_looked_up_among_hits(spark, monkeypatch):
     chunks, relevant = PQ.granular(spark, DATA, "sentence")
     want = PQ.means(PQ.judged(Q.hybrid_search(V.eval_queries(spark, DATA), chunks, PQ.K_EVAL), relevant), granularity="sentence").first()
     assert got["sentence"] == want and len(sizes) == 6 and sizes[1] < sizes[-1] == chunks.count()
+
+
+def test_tables_between_steps(spark):
+    """Compressed well, and a reader of one value of the column ``by`` reads that part only."""
+    table = stored(spark.createDataFrame([(i, f"g{i % 3}", None if i % 2 else "t") for i in range(30)], "n long, g string, t string"), by="g")
+    part = table.where("g = 'g1'")
+    assert sorted(map(tuple, part.select("n", "g", "t").collect())) == [(i, "g1", None if i % 2 else "t") for i in range(1, 30, 3)]
+    assert all("g=g1/" in f and f.endswith(".zstd.parquet") for f in {r[0] for r in part.select("_metadata.file_path").collect()})
